@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.llm._common import Scratch
 from lectern.llm.decontaminate import decontaminate
 from lectern.llm.exact_dedup import exact_dedup
+from lectern.llm.licences import licences
 from lectern.llm.packing import placed, tokenized
 from lectern.llm.quality import quality
 
@@ -34,6 +35,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = licences(_table(spark, sf_dir, "documents"))
+    joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
+    return out.withColumns(joined).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = tokenized(_table(spark, sf_dir, "documents"), TOKENIZER)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")  # before the shuffle, as only the digest is asked for
@@ -45,6 +52,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
+    "op7_licence_scan": op7_licence_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
