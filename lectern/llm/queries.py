@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm._common import Scratch
+from lectern.llm.brown_lm import lm_scores
 from lectern.llm.decontaminate import decontaminate
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.licences import licences
@@ -35,6 +36,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licences(_table(spark, sf_dir, "documents"))
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
@@ -52,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_lm_scoring": op5_lm_scoring,
     "op7_licence_scan": op7_licence_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
