@@ -15,6 +15,7 @@ from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.licences import licences
 from lectern.llm.packing import placed, tokenized
 from lectern.llm.quality import quality
+from lectern.llm.warc import derivatives, responses
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -40,6 +41,12 @@ def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(_table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op6_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = derivatives(responses(_table(spark, sf_dir, "pages")), keep="page_id")
+    fields = {c: F.col("headers")[h] for c, h in (("block_digest", "WARC-Block-Digest"), ("source_digest", "WARC-Source-Payload-Digest"))}
+    return out.withColumns(fields).select("page_id", "type", "record_id", "refers_to", "target_uri", "content_type", "block_digest", "source_digest", F.octet_length("block").cast("long").alias("n_bytes"), F.sha2("block", 256).alias("block_sha256"))
+
+
 def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = licences(_table(spark, sf_dir, "documents"))
     joined = {c: F.array_join(c, ",") for c in ("base_labels", "labels")}
@@ -58,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_benchmark_decontamination": op3_benchmark_decontamination,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_lm_scoring": op5_lm_scoring,
+    "op6_warc_derivatives": op6_warc_derivatives,
     "op7_licence_scan": op7_licence_scan,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
