@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bits of a packed position that hold the place within a document.
@@ -72,6 +72,29 @@ def ordered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     return rows.select((first + F.col("m").bitwiseAND((1 << 33) - 1)).cast("long").alias("ord"), "doc_id", "text")
 
 
+#: Bits of a filter by document number: 16 MB, whatever the number of documents.
+FILTER_BITS = 1 << 27
+
+
+def marked(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """docs with `hit`: false only for documents whose ord isn't among chosen's.
+
+    A bitmap of fixed size is sent to all tasks, so that most texts that a join would drop aren't shuffled for it.
+    Beyond that many documents, numbers share bits and more documents are hit.
+    """
+
+    def slot(of: DataFrame) -> Column:
+        return F.when(F.col("ord") < FILTER_BITS, F.col("ord")).otherwise(F.xxhash64("ord").bitwiseAND(FILTER_BITS - 1))
+
+    bits = chosen.select(slot(chosen).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
+    row = bits.groupBy(F.shiftright("word", 9).alias("row")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(511), "bits"))).alias("words"))
+    row = row.select("row", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(511).cast("long")), lambda i: F.coalesce(F.col("words")[i], F.lit(0).cast("long"))).alias("words"))
+    out = docs.withColumn("slot", slot(docs))
+    out = out.join(F.broadcast(row), F.shiftright("slot", 15) == F.col("row"), "left")
+    hit = F.expr("getbit(words[cast(shiftright(slot, 6) & 511 as int)], cast(slot & 63 as int)) = 1")
+    return out.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("slot", "row", "words")
+
+
 # -- texts as arrays -------------------------------------------------------------------------------------------------
 
 

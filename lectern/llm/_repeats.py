@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import NOT_SPACE, PLACE_BITS, Scratch, Spans, mix, partitions, pieces, signed, words
+from lectern.llm._common import NOT_SPACE, PLACE_BITS, Scratch, Spans, marked, mix, partitions, pieces, signed, words
 
 #: Entries that a task holds before it hands on what is left of them.
 HELD = 1 << 21
@@ -185,7 +185,9 @@ def by_text(rows: DataFrame, docs: DataFrame, how: str) -> DataFrame:
     """docs with `runs`: the positions (without the document's number) of their rows."""
     run = F.struct(F.col("pos").bitwiseAND(_PLACE).alias("first"), "more", "anchor")
     runs = rows.groupBy(F.shiftright("pos", PLACE_BITS).alias("ord")).agg(F.collect_list(run).alias("runs"))
-    return docs.join(runs, "ord", how)
+    all_docs = marked(docs, rows.select(F.shiftright("pos", PLACE_BITS).alias("ord")))
+    out = all_docs.where("hit").drop("hit").join(runs, "ord", how)
+    return out if how == "inner" else out.unionByName(all_docs.where("not hit").drop("hit"), allowMissingColumns=True)
 
 
 def runs_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -14,6 +14,7 @@ from lectern.llm.decontaminate import decontaminate
 from lectern.llm.exact_dedup import exact_dedup
 from lectern.llm.licences import licences
 from lectern.llm.packing import placed, tokenized
+from lectern.llm.phrase_dedup import phrase_dedup
 from lectern.llm.quality import quality
 from lectern.llm.suffix_dedup import n_removed, suffix_dedup
 from lectern.llm.warc import derivatives, responses
@@ -59,6 +60,11 @@ def op7_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumns(joined).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = phrase_dedup(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = tokenized(_table(spark, sf_dir, "documents"), TOKENIZER)
     pieces = pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")  # before the shuffle, as only the digest is asked for
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_lm_scoring": op5_lm_scoring,
     "op6_warc_derivatives": op6_warc_derivatives,
     "op7_licence_scan": op7_licence_scan,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
