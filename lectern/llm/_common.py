@@ -49,18 +49,20 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def ordered(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """Columns ord, doc_id, text. ord: a number from 0 that follows the document order and fits 35 bits.
+def ordered(docs: DataFrame, scratch: Scratch, whole: bool = False) -> DataFrame:
+    """Columns ord, doc_id, text, and if asked for `row`, a struct of all that docs has.
+    ord: a number from 0 that follows the document order and fits 35 bits.
 
     Where ids are unique, not null and span fewer than 2**35 numbers, it is doc_id less the smallest one,
     which costs no shuffle of texts; else the rows are sorted and numbered.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    more = ["row"] if whole else []
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"), *([F.struct(*docs.columns).alias("row")] if whole else []))
     n, some, low, high = docs.agg(F.count(F.lit(1)), F.count("doc_id"), F.min("doc_id"), F.max("doc_id")).first()
     if n == 0:
-        return docs.select(F.col("doc_id").alias("ord"), "doc_id", "text")
+        return docs.select(F.col("doc_id").alias("ord"), "doc_id", "text", *more)
     if some == n and high - low < 1 << 35 and not docs.groupBy("doc_id").count().where("count > 1").head(1):
-        return docs.select((F.col("doc_id") - low).alias("ord"), "doc_id", "text")
+        return docs.select((F.col("doc_id") - low).alias("ord"), "doc_id", "text", *more)
     key = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), F.col("text")]
     rows = docs.repartitionByRange(partitions(docs.sparkSession), *key[:2], F.rand(7)).sortWithinPartitions(*key)
     rows = scratch.table(rows.withColumn("m", F.monotonically_increasing_id()), "ordered")
@@ -69,7 +71,7 @@ def ordered(docs: DataFrame, scratch: Scratch) -> DataFrame:
     for p, c in sorted(rows.groupBy(part.alias("p")).count().collect()):
         firsts[p], at = at, at + c
     first = F.element_at(F.create_map(*[F.lit(x) for kv in firsts.items() for x in kv]), part)
-    return rows.select((first + F.col("m").bitwiseAND((1 << 33) - 1)).cast("long").alias("ord"), "doc_id", "text")
+    return rows.select((first + F.col("m").bitwiseAND((1 << 33) - 1)).cast("long").alias("ord"), "doc_id", "text", *more)
 
 
 #: Bits of a filter by document number: 16 MB, whatever the number of documents.
@@ -87,12 +89,20 @@ def marked(docs: DataFrame, chosen: DataFrame) -> DataFrame:
         return F.when(F.col("ord") < FILTER_BITS, F.col("ord")).otherwise(F.xxhash64("ord").bitwiseAND(FILTER_BITS - 1))
 
     bits = chosen.select(slot(chosen).alias("slot")).groupBy(F.shiftright("slot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 63 as int))")).alias("bits"))
-    row = bits.groupBy(F.shiftright("word", 9).alias("row")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(511), "bits"))).alias("words"))
-    row = row.select("row", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(511).cast("long")), lambda i: F.coalesce(F.col("words")[i], F.lit(0).cast("long"))).alias("words"))
+    table = bits.groupBy(F.shiftright("word", 9).alias("of_slots")).agg(F.map_from_entries(F.collect_list(F.struct(F.col("word").bitwiseAND(511), "bits"))).alias("words"))
+    table = table.select("of_slots", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(511).cast("long")), lambda i: F.coalesce(F.col("words")[i], F.lit(0).cast("long"))).alias("words"))
     out = docs.withColumn("slot", slot(docs))
-    out = out.join(F.broadcast(row), F.shiftright("slot", 15) == F.col("row"), "left")
+    out = out.join(F.broadcast(table), F.shiftright("slot", 15) == F.col("of_slots"), "left")
     hit = F.expr("getbit(words[cast(shiftright(slot, 6) & 511 as int)], cast(slot & 63 as int)) = 1")
-    return out.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("slot", "row", "words")
+    return out.withColumn("hit", F.coalesce(hit, F.lit(False))).drop("slot", "of_slots", "words")
+
+
+def without(docs: DataFrame, dropped: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of docs (from ordered(whole=True), as they came) whose ord isn't among dropped's."""
+    dropped = scratch.table(dropped.select("ord"), "dropped")
+    all_docs = marked(docs.select("ord", "row"), dropped)
+    left = all_docs.where("hit").join(dropped, "ord", "left_anti")  # few texts are shuffled
+    return all_docs.where("not hit").select("row.*").unionByName(left.select("row.*"))
 
 
 # -- texts as arrays -------------------------------------------------------------------------------------------------

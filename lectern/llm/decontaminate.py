@@ -125,16 +125,16 @@ def _scan(batches: Iterator[pa.RecordBatch], sent, key: str, window: int) -> Ite
         )
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = 16 << 20) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items (sorted ids), spans (from, to in code points of the text), contaminated.
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = 16 << 20, key: str | None = None) -> DataFrame:
+    """doc_id, row, n_words, n_hit, n_items, items (sorted ids), spans (from, to in code points of the text), contaminated.
 
-    Contaminated: words are hit, and at least one in twenty.
+    Contaminated: words are hit, and at least one in twenty. row: the long column `key`, or else a number of no meaning.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.col("text").alias("text"))
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // most_bytes))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col(key) if key else F.monotonically_increasing_id()).alias("row"), "text")
     hits = None
     for k in range(shards):
         own = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
@@ -149,5 +149,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
         hits = hits.withColumns({"runs": join("runs"), "spans": join("spans"), "items": F.array_sort(F.array_distinct("items"))})
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r[1] - r[0])
     out = hits.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("row", "runs")
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("runs")
 

@@ -116,9 +116,9 @@ def named(blocks: DataFrame, scratch: Scratch, table: str) -> DataFrame:
 
 
 def identities(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFrame:
-    """ord, doc_id, n_points, text_sha256, n_blocks, name: equal (n_blocks, name) for equal texts only."""
+    """ord, doc_id, n_points, text_sha256, n_blocks, name: equal (n_blocks, name) for equal texts only. docs: from ordered()."""
     long = lambda c: F.unhex(F.lpad(F.hex(c), 16, "0"))
-    cut = ordered(docs, scratch).mapInArrow(lambda b: _cut(b, block), _BLOCKS)
+    cut = docs.select("ord", "doc_id", "text").mapInArrow(lambda b: _cut(b, block), _BLOCKS)
     level = named(cut, scratch, "names-0")
     heads = level.where("i = 0").drop("i")
     done = heads.where("n_blocks = 1")
@@ -136,12 +136,14 @@ def identities(docs: DataFrame, scratch: Scratch, block: int = BLOCK) -> DataFra
     return done
 
 
-def exact_dedup(docs: DataFrame, scratch: Scratch | None = None, block: int = BLOCK) -> DataFrame:
-    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the text without white space), n_points.
+def exact_dedup(docs: DataFrame, scratch: Scratch | None = None, block: int = BLOCK, in_order: bool = False) -> DataFrame:
+    """One row per document: doc_id, keep_id, group_size, kept, text_sha256 (of the text without white space), n_points, ord.
 
-    Of equal texts that with the most code points stays, then the first in document order.
+    Of equal texts that with the most code points stays, then the first in document order. in_order: docs is what
+    ordered() gave.
     """
     scratch = scratch or Scratch(docs.sparkSession)
+    docs = docs if in_order else ordered(docs, scratch)
     rows = scratch.table(identities(docs, scratch, block), "identities")
     groups = rows.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("n_points", -F.col("ord"), "doc_id")).alias("top"))
     groups = groups.select("n_blocks", "name", "group_size", (-F.col("top.col2")).alias("keep_ord"), F.col("top.doc_id").alias("keep_id"))

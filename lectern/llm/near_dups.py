@@ -239,11 +239,14 @@ def linked(pairs: DataFrame, docs: DataFrame, sent, scratch: Scratch, name: str)
     return scratch.table(rows.mapInArrow(lambda b: _compared(b, sent), "a long, b long"), f"{name}-links")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
-    """doc_id, ord, n_shingles, component_id and first (true for the first document of each component)."""
+def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, in_order: bool = False) -> DataFrame:
+    """doc_id, ord, n_shingles, component_id and first (true for the first document of each component).
+
+    in_order: docs is what ordered() gave.
+    """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
-    docs = ordered(docs, scratch)
+    docs = docs if in_order else ordered(docs, scratch)
     n_parts = partitions(spark)
     rows = scratch.table(docs.mapInArrow(_sets, "ord long, doc_id long, n long, name1 long, name2 long, row int, counters binary"), "sets")
     levels = np.zeros((COUNTERS // ROW, ROW), np.uint8)

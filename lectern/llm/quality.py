@@ -190,12 +190,27 @@ def scored(stats: DataFrame, model: Model) -> DataFrame:
     return stats.select("doc_id", "x").mapInArrow(score, "doc_id long, score double")
 
 
+def good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of docs that score at least threshold, as they came: one pass without a shuffle."""
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, at in pieces(batches):
+            yield rows.filter(pa.array(model.score(statistics_of(data, at)) >= threshold))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame, scratch: Scratch | None = None, threshold: float = 0.3, folds: int = 5, held_out: int = 0) -> DataFrame:
     """doc_id, held_out, score, predicted for each document; the labels of one fold (bucket() = held_out) are never looked at."""
     scratch = scratch or Scratch(docs.sparkSession)
+    stats, model = fitted(docs, labels, scratch, folds, held_out)
+    out = scored(stats, model)
+    return out.select("doc_id", (bucket("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def fitted(docs: DataFrame, labels: DataFrame, scratch: Scratch, folds: int = 5, held_out: int = 0) -> tuple[DataFrame, Model]:
+    """The documents' statistics as a written table, and the model of all labels but one fold's."""
     stats = scratch.table(statistics(docs), "statistics")
     learn = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     learn = learn.where(F.col("label").isin(0, 1) & (bucket("doc_id", folds) != held_out))
-    model = fit(scratch.table(stats.join(learn, "doc_id"), "labelled"))
-    out = scored(stats, model)
-    return out.select("doc_id", (bucket("doc_id", folds) == held_out).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return stats, fit(scratch.table(stats.join(learn, "doc_id"), "labelled"))
