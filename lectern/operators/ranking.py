@@ -64,12 +64,12 @@ def capped(df: DataFrame, keys: Sequence[str], kind: str, caps: Mapping[str, int
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k).drop("_of_kind")
 
 
-def ranked(scored: DataFrame, k: int = 5, caps: Mapping[str, int] = CAPS) -> DataFrame:
+def ranked(scored: DataFrame, k: int = 5, caps: Mapping[str, int] = CAPS, digits: int = 9) -> DataFrame:
     """Evidence of each claim by combined score, explicitly named objects first.
 
     scored: claim_id, evidence_id, kind, query, bm25, semantic, reference, explicit (of all candidates).
     """
     w = WEIGHTS
     score = w["lexical"] * min_max(F.col("bm25"), ["claim_id"]) + w["semantic"] * min_max(F.col("semantic"), ["claim_id"]) + w["reference"] * F.col("reference") + w["prior"] * type_prior(F.col("query"), F.col("kind"))
-    out = scored.withColumn("score", F.round(score, 9))
+    out = scored.withColumn("score", F.round(score, digits))
     return capped(out, ["claim_id"], "kind", caps, [F.col("explicit").desc(), F.col("score").desc(), "evidence_id"], k)
