@@ -145,7 +145,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     if shards > 1:
         flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
         hits = hits.groupBy("doc_id", "row").agg(F.first("n_words").alias("n_words"), flat("runs"), flat("items"), flat("spans"))
-        join = F.udf(_union, "array<array<long>>")
+        join = F.udf(lambda runs: _union(runs), "array<array<long>>")
         hits = hits.withColumns({"runs": join("runs"), "spans": join("spans"), "items": F.array_sort(F.array_distinct("items"))})
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r[1] - r[0])
     out = hits.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long"))
