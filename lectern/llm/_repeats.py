@@ -24,10 +24,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import NOT_SPACE, PLACE_BITS, Scratch, Spans, marked, mix, partitions, pieces, signed, words
+from lectern.llm._common import NOT_SPACE, PLACE_BITS, Scratch, Spans, as_binary, marked, mix, partitions, pieces, signed, words
 
 #: Entries that a task holds before it hands on what is left of them.
 HELD = 1 << 21
+#: Blocks of one anchor that one task compares; those of a more frequent anchor are dealt by window.
+TOGETHER = 1000
 _ROWS = "key long, anchor long, block long, pos long, more int, lost boolean"
 _PLACE = (1 << PLACE_BITS) - 1
 
@@ -183,44 +185,84 @@ def _settled(entries: DataFrame, shift: int) -> DataFrame:
 
 def by_text(rows: DataFrame, docs: DataFrame, how: str) -> DataFrame:
     """docs with `runs`: the positions (without the document's number) of their rows."""
-    run = F.struct(F.col("pos").bitwiseAND(_PLACE).alias("first"), "more", "anchor")
+    run = F.struct(F.col("pos").bitwiseAND(_PLACE).alias("first"), "more", *(["anchor"] if "anchor" in rows.columns else []))
     runs = rows.groupBy(F.shiftright("pos", PLACE_BITS).alias("ord")).agg(F.collect_list(run).alias("runs"))
     all_docs = marked(docs, rows.select(F.shiftright("pos", PLACE_BITS).alias("ord")))
     out = all_docs.where("hit").drop("hit").join(runs, "ord", how)
     return out if how == "inner" else out.unionByName(all_docs.where("not hit").drop("hit"), allowMissingColumns=True)
 
 
-def runs_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of all runs of a batch's rows: row, first, more, anchor."""
+def runs_of(rows: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """Of all runs of a batch's rows: row, first, more, and anchor if they have one."""
     runs = rows.column("runs")
     n = pc.fill_null(pc.list_value_length(runs), 0).to_numpy()
     flat = runs.flatten()
-    first, more, anchor = (flat.field(i) for i in range(3))
-    return np.repeat(np.arange(len(rows)), n), first.to_numpy(), more.to_numpy().astype(np.int64), pc.fill_null(anchor, 0).to_numpy()
+    first, more, *anchor = (flat.field(i).to_numpy() for i in range(flat.type.num_fields))
+    return np.repeat(np.arange(len(rows)), n), first, more.astype(np.int64), anchor[0] if anchor else None
+
+
+def _split(batches: Iterator[pa.RecordBatch], symbols: Symbols, width: int, shift: int) -> Iterator[pa.RecordBatch]:
+    """Entries of all windows of a text's runs."""
+    levels = Levels(shift)
+    for rows, data, at in pieces(batches):
+        spans, at = symbols(data, at)
+        doc, first, more, anchor = runs_of(rows)
+        n = more + 1
+        window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
+        doc, anchor = np.repeat(doc, n), np.repeat(anchor, n)
+        start = at[doc] + window
+        order = rows.column("ord").to_numpy()[doc]
+        for i in range(0, len(start), HELD):
+            s = slice(i, i + HELD)
+            levels.add(anchor[s], signed(spans.of(start[s], start[s] + width)), (order[s] << PLACE_BITS) | window[s], np.zeros(len(start[s]), np.int32))
+            if len(levels) > HELD:
+                yield from _rows(levels, False)
+    yield from _rows(levels, False)
+
+
+def _contents(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The bytes of a text's runs."""
+    for rows, data, at in pieces(batches):
+        doc, first, more, anchor = runs_of(rows)
+        start, size = at[doc] + first, more + width
+        places = np.append(0, np.cumsum(size))
+        source = np.arange(places[-1]) + np.repeat(start - places[:-1], size)
+        pos = (rows.column("ord").to_numpy()[doc] << PLACE_BITS) | first
+        yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(pos), as_binary(data[source], places)], names=["anchor", "pos", "content"])
+
+
+def _compared(batches: Iterator[pa.RecordBatch], width: int, shift: int) -> Iterator[pa.RecordBatch]:
+    """Repeats among the windows of blocks that come with their bytes, all of an anchor in one task."""
+    levels = Levels(shift)
+    for batch in batches:
+        for rows, data, at in pieces(iter([batch]), "content", 1 << 20):
+            n = np.diff(at) - width + 1
+            block = np.repeat(np.arange(len(rows)), n)
+            window = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
+            start = at[block] + window
+            levels.add(rows.column("anchor").to_numpy()[block], signed(Spans(data).of(start, start + width)), rows.column("pos").to_numpy()[block] + window, np.zeros(len(block), np.int32))
+    levels.all()
+    pos, more = levels.taken()
+    yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(more)], names=["pos", "more"])
 
 
 def repeats(entries: DataFrame, docs: DataFrame, symbols: Symbols, width: int, scratch: Scratch, shift: int = 0) -> DataFrame:
-    """pos and more of all runs of windows (first, and how many follow) that occur earlier; docs: ord, text."""
-    rows = scratch.table(_settled(entries, shift), "settled")
+    """pos and more of all runs of windows (first, and how many follow) that occur earlier; docs: ord, text.
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = Levels(shift)
-        for rows, data, at in pieces(batches):
-            spans, at = symbols(data, at)
-            doc, first, more, anchor = runs_of(rows)
-            n = more + 1
-            window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first, n)
-            doc, anchor = np.repeat(doc, n), np.repeat(anchor, n)
-            start = at[doc] + window
-            order = rows.column("ord").to_numpy()[doc]
-            for i in range(0, len(start), HELD):
-                s = slice(i, i + HELD)
-                levels.add(anchor[s], signed(spans.of(start[s], start[s] + width)), (order[s] << PLACE_BITS) | window[s], np.zeros(len(start[s]), np.int32))
-                if len(levels) > HELD:
-                    yield from _rows(levels, False)
-        yield from _rows(levels, False)
-
-    open_rows = by_text(rows.where("anchor is not null"), docs.select("ord", "text"), "inner")
-    windows = open_rows.select("ord", "text", "runs").mapInArrow(split, _ROWS)
-    fine = _settled(windows, shift).where("anchor is null")
-    return scratch.table(rows.where("anchor is null").unionByName(fine), "repeats")
+    Bytes of blocks are fewer than fingerprints of their windows, so blocks of bytes go to their anchor's task as they are.
+    """
+    rows = scratch.table(_settled(entries, shift), "settled")
+    docs = docs.select("ord", "text")
+    wide = rows.where("anchor is not null")
+    found = rows.where("anchor is null").select("pos", "more")
+    if symbols is byte_symbols:
+        often = scratch.table(wide.groupBy("anchor").count().where(F.col("count") > TOGETHER).select("anchor"), "often")
+        few = by_text(wide.join(often, "anchor", "left_anti"), docs, "inner").select("ord", "text", "runs")
+        blocks = few.mapInArrow(lambda b: _contents(b, width), "anchor long, pos long, content binary")
+        blocks = blocks.repartition(partitions(docs.sparkSession), "anchor")
+        found = found.unionByName(blocks.mapInArrow(lambda b: _compared(b, width, shift), "pos long, more int"))
+        wide = wide.join(often, "anchor", "left_semi") if often.head(1) else None
+    if wide is not None:
+        windows = by_text(wide, docs, "inner").select("ord", "text", "runs").mapInArrow(lambda b: _split(b, symbols, width, shift), _ROWS)
+        found = found.unionByName(_settled(windows, shift).where("anchor is null").select("pos", "more"))
+    return scratch.table(found, "repeats")
