@@ -27,7 +27,9 @@ from pyspark.sql import functions as F
 from lectern.llm._common import NOT_SPACE, PLACE_BITS, Scratch, Spans, as_binary, marked, mix, partitions, pieces, signed, words
 
 #: Entries that a task holds before it hands on what is left of them.
-HELD = 1 << 21
+HELD = 1 << 20
+#: Entries that a task holds while it reads others sorted by anchor.
+OPEN = 1 << 18
 #: Blocks of one anchor that one task compares; those of a more frequent anchor are dealt by window.
 TOGETHER = 1000
 _ROWS = "key long, anchor long, block long, pos long, more int, lost boolean"
@@ -119,6 +121,13 @@ class Levels:
             self.levels = [self._scan([np.concatenate(x) for x in zip(*self.levels, strict=True)])]
         return self.levels[0] if self.levels else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)]
 
+    def done(self) -> list[np.ndarray]:
+        """Takes out all but the last anchor's entries, as one level; entries come sorted by anchor."""
+        level = self.all()
+        at = int(np.searchsorted(level[0], level[0][-1])) if len(level[0]) else 0
+        self.levels = [[x[at:] for x in level]] if at < len(level[0]) else []
+        return [x[:at] for x in level]
+
     def taken(self) -> tuple[np.ndarray, np.ndarray]:
         """The lost ones so far, as runs of neighbouring windows: first position and how many follow."""
         if not self.lost:
@@ -163,8 +172,20 @@ def block_entries(docs: DataFrame, symbols: Symbols, width: int, k: int, shift:
 def _settled(entries: DataFrame, shift: int) -> DataFrame:
     """pos, more, anchor: repeats (anchor null), and first blocks whose anchor others share (anchor given)."""
 
+    names = ["pos", "more", "anchor"]
+
+    def settled(levels: Levels, level: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        anchor, block, pos, more = level
+        gone, run = levels.taken()
+        yield pa.RecordBatch.from_arrays([pa.array(gone), pa.array(run), pa.nulls(len(gone), pa.int64())], names=names)
+        if len(anchor):
+            head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1]))
+            size = np.diff(np.append(head, len(anchor)))
+            differ = np.repeat(np.logical_or.reduceat(block != np.repeat(block[head], size), head), size)
+            yield pa.RecordBatch.from_arrays([pa.array(pos[differ]), pa.array(more[differ]), pa.array(anchor[differ])], names=names)
+
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels, names = Levels(shift), ["pos", "more", "anchor"]
+        levels = Levels(shift)
         for batch in batches:
             lost = batch.column("lost")
             if pc.any(lost).as_py():
@@ -172,15 +193,12 @@ def _settled(entries: DataFrame, shift: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([gone.column("pos"), gone.column("more"), pa.nulls(len(gone), pa.int64())], names=names)
                 batch = batch.filter(pc.invert(lost))
             levels.add(*(batch.column(c).to_numpy() for c in ("anchor", "block", "pos", "more")))
-        anchor, block, pos, more = levels.all()
-        gone, run = levels.taken()
-        yield pa.RecordBatch.from_arrays([pa.array(gone), pa.array(run), pa.nulls(len(gone), pa.int64())], names=names)
-        head = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.zeros(0, np.int64)
-        size = np.diff(np.append(head, len(anchor)))
-        differ = np.repeat(np.logical_or.reduceat(block != np.repeat(block[head], size), head), size) if len(anchor) else np.zeros(0, bool)
-        yield pa.RecordBatch.from_arrays([pa.array(pos[differ]), pa.array(more[differ]), pa.array(anchor[differ])], names=names)
+            if len(levels) > OPEN:
+                yield from settled(levels, levels.done())
+        yield from settled(levels, levels.all())
 
-    return entries.repartition(partitions(entries.sparkSession), "key").mapInArrow(settle, "pos long, more int, anchor long")
+    entries = entries.repartition(partitions(entries.sparkSession), "key").sortWithinPartitions("anchor")
+    return entries.mapInArrow(settle, "pos long, more int, anchor long")
 
 
 def by_text(rows: DataFrame, docs: DataFrame, how: str) -> DataFrame:
@@ -235,15 +253,17 @@ def _compared(batches: Iterator[pa.RecordBatch], width: int, shift: int) -> Iter
     """Repeats among the windows of blocks that come with their bytes, all of an anchor in one task."""
     levels = Levels(shift)
     for batch in batches:
-        for rows, data, at in pieces(iter([batch]), "content", 1 << 20):
+        for rows, data, at in pieces(iter([batch]), "content"):
             n = np.diff(at) - width + 1
             block = np.repeat(np.arange(len(rows)), n)
             window = np.arange(len(block)) - np.repeat(np.cumsum(n) - n, n)
             start = at[block] + window
             levels.add(rows.column("anchor").to_numpy()[block], signed(Spans(data).of(start, start + width)), rows.column("pos").to_numpy()[block] + window, np.zeros(len(block), np.int32))
+            if len(levels) > OPEN:
+                levels.done()
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in levels.taken()], names=["pos", "more"])
     levels.all()
-    pos, more = levels.taken()
-    yield pa.RecordBatch.from_arrays([pa.array(pos), pa.array(more)], names=["pos", "more"])
+    yield pa.RecordBatch.from_arrays([pa.array(x) for x in levels.taken()], names=["pos", "more"])
 
 
 def repeats(entries: DataFrame, docs: DataFrame, symbols: Symbols, width: int, scratch: Scratch, shift: int = 0) -> DataFrame:
@@ -259,7 +279,7 @@ def repeats(entries: DataFrame, docs: DataFrame, symbols: Symbols, width: int, s
         often = scratch.table(wide.groupBy("anchor").count().where(F.col("count") > TOGETHER).select("anchor"), "often")
         few = by_text(wide.join(often, "anchor", "left_anti"), docs, "inner").select("ord", "text", "runs")
         blocks = few.mapInArrow(lambda b: _contents(b, width), "anchor long, pos long, content binary")
-        blocks = blocks.repartition(partitions(docs.sparkSession), "anchor")
+        blocks = blocks.repartition(partitions(docs.sparkSession), "anchor").sortWithinPartitions("anchor")
         found = found.unionByName(blocks.mapInArrow(lambda b: _compared(b, width, shift), "pos long, more int"))
         wide = wide.join(often, "anchor", "left_semi") if often.head(1) else None
     if wide is not None:
