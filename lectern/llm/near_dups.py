@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm._common import LOWER, NOT_SPACE, Scratch, Spans, marked, mix, ordered, partitions, pieces, signed, words
@@ -32,13 +32,17 @@ from lectern.llm.components import components
 
 GRAM, SHARE = 5, 75  # words in a shingle; least similarity in hundredths
 ORDERS = 3
-COUNTERS, ROW = 1 << 22, 1 << 14  # counters of shingles, and those in one row of them
+COUNTERS, ROW = 1 << 23, 1 << 14  # counters of shingles, and those in one row of them
 HELD = 1 << 21
 PORTION = 1000  # documents compared with one in one go
 BLOCK = 4000  # members of a posting that are looked at together
 _STEP = np.array([mix(np.array([7919 * i + 1], np.uint64))[0] for i in range(ORDERS)])
 
 
+def _counter(prints: np.ndarray) -> np.ndarray:
+    return (prints >> np.uint64(64 - (COUNTERS - 1).bit_length())).astype(np.int64)
+
+
 def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of all texts, sorted by text and fingerprint, and where each text's start and end."""
     low = LOWER[data]
@@ -62,7 +66,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counters = np.zeros(COUNTERS, np.uint32)
     for rows, data, at in pieces(batches):
         prints, at = shingles(data, at)
-        counters += np.bincount((prints >> np.uint64(42)).astype(np.int64), minlength=COUNTERS).astype(np.uint32)
+        np.add.at(counters, _counter(prints), 1)
         sums = [np.append(np.uint64(0), np.cumsum(x))[at] for x in (mix(prints ^ np.uint64(0x5DEECE66D)), mix(prints + np.uint64(0xB5297A4D)))]
         k = len(rows)
         yield pa.RecordBatch.from_arrays([rows.column("ord"), rows.column("doc_id"), pa.array(np.diff(at)), *(pa.array(signed(s[1:] - s[:-1])) for s in sums), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
@@ -95,7 +99,7 @@ def prefixes(prints: np.ndarray, at: np.ndarray, levels: np.ndarray, order: int)
     n = np.diff(at)
     size = np.where(n > 0, n - -(-SHARE * n // 100) + 1, 0)
     doc = np.repeat(np.arange(len(n)), n)
-    by = np.lexsort((mix(prints ^ _STEP[order]), levels[(prints >> np.uint64(42)).astype(np.int64)], doc))
+    by = np.lexsort((mix(prints ^ _STEP[order]), levels[_counter(prints)], doc))
     place = np.arange(len(prints)) - at[doc]
     inside = place < size[doc]
     return doc[inside], prints[by][inside], place[inside]
@@ -106,6 +110,14 @@ def _least_common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return -(-SHARE * (a + b) // (100 + SHARE))
 
 
+def _heads(at: np.ndarray, new: np.ndarray, order: np.ndarray, n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """For sorted postings that begin at `at`: the member to compare with first, -1 for the head itself and where the bounds rule it out."""
+    size = np.diff(np.append(at, len(order)))
+    spread = lambda x: np.repeat(x[at], size)
+    could = np.minimum(n - place, spread(n) - spread(place)) >= _least_common(n, spread(n))
+    return np.where(new | ~could, -1, spread(order))
+
+
 def _postings(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]:
     """Prefixes under the first order. Of a task's own postings the head is dealt by shingle, the others evenly with the head named."""
     held: list[list[np.ndarray]] = []
@@ -119,7 +131,7 @@ def _postings(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatc
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(new)))
         key = np.where(new, shingle, signed(mix((order * 31 + place).astype(np.uint64))))
-        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(shingle), pa.array(order), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(np.where(new, -1, np.repeat(order[at], size))), pa.array(new & (np.repeat(size, size) > 1))], names=["key", "shingle", "ord", "n", "place", "head", "many"])
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(shingle), pa.array(order), pa.array(n.astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(_heads(at, new, order, n, place)), pa.array(new), pa.array(new & (np.repeat(size, size) > 1))], names=["key", "shingle", "ord", "n", "place", "head", "top", "many"])
 
     for batch, data, at in pieces(batches):
         prints, at = shingles(data, at)
@@ -134,14 +146,14 @@ def _postings(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatc
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of two members or more; `head`: the member to compare with first, -1 for the head itself."""
+    """Postings of two members or more, with heads as in _heads."""
     names = ["shingle", "ord", "n", "place", "head"]
     heads: list[list[np.ndarray]] = []
     for batch in batches:
-        head = batch.column("head").to_numpy()
-        rest = batch.filter(pa.array(head >= 0))
+        top = batch.column("top").to_numpy(zero_copy_only=False)
+        rest = batch.filter(pa.array(~top))
         yield pa.RecordBatch.from_arrays([rest.column(c) for c in names], names=names)
-        heads.append([batch.column(c).to_numpy(zero_copy_only=False)[head < 0] for c in ("shingle", "ord", "n", "place", "many")])
+        heads.append([batch.column(c).to_numpy(zero_copy_only=False)[top] for c in ("shingle", "ord", "n", "place", "many")])
     if heads:
         shingle, order, n, place, many = (np.concatenate(x) for x in zip(*heads, strict=True))
         by = np.lexsort((order, place, shingle))
@@ -150,7 +162,7 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(new)))
         keep = (np.repeat(size, size) > 1) | many
-        head = np.where(new, -1, np.repeat(order[at], size))
+        head = _heads(at, new, order, n, place)
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (shingle, order, n, place, head)], names=names)
 
 
@@ -256,18 +268,21 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, in_order: b
     sent = spark.sparkContext.broadcast(levels.tobytes())
 
     sets = rows.where("ord is not null").drop("row", "counters")
-    classes = sets.where("n > 0").groupBy("n", "name1", "name2").agg(F.min("ord").alias("rep"))
+    classes = scratch.table(sets.where("n > 0").groupBy("n", "name1", "name2").agg(F.min("ord").alias("rep")), "classes")
     members = scratch.table(sets.join(classes, ["n", "name1", "name2"], "left").select("ord", "doc_id", "n", F.coalesce("rep", "ord").alias("rep")), "members")
     reps = members.where("n > 0 and ord = rep").select("ord")
     texts = docs.select("ord", "text")
     copies = members.where("ord <> rep").select("ord")
     # texts that aren't a copy of an earlier one's set; a few copies may stay where numbers share a bit
     single = marked(texts, reps).where("hit").drop("hit") if copies.head(1) else texts
-    postings = single.mapInArrow(lambda b: _postings(b, sent), "key long, shingle long, ord long, n int, place int, head long, many boolean")
+    postings = single.mapInArrow(lambda b: _postings(b, sent), "key long, shingle long, ord long, n int, place int, head long, top boolean, many boolean")
     postings = postings.repartition(n_parts, "key").mapInArrow(_joined, "shingle long, ord long, n int, place int, head long")
     postings = scratch.table(postings, "postings")
 
-    links = linked(postings.where("head >= 0 and head <> ord").select(F.col("ord").alias("a"), F.col("head").alias("b")), texts, sent, scratch, "first")
+    # of the heads that a document meets, the two that it shares most prefix shingles with; the second round has all others
+    met = postings.where("head >= 0").groupBy("ord", "head").agg(F.count(F.lit(1)).alias("shared"))
+    met = met.withColumn("nth", F.row_number().over(Window.partitionBy("ord").orderBy(F.col("shared").desc(), "head"))).where("nth <= 2")
+    links = linked(met.select(F.col("ord").alias("a"), F.col("head").alias("b")), texts, sent, scratch, "first")
     roots = components(links, scratch, "first")
     rooted = postings.join(roots.withColumnRenamed("node", "ord"), "ord", "left").select("shingle", "ord", "n", "place", F.coalesce("root", "ord").alias("root"))
     rooted = scratch.table(rooted, "rooted")
