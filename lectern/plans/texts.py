@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import geometry as geo
 from lectern.functions import rules
 from lectern.functions import text as tx
-from lectern.operators import aggregates, ranking, windows
+from lectern.operators import aggregates, matching, ranking, windows
 from lectern.plans import bindings as b
 from lectern.streaming import logs
 
@@ -183,6 +183,16 @@ def best_sentence(spark: SparkSession, d: str) -> DataFrame:
     return out.select("conv_id", "turn", F.col("best.sentence").alias("sentence"), F.round("best.score", 6).alias("score"))
 
 
+@query("r22_quote_spans")
+def quote_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Lines of a reply that a turn's beginning matches (matching blocks have no SQL; tested by themselves)."""
+    c = b.table(spark, d, "conversations")
+    c = c.withColumn("dup", F.count(F.lit(1)).over(Window.partitionBy("conv_id", "turn"))).where("dup = 1")
+    lines = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.posexplode(F.split("text", "\n")).alias("position", "text")).withColumn("page", F.lit(1))
+    rows = c.select("conv_id", "turn", F.left("text", F.lit(120)).alias("quote")).join(lines, ["conv_id", "turn"])
+    return matching.quote_spans(rows, ["conv_id", "turn"]).where("chosen").select("conv_id", "turn", "position", "score")
+
+
 _REFS = """t AS (SELECT event_id, ['See Table ' || k || ' and fig. 2', 'Figure ' || k || ' shows it; Section 3.' || k, 'no reference', 'Compare table 3 with Table 3'][event_id % 4 + 1] AS text FROM (SELECT event_id, json_extract_string(props, '$.k') AS k FROM events))"""
 
 

@@ -10,13 +10,15 @@ QUERIES = review.QUERIES | texts.QUERIES | stores.QUERIES
 ORACLE = review.ORACLE | texts.ORACLE | stores.ORACLE
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", ORACLE)
 def test_agrees_with_sql(spark, name):
     assert rows(QUERIES[name](spark, SF).toPandas()) == rows(answer(ORACLE[name]))
 
 
-def test_every_query_has_sql():
-    assert QUERIES.keys() == ORACLE.keys()
+def test_queries_without_sql(spark):
+    assert QUERIES.keys() - ORACLE.keys() == {"r22_quote_spans"}
+    best = QUERIES["r22_quote_spans"](spark, SF).toPandas()
+    assert len(best) and best["score"].between(0, 1).all() and not best.duplicated(["conv_id", "turn", "position"]).any()
 
 
 @pytest.mark.parametrize("name", ["e20_run_summary", "a17_latency", "w7_word_windows", "r1_hybrid_ranking"])
