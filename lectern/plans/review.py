@@ -107,7 +107,7 @@ def verdict_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("r16_crowding_order", sql(f"""{_SUMMARISED}, s AS (SELECT paper_id, others, (CASE least(others, 7) WHEN 0 THEN 0.15 WHEN 1 THEN 0.75 WHEN 2 THEN 1.0 WHEN 3 THEN 0.95 WHEN 4 THEN 0.75 WHEN 5 THEN 0.55 WHEN 6 THEN 0.35 ELSE 0.10 END)::DOUBLE AS crowding FROM summarised)
-    SELECT *, row_number() OVER (PARTITION BY crowding ORDER BY paper_id) AS place_in_tie FROM s""", "papers", "comments", "verifications"))
+    SELECT *, CAST(row_number() OVER (PARTITION BY crowding ORDER BY paper_id) AS INT) AS place_in_tie FROM s""", "papers", "comments", "verifications"))
 def crowding_order(spark: SparkSession, d: str) -> DataFrame:
     """Crowding scores, and the stable order within equal ones."""
     s = summarised(spark, d).select("paper_id", "others", rules.crowding_score(F.col("others")).alias("crowding"))
@@ -252,7 +252,7 @@ def table_counts(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@query("a22_top_refuted", sql("SELECT review_id, claim_id, confidence, n FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY confidence DESC, claim_id, position, tie) AS n FROM verifications WHERE verdict = 'refuted') WHERE n <= 3", "verifications"))
+@query("a22_top_refuted", sql("SELECT review_id, claim_id, confidence, CAST(n AS INT) AS n FROM (SELECT *, row_number() OVER (PARTITION BY review_id ORDER BY confidence DESC, claim_id, position, tie) AS n FROM verifications WHERE verdict = 'refuted') WHERE n <= 3", "verifications"))
 def top_refuted(spark: SparkSession, d: str) -> DataFrame:
     """The three strongest contradictions of each review."""
     w = Window.partitionBy("review_id").orderBy(F.col("confidence").desc(), "claim_id", "position", "tie")
@@ -281,7 +281,7 @@ def verification_rows(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("j6_cached_evidence", """r AS (SELECT event_id, user_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id) AS rank FROM events)
-    SELECT event_id, user_id, rank, coalesce(nullif(trim(p_name), ''), s_name, 'none') AS evidence FROM r LEFT JOIN part ON p_partkey = k * 40 LEFT JOIN supplier ON s_suppkey = k WHERE rank <= 5""".replace("r AS", "WITH r AS", 1))
+    SELECT event_id, user_id, CAST(rank AS INT) AS rank, coalesce(nullif(trim(p_name), ''), s_name, 'none') AS evidence FROM r LEFT JOIN part ON p_partkey = k * 40 LEFT JOIN supplier ON s_suppkey = k WHERE rank <= 5""".replace("r AS", "WITH r AS", 1))
 def cached_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Ranked rows with two lookups and a fallback between them."""
     r = b.table(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
@@ -297,7 +297,7 @@ def partial_upsert(spark: SparkSession, d: str) -> DataFrame:
     return upserts.partial_upsert(rows, ["paper_id", "author_id"], ["created_at", "thread_id", "position", "weight"], ["first_citable", "created_at"], ["weight", "is_ours"])
 
 
-@query("u17_ranked_results", sql("""SELECT claim_id, CASE WHEN verdict = 'supported' AND review_id = position THEN NULL ELSE review_id END AS object_id, row_number() OVER (PARTITION BY claim_id ORDER BY confidence DESC, position, review_id, tie) AS rank, confidence FROM verifications""", "verifications"))
+@query("u17_ranked_results", sql("""SELECT claim_id, CASE WHEN verdict = 'supported' AND review_id = position THEN NULL ELSE review_id END AS object_id, CAST(row_number() OVER (PARTITION BY claim_id ORDER BY confidence DESC, position, review_id, tie) AS INT) AS rank, confidence FROM verifications""", "verifications"))
 def ranked_results(spark: SparkSession, d: str) -> DataFrame:
     """Ranks by position in the list."""
     w = Window.partitionBy("claim_id").orderBy(F.col("confidence").desc(), "position", "review_id", "tie")
@@ -405,7 +405,7 @@ def escalations(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("r14_caps", sql("""n AS (SELECT *, row_number() OVER (PARTITION BY paper_id, verdict ORDER BY confidence DESC, claim_id, position, tie) AS of_type FROM verifications),
-    k AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY confidence DESC, claim_id, position, tie) AS rank FROM n WHERE of_type <= CASE verdict WHEN 'supported' THEN 3 WHEN 'refuted' THEN 2 ELSE 1 END) SELECT paper_id, claim_id, position, verdict, rank FROM k WHERE rank <= 5""", "verifications"))
+    k AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY confidence DESC, claim_id, position, tie) AS rank FROM n WHERE of_type <= CASE verdict WHEN 'supported' THEN 3 WHEN 'refuted' THEN 2 ELSE 1 END) SELECT paper_id, claim_id, position, verdict, CAST(rank AS INT) AS rank FROM k WHERE rank <= 5""", "verifications"))
 def caps(spark: SparkSession, d: str) -> DataFrame:
     """Caps per type, then the first five."""
     from lectern.operators.ranking import capped

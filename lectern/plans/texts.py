@@ -62,7 +62,7 @@ def context(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.array_join("context", ",").alias("context"))
 
 
-_BOXES = """boxes AS (SELECT l_orderkey AS item, l_linenumber AS part, l_partkey % 40 AS page, l_suppkey * 6.0 AS x0, l_quantity * 15.0 AS y0, l_suppkey * 6.0 + 5 + l_linenumber * 8 AS x1, l_quantity * 15.0 + 10 + l_linenumber * 4 AS y1, l_extendedprice AS tie FROM lineitem)"""
+_BOXES = """boxes AS (SELECT l_orderkey AS item, l_linenumber AS part, l_partkey % 40 AS page, CAST(l_suppkey AS DOUBLE) * 6 AS x0, l_quantity * 15.0 AS y0, CAST(l_suppkey AS DOUBLE) * 6 + 5 + l_linenumber * 8 AS x1, l_quantity * 15.0 + 10 + l_linenumber * 4 AS y1, l_extendedprice AS tie FROM lineitem)"""
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
@@ -209,7 +209,7 @@ def references(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("r5_cosine_top", """WITH q AS (SELECT vec_id, label, embedding FROM embeddings WHERE vec_id % 100 = 0), p AS (SELECT q.vec_id, e.vec_id AS other, e.label, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])), 6) AS score FROM q, embeddings e WHERE e.vec_id <> q.vec_id),
-    c AS (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY score DESC, other) AS n FROM p) SELECT vec_id, other, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other) AS rank FROM c WHERE n <= 2) WHERE rank <= 5""")
+    c AS (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY score DESC, other) AS n FROM p) SELECT vec_id, other, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other) AS rank FROM c WHERE n <= 2) WHERE rank <= 5""")
 def cosine_top(spark: SparkSession, d: str) -> DataFrame:
     """The nearest vectors of a stated query set, at most two of a label."""
     e = b.table(spark, d, "embeddings")
@@ -302,7 +302,7 @@ def steps(spark: SparkSession, d: str) -> DataFrame:
     return logs.numbered(logs.steps(lines)).select("agent", "seq", "source", "step_id", "total_prompt")
 
 
-@query("x14_interleaved", "SELECT conv_id, turn, role, text_n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text_n) AS turn_no FROM (SELECT conv_id, turn, role, length(text) AS text_n FROM conversations)")
+@query("x14_interleaved", "SELECT conv_id, turn, role, text_n, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text_n) AS INT) AS turn_no FROM (SELECT conv_id, turn, role, length(text) AS text_n FROM conversations)")
 def interleaved(spark: SparkSession, d: str) -> DataFrame:
     """Many logs, a line of each in turn."""
     c = b.table(spark, d, "conversations").select("conv_id", F.col("turn").alias("t"), "role", F.length("text").cast("long").alias("text_n"))
