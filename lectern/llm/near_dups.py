@@ -32,10 +32,11 @@ from lectern.llm.components import components
 
 GRAM, SHARE = 5, 75  # words in a shingle; least similarity in hundredths
 ORDERS = 3
-COUNTERS, ROW = 1 << 23, 1 << 14  # counters of shingles, and those in one row of them
+COUNTERS, ROW = 1 << 24, 1 << 14  # counters of shingles, and those in one row of them
 HELD = 1 << 21
 PORTION = 1000  # documents compared with one in one go
-BLOCK = 4000  # members of a posting that are looked at together
+BLOCK = 4000  # postings of one component's that are looked at together
+PARITY = 8  # 64-bit words of a set's parity bits
 _STEP = np.array([mix(np.array([7919 * i + 1], np.uint64))[0] for i in range(ORDERS)])
 
 
@@ -61,19 +62,23 @@ def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document: size and two sums that name its set; then rows of counters."""
-    names = ["ord", "doc_id", "n", "name1", "name2", "row", "counters"]
+    """A row for each document: size, two sums that name its set, and its parity bits; then rows of counters."""
+    names = ["ord", "doc_id", "n", "name1", "name2", "parity", "row", "counters"]
     counters = np.zeros(COUNTERS, np.uint32)
     for rows, data, at in pieces(batches):
         prints, at = shingles(data, at)
         np.add.at(counters, _counter(prints), 1)
         sums = [np.append(np.uint64(0), np.cumsum(x))[at] for x in (mix(prints ^ np.uint64(0x5DEECE66D)), mix(prints + np.uint64(0xB5297A4D)))]
         k = len(rows)
-        yield pa.RecordBatch.from_arrays([rows.column("ord"), rows.column("doc_id"), pa.array(np.diff(at)), *(pa.array(signed(s[1:] - s[:-1])) for s in sums), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+        bits = np.zeros(k * PARITY, np.uint64)
+        word = np.repeat(np.arange(k) * PARITY, np.diff(at)) + (prints % np.uint64(PARITY)).astype(np.int64)
+        np.bitwise_xor.at(bits, word, np.uint64(1) << (prints // np.uint64(PARITY) % np.uint64(64)))
+        parity = pa.ListArray.from_arrays(pa.array(np.arange(0, k * PARITY + 1, PARITY), pa.int32()), pa.array(signed(bits)))
+        yield pa.RecordBatch.from_arrays([rows.column("ord"), rows.column("doc_id"), pa.array(np.diff(at)), *(pa.array(signed(s[1:] - s[:-1])) for s in sums), parity, pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
     parts = counters.reshape(-1, ROW)
     some = np.flatnonzero(parts.any(1))
     k = len(some)
-    yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(5)), pa.array(some.astype(np.int32)), pa.array([zlib.compress(_small(parts[i]), 1) for i in some], pa.binary())], names=names)
+    yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(5)), pa.nulls(k, pa.list_(pa.int64())), pa.array(some.astype(np.int32)), pa.array([zlib.compress(_small(parts[i]), 1) for i in some], pa.binary())], names=names)
 
 
 def _small(x: np.ndarray) -> bytes:
@@ -167,7 +172,11 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a posting's part whose components differ, by the size and position bounds. Sorted by part."""
+    """Pairs of postings' members whose components differ, by the size and position bounds.
+
+    Sorted by part, then shingle. A part has the postings of one large component and some of its members, so a pair that
+    shares many shingles meets in one part and is named once.
+    """
     found: set[tuple[int, int]] = set()
     held: list[pa.RecordBatch] = []
 
@@ -184,13 +193,13 @@ def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not len(batch):
             continue
-        shingle, part = batch.column("shingle").to_numpy(), batch.column("part").to_numpy()
-        for run in np.split(np.arange(len(batch)), np.flatnonzero((np.diff(shingle) != 0) | (np.diff(part) != 0)) + 1):
-            key = (shingle[run[0]], part[run[0]])
+        top, part, shingle = (batch.column(c).to_numpy() for c in ("top", "part", "shingle"))
+        for run in np.split(np.arange(len(batch)), np.flatnonzero((np.diff(shingle) != 0) | (np.diff(part) != 0) | (np.diff(top) != 0)) + 1):
+            key = (top[run[0]], part[run[0]], shingle[run[0]])
             if last not in (None, key):
                 pairs()
                 held.clear()
-                if len(found) > HELD // 8:
+                if len(found) > HELD // 8 or key[:2] != last[:2] and len(found) > HELD // 32:
                     yield _pairs(found)
                     found.clear()
             last = key
@@ -238,6 +247,21 @@ def _common(x: np.ndarray, sorted_y: np.ndarray) -> int:
     return int(np.count_nonzero(sorted_y[at] == x)) if len(sorted_y) else 0
 
 
+def possible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Those pairs (a, b) whose sizes and parity bits allow a link. sets: ord, n, parity.
+
+    A bit is the parity of how many of a set's shingles fall on it, so two sets differ in at least as many shingles as bits;
+    linked sets differ in no more than their sizes less twice what they must have in common.
+    """
+    side = lambda c: sets.select(F.col("ord").alias(c), F.col("n").alias(f"n_{c}"), F.col("parity").alias(f"p_{c}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    size = F.col("n_a") + F.col("n_b")
+    least = F.ceil(SHARE * size / F.lit(100.0 + SHARE) - 1e-9)
+    apart = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, v: s + v)
+    fits = (F.least("n_a", "n_b") >= least) & (apart <= size - 2 * least)
+    return both.where(fits).drop("n_a", "n_b", "p_a", "p_b")
+
+
 def linked(pairs: DataFrame, docs: DataFrame, sent, scratch: Scratch, name: str) -> DataFrame:
     """Those pairs (a, b) that are similar enough. docs: ord, text."""
     pairs = scratch.table(pairs.distinct(), f"{name}-pairs")
@@ -260,7 +284,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, in_order: b
     scratch = scratch or Scratch(spark)
     docs = docs if in_order else ordered(docs, scratch)
     n_parts = partitions(spark)
-    rows = scratch.table(docs.mapInArrow(_sets, "ord long, doc_id long, n long, name1 long, name2 long, row int, counters binary"), "sets")
+    rows = scratch.table(docs.mapInArrow(_sets, "ord long, doc_id long, n long, name1 long, name2 long, parity array<long>, row int, counters binary"), "sets")
     levels = np.zeros((COUNTERS // ROW, ROW), np.uint8)
     added = rows.where("row is not null").select("row", "counters").repartition(min(n_parts, COUNTERS // ROW), "row").mapInArrow(_add_counters, "row int, counters binary")
     for r in added.collect():  # COUNTERS bytes
@@ -280,18 +304,22 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, in_order: b
     postings = scratch.table(postings, "postings")
 
     # of the heads that a document meets, the two that it shares most prefix shingles with; the second round has all others
-    met = postings.where("head >= 0").groupBy("ord", "head").agg(F.count(F.lit(1)).alias("shared"))
-    met = met.withColumn("nth", F.row_number().over(Window.partitionBy("ord").orderBy(F.col("shared").desc(), "head"))).where("nth <= 2")
-    links = linked(met.select(F.col("ord").alias("a"), F.col("head").alias("b")), texts, sent, scratch, "first")
+    met = possible(postings.where("head >= 0").groupBy(F.col("ord").alias("a"), F.col("head").alias("b")).agg(F.count(F.lit(1)).alias("shared")), sets)
+    met = met.withColumn("nth", F.row_number().over(Window.partitionBy("a").orderBy(F.col("shared").desc(), "b"))).where("nth <= 2")
+    links = linked(met.select("a", "b"), texts, sent, scratch, "first")
     roots = components(links, scratch, "first")
     rooted = postings.join(roots.withColumnRenamed("node", "ord"), "ord", "left").select("shingle", "ord", "n", "place", F.coalesce("root", "ord").alias("root"))
     rooted = scratch.table(rooted, "rooted")
     mixed = rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("size")).groupBy("shingle").agg(F.count(F.lit(1)).alias("roots"), F.sum("size").alias("size"), F.max(F.struct("size", "root")).alias("top"))
-    mixed = mixed.where("roots > 1").select("shingle", F.col("top.root").alias("top"), F.ceil(F.col("size") / BLOCK).alias("parts"))
+    mixed = mixed.where("roots > 1").select("shingle", F.col("top.root").alias("top"), "size")
+    parts = mixed.groupBy("top").agg(F.ceil(F.sum("size") / BLOCK).alias("parts"))
+    mixed = scratch.table(mixed.drop("size").join(parts, "top"), "mixed")
     open_rows = rooted.join(mixed, "shingle")
-    stay = open_rows.select("shingle", F.pmod(F.xxhash64("ord"), "parts").alias("part"), "ord", "n", "place", "root", F.lit(False).alias("visitor"))
-    visit = open_rows.where("root <> top").select("shingle", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "ord", "n", "place", "root", F.lit(True).alias("visitor"))
-    pairs = stay.union(visit).repartition(n_parts, "shingle", "part").sortWithinPartitions("shingle", "part").mapInArrow(_differing, "a long, b long")
+    fields = ["shingle", "ord", "n", "place", "root"]
+    stay = open_rows.select("top", F.pmod(F.xxhash64("ord"), "parts").alias("part"), *fields, F.lit(False).alias("visitor"))
+    visit = open_rows.where("root <> top").select("top", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *fields, F.lit(True).alias("visitor"))
+    pairs = stay.union(visit).repartition(n_parts, "top", "part").sortWithinPartitions("top", "part", "shingle").mapInArrow(_differing, "a long, b long")
+    pairs = possible(scratch.table(pairs.distinct(), "differing"), sets)
     more = linked(pairs, texts, sent, scratch, "second")
     roots = components(links.union(more), scratch, "all").withColumnRenamed("node", "rep")
 
