@@ -147,5 +147,6 @@ def exact_dedup(docs: DataFrame, scratch: Scratch | None = None, block: int = BL
     rows = scratch.table(identities(docs, scratch, block), "identities")
     groups = rows.groupBy("n_blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("n_points", -F.col("ord"), "doc_id")).alias("top"))
     groups = groups.select("n_blocks", "name", "group_size", (-F.col("top.col2")).alias("keep_ord"), F.col("top.doc_id").alias("keep_id"))
+    groups = scratch.table(groups, "groups")  # a join of plain tables can be split where a group is large
     out = rows.join(groups, ["n_blocks", "name"])
     return out.select("doc_id", "keep_id", "group_size", (F.col("ord") == F.col("keep_ord")).alias("kept"), "text_sha256", "n_points", "ord")
