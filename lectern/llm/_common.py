@@ -7,6 +7,8 @@ an id are documents of their own, in the order of their texts.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -121,6 +123,13 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
+def release() -> None:
+    """Gives memory that a task no longer uses back to the system: workers stay for many tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CHUNK) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Rows in runs of about `most` bytes of text: the rows, their texts' bytes, where each text starts and ends."""
     for batch in batches:
@@ -130,6 +139,7 @@ def pieces(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = CH
             last = max(first + 1, int(np.searchsorted(at, at[first] + most, "right")) - 1)
             yield batch.slice(first, last - first), data[at[first] : at[last]], at[first : last + 1] - at[first]
             first = last
+    release()
 
 
 def _class(inside: bytes) -> np.ndarray:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm._common import LOWER, NOT_SPACE, Scratch, Spans, marked, mix, ordered, partitions, pieces, signed, words
+from lectern.llm._common import LOWER, NOT_SPACE, Scratch, Spans, marked, mix, ordered, partitions, pieces, release, signed, words
 from lectern.llm.components import components
 
 GRAM, SHARE = 5, 75  # words in a shingle; least similarity in hundredths
@@ -168,7 +168,9 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(np.append(at, len(new)))
         keep = (np.repeat(size, size) > 1) | many
         head = _heads(at, new, order, n, place)
+        heads.clear()
         yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (shingle, order, n, place, head)], names=names)
+    release()
 
 
 def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
