@@ -272,6 +272,62 @@ def test_exchange_raises_likelihood():
     assert likelihood() > start + 1000 and {classes[t] for t in (60, 61, 62)}.isdisjoint({classes[t] for t in (70, 71, 72)})
 
 
+def test_lm_moves_every_word(spark):
+    """Words with the same ending get classes of their own, however rare they are."""
+    kinds = [f"{k}{i:04d}xyz" for i in range(60) for k in ("left", "right")]
+    filler = " ".join(f"own{i}" for i in range(brown_lm.OWN + 60) for _ in range(8))
+    known = ["red often " * 2000, "one two three also four five six . " * 2000]  # frequent words in the places of either kind
+    texts = [filler, *known] + [f"red {w} " * 6 if w[0] == "l" else f"one two three {w} four five six . " * 3 for w in kinds]
+    session = spark.createDataFrame([(i, t) for i, t in zip((j for j in range(10000) if zlib.crc32(str(j).encode()) % 5 != 1), texts)], "doc_id long, text string")
+    seen = []
+    inner = brown_lm._with_classes
+
+    def record(encoded, moved, *more):
+        seen.append({r["word"]: r["class"] for r in moved.collect()})
+        return inner(encoded, moved, *more)
+
+    brown_lm._with_classes = record
+    try:
+        brown_lm.lm_scores(session).count()
+    finally:
+        brown_lm._with_classes = inner
+    low = np.frombuffer(" ".join(kinds).encode(), np.uint8)
+    starts, ends, _ = brown_lm.words(low, np.array([0, len(low)]), brown_lm.NOT_SPACE)
+    ids = dict(zip(kinds, brown_lm.signed(brown_lm.word_ids(low, starts, ends)).tolist()))
+    assert len({i & (brown_lm.SHAPES - 1) for i in ids.values()}) == 1
+    of = {k: {seen[-1][i] for w, i in ids.items() if w.startswith(k)} for k in ("left", "right")}
+    assert of["left"].isdisjoint(of["right"])
+
+
+def test_best_classes():
+    """A batched move is the best of all moves of that word by itself."""
+    n, rng = brown_lm.CLASSES, np.random.default_rng(5)
+    of = rng.integers(0, n - 1, 400)
+    tokens = rng.integers(0, 400, 20000)
+    near = of[tokens]
+    pairs = np.zeros((n, n))
+    np.add.at(pairs, (near[:-1], near[1:]), 1)
+    at = np.flatnonzero((tokens[1:-1] >= 390) & (tokens[:-2] < 390) & (tokens[2:] < 390)) + 1
+    at = at[np.argsort(tokens[at], kind="stable")]
+    to, size = brown_lm.best_classes(tokens[at] - 390, (near[at] * n + near[at - 1]) * n + near[at + 1], np.ones(len(at), np.int64), pairs, pairs.sum(1), n - 1)
+    assert size.tolist() == [int((tokens[at] == w).sum()) for w in range(390, 400)]
+    for w in range(390, 400):
+        here = at[tokens[at] == w]
+        gains = []
+        for k in range(n - 1):
+            base, total = pairs.copy(), pairs.sum(1)
+            if k == of[w]:  # a word's own share is what it would lose
+                np.subtract.at(base, (near[here - 1], k), 1)
+                np.subtract.at(base, (k, near[here + 1]), 1)
+                total[k] -= len(here)
+            more = base.copy(), total.copy()
+            np.add.at(more[0], (near[here - 1], k), 1)
+            np.add.at(more[0], (k, near[here + 1]), 1)
+            more[1][k] += len(here)
+            gains.append((brown_lm._f(more[0]) - brown_lm._f(base)).sum() - 2 * (brown_lm._f(more[1]) - brown_lm._f(total)).sum())
+        assert gains[to[w - 390]] > max(gains) - 3
+
+
 def test_quality(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
