@@ -1,7 +1,8 @@
 """Licence scans (operator 7): matching statistics against a generalised suffix automaton of licence notices.
 
 The automaton holds every run of words of all notices. Walking a document through it word by word gives, at each word,
-the longest run ending there that some notice contains. Long matches are chained: per notice, in the order of both
+the longest run ending there that some notice contains, and by the links from its state the longest one of each notice.
+Long matches that a notice doesn't go on with are chained: per notice, in the order of both
 the document and the notice, into spans of the notice that the document covers. A notice is found when a chain covers
 enough of it. Short phrases that name a licence outright are notices, too; each of their occurrences is counted.
 
@@ -131,6 +132,11 @@ class Notices:
         self.phrases: list[list[int]] = [[] for _ in self.automaton.next]
         for state in sorted(range(1, len(self.automaton.next)), key=self.automaton.length.__getitem__):
             self.phrases[state] = [*ends_at.get(state, []), *self.phrases[self.automaton.link[state]]]
+        # per state, of each notice the longest run on the path of links that it has: words at most, and its end
+        self.longest: list[dict[int, tuple[int, int]]] = [{} for _ in self.automaton.next]
+        for state in sorted(range(1, len(self.automaton.next)), key=self.automaton.length.__getitem__):
+            if (size := self.automaton.length[state]) >= LEAST:
+                self.longest[state] = self.longest[self.automaton.link[state]] | {i: (size, end) for i, end in self.automaton.ends[state].items()}
 
     @staticmethod
     def _words(text: str) -> list[bytes]:
@@ -193,10 +199,13 @@ def scan(codes: list[int], runs: list[tuple[int, int]], those: Notices) -> tuple
                 n = len(those.sequences[phrase])
                 if n <= length:
                     places.append((phrase, a + i + 1 - n))
-            # a match that can't be made longer to the right
-            if length >= LEAST and (i + 1 == len(walked) or walked[i + 1][0] <= length):
-                for notice, end in automaton.ends[state].items():
-                    matches.setdefault(notice, []).append((a + i + 1 - length, end - length, length))
+            # matches that their notice can't make longer to the right
+            if length >= LEAST:
+                after, follow = walked[i + 1] if i + 1 < len(walked) else (0, 0)
+                for notice, (most, end) in those.longest[state].items():
+                    n = min(length, most)
+                    if min(after, those.longest[follow].get(notice, (0, 0))[0]) <= n:
+                        matches.setdefault(notice, []).append((a + i + 1 - n, end - n, n))
     found = []
     for notice, own in matches.items():
         size = len(those.sequences[notice])

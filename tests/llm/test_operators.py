@@ -172,6 +172,18 @@ def test_licence_spans(spark):
     assert row["labels"] == ["bsd"] and 0.6 <= row["score"] < 1 and row["spans"][0]["first_word"] == 1
 
 
+def test_notice_that_begins_a_longer_one(spark):
+    """A short notice is found though the text goes on as a longer one, which it doesn't hold."""
+    texts = [
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.',
+        "Licensed under the Apache License, Version 2.0. The rest is ours.",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for row in licences.licences(docs).collect():
+        assert row["labels"] == ["apache"] and row["score"] == 1.0
+        assert [(s["notice_from"], s["notice_to"], s["first_word"], s["last_word"]) for s in row["spans"]] == [(0, 8, 0, 7)]
+
+
 def test_suffix_automaton():
     r = np.random.default_rng(2)
     sequences = [r.integers(1, 4, 40).tolist() for _ in range(3)]
