@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,9 @@ class Scratch:
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None)
         if not root:
-            root = tempfile.mkdtemp(prefix="lectern-")
+            if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+                raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+            root = tempfile.mkdtemp(prefix="lectern-")  # one machine only
             spark.conf.set("spark.checkpoint.dir", root)
         self.folder = f"{root.rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
@@ -180,36 +184,81 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_CODES = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
-_BASE = 0x5851F42D4C957F2B  # odd, 3 modulo 8
-_BACK = pow(_BASE, -1, 1 << 64)
-_powers: dict[int, np.ndarray] = {}
+_ODD = np.uint64(0x5851F42D4C957F2D)
+_LOW = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)  # masks of the first i bytes of eight
+#: Longer runs of bytes are fingerprinted one by one.
+_SHORT = 64
 
 
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
-        steps[0] = 1
-        have = _powers[base] = np.multiply.accumulate(steps)
-    return have[:n]
+def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """One fingerprint of two in a row."""
+    return mix(a * _ODD + b)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as little-endian numbers; zeros follow the end."""
+    padded = np.zeros(len(data) + 16, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 9, np.dtype("<u8"), padded, 0, (1,))
+
+
+def prints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit fingerprints of runs of bytes, of any length: eight bytes at a time, each step a mix of all before.
+
+    Nothing is summed over places, so that no pattern of the bytes makes two runs agree; runs of up to eight bytes and the
+    same length never do.
+    """
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * _ODD + np.uint64(0x2545F4914F6CDD1D))
+    eights, done = _eights(data), 0
+    live = np.flatnonzero((size > 0) & (size <= _SHORT))
+    while len(live):
+        left = size[live] - done
+        out[live] = mix(out[live] * _ODD ^ (eights[starts[live] + done] & _LOW[np.minimum(left, 8)]))
+        live, done = live[left > 8], done + 8
+    long = np.flatnonzero(size > _SHORT)
+    if len(long):
+        view = memoryview(np.ascontiguousarray(data))
+        out[long] = [xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(starts[long].tolist(), ends[long].tolist(), strict=True)]
+    return out
 
 
 class Spans:
-    """64-bit fingerprints of any span of a row of symbols, in constant time each."""
+    """64-bit fingerprints of spans of a row of symbols: bytes, or 64-bit names. Level k holds those of all spans of 2**k
+    symbols, each made of two of the level below; any other span is two of these that overlap, and its length."""
 
     def __init__(self, symbols: np.ndarray):
-        n = len(symbols)
-        self.sums = np.zeros(n + 1, np.uint64)
-        codes = _CODES[symbols] if symbols.dtype == np.uint8 else symbols
-        np.cumsum(codes * _power(_BASE, n), out=self.sums[1:])
+        self.n = len(symbols)
+        self.bytes = _eights(symbols) if symbols.dtype == np.uint8 else None
+        self.levels: dict[int, np.ndarray] = {} if symbols.dtype == np.uint8 else {0: mix(symbols + _ODD)}
+
+    def level(self, k: int) -> np.ndarray:
+        have = self.levels.get(k)
+        if have is None:
+            m, half = max(self.n - (1 << k) + 1, 0), 1 << k >> 1
+            if self.bytes is not None and k <= 3:
+                have = mix((self.bytes[:m] & _LOW[1 << k]) + np.uint64((k + 1) * int(_ODD) & (1 << 64) - 1))
+            else:
+                have = join(self.level(k - 1)[:m], self.level(k - 1)[half : half + m])
+            self.levels[k] = have
+        return have
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.sums[end] - self.sums[start]) * _power(_BACK, len(self.sums))[start] + (end - start).astype(np.uint64))
+        n = end - start
+        top = np.frexp(n.astype(float))[1] - 1  # the largest power of two that fits
+        out = np.zeros(len(n), np.uint64)
+        for k in np.unique(top[n > 0]).tolist():
+            here = np.flatnonzero((top == k) & (n > 0))
+            level = self.level(k)
+            out[here] = join(level[start[here]], level[end[here] - (1 << k)])
+        return mix(out + n.astype(np.uint64) * _ODD)
 
     def grams(self, k: int) -> np.ndarray:
-        n = len(self.sums) - 1
-        return mix((self.sums[k:] - self.sums[:-k]) * _power(_BACK, n - k + 1)) if n >= k else np.zeros(0, np.uint64)
+        m = self.n - k + 1
+        if m <= 0:
+            return np.zeros(0, np.uint64)
+        level, size = self.level(k.bit_length() - 1), 1 << (k.bit_length() - 1)
+        return mix(join(level[:m], level[k - size : k - size + m]) + np.uint64(k * int(_ODD) & (1 << 64) - 1))
 
 
 def signed(x: np.ndarray) -> np.ndarray:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import LOWER, NOT_SPACE, Scratch, Spans, as_binary, mix, ordered, partitions, pieces, signed, words
+from lectern.llm._common import LOWER, NOT_SPACE, Scratch, as_binary, mix, ordered, partitions, pieces, prints, signed, words
 from lectern.llm.quality import bucket
 
 OWN, SHAPES, CLASSES, ROUNDS, SENT = 8191, 4096, 48, 5, 1 << 17
@@ -44,9 +44,8 @@ _ASSIGNED = "word long, class int, n long, frequent boolean"
 
 def word_ids(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit names of words; the last 12 bits tell how the word ends."""
-    spans = Spans(low)
-    shape = spans.of(np.maximum(starts, ends - 3), ends) % np.uint64(SHAPES)
-    return (spans.of(starts, ends) & ~np.uint64(SHAPES - 1)) | shape
+    shape = prints(low, np.maximum(starts, ends - 3), ends) % np.uint64(SHAPES)
+    return (prints(low, starts, ends) & ~np.uint64(SHAPES - 1)) | shape
 
 
 #: The end's name: no word is a space.

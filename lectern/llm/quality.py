@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import NOT_SPACE, Scratch, Spans, pieces, words
+from lectern.llm._common import NOT_SPACE, Scratch, pieces, prints, words
 
 FEATURES, WIDTH, RIDGE, BINS = 192, 0.35, 1.0, 4000
 STATISTICS = (
@@ -39,11 +39,11 @@ def _among(chars: bytes) -> np.ndarray:
 _KINDS = [_among(bytes(range(65, 91))), _among(b"0123456789"), _among(b"!#$%&*+/<=>@[\\]^_`{}~"), _among(b"|"), _among(b".,;:?"), _among(b"\n"), _among(b" \t"), _among(bytes(range(128, 256)))]
 
 
-def _distinct(group: np.ndarray, prints: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+def _distinct(group: np.ndarray, names: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """For each group the number of distinct fingerprints, and how often the most frequent one occurs."""
-    by = np.lexsort((prints, group))
-    group, prints = group[by], prints[by]
-    heads = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (prints[1:] != prints[:-1]))) if len(by) else np.zeros(0, np.int64)
+    by = np.lexsort((names, group))
+    group, names = group[by], names[by]
+    heads = np.flatnonzero(np.append(True, (group[1:] != group[:-1]) | (names[1:] != names[:-1]))) if len(by) else np.zeros(0, np.int64)
     most = np.zeros(n, np.int64)
     np.maximum.at(most, group[heads], np.diff(np.append(heads, len(by))))
     return np.bincount(group[heads], minlength=n), most
@@ -63,10 +63,9 @@ def statistics_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     per = np.maximum(count, 1)
     length = (ends - starts).astype(float)
     mean = np.bincount(doc, length, n) / per
-    spans = Spans(data)
-    prints = spans.of(starts, ends)
-    distinct, most = _distinct(doc, prints, n)
-    again = (prints[1:] == prints[:-1]) & (doc[1:] == doc[:-1])
+    names = prints(data, starts, ends)
+    distinct, most = _distinct(doc, names, n)
+    again = (names[1:] == names[:-1]) & (doc[1:] == doc[:-1])
     out[:, 9] = np.log1p(count)
     out[:, 10] = mean
     out[:, 11] = np.sqrt(np.maximum(np.bincount(doc, length**2, n) / per - mean**2, 0))
@@ -79,7 +78,7 @@ def statistics_of(data: np.ndarray, at: np.ndarray) -> np.ndarray:
     is_line[10] = False
     starts, ends, first = words(data, at, is_line)
     doc = np.repeat(np.arange(n), np.diff(first))
-    out[:, 17] = _distinct(doc, spans.of(starts, ends), n)[0] / np.maximum(np.diff(first), 1)
+    out[:, 17] = _distinct(doc, prints(data, starts, ends), n)[0] / np.maximum(np.diff(first), 1)
     return out
 
 
