@@ -1,14 +1,16 @@
 """Substring dedup (operator 8): words covered by long passages that a smaller document has, too.
 
-1. Confirm: of every window of 50 words a seed of 8 is chosen by its words alone; seeds that occur in two documents or more
-   are the phrases that passages in common must hold.
-2. Compile: phrases are dealt into shards by the document that has them first, so that copies of a document need few shards.
-   A shard's phrases make one Aho-Corasick automaton over words, of bounded size.
-3. Stream: a document goes to the shards that hold phrases of it, cut into portions by document where many go to one shard;
-   a task builds the shard's automaton and streams its documents through it, which locates every occurrence.
-4. The windows around located phrases are compared exactly (`_repeats`): what a smaller document has as well goes.
-
-Documents without a recurring phrase have no window in common with any other and skip steps 3 and 4.
+1. Confirm: `_repeats` gives the runs of 50-word windows that also occur in a smaller document, and where. These places, in
+   the smaller documents, are the recurring passages.
+2. Compile: a passage's windows are phrases of an Aho-Corasick automaton. Its symbols are grams of ten words, read at every
+   tenth word, so that a phrase is five symbols long. Passages are dealt into shards by the document, and the part of it,
+   that they are first found in, which bounds an automaton's size and keeps the copies of a document together.
+3. Stream: documents are streamed through the automata of the passages that they have something of, cut into portions where
+   many go to one shard. The automaton locates every occurrence; each is compared with the passage word by word.
+4. A word goes if an occurrence covers it whose passage is from a smaller document.
+
+Documents without a recurring window have nothing that an automaton could locate and skip steps 2 and 3; of the others
+only the parts around their runs are sent.
 
 Null texts have no words. A passage that repeats only within one document stays. Null and repeated ids: see `_common`; rows
 that repeat an id count as later documents. An empty table gives an empty result.
@@ -24,100 +26,128 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import NOT_SPACE, PLACE_BITS, Scratch, Spans, as_binary, marked, ordered, partitions, pieces, signed, words
-from lectern.llm._repeats import HELD, Blocks, Levels, _rows, _ROWS, by_text, repeats, runs_of, word_symbols
+from lectern.llm._common import NOT_SPACE, PLACE_BITS, Scratch, Spans, as_binary, ordered, partitions, pieces, prints, release, words
+from lectern.llm._repeats import Kind, by_text, repeats, runs_of, word_symbols
 from lectern.llm.suffix_dedup import covered
 
 WINDOW, SEED = 50, 8
-#: Phrases of an automaton (about a hundred bytes a word of each), and documents that one building of it serves.
-SHARD, PORTION = 20_000, 1_500
-
+#: Words of a symbol of the automata.
+STRIDE = 10
+#: Phrases of an automaton (some five hundred bytes each), windows of a document that belong together, and documents that
+#: one building of an automaton serves.
+SHARD, PART, PORTION = 40_000, 4096, 2000
+_PLACE = (1 << PLACE_BITS) - 1
 
-def _codes(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, Spans, np.ndarray]:
-    """32-bit codes of all words, fingerprints of their spans, and where each text's words start and end."""
-    starts, ends, first = words(data, at, NOT_SPACE)
-    prints = Spans(data).of(starts, ends)
-    return (prints >> np.uint64(32)).astype(np.uint32), Spans(prints), first
 
-
-def _seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows, data, at in pieces(batches):
-        spans, at = word_symbols(data, at)
-        b = Blocks(spans, at, WINDOW, SEED)
-        order = np.lexsort((b.anchor, b.doc))
-        doc, seed = b.doc[order], b.anchor[order]
-        new = np.append(True, (doc[1:] != doc[:-1]) | (seed[1:] != seed[:-1]))[: len(doc)]
-        yield pa.RecordBatch.from_arrays([pa.array(signed(seed[new])), pa.array(rows.column("ord").to_numpy()[doc[new]])], names=["seed", "ord"])
+def _union(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(zip(first.tolist(), end.tolist(), strict=True)):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
 
 
 def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From documents with their phrases: the phrases' words where a document is the first to have them, and the document for each shard."""
+    """From documents with runs: the words of their passages, and of the parts that are to be streamed, for each shard."""
     for rows, data, at in pieces(batches):
-        codes, spans, first = _codes(data, at)
-        b = Blocks(spans, first, WINDOW, SEED)
-        shard: list[int] = []
-        order: list[int] = []
-        phrase: list[bytes | None] = []
-        text: list[str | None] = []
-        raw, block_at = data.tobytes(), np.searchsorted(b.doc, np.arange(len(rows) + 1))
-        for i, (number, phrases) in enumerate(zip(rows.column("ord").to_pylist(), rows.column("phrases").to_pylist(), strict=True)):
-            own = slice(block_at[i], block_at[i + 1])
-            place = dict(zip(signed(b.anchor[own]).tolist(), b.place[own].tolist(), strict=True))
-            for p in phrases:
-                if p["is_first"]:
-                    at_word = place[p["seed"]]
-                    shard.append(p["shard"])
-                    order.append(number)
-                    phrase.append(codes[at_word : at_word + SEED].astype("<u4").tobytes())
-                    text.append(None)
-            for s in sorted({p["shard"] for p in phrases}):
-                shard.append(s)
-                order.append(number)
-                phrase.append(None)
-                text.append(raw[at[i] : at[i + 1]].decode())
-        yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array(order, pa.int64()), pa.array(phrase, pa.binary()), pa.array(text, pa.string())], names=["shard", "ord", "phrase", "text"])
+        starts, ends, at_word = words(data, at, NOT_SPACE)
+        raw = data.tobytes()
+        doc, first, more, shard, source = runs_of(rows, "shard", "source")
+        order = rows.column("ord").to_pylist()
+        group = (doc * 2 + source) * (1 << 31) + shard
+        by = np.argsort(group, kind="stable")
+        out: list[tuple] = []
+        for own in np.split(by, np.flatnonzero(np.diff(group[by])) + 1) if len(by) else ():
+            d, s, is_source = int(doc[own[0]]), int(shard[own[0]]), bool(source[own[0]])
+            for a, b in _union(first[own], first[own] + more[own]):
+                text = raw[starts[at_word[d] + a] : ends[at_word[d] + b + WINDOW - 1]]
+                out.append((s, is_source, order[d], a, b" ".join(text.split())))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "source", "ord", "place", "words"])
+
+
+class Passages:
+    """The automaton of passages: of equal windows that of the smallest document is kept."""
+
+    def __init__(self, of: list[tuple[int, bytes]]):
+        self.text = np.frombuffer(b" ".join(text for _, text in of), np.uint8)
+        self.starts, self.ends, _ = words(self.text, np.array([0, len(self.text)]), NOT_SPACE)
+        spans = Spans(prints(self.text, self.starts, self.ends))
+        size = np.array([text.count(b" ") + 1 for _, text in of])
+        begin = np.cumsum(size) - size
+        n = size - WINDOW + 1
+        window = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(begin, n)
+        order = np.repeat(np.array([o for o, _ in of]), n)
+        names = spans.of(window, window + WINDOW)
+        by = np.lexsort((order, names))
+        keep = by[np.append(True, names[by][1:] != names[by][:-1])]
+        keep.sort()
+        self.window, self.order = window[keep], order[keep]
+        grams = (spans.grams(STRIDE) >> np.uint64(32)).astype(np.int64)
+        phrases = np.stack([grams[self.window + j] for j in range(0, WINDOW, STRIDE)], axis=1)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        for i, phrase in enumerate(phrases.tolist()):
+            self.automaton.add_word(tuple(phrase), i)
+        self.automaton.make_automaton()
+
+    def located(self, order: int, text: bytes) -> np.ndarray:
+        """The windows of a text, by their first words, that a passage of a smaller document has."""
+        data = np.frombuffer(text, np.uint8)
+        starts, ends, _ = words(data, np.array([0, len(data)]), NOT_SPACE)
+        grams = (Spans(prints(data, starts, ends)).grams(STRIDE) >> np.uint64(32)).astype(np.int64)
+        found = []
+        for r in range(STRIDE):
+            own = grams[r::STRIDE]
+            found += [(r + STRIDE * end, i) for end, i in self.automaton.iter(tuple(own.tolist()))] if len(own) >= WINDOW // STRIDE else []
+        if not found:
+            return np.zeros(0, np.int64)
+        last, number = np.array(found).T
+        at, window = last - (WINDOW - STRIDE), self.window[number]
+        ok = self.order[number] < order
+        by = np.argsort(at[ok], kind="stable")
+        at, window = at[ok][by], window[ok][by]
+        out = []
+        for run in np.split(np.arange(len(at)), np.flatnonzero((np.diff(at) != 1) | (np.diff(window) != 1)) + 1):
+            if len(run):
+                a, b, c, d = at[run[0]], at[run[-1]] + WINDOW - 1, window[run[0]], window[run[-1]] + WINDOW - 1
+                if text[starts[a] : ends[b]] == self.text[self.starts[c] : self.ends[d]].tobytes():
+                    out.append(at[run])
+                else:  # some windows only agree by name
+                    out += [at[[i]] for i in run if text[starts[at[i]] : ends[at[i] + WINDOW - 1]] == self.text[self.starts[window[i]] : self.ends[window[i] + WINDOW - 1]].tobytes()]
+        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted by portion, phrases first: builds each portion's automaton, then locates its phrases in the documents."""
-    levels, open_for, key, automaton = Levels(PLACE_BITS), None, None, None
+    """Sorted by portion, passages first: builds each portion's automaton, then locates its phrases in the documents' parts."""
+    open_for, sources, those = None, [], None
     for batch in batches:
-        keys = batch.column("portion").to_numpy()
-        for run in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(keys)) + 1) if len(batch) else ():
-            rows = batch.slice(run[0], len(run))
-            if open_for != keys[run[0]]:
-                open_for, key = keys[run[0]], None
-                automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-            phrases = rows.filter(rows.column("phrase").is_valid())
-            for phrase in phrases.column("phrase").to_pylist():
-                automaton.add_word(tuple(np.frombuffer(phrase, "<u4").tolist()))
-            texts = rows.filter(rows.column("phrase").is_null())
-            if not len(texts):
+        pos: list[np.ndarray] = []
+        more: list[np.ndarray] = []
+        columns = (batch.column(c).to_pylist() for c in ("portion", "source", "ord", "place", "words"))
+        for portion, source, order, place, text in zip(*columns, strict=True):
+            if portion != open_for:
+                open_for, sources, those = portion, [], None
+            if source:
+                sources.append((order, text))
                 continue
-            if key is None:
-                automaton.make_automaton()
-                key = open_for
-            for own, data, at in pieces(iter([texts])):
-                codes, spans, first = _codes(data, at)
-                located = np.zeros(len(codes), bool)
-                for i in range(len(own)):
-                    a = first[i]
-                    for end, n in automaton.iter(tuple(codes[a : first[i + 1]].tolist())):
-                        located[a + end - n + 1] = True
-                b = Blocks(spans, first, WINDOW, SEED)
-                hit = located[b.place]
-                doc, start = b.doc[hit], b.first[hit]
-                order = own.column("ord").to_numpy()[doc]
-                levels.add(signed(b.anchor[hit]), signed(b.block[hit]), (order << PLACE_BITS) | (start - first[doc]), (b.last[hit] - start).astype(np.int32))
-                if len(levels) > HELD:
-                    yield from _rows(levels, True)
-    yield from _rows(levels, True)
+            if those is None:
+                those, sources = Passages(sources), []
+            at = those.located(order, text) + place
+            if len(at):
+                heads = np.flatnonzero(np.append(True, np.diff(at) != 1))
+                pos.append((order << PLACE_BITS) | at[heads])
+                more.append(np.diff(np.append(heads, len(at))) - 1)
+        if pos:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pos)), pa.array(np.concatenate(more).astype(np.int32))], names=["pos", "more"])
+    release()
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows, data, at in pieces(batches):
         starts, ends, first = words(data, at, NOT_SPACE)
-        doc, run, more, _ = runs_of(rows)
+        doc, run, more = runs_of(rows)
         gone = covered(len(starts), first[doc] + run, first[doc] + run + more + WINDOW)
         n_removed = np.diff(np.append(0, np.cumsum(gone))[first])
         kept_doc = np.repeat(np.arange(len(rows)), np.diff(first))[~gone]
@@ -132,28 +162,33 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(first)), pa.array(n_removed), as_binary(out, text_at)], names=["doc_id", "n_words", "n_removed", "kept"])
 
 
+def located(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """pos and more of all runs of windows that a smaller document has. docs: ord, text."""
+    found = repeats(docs, Kind(word_symbols, WINDOW, SEED, (16, 4, 1), by_document=True), scratch)
+    # cut where the passage's document comes to its next part
+    place = F.col("first").bitwiseAND(_PLACE)
+    found = found.withColumn("part", F.explode(F.sequence(F.expr(f"div(first & {_PLACE}, {PART})"), F.expr(f"div((first & {_PLACE}) + more, {PART})"))))
+    skip, last = F.greatest(F.lit(0).cast("long"), F.col("part") * PART - place), F.least(F.col("more").cast("long"), (F.col("part") + 1) * PART - 1 - place)
+    found = found.select((F.col("pos") + skip).alias("pos"), (last - skip).cast("int").alias("more"), (F.col("first") + skip).alias("first"), "part")
+    found = scratch.table(found, "passages")
+    windows = found.groupBy("first").agg(F.max("more").alias("more")).agg(F.sum(F.col("more") + 1)).first()[0] or 0  # of one passage, those that begin at different places count each
+    shard = F.pmod(F.xxhash64(F.shiftright("first", PLACE_BITS), "part"), F.lit(max(1, -(-windows // SHARD)))).alias("shard")
+    streamed = found.select("pos", "more", shard, F.lit(0).alias("source"))
+    passages = found.select(F.col("first").alias("pos"), "more", shard, F.lit(1).alias("source")).distinct()
+    runs = scratch.table(streamed.union(passages), "runs")
+    dealt = by_text(runs, docs.select("ord", "text"), "inner").select("ord", "text", "runs").mapInArrow(_deal, "shard long, source boolean, ord long, place long, words binary")
+    # how many portions a shard is served in: a row for each shard
+    served = runs.where("source = 0").select(F.shiftright("pos", PLACE_BITS).alias("ord"), "shard").distinct().groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PORTION).alias("portions"))
+    dealt = dealt.join(served, "shard")
+    of = F.when(~F.col("source"), F.array(F.pmod(F.xxhash64("ord"), "portions"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1))
+    dealt = dealt.withColumn("portion_no", F.explode(of)).select((F.col("shard") * (1 << 20) + F.col("portion_no")).alias("portion"), "source", "ord", "place", "words")
+    dealt = dealt.repartition(partitions(docs.sparkSession), "portion").sortWithinPartitions("portion", F.col("source").desc())
+    return scratch.table(dealt.mapInArrow(_stream, "pos long, more int"), "located")
+
+
 def phrase_dedup(docs: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """doc_id, n_words, n_removed and kept (UTF-8: the words that stay, a space between) of each document."""
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
+    scratch = scratch or Scratch(docs.sparkSession)
     docs = ordered(docs, scratch)
-    seeds = scratch.table(docs.select("ord", "text").mapInArrow(_seeds, "seed long, ord long"), "seeds")
-    recurring = seeds.groupBy("seed").agg(F.min("ord").alias("first_ord"), F.max("ord").alias("last_ord")).where("first_ord < last_ord")
-    recurring = scratch.table(recurring.drop("last_ord"), "recurring")
-    shards = max(1, -(-recurring.count() // SHARD))
-    shard = F.pmod(F.xxhash64("first_ord"), F.lit(shards))
-    phrases = seeds.join(recurring, "seed").select("ord", F.struct("seed", shard.alias("shard"), (F.col("ord") == F.col("first_ord")).alias("is_first")).alias("p"))
-    phrases = scratch.table(phrases.groupBy("ord").agg(F.collect_list("p").alias("phrases")), "phrases")
-    wanted = marked(docs.select("ord", "text"), phrases).where("hit").drop("hit").join(phrases, "ord")
-    dealt = wanted.select("ord", "text", "phrases").mapInArrow(_deal, "shard long, ord long, phrase binary, text string")
-    # how many portions a shard is served in: a row for each shard
-    served = phrases.select("ord", F.explode(F.array_distinct("phrases.shard")).alias("shard")).groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / PORTION).alias("portions"))
-    dealt = dealt.join(served, "shard")
-    of = F.when(F.col("phrase").isNull(), F.array(F.pmod(F.xxhash64("ord"), "portions"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("portions") - 1))
-    portion = (F.col("shard") * (1 << 20) + F.col("portion_no")).alias("portion")
-    dealt = dealt.withColumn("portion_no", F.explode(of)).select(portion, "ord", "phrase", "text")
-    dealt = dealt.repartition(partitions(spark), "portion").sortWithinPartitions("portion", F.col("phrase").isNull())
-    located = dealt.mapInArrow(_stream, _ROWS)
-    found = repeats(located, docs, word_symbols, WINDOW, scratch, PLACE_BITS)
-    out = by_text(found, docs, "left").select("doc_id", "text", "runs")
+    out = by_text(located(docs, scratch), docs, "left").select("doc_id", "text", "runs")
     return out.mapInArrow(_cut, "doc_id long, n_words long, n_removed long, kept binary")

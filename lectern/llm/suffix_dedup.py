@@ -1,11 +1,10 @@
 """Suffix-array dedup (operator 2): bytes covered by long strings that also start earlier.
 
-Texts are UTF-8 bytes. Every task keeps a logarithmic index family over the suffixes it samples (`_repeats.Levels`): a
-batch of text gets a suffix array, levels of equal size are scanned together for long matches and merged. What is
-left of each task's family is dealt by the suffixes' prefixes, and each part is merged the same way, so the whole corpus
-ends as one index of which every task holds a range of prefixes. Suffixes are sampled so that each string of the given
-length holds one at a place that its own bytes decide; they are sorted by fingerprints of their prefixes instead of the
-bytes, which keeps equal prefixes together.
+Texts are UTF-8 bytes. Every task keeps a logarithmic index family over the suffixes it samples (`_repeats.Family`): each
+batch of text gets a suffix array, sorted by the suffixes' bytes, which is scanned together with the levels there are for
+equal neighbours and merged with those of like size. Suffixes are sampled so that each string of the given length holds
+one at a place that its own bytes decide. What is left of each task's family is dealt by names of its suffixes, and those
+that begin alike without being equal are cut shorter and settled the same way, down to single strings.
 
 Null texts are empty, and nothing is removed of texts shorter than the length. Null and repeated ids: see `_common`; rows
 that repeat an id count as later documents. An empty table gives an empty result.
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm._common import Scratch, as_binary, ordered, pieces
-from lectern.llm._repeats import block_entries, by_text, byte_symbols, repeats, runs_of
+from lectern.llm._repeats import Kind, by_text, byte_symbols, repeats, runs_of
 
 LENGTH, GRAM = 100, 24
 
@@ -36,7 +35,7 @@ def covered(n: int, first: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def _cut(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for rows, data, at in pieces(batches):
-        doc, first, more, _ = runs_of(rows)
+        doc, first, more = runs_of(rows)
         gone = covered(len(data), at[doc] + first, at[doc] + first + more + length)
         kept_at = np.append(0, np.cumsum(~gone))[at]
         starts = gone & ~np.append(False, gone[:-1])
@@ -56,7 +55,7 @@ def suffix_dedup(docs: DataFrame, scratch: Scratch | None = None, length: int =
     """doc_id, n_bytes, spans (first, end: the removed runs of bytes) and kept (the bytes that stay) of each document."""
     scratch = scratch or Scratch(docs.sparkSession)
     docs = ordered(docs, scratch)
-    found = repeats(block_entries(docs, byte_symbols, length, gram), docs, byte_symbols, length, scratch)
+    found = repeats(docs, Kind(byte_symbols, length, gram), scratch).select("pos", "more")
     out = by_text(found, docs, "left").select("doc_id", "text", "runs")
     return out.mapInArrow(lambda b: _cut(b, length), "doc_id long, n_bytes long, spans array<struct<first:long,end:long>>, kept binary")
 

@@ -14,7 +14,7 @@ from tokenizers import Tokenizer
 
 from lectern.llm import brown_lm, components, decontaminate, exact_dedup, licences, near_dups, packing, phrase_dedup, quality, queries, suffix_dedup, warc
 from lectern.llm._common import Scratch
-from lectern.llm._repeats import Levels
+from lectern.llm._repeats import Family, sorted_suffixes, suffix_words
 from oracle import SF, answer, rows
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
@@ -60,9 +60,9 @@ def test_exact_dedup(docs):
     assert Counter(map(tuple, got)) == Counter(want)
 
 
-def test_suffix_dedup(docs):
+def removed_by_brute_force(docs):
     seen, want = set(), Counter()
-    for i, t in in_order(collected(docs)):
+    for i, t in in_order(docs):
         b = t.encode()
         gone = bytearray(len(b))
         for p in range(len(b) - 99):
@@ -70,24 +70,58 @@ def test_suffix_dedup(docs):
             if w in seen:
                 gone[p : p + 100] = b"\1" * 100
             seen.add(w)
-        want[i, len(b), bytes(c for c, g in zip(b, gone) if not g)] += 1
-    got = Counter((r["doc_id"], r["n_bytes"], bytes(r["kept"])) for r in suffix_dedup.suffix_dedup(docs).collect())
-    assert got == want
+        spans = sum(1 for p, g in enumerate(gone) if g and (p == 0 or not gone[p - 1]))
+        want[i, len(b), sum(gone), spans, bytes(c for c, g in zip(b, gone) if not g)] += 1
+    return want
+
+
+def removed(docs):
+    out = suffix_dedup.suffix_dedup(docs).select("doc_id", "n_bytes", suffix_dedup.n_removed(), F.size("spans"), "kept")
+    return Counter((*r[:4], bytes(r[4])) for r in out.collect())
+
+
+def test_suffix_dedup(docs):
+    assert removed(docs) == removed_by_brute_force(collected(docs))
+
+
+def test_suffix_dedup_of_a_frequent_line(spark):
+    """Many documents share a line whose surroundings differ: all windows of one anchor, in different blocks."""
+    r = np.random.default_rng(4)
+    letters = lambda n: "".join(r.choice(list("abcdefgh"), n))
+    line = letters(160)
+    rows = [(i, letters(r.integers(0, 90)) + (line[k : k + 130] if (k := r.integers(0, 30)) else line) + letters(r.integers(0, 90))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    assert removed(docs) == removed_by_brute_force(rows)
+
+
+def test_sorted_suffixes():
+    r = np.random.default_rng(5)
+    data = r.integers(97, 99, 3000).astype(np.uint8)
+    data[500:900] = data[100:500]
+    start = r.integers(0, 2900, 2000)
+    size = r.integers(1, 100, 2000)
+    order, common = sorted_suffixes(suffix_words(data, start, size, 104))
+    texts = [data[a : a + n].tobytes() for a, n in zip(start[order], size[order])]
+    assert texts == sorted(texts)
+    for x, y, c in zip(texts, texts[1:], common[1:]):
+        assert (c == 14) == (x == y) and x[: 8 * min(c, 13)] == y[: 8 * min(c, 13)]
 
 
-def test_levels_merge():
+def test_family_merges_levels_of_like_size():
     r = np.random.default_rng(1)
-    levels, seen = Levels(), []
+    family, seen = Family(), []
     for _ in range(20):
-        a, b = r.integers(0, 5, 30), r.integers(0, 3, 30)
-        p = r.integers(0, 10**6, 30)
-        seen += zip(a, b, p)
-        levels.add(a, b, p, np.zeros(30, np.int32))
-        assert all(len(x[2]) > 2 * len(y[2]) for x, y in zip(levels.levels, levels.levels[1:]))
+        keys, p = r.integers(0, 5, (30, 2)).astype(np.uint64), r.integers(0, 10**6, 30)
+        seen += zip(map(tuple, keys.tolist()), p.tolist())
+        none = np.zeros(30, np.int32)
+        family.add(keys, keys[:, 0].astype(np.int64), keys[:, 1].astype(np.int64), p, none, none)
+        assert all(len(x[0]) > 2 * len(y[0]) for x, y in zip(family.levels, family.levels[1:]))
+        for rows, _ in family.levels:
+            assert list(map(tuple, rows.tolist())) == sorted(map(tuple, rows.tolist()))
     first = {}
-    for a, b, p in seen:
-        first[a, b] = min(p, first.get((a, b), p))
-    assert {(a, b): p for a, b, p, _ in zip(*levels.all())} == first
+    for key, p in seen:
+        first[key] = min(p, first.get(key, p))
+    assert {(a, b): p for a, b, p, _, _ in zip(*family.all())} == first
 
 
 def test_phrase_dedup(docs):
@@ -195,8 +229,9 @@ def test_suffix_automaton():
     text = r.integers(1, 4, 200).tolist()
     for i, (length, state) in enumerate(a.walk(text)):
         assert length == max((n for n in range(1, i + 2) if tuple(text[i + 1 - n : i + 1]) in runs), default=0)
-        for number, end in a.ends[state].items():
-            assert sequences[number][end - length : end] == text[i + 1 - length : i + 1]
+        for number, ends in a.ends[state].items():
+            want = text[i + 1 - length : i + 1]
+            assert sorted(ends) == [e for e in range(length, 41) if sequences[number][e - length : e] == want]
 
 
 def test_packing(docs):
