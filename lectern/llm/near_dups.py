@@ -27,13 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm._common import LOWER, NOT_SPACE, Scratch, Spans, marked, mix, ordered, partitions, pieces, release, signed, words
+from lectern.llm._common import LOWER, NOT_SPACE, Scratch, Spans, marked, mix, ordered, partitions, pieces, prints, release, signed, words
 from lectern.llm.components import components
 
 GRAM, SHARE = 5, 75  # words in a shingle; least similarity in hundredths
 ORDERS = 3
 COUNTERS, ROW = 1 << 23, 1 << 14  # counters of shingles, and those in one row of them
-HELD = 1 << 21
+HELD = 1 << 18  # postings that a task sorts at once
 PORTION = 1000  # documents compared with one in one go
 BLOCK = 4000  # postings of one component's that are looked at together
 PARITY = 8  # 64-bit words of a set's parity bits
@@ -48,17 +48,17 @@ def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The distinct shingles of all texts, sorted by text and fingerprint, and where each text's start and end."""
     low = LOWER[data]
     starts, ends, first = words(low, at, NOT_SPACE)
-    spans = Spans(Spans(low).of(starts, ends))
+    spans = Spans(prints(low, starts, ends))
     count = np.diff(first)
     n = np.where(count > 0, np.maximum(count - GRAM + 1, 1), 0)
     doc = np.repeat(np.arange(len(n)), n)
     start = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n) + first[doc]
-    prints = spans.of(start, np.minimum(start + GRAM, first[doc + 1]))
-    order = np.lexsort((prints, doc))
-    doc, prints = doc[order], prints[order]
-    new = np.append(True, (doc[1:] != doc[:-1]) | (prints[1:] != prints[:-1]))[: len(doc)]
-    doc, prints = doc[new], prints[new]
-    return prints, np.searchsorted(doc, np.arange(len(at)))
+    grams = spans.of(start, np.minimum(start + GRAM, first[doc + 1]))
+    order = np.lexsort((grams, doc))
+    doc, grams = doc[order], grams[order]
+    new = np.append(True, (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1]))[: len(doc)]
+    doc, grams = doc[new], grams[new]
+    return grams, np.searchsorted(doc, np.arange(len(at)))
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,25 +151,33 @@ def _postings(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatc
 
 
 def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of two members or more, with heads as in _heads."""
+    """Postings of two members or more, with heads as in _heads. Sorted by shingle: one batch and an open shingle are held."""
     names = ["shingle", "ord", "n", "place", "head"]
-    heads: list[list[np.ndarray]] = []
-    for batch in batches:
-        top = batch.column("top").to_numpy(zero_copy_only=False)
-        rest = batch.filter(pa.array(~top))
-        yield pa.RecordBatch.from_arrays([rest.column(c) for c in names], names=names)
-        heads.append([batch.column(c).to_numpy(zero_copy_only=False)[top] for c in ("shingle", "ord", "n", "place", "many")])
-    if heads:
-        shingle, order, n, place, many = (np.concatenate(x) for x in zip(*heads, strict=True))
-        by = np.lexsort((order, place, shingle))
-        shingle, order, n, place, many = shingle[by], order[by], n[by], place[by], many[by]
+    columns = ("shingle", "ord", "n", "place", "many")
+    kept = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, bool)]
+
+    def closed(rows: list[np.ndarray]) -> pa.RecordBatch:
+        by = np.lexsort((rows[1], rows[3], rows[0]))
+        shingle, order, n, place, many = (x[by] for x in rows)
         new = np.append(True, shingle[1:] != shingle[:-1])[: len(shingle)]
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(new)))
         keep = (np.repeat(size, size) > 1) | many
         head = _heads(at, new, order, n, place)
-        heads.clear()
-        yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (shingle, order, n, place, head)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (shingle, order, n, place, head)], names=names)
+
+    for batch in batches:
+        top = batch.column("top").to_numpy(zero_copy_only=False)
+        rest = batch.filter(pa.array(~top))
+        if len(rest):
+            yield pa.RecordBatch.from_arrays([rest.column(c) for c in names], names=names)
+        rows = [np.append(x, batch.column(c).to_numpy(zero_copy_only=False)[top]) for x, c in zip(kept, columns, strict=True)]
+        last = int(np.searchsorted(rows[0], rows[0][-1])) if len(rows[0]) else 0  # the last shingle may go on
+        if last:
+            yield closed([x[:last] for x in rows])
+        kept = [x[last:] for x in rows]
+    if len(kept[0]):
+        yield closed(kept)
     release()
 
 
@@ -201,7 +209,7 @@ def _differing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if last not in (None, key):
                 pairs()
                 held.clear()
-                if len(found) > HELD // 8 or key[:2] != last[:2] and len(found) > HELD // 32:
+                if len(found) > HELD or key[:2] != last[:2] and len(found) > HELD // 4:
                     yield _pairs(found)
                     found.clear()
             last = key
@@ -302,7 +310,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, in_order: b
     # texts that aren't a copy of an earlier one's set; a few copies may stay where numbers share a bit
     single = marked(texts, reps).where("hit").drop("hit") if copies.head(1) else texts
     postings = single.mapInArrow(lambda b: _postings(b, sent), "key long, shingle long, ord long, n int, place int, head long, top boolean, many boolean")
-    postings = postings.repartition(n_parts, "key").mapInArrow(_joined, "shingle long, ord long, n int, place int, head long")
+    postings = postings.repartition(n_parts, "key").sortWithinPartitions("shingle").mapInArrow(_joined, "shingle long, ord long, n int, place int, head long")
     postings = scratch.table(postings, "postings")
 
     # of the heads that a document meets, the two that it shares most prefix shingles with; the second round has all others
