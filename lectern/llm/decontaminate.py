@@ -14,16 +14,15 @@ Null texts have no words: such documents are clean and such items match nothing.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import LOWER, WORDLIKE, Spans, pieces, words
+from lectern.llm._common import LOWER, WORDLIKE, pieces, prints, words
 
 WINDOW = 13
 _HITS = "doc_id long, row long, n_words long, runs array<array<long>>, items array<string>, spans array<array<long>>"
@@ -39,7 +38,7 @@ def _item_words(text: str | None) -> list[bytes]:
 
 def _fingerprints(of: list[bytes]) -> np.ndarray:
     at = np.cumsum([0, *map(len, of)])
-    return Spans(np.frombuffer(b"".join(of), np.uint8)).of(at[:-1], at[1:])
+    return prints(np.frombuffer(b"".join(of), np.uint8), at[:-1], at[1:])
 
 
 class Items:
@@ -49,9 +48,9 @@ class Items:
         split = [(name, _item_words(text)) for name, text in items]
         vocabulary = sorted({w for _, ws in split for w in ws})
         codes = {w: i + 1 for i, w in enumerate(vocabulary)}
-        prints = _fingerprints(vocabulary)
-        self.order = np.argsort(prints)
-        self.prints = prints[self.order]
+        names = _fingerprints(vocabulary)
+        self.order = np.argsort(names)
+        self.names = names[self.order]
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
         found: dict[tuple[bytes, ...], set[str]] = {}
         for name, ws in split:
@@ -63,13 +62,10 @@ class Items:
         if found:
             self.automaton.make_automaton()
 
-    def codes(self, prints: np.ndarray) -> np.ndarray:
+    def codes(self, names: np.ndarray) -> np.ndarray:
         """The items' codes of words, 0 for words that none has."""
-        at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
-        return np.where(self.prints[at] == prints, self.order[at] + 1, 0)
-
-
-_built: dict[str, Items] = {}
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        return np.where(self.names[at] == names, self.order[at] + 1, 0)
 
 
 def _union(runs: list[list[int]]) -> list[list[int]]:
@@ -82,11 +78,8 @@ def _union(runs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _scan(batches: Iterator[pa.RecordBatch], sent, key: str, window: int) -> Iterator[pa.RecordBatch]:
-    if key not in _built:  # a worker runs many tasks
-        _built.clear()
-        _built[key] = Items(sent.value, window)
-    those = _built[key]
+def _scan(batches: Iterator[pa.RecordBatch], sent, window: int) -> Iterator[pa.RecordBatch]:
+    those = Items(sent.value, window)
     for rows, data, at in pieces(batches):
         low = LOWER[data]
         starts, ends, first = words(low, at, WORDLIKE)
@@ -95,7 +88,7 @@ def _scan(batches: Iterator[pa.RecordBatch], sent, key: str, window: int) -> Ite
         names: list[set] = [set() for _ in range(n)]
         spans: list[list] = [[] for _ in range(n)]
         if those.shortest and len(starts):
-            codes = those.codes(Spans(low).of(starts, ends))
+            codes = those.codes(prints(low, starts, ends))
             doc = np.repeat(np.arange(n), np.diff(first))
             known = codes > 0
             cut = np.empty(len(codes), bool)
@@ -125,6 +118,19 @@ def _scan(batches: Iterator[pa.RecordBatch], sent, key: str, window: int) -> Ite
         )
 
 
+def _joined(runs: str) -> Column:
+    """_union of a column of runs, in the JVM."""
+    some = F.array().cast("array<array<long>>")
+
+    def add(out: Column, r: Column) -> Column:
+        last = F.element_at(out, -1)
+        apart = (F.size(out) == 0) | (r[0] > F.try_element_at(out, F.lit(-1))[1])
+        longer = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.array(last[0], F.greatest(last[1], r[1]))))
+        return F.when(apart, F.concat(out, F.array(r))).otherwise(longer)
+
+    return F.aggregate(F.array_sort(runs), some, add)
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, most_bytes: int = 16 << 20, key: str | None = None) -> DataFrame:
     """doc_id, row, n_words, n_hit, n_items, items (sorted ids), spans (from, to in code points of the text), contaminated.
 
@@ -139,14 +145,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     for k in range(shards):
         own = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k)
         sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # most_bytes, give or take a hash's evenness
-        key = uuid.uuid4().hex
-        one = docs.mapInArrow(lambda b, sent=sent, key=key: _scan(b, sent, key, window), _HITS)
+        one = docs.mapInArrow(lambda b, sent=sent: _scan(b, sent, window), _HITS)
         hits = one if hits is None else hits.unionByName(one)
     if shards > 1:
         flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
         hits = hits.groupBy("doc_id", "row").agg(F.first("n_words").alias("n_words"), flat("runs"), flat("items"), flat("spans"))
-        join = F.udf(lambda runs: _union(runs), "array<array<long>>")
-        hits = hits.withColumns({"runs": join("runs"), "spans": join("spans"), "items": F.array_sort(F.array_distinct("items"))})
+        hits = hits.withColumns({"runs": _joined("runs"), "spans": _joined("spans"), "items": F.array_sort(F.array_distinct("items"))})
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda s, r: s + r[1] - r[0])
     out = hits.withColumn("n_hit", n_hit).withColumn("n_items", F.size("items").cast("long"))
     return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).drop("runs")

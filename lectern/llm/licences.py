@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm._common import LOWER, WORDLIKE, Spans, pieces, words
+from lectern.llm._common import LOWER, WORDLIKE, pieces, prints, words
 from lectern.llm.licence_texts import NOTICES, PHRASES
 
 #: Least words of a match that is chained; most words between two matches of a chain; least share of a notice.
@@ -33,12 +33,12 @@ _ROWS = f"doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 
 class SuffixAutomaton:
-    """All runs of symbols of several sequences. ends[state]: for some sequences the end of one occurrence."""
+    """All runs of symbols of several sequences. ends[state]: by sequence, the ends of all its occurrences."""
 
     def __init__(self) -> None:
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        self.ends: list[dict[int, int]] = [{}]
+        self.ends: list[dict[int, list[int]]] = [{}]
 
     def _state(self, length: int, follow: dict[int, int], link: int) -> int:
         self.next.append(follow)
@@ -85,11 +85,11 @@ class SuffixAutomaton:
             last = 0
             for end, symbol in enumerate(added[number], 1):
                 last = self.next[last][symbol]
-                self.ends[last].setdefault(number, end)
+                self.ends[last].setdefault(number, []).append(end)
         for state in sorted(range(1, len(self.next)), key=lambda s: -self.length[s]):
             if (up := self.link[state]) > 0:
-                for number, end in self.ends[state].items():
-                    self.ends[up].setdefault(number, end)
+                for number, ends in self.ends[state].items():
+                    self.ends[up].setdefault(number, []).extend(ends)
 
     def walk(self, symbols: list[int]) -> Iterator[tuple[int, int]]:
         """Matching statistics: after each symbol the length of the longest match that ends there, and its state."""
@@ -110,11 +110,11 @@ class Notices:
         split = [self._words(t) for t in [*phrases.values(), *(text for _, text in notices)]]
         vocabulary = sorted({w for ws in split for w in ws})
         code = {w: i + 1 for i, w in enumerate(vocabulary)}
-        prints = Spans(np.frombuffer(b"".join(vocabulary), np.uint8))
         at = np.cumsum([0, *map(len, vocabulary)])
-        prints = prints.of(at[:-1], at[1:])
-        self.order = np.argsort(prints)
-        self.prints = prints[self.order]
+        names = prints(np.frombuffer(b"".join(vocabulary), np.uint8), at[:-1], at[1:])
+        self.order = np.argsort(names)
+        self.names = names[self.order]
+        self.vocabulary = [b"", *vocabulary]
         self.sequences = [[code[w] for w in ws] for ws in split]
         self.stride = len(vocabulary) + 1
         self.pairs = np.unique([a * self.stride + b for s in self.sequences for a, b in zip(s, s[1:], strict=False)])
@@ -132,11 +132,11 @@ class Notices:
         self.phrases: list[list[int]] = [[] for _ in self.automaton.next]
         for state in sorted(range(1, len(self.automaton.next)), key=self.automaton.length.__getitem__):
             self.phrases[state] = [*ends_at.get(state, []), *self.phrases[self.automaton.link[state]]]
-        # per state, of each notice the longest run on the path of links that it has: words at most, and its end
-        self.longest: list[dict[int, tuple[int, int]]] = [{} for _ in self.automaton.next]
+        # per state, of each notice the longest run on the path of links that it has: words at most, and its ends
+        self.longest: list[dict[int, tuple[int, list[int]]]] = [{} for _ in self.automaton.next]
         for state in sorted(range(1, len(self.automaton.next)), key=self.automaton.length.__getitem__):
             if (size := self.automaton.length[state]) >= LEAST:
-                self.longest[state] = self.longest[self.automaton.link[state]] | {i: (size, end) for i, end in self.automaton.ends[state].items()}
+                self.longest[state] = self.longest[self.automaton.link[state]] | {i: (size, sorted(ends)) for i, ends in self.automaton.ends[state].items()}
 
     @staticmethod
     def _words(text: str) -> list[bytes]:
@@ -145,9 +145,15 @@ class Notices:
         raw = low.tobytes()
         return [raw[a:b] for a, b in zip(starts, ends, strict=True)]
 
-    def codes(self, prints: np.ndarray) -> np.ndarray:
-        at = np.minimum(np.searchsorted(self.prints, prints), len(self.prints) - 1)
-        return np.where(self.prints[at] == prints, self.order[at] + 1, 0)
+    def codes(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """The notices' codes of words, 0 for words that none has. Names of words find them; long words are compared themselves."""
+        names = prints(data, starts, ends)
+        at = np.minimum(np.searchsorted(self.names, names), len(self.names) - 1)
+        out = np.where(self.names[at] == names, self.order[at] + 1, 0)
+        for i in np.flatnonzero((out > 0) & (ends - starts > 8)):  # up to eight bytes the name tells all
+            if data[starts[i] : ends[i]].tobytes() != self.vocabulary[out[i]]:
+                out[i] = 0
+        return out
 
     def runs(self, codes: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Maximal runs of words in which all neighbours are a pair that some notice has."""
@@ -199,13 +205,15 @@ def scan(codes: list[int], runs: list[tuple[int, int]], those: Notices) -> tuple
                 n = len(those.sequences[phrase])
                 if n <= length:
                     places.append((phrase, a + i + 1 - n))
-            # matches that their notice can't make longer to the right
+            # matches that their notice can't make longer to the right, at each place where it has them
             if length >= LEAST:
                 after, follow = walked[i + 1] if i + 1 < len(walked) else (0, 0)
-                for notice, (most, end) in those.longest[state].items():
+                for notice, (most, ends) in those.longest[state].items():
                     n = min(length, most)
-                    if min(after, those.longest[follow].get(notice, (0, 0))[0]) <= n:
-                        matches.setdefault(notice, []).append((a + i + 1 - n, end - n, n))
+                    going = those.longest[follow].get(notice) if follow else None
+                    on = {e - 1 for e in going[1]} if going and min(after, going[0]) > n else ()
+                    own = matches.setdefault(notice, [])
+                    own += [(a + i + 1 - n, end - n, n) for end in ends if end not in on]
     found = []
     for notice, own in matches.items():
         size = len(those.sequences[notice])
@@ -230,7 +238,7 @@ def _scan(batches: Iterator[pa.RecordBatch], notices: list | None, phrases: dict
         labels: list[list[str]] = [[] for _ in range(n)]
         spans: list[list[dict]] = [[] for _ in range(n)]
         if len(starts) > 1:
-            codes = those.codes(Spans(low).of(starts, ends))
+            codes = those.codes(low, starts, ends)
             doc = np.repeat(np.arange(n), np.diff(first))
             heads, tails = those.runs(codes, doc)
             of = doc[heads] if len(heads) else heads

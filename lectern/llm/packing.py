@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm._common import Scratch, pieces
+from lectern.llm._common import NOT_SPACE, Scratch, pieces
 
 SIZE, END = 1024, 2
 _PIECES = "doc_id long, piece int, start long, length int, ids binary, part int, local long"
 #: The split that byte-level BPE vocabularies of this kind are made with.
 _SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Bytes of white space, or of anything else, in a row from which `tokenizers` does the work: tiktoken gives up on such runs.
+_LONG_RUN = 50_000
 _PROBE = "It's  a probe:\n\tÉtat, straße 123 — œuvre　…  'll 漢字 \U0001f600\n\n  end "
 
 
@@ -40,7 +41,11 @@ def _byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-@lru_cache(2)
+def _longest_run(text: str) -> int:
+    space = ~NOT_SPACE[np.frombuffer(text.encode(), np.uint8)]
+    return int(np.diff(np.flatnonzero(np.concatenate([[True], space[1:] != space[:-1], [True]]))).max())
+
+
 def encoder(path: str) -> Callable[[str], np.ndarray]:
     """Text to the ids that `tokenizers` gives with the file at path, without special tokens added.
 
@@ -49,8 +54,13 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
     """
     from tokenizers import Tokenizer
 
-    slow = Tokenizer.from_file(path)
-    by_slow = lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
+    slow: list = []
+
+    def by_slow(text: str) -> np.ndarray:
+        if not slow:
+            slow.append(Tokenizer.from_file(path))
+        return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.uint32)
+
     try:
         import tiktoken
 
@@ -60,13 +70,20 @@ def encoder(path: str) -> Callable[[str], np.ndarray]:
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         ranks = {bytes(letters[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         quick = tiktoken.Encoding("own", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens=special)
-        by_quick = lambda text: quick.encode_to_numpy(text, allowed_special="all")
         probe = _PROBE + "".join(special) + _PROBE
-        if np.array_equal(by_quick(probe), by_slow(probe)):
-            return by_quick
+        same = np.array_equal(quick.encode_to_numpy(probe, allowed_special="all"), by_slow(probe))
+        slow.clear()
+        if not same:
+            return by_slow
     except (ImportError, KeyError, ValueError):  # no tiktoken, or a vocabulary of another kind
-        pass
-    return by_slow
+        return by_slow
+
+    def by_quick(text: str) -> np.ndarray:
+        if len(text) > _LONG_RUN // 4 and _longest_run(text) > _LONG_RUN:
+            return by_slow(text)
+        return quick.encode_to_numpy(text, allowed_special="all")
+
+    return by_quick
 
 
 def _tokenized(batches: Iterator[pa.RecordBatch], path: str, size: int, end: int) -> Iterator[pa.RecordBatch]:

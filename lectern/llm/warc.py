@@ -29,9 +29,29 @@ RECORD = "record_id string, type string, target_uri string, date string, refers_
 DATE = "2024-01-01T00:00:00Z"
 _SCHEMA = pa.schema([(c, pa.string()) for c in ("record_id", "type", "target_uri", "date", "refers_to", "content_type")] + [("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 _BREAKS = {"p", "br", "div", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "header", "footer", "nav", "title", "blockquote", "pre", "hr"}
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*>|\Z)|<!?/?([a-zA-Z][a-zA-Z0-9]*)?[^<>]*>", re.S | re.I)
-_TITLE = re.compile(r"<title[^>]*>(.*?)</title", re.S | re.I)
-_LINK = re.compile(r"""<a\s[^>]*?href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+# No pattern goes back over what it has passed, so that broken pages take no longer than others.
+_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*+>|\Z)|<!?/?([a-zA-Z][a-zA-Z0-9]*+)?+[^<>]*+>", re.S | re.I)
+_TITLE, _TITLE_END, _ANCHOR = re.compile(r"<title\b", re.I), re.compile(r"</title\b", re.I), re.compile(r"<a\s", re.I)
+_HREF = re.compile(r"""[^>]*?\shref\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.I)
+
+
+def title_of(page: str) -> str | None:
+    """What stands between the first title tag and the next one that ends it."""
+    start = _TITLE.search(page)
+    after = page.find(">", start.end()) if start else -1
+    end = _TITLE_END.search(page, after + 1) if after >= 0 else None
+    return " ".join(html.unescape(page[after + 1 : end.start()]).split()) if end else None
+
+
+def links_of(page: str) -> list[str]:
+    """The targets of all anchors. An anchor that isn't closed ends where the next tag begins."""
+    out = []
+    for anchor in _ANCHOR.finditer(page):
+        end = page.find("<", anchor.end())
+        found = _HREF.match(page, anchor.end() - 1, end if end >= 0 else len(page))
+        if found:
+            out.append(html.unescape(next(g for g in found.groups() if g is not None)))
+    return out
 
 
 def digest(block: bytes) -> str:
@@ -93,13 +113,13 @@ def derived(source_id: str, uri: str | None, date: str | None, headers: dict[str
         page = payload.decode(charset, "replace")
     except LookupError:
         page = payload.decode("utf-8", "replace")
-    title = _TITLE.search(page)
+    title = title_of(page)
     about = [("source-status", status)] if status else []
     about += [(f"source-http-{k.lower()}", v) for k, v in http]
-    about += [(f"source-{k.lower()}", v) for k, v in headers.items() if k in ("WARC-Payload-Digest", "WARC-Block-Digest", "WARC-IP-Address", "Content-Length")]
-    if title:
-        about.append(("title", " ".join(html.unescape(title[1]).split())))
-    about += [("outlink", html.unescape(a or b or c)) for a, b, c in _LINK.findall(page)]
+    about += [(f"source-{k.lower()}", v) for k, v in headers.items() ]
+    if title is not None:
+        about.append(("title", title))
+    about += [("outlink", x) for x in links_of(page)]
     fields = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in about).encode()
     text = page_text(page).encode()
     same = {"WARC-Source-Payload-Digest": headers.get("WARC-Payload-Digest") or digest(payload)}
