@@ -191,8 +191,12 @@ _SHORT = 64
 
 
 def join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """One fingerprint of two in a row."""
-    return mix(a * _ODD + b)
+    """One fingerprint of two in a row: not a sum of them, as the high bits go into the low ones before they are multiplied."""
+    x = a * _ODD
+    x += b
+    x ^= x >> np.uint64(32)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    return x
 
 
 def _eights(data: np.ndarray) -> np.ndarray:
@@ -258,7 +262,10 @@ class Spans:
         if m <= 0:
             return np.zeros(0, np.uint64)
         level, size = self.level(k.bit_length() - 1), 1 << (k.bit_length() - 1)
-        return mix(join(level[:m], level[k - size : k - size + m]) + np.uint64(k * int(_ODD) & (1 << 64) - 1))
+        out = join(level[:m], level[k - size : k - size + m])
+        out ^= out >> np.uint64(29)
+        out *= _ODD
+        return out
 
 
 def signed(x: np.ndarray) -> np.ndarray:

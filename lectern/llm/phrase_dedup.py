@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,6 +38,7 @@ STRIDE = 10
 #: one building of an automaton serves.
 SHARD, PART, PORTION = 40_000, 4096, 2000
 _PLACE = (1 << PLACE_BITS) - 1
+_BETWEEN = (1 << 32) - 1
 
 
 def _union(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -68,13 +70,19 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["shard", "source", "ord", "place", "words"])
 
 
+def _symbols(spans: Spans) -> np.ndarray:
+    """The automaton's symbols: 32 bits of each gram's fingerprint, none of them _BETWEEN."""
+    return np.minimum(spans.grams(STRIDE) >> np.uint64(32), np.uint64(_BETWEEN - 1)).astype(np.int64)
+
+
 class Passages:
     """The automaton of passages: of equal windows that of the smallest document is kept."""
 
     def __init__(self, of: list[tuple[int, bytes]]):
-        self.text = np.frombuffer(b" ".join(text for _, text in of), np.uint8)
-        self.starts, self.ends, _ = words(self.text, np.array([0, len(self.text)]), NOT_SPACE)
-        spans = Spans(prints(self.text, self.starts, self.ends))
+        self.raw = b" ".join(text for _, text in of)
+        text = np.frombuffer(self.raw, np.uint8)
+        self.starts, self.ends, _ = words(text, np.array([0, len(text)]), NOT_SPACE)
+        spans = Spans(prints(text, self.starts, self.ends))
         size = np.array([text.count(b" ") + 1 for _, text in of])
         begin = np.cumsum(size) - size
         n = size - WINDOW + 1
@@ -85,62 +93,74 @@ class Passages:
         keep = by[np.append(True, names[by][1:] != names[by][:-1])]
         keep.sort()
         self.window, self.order = window[keep], order[keep]
-        grams = (spans.grams(STRIDE) >> np.uint64(32)).astype(np.int64)
+        grams = _symbols(spans)
         phrases = np.stack([grams[self.window + j] for j in range(0, WINDOW, STRIDE)], axis=1)
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
         for i, phrase in enumerate(phrases.tolist()):
             self.automaton.add_word(tuple(phrase), i)
         self.automaton.make_automaton()
 
-    def located(self, order: int, text: bytes) -> np.ndarray:
-        """The windows of a text, by their first words, that a passage of a smaller document has."""
-        data = np.frombuffer(text, np.uint8)
-        starts, ends, _ = words(data, np.array([0, len(data)]), NOT_SPACE)
-        grams = (Spans(prints(data, starts, ends)).grams(STRIDE) >> np.uint64(32)).astype(np.int64)
-        found = []
-        for r in range(STRIDE):
-            own = grams[r::STRIDE]
-            found += [(r + STRIDE * end, i) for end, i in self.automaton.iter(tuple(own.tolist()))] if len(own) >= WINDOW // STRIDE else []
-        if not found:
-            return np.zeros(0, np.int64)
-        last, number = np.array(found).T
-        at, window = last - (WINDOW - STRIDE), self.window[number]
-        ok = self.order[number] < order
+    def located(self, orders: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The windows of texts that a passage of a smaller document has: number of the text, and first word in it."""
+        data = b"\n".join(texts)
+        raw, data = data, np.frombuffer(data, np.uint8)
+        size = np.array([len(t) for t in texts])
+        at = np.append(0, np.cumsum(size + 1))
+        at[-1] -= 1
+        starts, ends, first = words(data, at, NOT_SPACE)
+        grams = _symbols(Spans(prints(data, starts, ends)))
+        # every text's grams in STRIDE sequences, read one after the other; a symbol that isn't a gram goes between
+        n = np.maximum(np.diff(first) - STRIDE + 1, 0)
+        text = np.repeat(np.arange(len(texts)), n)
+        k = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+        sequence = text * STRIDE + k % STRIDE
+        by = np.argsort(sequence, kind="stable")
+        cut = np.flatnonzero(np.diff(sequence[by])) + 1
+        place = np.insert((first[text] + k)[by], cut, 0)
+        symbols = np.insert(grams[first[text] + k][by], cut, _BETWEEN)
+        hits = list(self.automaton.iter(tuple(symbols.tolist()))) if len(symbols) else []
+        if not hits:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        last, number = np.array(hits).T
+        at, window = place[last] - (WINDOW - STRIDE), self.window[number]
+        of = np.searchsorted(first, at, "right") - 1
+        ok = self.order[number] < orders[of]
         by = np.argsort(at[ok], kind="stable")
-        at, window = at[ok][by], window[ok][by]
-        out = []
-        for run in np.split(np.arange(len(at)), np.flatnonzero((np.diff(at) != 1) | (np.diff(window) != 1)) + 1):
-            if len(run):
-                a, b, c, d = at[run[0]], at[run[-1]] + WINDOW - 1, window[run[0]], window[run[-1]] + WINDOW - 1
-                if text[starts[a] : ends[b]] == self.text[self.starts[c] : self.ends[d]].tobytes():
-                    out.append(at[run])
-                else:  # some windows only agree by name
-                    out += [at[[i]] for i in run if text[starts[at[i]] : ends[at[i] + WINDOW - 1]] == self.text[self.starts[window[i]] : self.ends[window[i] + WINDOW - 1]].tobytes()]
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.int64)
+        of, at, window = of[ok][by], at[ok][by], window[ok][by]
+        same = np.zeros(len(at), bool)
+        heads = np.flatnonzero(np.append(True, (np.diff(at) != 1) | (np.diff(window) != 1) | (np.diff(of) != 0)))[: len(at)]
+        tails = np.append(heads[1:], len(at))
+        ranges = zip(heads.tolist(), tails.tolist(), starts[at[heads]].tolist(), ends[at[tails - 1] + WINDOW - 1].tolist(), self.starts[window[heads]].tolist(), self.ends[window[tails - 1] + WINDOW - 1].tolist(), strict=True)
+        for i, j, a, b, c, d in ranges:
+            same[i:j] = raw[a:b] == self.raw[c:d]
+            if not same[i]:  # some windows may only agree by name
+                for x in range(i, j):
+                    same[x] = raw[starts[at[x]] : ends[at[x] + WINDOW - 1]] == self.raw[self.starts[window[x]] : self.ends[window[x] + WINDOW - 1]]
+        return of[same], (at - first[of])[same]
 
 
 def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted by portion, passages first: builds each portion's automaton, then locates its phrases in the documents' parts."""
     open_for, sources, those = None, [], None
     for batch in batches:
-        pos: list[np.ndarray] = []
-        more: list[np.ndarray] = []
-        columns = (batch.column(c).to_pylist() for c in ("portion", "source", "ord", "place", "words"))
-        for portion, source, order, place, text in zip(*columns, strict=True):
-            if portion != open_for:
-                open_for, sources, those = portion, [], None
-            if source:
-                sources.append((order, text))
-                continue
-            if those is None:
+        portions = batch.column("portion").to_numpy()
+        for run in np.split(np.arange(len(batch)), np.flatnonzero(np.diff(portions)) + 1) if len(batch) else ():
+            rows = batch.slice(int(run[0]), len(run))
+            if portions[run[0]] != open_for:
+                open_for, sources, those = portions[run[0]], [], None
+            source = rows.column("source")
+            own = rows.filter(source)
+            sources += zip(own.column("ord").to_pylist(), own.column("words").to_pylist(), strict=True)
+            others = rows.filter(pc.invert(source))
+            if len(others) and those is None:
                 those, sources = Passages(sources), []
-            at = those.located(order, text) + place
-            if len(at):
-                heads = np.flatnonzero(np.append(True, np.diff(at) != 1))
-                pos.append((order << PLACE_BITS) | at[heads])
-                more.append(np.diff(np.append(heads, len(at))) - 1)
-        if pos:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(pos)), pa.array(np.concatenate(more).astype(np.int32))], names=["pos", "more"])
+            for some, _, _ in pieces(iter([others]), "words", 1 << 18):
+                order, place = some.column("ord").to_numpy(), some.column("place").to_numpy()
+                of, at = those.located(order, some.column("words").to_pylist())
+                if len(at):
+                    pos = (order[of] << PLACE_BITS) | (place[of] + at)
+                    heads = np.flatnonzero(np.append(True, np.diff(pos) != 1))
+                    yield pa.RecordBatch.from_arrays([pa.array(pos[heads]), pa.array((np.diff(np.append(heads, len(pos))) - 1).astype(np.int32))], names=["pos", "more"])
     release()
 
 
