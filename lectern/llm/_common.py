@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import re
 import tempfile
 import uuid
@@ -50,6 +51,11 @@ class Scratch:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
         path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
+    def tidy(self) -> None:
+        """Lets Spark delete the shuffles of plans that are done with: they go once neither Python nor the JVM refers to them."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -309,5 +309,6 @@ def repeats(docs: DataFrame, kind: Kind, scratch: Scratch) -> DataFrame:
         left = marked(left.select("anchor", "pos", "more", "off", slot), shared.select(slot)).where("hit")
         left = scratch.table(left.join(shared, "anchor", "left_semi").select("pos", "more", "off"), f"open{i}")
         scratch.drop(f"settled{i}")
+        scratch.tidy()
         entries = by_text(left, docs, "inner").select("ord", "text", "runs").mapInArrow(lambda b, step=step: _split(b, kind, step), _ROWS)
     return found

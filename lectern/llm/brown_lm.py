@@ -345,7 +345,9 @@ def _with_classes(encoded: DataFrame, moved: DataFrame, classes: np.ndarray, nam
         F.sum(F.col("n") * F.log10(F.col("c") + ADD)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
         F.collect_list(F.when(F.col("class").isNotNull(), F.col("pos") * CLASSES + F.col("class"))).alias("placed"),
     )
-    joined = encoded.drop("times").join(rare, "ord", "left").na.fill({"rare_sum": 0.0, "rare_known": 0}).withColumn("placed", F.coalesce("placed", F.array().cast("array<int>")))
+    some = F.size("rare") > 0  # only texts with such words are shuffled
+    none = {"rare_sum": F.lit(0.0), "rare_known": F.lit(0).cast("long"), "placed": F.array().cast("array<int>")}
+    joined = encoded.drop("times").where(some).join(rare, "ord").unionByName(encoded.drop("times").where(~some).withColumns(none))
     narrow = ("doc_id", "held_out", "n_tokens", "known", "sum", "rare_sum", "rare_known")
     kept = narrow if last else (*narrow, "types", "others", "rare")
 
@@ -414,9 +416,9 @@ def lm_scores(docs: DataFrame, scratch: Scratch | None = None, folds: int = 5, h
     scratch.drop("vocabulary")
     texts, n_rounds = None, max(1, min(rounds, WORD_ROUNDS))
     for i in range(n_rounds):
-        spark._jvm.System.gc()  # so that shuffles of tables that are written leave the disk
+        scratch.tidy()
         moved = scratch.table(assigned(contexts(encoded if texts is None else texts, classes, sent), pairs, end, rounds > 0), f"assigned{i}")
-        spark._jvm.System.gc()
+        scratch.tidy()
         if texts is not None:
             scratch.drop(f"classes{i - 1}")
         then = scratch.table(_with_classes(encoded, moved, classes, names, i + 1 == n_rounds), f"classes{i}")

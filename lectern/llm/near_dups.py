@@ -329,6 +329,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch | None = None, in_order: b
     stay = open_rows.select("top", F.pmod(F.xxhash64("ord"), "parts").alias("part"), *fields, F.lit(False).alias("visitor"))
     visit = open_rows.where("root <> top").select("top", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), *fields, F.lit(True).alias("visitor"))
     pairs = stay.union(visit).repartition(n_parts, "top", "part").sortWithinPartitions("top", "part", "shingle").mapInArrow(_differing, "a long, b long")
+    scratch.tidy()
     pairs = possible(scratch.table(pairs.distinct(), "differing"), sets)
     more = linked(pairs, texts, sent, scratch, "second")
     roots = components(links.union(more), scratch, "all").withColumnRenamed("node", "rep")
