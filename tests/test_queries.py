@@ -2,12 +2,12 @@
 
 import pytest
 
-from lectern.plans import review, stores, texts
+from lectern.plans import audits, review, stores, texts
 
 from oracle import SF, answer, rows
 
-QUERIES = review.QUERIES | texts.QUERIES | stores.QUERIES
-ORACLE = review.ORACLE | texts.ORACLE | stores.ORACLE
+QUERIES = review.QUERIES | texts.QUERIES | stores.QUERIES | audits.QUERIES
+ORACLE = review.ORACLE | texts.ORACLE | stores.ORACLE | audits.ORACLE
 
 
 @pytest.mark.parametrize("name", ORACLE)
