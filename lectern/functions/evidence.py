@@ -30,6 +30,7 @@ INLINE = (
 )
 #: Headings, and sentences that open a paragraph.
 HEADING = r"^(?:[A-Z]\d*\.)?(?:\d+\.)*\d+\s+[A-Z]|^[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*$"
+BLOCK_HEADING = r"^(?:[A-Z]\.?\d*\.)?(?:\d+\.)*\d+\s+[A-Z]|^[A-Z]\.\d+(?:\.\d+)*\b|^Appendix\b"
 SECTION_HEADING = (
     r"(?i)^(?:\d+\.?\d*\.?\s+)?(abstract|introduction|related work|background|preliminaries|problem (statement|formulation)|notation|method(?:ology)?s?|approach|model|framework|architecture|experiment(?:s|al (setup|design|results)?)?|evaluation|results?|analysis|ablation|discussion|limitation(?:s)?|future work|conclusion(?:s)?|summary|references?|bibliography|appendix|supplementary|acknowledgments?)\b",
     r"^(?:[A-Z]\.)?(?:\d+)(?:\.\d+)*\.?\s+[A-Z]",
@@ -160,7 +161,8 @@ def prose_block(lines: Column) -> Column:
     """Lines below a caption that aren't a table's rows."""
     long = F.size(F.filter(lines, lambda x: F.length(x) > LONG_LINE))
     share = (F.size(lines) - long) / F.greatest(F.size(lines), F.lit(1))
-    return (F.size(lines) > 0) & (heading_like(F.try_element_at(lines, F.lit(1))) | (long >= 2) | (share < 0.6))
+    first = F.try_element_at(lines, F.lit(1))
+    return (F.size(lines) > 0) & (((F.length(first) <= 120) & first.rlike(BLOCK_HEADING)) | (long >= 2) | (share < 0.6))
 
 
 def table_text_reason(text: Column, caption: Column) -> Column:

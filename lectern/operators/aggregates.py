@@ -8,16 +8,31 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Parts of a key's range of values that are counted before any rows are ordered.
+BUCKETS = 4096
+
+
 def ordered_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """n, mean, upper median v[n // 2] and p95 v[max(0, int(0.95 n) - 1)] of each key's sorted values; nulls don't count.
 
-    Ranks come from a window, so no group is gathered into one array.
+    Values are counted by key and part of the key's range first; only the rows of the two parts that hold the asked places
+    are ordered, so no key is sorted or gathered whole.
     """
-    w = Window.partitionBy(*keys)
-    rows = df.where(F.col(value).isNotNull()).withColumns({"_i": F.row_number().over(w.orderBy(value)) - 1, "_n": F.count(F.lit(1)).over(w)})
-    at = lambda i: F.max(F.when(F.col("_i") == i, F.col(value)))
-    p95 = F.greatest(F.lit(0), F.floor(F.col("_n") * 95 / F.lit(100)).cast("int") - 1)
-    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias("mean"), at(F.floor(F.col("_n") / 2)).alias("median"), at(p95).alias("p95"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
+    whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    share = (F.col("_v") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+    part = F.coalesce(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)).cast("int")
+    rows = rows.join(whole, [*keys]).select(*keys, "_v", "n", part.alias("_part"))
+    counts = rows.groupBy(*keys, "n", "_part").agg(F.count(F.lit(1)).alias("_c"))
+    before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_c")
+    p95 = F.greatest(F.lit(0), F.floor(F.col("n") * 95 / F.lit(100)).cast("int") - 1)
+    places = F.array(F.struct(F.lit("median").alias("_what"), F.floor(F.col("n") / 2).alias("_at")), F.struct(F.lit("p95").alias("_what"), p95.cast("long").alias("_at")))
+    asked = counts.withColumn("_before", before).select(*keys, "_part", "_c", "_before", F.inline(places)).where((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_c")))
+    asked = asked.select(*keys, "_part", "_what", (F.col("_at") - F.col("_before")).alias("_at"))
+    near = rows.join(asked, [*keys, "_part"])
+    found = near.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_part", "_what").orderBy("_v")) - 1).where("_i = _at")
+    found = found.groupBy(*keys).agg(*(F.max(F.when(F.col("_what") == w, F.col("_v"))).alias(w) for w in ("median", "p95")))
+    return whole.drop("_low", "_high").join(found, [*keys])
 
 
 def majority(df: DataFrame, keys: Sequence[str], value: str, position: str) -> DataFrame:

@@ -8,20 +8,31 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import evidence as ev
 from lectern.functions import text as tx
 
-#: Limits of a caption: lines, characters in all and in a line, gap in line heights, shift to the side, jump in line numbers.
-LINES, CHARS, LINE_CHARS, GAP, SHIFT, JUMP = 4, 500, 260, 1.5, 40.0, 2
+#: Limits of a caption's lines, characters in all and in a line, gap in line heights, shift to the side, jump in
+#: line numbers, and how much further right a paragraph may reach.
+LINES, CHARS, LINE_CHARS, GAP, SHIFT, JUMP, WIDER = 4, 500, 260, 1.8, 24.0, 2, 80.0
 
 
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() if x and y else 0.0 for x, y in zip(a.fillna(""), b.fillna(""), strict=True)], dtype=float)
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """0.7 of the share of matching blocks plus 0.3 of the shared words, of normalised texts; 0 if one is empty."""
+def bound(a: Column, b: Column) -> Column:
+    """What similarity can't exceed: matching blocks can't be longer than the shorter text."""
+    x, y = F.length(tx.normalized(a)), F.length(tx.normalized(b))
+    return 0.7 * 2 * F.least(x, y) / F.greatest(x + y, F.lit(1)) + 0.3 * tx.jaccard(tx.normalized(a), tx.normalized(b))
+
+
+def similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """0.7 of the share of matching blocks plus 0.3 of the shared words, of normalised texts; 0 if one is empty.
+
+    Blocks are only looked for where the bound reaches least; below that, the result is smaller than least as well.
+    """
     x, y = tx.normalized(a), tx.normalized(b)
-    ratio = F.pandas_udf(_ratio, "double")(x, y)
+    ratio = F.pandas_udf(_ratio, "double")(F.when(bound(a, b) >= least, x), y)
     return F.when((x == "") | (y == ""), F.lit(0.0)).otherwise(0.7 * ratio + 0.3 * tx.jaccard(x, y))
 
 
@@ -30,7 +41,7 @@ def quote_spans(rows: DataFrame, keys: list[str], top: int = 3, least: float = 0
 
     rows: the keys of a quote, page, position, quote and text of each of its candidate spans.
     """
-    scored = rows.withColumn("score", F.round(similarity(F.col("quote"), F.col("text")), 6))
+    scored = rows.withColumn("score", F.round(similarity(F.col("quote"), F.col("text"), 0.75 * least), 6))
     by_score = Window.partitionBy(*keys).orderBy(F.col("score").desc(), "page", "position")
     near = Window.partitionBy(*keys).orderBy("page", "position")
     best = scored.withColumn("best", (F.row_number().over(by_score) <= top) & (F.col("score") >= least))
@@ -41,7 +52,6 @@ def quote_spans(rows: DataFrame, keys: list[str], top: int = 3, least: float = 0
 
 
 CAPTION = "paper_id string, page_num int, kind string, label string, number int, first_span int, n_spans int, text string, box array<double>"
-_OPENERS = ("we ", "this ", "these ", "in this ", "in the ", "the ", "however", "moreover", "our ", "to ")
 
 
 def _continues(lines: list, line) -> bool:
@@ -58,7 +68,7 @@ def _continues(lines: list, line) -> bool:
         return False
     if max(0.0, line.box[1] - last.box[3]) > GAP * max(last.box[3] - last.box[1], 1.0):
         return False
-    return not (len(lines) >= 3 and text.lower().startswith(_OPENERS))
+    return not (line.opens and (len(lines) >= 3 or line.box[2] - last.box[2] > WIDER))
 
 
 def _captions(page: pd.DataFrame) -> pd.DataFrame:
@@ -91,8 +101,7 @@ def captions(spans: DataFrame) -> DataFrame:
     """
     clean = tx.clean(F.col("text"))
     prefix = tx.caption_prefix(clean)
-    heading = (F.length(clean) <= 120) & (clean.rlike(r"^\d+(\.\d+)*\.?\s+[A-Z]") | ((F.upper(clean) == clean) & (F.length(clean) <= 60) & clean.rlike("[A-Z]")))
-    rows = spans.withColumns({"clean": clean, "kind": prefix["kind"], "label": prefix["label"], "number": prefix["number"], "is_heading": heading})
+    rows = spans.withColumns({"clean": clean, "kind": prefix["kind"], "label": prefix["label"], "number": prefix["number"], "is_heading": ev.caption_heading(clean), "opens": ev.paragraph_start(clean)})
     pages = rows.where("kind is not null").select("paper_id", "page_num").distinct()
     return rows.join(pages, ["paper_id", "page_num"], "left_semi").groupBy("paper_id", "page_num").applyInPandas(_captions, CAPTION)
 

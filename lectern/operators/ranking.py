@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 WEIGHTS = {"lexical": 0.35, "semantic": 0.45, "reference": 0.20, "prior": 0.05}
+#: Rows of a table that is sent to all tasks, at most.
+BROADCAST = 200_000
 CAPS = {"text_chunk": 3, "table": 2, "figure": 1}
 
 
@@ -20,16 +22,21 @@ def bm25(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     """claim_id, evidence_id, bm25 of all pairs of one corpus that share a word; other pairs score 0.
 
     claims: claim_id, corpus, text; evidence: evidence_id, corpus, text. Statistics are those of the corpus. A word that more
-    than half of a corpus has would weigh negatively and takes a quarter of the corpus's mean weight instead. Words
-    are counted by corpus before the claims' words are joined, so a frequent word meets the claims that ask for it only.
+    than half of a corpus has would weigh negatively and takes a quarter of the corpus's mean weight instead. Of all words only
+    the number of texts that have them is counted; how often a text has a word is counted for asked words alone.
     """
     doc = evidence.select("corpus", "evidence_id", tokens(F.col("text")).alias("ts"))
     size = doc.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("mean_size"))
-    terms = doc.select("corpus", "evidence_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("corpus", "evidence_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = terms.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df")).join(size, "corpus").withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    df = doc.select("corpus", F.explode(F.array_distinct("ts")).alias("term")).groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
+    df = df.join(size, "corpus").withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = df.groupBy("corpus").agg(F.avg("raw").alias("mean_idf"))
     idf = df.join(mean, "corpus").select("corpus", "term", "mean_size", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
     asked = claims.select("claim_id", "corpus", F.explode(tokens(F.col("text"))).alias("term")).groupBy("claim_id", "corpus", "term").agg(F.count(F.lit(1)).alias("qf"))
+    words = asked.select("corpus", "term").distinct()
+    if words.limit(BROADCAST + 1).count() <= BROADCAST:
+        words = F.broadcast(words)
+    terms = doc.select("corpus", "evidence_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(words, ["corpus", "term"], "left_semi")
+    terms = terms.groupBy("corpus", "evidence_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     hits = asked.join(idf, ["corpus", "term"]).join(terms, ["corpus", "term"])
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_size")))
     return hits.groupBy("claim_id", "evidence_id").agg(F.sum(part).alias("bm25"))
@@ -42,15 +49,19 @@ def cosine(x: Column, y: Column) -> Column:
     return F.when(nx == 0, F.lit(0.0)).otherwise(dot(x, y) / (nx * F.when(ny == 0, F.lit(1e-10)).otherwise(ny)))
 
 
-def min_max(value: Column, keys: Sequence[str]) -> Column:
-    """To 0..1 within a key; 0 where all are equal."""
-    w = Window.partitionBy(*keys)
-    low, high = F.min(value).over(w), F.max(value).over(w)
-    return F.when(high == low, F.lit(0.0)).otherwise((value - low) / (high - low))
+def scaled(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """df with the values as 0..1 within a key; 0 where all are equal. The ends are aggregates, so rows stay where they are."""
+    ends = df.groupBy(*keys).agg(*(f(v).alias(f"_{n}_{v}") for v in values for n, f in (("low", F.min), ("high", F.max))))
+    if ends.limit(BROADCAST + 1).count() <= BROADCAST:
+        ends = F.broadcast(ends)
+    out = df.join(ends, [*keys])
+    to = {v: F.when(F.col(f"_high_{v}") == F.col(f"_low_{v}"), F.lit(0.0)).otherwise((F.col(v) - F.col(f"_low_{v}")) / (F.col(f"_high_{v}") - F.col(f"_low_{v}"))) for v in values}
+    return out.withColumns(to).drop(*(f"_{n}_{v}" for v in values for n in ("low", "high")))
 
 
 def type_prior(query: Column, kind: Column) -> Column:
     q = F.lower(F.coalesce(query, F.lit("")))
+    # fixed values: words that ask for results or for methods
     results = q.rlike(r"\b(table|tab\.|figure|fig\.|ablation|baseline|compare|comparison|result|results|performance|qualitative)\b")
     methods = q.rlike(r"\b(section|method|proof|assumption|definition|theorem)\b")
     return F.when(kind.isin("table", "figure") & results, 1.0).when((kind == "text_chunk") & methods, 0.4).otherwise(0.0)
@@ -70,6 +81,6 @@ def ranked(scored: DataFrame, k: int = 5, caps: Mapping[str, int] = CAPS, digits
     scored: claim_id, evidence_id, kind, query, bm25, semantic, reference, explicit (of all candidates).
     """
     w = WEIGHTS
-    score = w["lexical"] * min_max(F.col("bm25"), ["claim_id"]) + w["semantic"] * min_max(F.col("semantic"), ["claim_id"]) + w["reference"] * F.col("reference") + w["prior"] * type_prior(F.col("query"), F.col("kind"))
-    out = scored.withColumn("score", F.round(score, digits))
+    score = w["lexical"] * F.col("bm25") + w["semantic"] * F.col("semantic") + w["reference"] * F.col("reference") + w["prior"] * type_prior(F.col("query"), F.col("kind"))
+    out = scaled(scored, ["claim_id"], ["bm25", "semantic"]).withColumn("score", F.round(score, digits))
     return capped(out, ["claim_id"], "kind", caps, [F.col("explicit").desc(), F.col("score").desc(), "evidence_id"], k)

@@ -64,3 +64,17 @@ def around(df: DataFrame, keys: Sequence[str], order: Sequence, text: str, befor
     """Texts of the rows around each row, in order, as an array."""
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(-before, after)
     return df.withColumn(name, F.collect_list(text).over(w))
+
+
+def ranked_in_parts(df: DataFrame, keys: list[str], coarse: Sequence[Column], order: Sequence[Column], name: str) -> DataFrame:
+    """df with each row's place (from 1) within its key, without bringing a key's rows together.
+
+    coarse: expressions that split a key's rows into parts, in the order of `order`; parts are counted and only their own
+    rows are ordered. Keys without a limit to their size need one that grows with them, such as an id divided by a number.
+    """
+    parts = [f"_part{i}" for i in range(len(coarse))]
+    rows = df.withColumns(dict(zip(parts, coarse, strict=True)))
+    counts = rows.groupBy(*keys, *parts).agg(F.count(F.lit(1)).alias("_n"))
+    counts = counts.select(*keys, *parts, (F.sum("_n").over(Window.partitionBy(*keys).orderBy(*parts)) - F.col("_n")).alias("_before"))
+    own = F.row_number().over(Window.partitionBy(*keys, *parts).orderBy(*order))
+    return rows.withColumn("_own", own).join(counts, [*keys, *parts]).withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).drop("_own", "_before", *parts)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import evidence as ev
 from lectern.functions import rules
 from lectern.functions import text as tx
+from lectern.operators import matching
 from lectern.plans import bindings as b
 from lectern.plans.bindings import sql
 from lectern.plans.review import _SUMMARISED, summarised
@@ -16,9 +17,11 @@ QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def query(name: str, oracle: str):
+def query(name: str, oracle: str | None = None):
     def add(f):
-        QUERIES[name], ORACLE[name] = f, oracle
+        QUERIES[name] = f
+        if oracle:
+            ORACLE[name] = oracle
         return f
 
     return add
@@ -185,7 +188,7 @@ def object_audit(spark: SparkSession, d: str) -> DataFrame:
 
 @query("p21_table_text", rf"""WITH {_OBJECTS}, t AS (SELECT *, {_CLEAN.format('text')} AS t, {_CLEAN.format('caption')} AS c, {_LINES.format('text')} AS ls FROM objects), p AS (SELECT *, len(list_filter(ls, lambda s: length(s) > 80)) AS long FROM t)
     SELECT doc_id, CASE WHEN t = '' THEN 'empty_text' WHEN length(t) < 80 THEN 'too_short' WHEN c <> '' AND t = c THEN 'identical_to_caption' WHEN NOT (contains(t, '|') OR (c <> '' AND length(t) > length(c) * 1.8)) THEN 'not_substantially_better_than_caption' END AS reason,
-        len(ls) > 0 AND ((length(ls[1]) <= 120 AND NOT regexp_matches(ls[1], '[.?!,;:]$') AND regexp_matches(ls[1], '{ev.HEADING}')) OR long >= 2 OR (len(ls) - long) / len(ls) < 0.6) AS prose_block,
+        len(ls) > 0 AND ((length(ls[1]) <= 120 AND regexp_matches(ls[1], '{ev.BLOCK_HEADING}')) OR long >= 2 OR (len(ls) - long) / len(ls) < 0.6) AS prose_block,
         coalesce(fraction > 0.3, FALSE) AS too_tall FROM p""")
 def table_text(spark: SparkSession, d: str) -> DataFrame:
     """Whether a table's recognised text is worth more than its caption."""
@@ -395,7 +398,7 @@ def objects_by_id(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "documents").join(asked(spark, d).withColumnRenamed("paper_id", "doc_id"), "doc_id", "left_semi").select("doc_id", page.alias("page"))
 
 
-_DRAFT = """draft AS (SELECT paper_id, string_agg('Claim: ' || text || chr(10) || 'Verdict: refuted (confidence ' || printf('%.2f', confidence) || ')' || chr(10) || chr(10), '' ORDER BY claim_id) AS body, count(*) AS refuted FROM claims WHERE verdict = 'refuted' AND confidence >= 0.5 GROUP BY 1)"""
+_DRAFT = """draft AS (SELECT paper_id, string_agg('Claim: ' || text || chr(10) || 'Verdict: refuted (confidence ' || printf('%d.%02d', (CAST(round(confidence * 10000) AS INT) + 50) // 10000, (CAST(round(confidence * 10000) AS INT) + 50) // 100 % 100) || ')' || chr(10) || chr(10), '' ORDER BY claim_id) AS body, count(*) AS refuted FROM claims WHERE verdict = 'refuted' AND confidence >= 0.5 GROUP BY 1)"""
 
 
 @query("s52_reactive", f"""WITH {_CLAIMS}, {_DRAFT}, g AS (SELECT paper_id, count(*) AS n_claims, count(*) FILTER (verdict <> 'supported') AS disputed FROM claims GROUP BY 1)
@@ -405,9 +408,11 @@ _DRAFT = """draft AS (SELECT paper_id, string_agg('Claim: ' || text || chr(10) |
 def reactive(spark: SparkSession, d: str) -> DataFrame:
     """A comment's claims, what was found, and the draft of a reply to it."""
     c = claims(spark, d)
-    lines = F.concat(F.lit("Claim: "), F.col("text"), F.lit("\nVerdict: refuted (confidence "), F.format_string("%.2f", F.col("confidence")), F.lit(")\n\n"))
+    parts = F.round(F.col("confidence") * 10000).cast("int") + 50  # of ten thousand, so that both engines round alike
+    sure = F.format_string("%d.%02d", F.expr("div(x, 10000)"), F.expr("div(x, 100) % 100"))
+    lines = F.concat(F.lit("Claim: "), F.col("text"), F.lit("\nVerdict: refuted (confidence "), sure, F.lit(")\n\n"))
     refuted = rules.is_contradiction(F.col("verdict")) & (F.col("confidence") >= 0.5)
-    g = c.groupBy("paper_id").agg(
+    g = c.withColumn("x", parts).groupBy("paper_id").agg(
         F.count(F.lit(1)).alias("n_claims"), F.count_if(F.col("verdict") != "supported").alias("disputed"), F.count_if(refuted).alias("refuted"),
         F.array_sort(F.collect_list(F.when(refuted, F.struct("claim_id", lines.alias("lines"))))).alias("drafts"),
     )
@@ -564,6 +569,17 @@ def export_counts(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query("w15_captions")
+def captions(spark: SparkSession, d: str) -> DataFrame:
+    """Captions of lines on pages, where each line goes on or ends them (no SQL; tested on lines by hand)."""
+    i = F.col("l_linenumber")
+    text = _pick(F.col("l_partkey"), F.concat(F.lit("Table "), F.col("l_suppkey"), F.lit(": prices")), "of all parts", "3.1 Setup", F.concat(F.lit("Fig. "), F.col("l_suppkey"), F.lit(" shows them")), "We evaluate all of them", "and more")
+    left = F.col("l_quantity") % 3 * 10.0
+    lines = b.table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*(F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_quantity")))
+    lines = lines.select(F.col("l_orderkey").cast("string").alias("paper_id"), F.lit(1).alias("page_num"), i.alias("span_index"), F.lit("").alias("section"), text.alias("text"), F.array(left, i * 12.0, left + 100, i * 12.0 + 10).alias("box"))
+    return matching.best_captions(matching.captions(lines)).select("paper_id", "label", "first_span", "n_spans", "text")
+
+
 _INVITATIONS = "['V/-/Submission', 'V/P1/-/Official_Review', 'V/P1/-/Rebuttal', 'V/P1/-/Meta_Review', 'V/P1/-/Decision'][event_id % 5 + 1]"
 
 

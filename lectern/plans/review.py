@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import rules
-from lectern.operators import aggregates, sets, upserts
+from lectern.operators import aggregates, sets, upserts, windows
 from lectern.plans import bindings as b
 from lectern.plans.bindings import NOW_SQL, sql
 
@@ -111,7 +111,7 @@ def verdict_scores(spark: SparkSession, d: str) -> DataFrame:
 def crowding_order(spark: SparkSession, d: str) -> DataFrame:
     """Crowding scores, and the stable order within equal ones."""
     s = summarised(spark, d).select("paper_id", "others", rules.crowding_score(F.col("others")).alias("crowding"))
-    return s.withColumn("place_in_tie", F.row_number().over(Window.partitionBy("crowding").orderBy("paper_id")))
+    return windows.ranked_in_parts(s, ["crowding"], [F.expr("div(paper_id, 100000)")], [F.col("paper_id")], "place_in_tie")
 
 
 @query("e17_recommendations", sql("""SELECT paper_id, review_id, count(*) AS n, CASE WHEN count(*) FILTER (verdict = 'refuted') > 0 AND max(confidence) FILTER (verdict = 'refuted') >= 0.5 THEN 'react'
@@ -157,9 +157,9 @@ def latest_experiments(spark: SparkSession, d: str) -> DataFrame:
     SELECT action_id, so_far = 1 AND action_type = 'purchase' AS live FROM d""", "actions"))
 def live_budget(spark: SparkSession, d: str) -> DataFrame:
     """At most one live action per run (a day)."""
-    w = Window.partitionBy(F.to_date("created_at")).orderBy("created_at", "action_id").rowsBetween(Window.unboundedPreceding, 0)
-    so_far = F.sum((F.col("action_type") == "purchase").cast("int")).over(w)
-    return b.actions(spark, d).select("action_id", ((so_far == 1) & (F.col("action_type") == "purchase")).alias("live"))
+    a = b.actions(spark, d).withColumn("day", F.to_date("created_at"))
+    first = a.where("action_type = 'purchase'").groupBy("day").agg(F.min_by("action_id", F.struct("created_at", "action_id")).alias("first_id"))  # a row for each day
+    return a.join(first, "day", "left").select("action_id", F.coalesce(F.col("action_id") == F.col("first_id"), F.lit(False)).alias("live"))
 
 
 @query("a1_budget_spent", sql("SELECT paper_id, round(coalesce(sum(cost) FILTER (action_type = 'purchase'), 0), 4) AS spent, count(*) FILTER (action_type = 'purchase') AS n FROM actions GROUP BY ROLLUP (paper_id)", "actions"))

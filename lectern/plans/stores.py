@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import upserts
+from lectern.operators import upserts, windows
 from lectern.plans import bindings as b
 from lectern.plans.bindings import sql
 from lectern.sources import sinks, tables
@@ -32,11 +32,11 @@ def conform(spark: SparkSession, d: str) -> DataFrame:
 @query("s11_ordered_evidence", """SELECT doc_id, lang AS paper_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY CASE WHEN n_chars % 3 = 0 THEN 0 WHEN n_chars % 3 = 1 THEN 1 ELSE 2 END, coalesce(nullif(n_chars % 7, 0), 99999), doc_id) AS INT) AS place FROM documents""")
 def ordered_evidence(spark: SparkSession, d: str) -> DataFrame:
     """Tables first, then figures, then the rest, by page."""
-    from pyspark.sql import Window
-
     kind = F.when(F.col("n_chars") % 3 == 0, 0).when(F.col("n_chars") % 3 == 1, 1).otherwise(2)
-    w = Window.partitionBy("lang").orderBy(kind, F.coalesce(F.nullif(F.col("n_chars") % 7, F.lit(0)), F.lit(99999)), "doc_id")
-    return b.table(spark, d, "documents").select("doc_id", F.col("lang").alias("paper_id"), F.row_number().over(w).alias("place"))
+    page = F.coalesce(F.nullif(F.col("n_chars") % 7, F.lit(0)), F.lit(99999))
+    docs = b.table(spark, d, "documents").select("doc_id", F.col("lang").alias("paper_id"), kind.alias("kind"), page.alias("page"))
+    out = windows.ranked_in_parts(docs, ["paper_id"], [F.col("kind"), F.col("page"), F.expr("div(doc_id, 100000)")], [F.col("doc_id")], "place")
+    return out.select("doc_id", "paper_id", "place")
 
 
 @query("s9_latest_model", sql("""m AS (SELECT arg_max(action_type, (created_at, action_id)) AS model FROM actions) SELECT paper_id, count(*) AS vectors, min(action_id) AS first_vector FROM actions WHERE action_type = (SELECT model FROM m) GROUP BY 1""", "actions"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import geometry as geo
 from lectern.functions import rules
+from lectern.functions import evidence as ev
 from lectern.functions import text as tx
 from lectern.operators import aggregates, matching, ranking, windows
 from lectern.plans import bindings as b
@@ -62,12 +63,12 @@ def context(spark: SparkSession, d: str) -> DataFrame:
     return out.select("event_id", F.array_join("context", ",").alias("context"))
 
 
-_BOXES = """boxes AS (SELECT l_orderkey AS item, l_linenumber AS part, l_partkey % 40 AS page, CAST(l_suppkey AS DOUBLE) * 6 AS x0, l_quantity * 15.0 AS y0, CAST(l_suppkey AS DOUBLE) * 6 + 5 + l_linenumber * 8 AS x1, l_quantity * 15.0 + 10 + l_linenumber * 4 AS y1, l_extendedprice AS tie FROM lineitem)"""
+_BOXES = """boxes AS (SELECT l_orderkey AS item, l_linenumber AS part, l_partkey % 3 AS page, CAST(l_suppkey AS DOUBLE) * 6 AS x0, l_quantity * 15.0 AS y0, CAST(l_suppkey AS DOUBLE) * 6 + 5 + l_linenumber * 8 AS x1, l_quantity * 15.0 + 10 + l_linenumber * 4 AS y1, l_extendedprice AS tie FROM lineitem)"""
 
 
 def boxes(spark: SparkSession, d: str) -> DataFrame:
     x0, y0, n = F.col("l_suppkey") * 6.0, F.col("l_quantity") * 15.0, F.col("l_linenumber")
-    return b.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), n.alias("part"), (F.col("l_partkey") % 40).alias("page"), F.array(x0, y0, x0 + 5 + n * 8, y0 + 10 + n * 4).alias("box"), F.col("l_extendedprice").alias("tie"))
+    return b.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("item"), n.alias("part"), (F.col("l_partkey") % 3).alias("page"), F.array(x0, y0, x0 + 5 + n * 8, y0 + 10 + n * 4).alias("box"), F.col("l_extendedprice").alias("tie"))
 
 
 @query("w20_clusters", f"""WITH {_BOXES}, r AS (SELECT *, max(x1) OVER (PARTITION BY item ORDER BY x0, x1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM boxes),
@@ -97,27 +98,27 @@ def box_audit(spark: SparkSession, d: str) -> DataFrame:
     return boxes(spark, d).groupBy(status.alias("status"), geo.confidence(F.col("part"), F.lit(2)).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("j17_nearest_box", f"""WITH {_BOXES}, a AS (SELECT * FROM boxes WHERE part = 1 AND item % 7 = 0), d AS (SELECT * FROM boxes WHERE part = 5 AND item % 3 = 0),
-    m AS (SELECT a.item, a.tie AS t, a.page, d.item AS other, sqrt(pow((a.x0 + a.x1) / 2 - (d.x0 + d.x1) / 2, 2) + pow((a.y0 + a.y1) / 2 - (d.y0 + d.y1) / 2, 2)) AS dist FROM a JOIN d ON a.page = d.page)
+@query("j17_nearest_box", f"""WITH {_BOXES}, a AS (SELECT * FROM boxes WHERE part <= 3), d AS (SELECT * FROM boxes WHERE part > 3),
+    m AS (SELECT a.item, a.tie AS t, a.page, d.tie AS other, sqrt(pow((a.x0 + a.x1) / 2 - (d.x0 + d.x1) / 2, 2) + pow((a.y0 + a.y1) / 2 - (d.y0 + d.y1) / 2, 2)) AS dist FROM a JOIN d ON a.item = d.item AND a.page = d.page)
     SELECT item, t AS tie, page, other, round(dist, 6) AS distance FROM (SELECT *, row_number() OVER (PARTITION BY item, t, page ORDER BY round(dist, 6), other) AS n FROM m) WHERE n = 1""")
 def nearest_box(spark: SparkSession, d: str) -> DataFrame:
     """The nearest detection on the same page."""
     rows = boxes(spark, d)
-    a = rows.where("part = 1 and item % 7 = 0")
-    o = rows.where("part = 5 and item % 3 = 0").select("page", F.col("item").alias("other"), F.col("box").alias("other_box"))
-    m = a.join(o, "page").withColumn("distance", F.round(geo.distance(F.col("box"), F.col("other_box")), 6))
+    a = rows.where("part <= 3")
+    o = rows.where("part > 3").select("item", "page", F.col("tie").alias("other"), F.col("box").alias("other_box"))
+    m = a.join(o, ["item", "page"]).withColumn("distance", F.round(geo.distance(F.col("box"), F.col("other_box")), 6))
     best = m.groupBy("item", "tie", "page").agg(F.min(F.struct("distance", "other")).alias("m"))
     return best.select("item", "tie", "page", F.col("m.other").alias("other"), F.col("m.distance").alias("distance"))
 
 
-@query("j18_box_overlaps", f"""WITH {_BOXES}, a AS (SELECT * FROM boxes WHERE part = 1 AND item % 7 = 0), d AS (SELECT * FROM boxes WHERE part = 5 AND item % 3 = 0)
-    SELECT a.item, a.tie, count(*) AS n, min(d.item) AS least FROM a JOIN d ON a.page = d.page AND a.x0 - 20 <= d.x1 AND d.x0 <= a.x1 + 20 AND a.y0 - 20 <= d.y1 AND d.y0 <= a.y1 + 20 GROUP BY 1, 2""")
+@query("j18_box_overlaps", f"""WITH {_BOXES}, a AS (SELECT * FROM boxes WHERE part <= 3), d AS (SELECT * FROM boxes WHERE part > 3)
+    SELECT a.item, a.tie, count(*) AS n, min(d.tie) AS least FROM a JOIN d ON a.item = d.item AND a.page = d.page AND a.x0 - 20 <= d.x1 AND d.x0 <= a.x1 + 20 AND a.y0 - 20 <= d.y1 AND d.y0 <= a.y1 + 20 GROUP BY 1, 2""")
 def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
     """Boxes that overlap on the same page."""
     rows = boxes(spark, d)
-    a = rows.where("part = 1 and item % 7 = 0")
-    o = rows.where("part = 5 and item % 3 = 0").select("page", F.col("item").alias("other"), F.col("box").alias("other_box"))
-    return a.join(o, "page").where(geo.overlaps(F.col("box"), F.col("other_box"))).groupBy("item", "tie").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("least"))
+    a = rows.where("part <= 3")
+    o = rows.where("part > 3").select("item", "page", F.col("tie").alias("other"), F.col("box").alias("other_box"))
+    return a.join(o, ["item", "page"]).where(geo.overlaps(F.col("box"), F.col("other_box"))).groupBy("item", "tie").agg(F.count(F.lit(1)).alias("n"), F.min("other").alias("least"))
 
 
 @query("w25_clean_ocr", r"""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda s: trim(regexp_replace(s, '[ \t]+', ' ', 'g'), ' ')), lambda s: s <> '') AS ls FROM documents)
@@ -185,11 +186,11 @@ def best_sentence(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r22_quote_spans")
 def quote_spans(spark: SparkSession, d: str) -> DataFrame:
-    """Lines of a reply that a turn's beginning matches (matching blocks have no SQL; tested by themselves)."""
+    """Lines of a reply that a turn matches; turns are numbered anew, as some numbers repeat (matching blocks have no SQL; tested by themselves)."""
     c = b.table(spark, d, "conversations")
-    c = c.withColumn("dup", F.count(F.lit(1)).over(Window.partitionBy("conv_id", "turn"))).where("dup = 1")
+    c = c.withColumn("turn", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", F.length("text"), F.sha2("text", 256))))
     lines = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.posexplode(F.split("text", "\n")).alias("position", "text")).withColumn("page", F.lit(1))
-    rows = c.select("conv_id", "turn", F.left("text", F.lit(120)).alias("quote")).join(lines, ["conv_id", "turn"])
+    rows = c.select("conv_id", "turn", F.col("text").alias("quote")).join(lines, ["conv_id", "turn"])
     return matching.quote_spans(rows, ["conv_id", "turn"]).where("chosen").select("conv_id", "turn", "position", "score")
 
 
@@ -225,7 +226,7 @@ def cosine_top(spark: SparkSession, d: str) -> DataFrame:
 
 
 _BM25 = """ev AS (SELECT doc_id AS evidence_id, lang AS corpus, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ts, CASE WHEN n_chars % 3 = 0 THEN 'table' WHEN n_chars % 3 = 1 THEN 'figure' ELSE 'text_chunk' END AS kind FROM documents),
-    cl AS (SELECT item_id AS claim_id, ['en', 'de', 'fr', 'es'][item_id % 4 + 1] AS corpus, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ts FROM benchmark),
+    cl AS (SELECT item_id AS claim_id, ['en', 'de', 'fr', 'es'][item_id % 4 + 1] AS corpus, regexp_extract_all(lower(coalesce(text, '') || [' See Table ' || (item_id % 9) || '.', ' Figure ' || (item_id % 9) || ' shows it.', ' By the proof in Section ' || (item_id % 9) || '.2.'][item_id % 3 + 1]), '[a-z0-9]+') AS ts FROM benchmark),
     size AS (SELECT corpus, count(*) AS n, avg(len(ts)) AS mean_size FROM ev GROUP BY 1),
     terms AS (SELECT corpus, evidence_id, dl, term, count(*) AS tf FROM (SELECT corpus, evidence_id, len(ts) AS dl, unnest(ts) AS term FROM ev) GROUP BY 1, 2, 3, 4),
     raw AS (SELECT corpus, term, n, mean_size, ln((n - df + 0.5) / (df + 0.5)) AS raw FROM (SELECT corpus, term, count(*) AS df FROM terms GROUP BY 1, 2) JOIN size USING (corpus)),
@@ -236,7 +237,9 @@ _BM25 = """ev AS (SELECT doc_id AS evidence_id, lang AS corpus, regexp_extract_a
 
 def _claims(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     corpus = F.element_at(F.array(*map(F.lit, ("en", "de", "fr", "es"))), (F.col("item_id") % 4 + 1).cast("int"))
-    claims = b.table(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), corpus.alias("corpus"), "text")
+    n = F.col("item_id") % 9
+    said = F.element_at(F.array(F.concat(F.lit(" See Table "), n, F.lit(".")), F.concat(F.lit(" Figure "), n, F.lit(" shows it.")), F.concat(F.lit(" By the proof in Section "), n, F.lit(".2."))), (F.col("item_id") % 3 + 1).cast("int"))
+    claims = b.table(spark, d, "benchmark").select(F.col("item_id").alias("claim_id"), corpus.alias("corpus"), F.concat(F.coalesce("text", F.lit("")), said).alias("text"))
     kind = F.when(F.col("n_chars") % 3 == 0, "table").when(F.col("n_chars") % 3 == 1, "figure").otherwise("text_chunk")
     return claims, b.table(spark, d, "documents").select(F.col("doc_id").alias("evidence_id"), F.col("lang").alias("corpus"), "text", kind.alias("kind"))
 
@@ -251,26 +254,32 @@ def bm25(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("r1_hybrid_ranking", f"""WITH {_BM25}, cv AS (SELECT item_id AS claim_id, CAST(embedding AS DOUBLE[]) AS v FROM benchmark JOIN embeddings ON vec_id = item_id), xv AS (SELECT vec_id AS evidence_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
-    cand AS (SELECT cl.claim_id, ev.evidence_id, ev.kind, coalesce(bm25, 0) AS lex, coalesce(list_cosine_similarity(cv.v, xv.v), 0) AS sem, CASE WHEN ev.evidence_id % 97 = cl.claim_id THEN 1.0 WHEN ev.evidence_id % 31 = 5 THEN 0.7 ELSE 0.0 END AS ref, ev.evidence_id % 97 = cl.claim_id AND ev.kind <> 'text_chunk' AS explicit
+    cand AS (SELECT cl.claim_id, ev.evidence_id, ev.kind, coalesce(bm25, 0) AS lex, coalesce(list_cosine_similarity(cv.v, xv.v), 0) AS sem, CASE WHEN cl.claim_id % 3 = 2 THEN CASE WHEN ev.kind <> 'text_chunk' THEN 0.0 WHEN ev.evidence_id % 20 = cl.claim_id % 9 THEN 0.4 ELSE 0.0 END WHEN ev.evidence_id % 20 = cl.claim_id % 9 AND ev.kind = ['table', 'figure'][cl.claim_id % 3 + 1] THEN 1.0 ELSE 0.0 END AS ref,
+            ev.evidence_id % 20 = cl.claim_id % 9 AND cl.claim_id % 3 < 2 AND ev.kind = CASE cl.claim_id % 3 WHEN 0 THEN 'table' ELSE 'figure' END AS explicit, CASE WHEN ev.kind <> 'text_chunk' AND cl.claim_id % 3 < 2 THEN 1.0 WHEN ev.kind = 'text_chunk' AND cl.claim_id % 3 = 2 THEN 0.4 ELSE 0.0 END AS prior
         FROM cl JOIN ev USING (corpus) LEFT JOIN bm ON bm.claim_id = cl.claim_id AND bm.evidence_id = ev.evidence_id LEFT JOIN cv ON cv.claim_id = cl.claim_id LEFT JOIN xv ON xv.evidence_id = ev.evidence_id),
     mm AS (SELECT *, min(lex) OVER w AS l0, max(lex) OVER w AS l1, min(sem) OVER w AS s0, max(sem) OVER w AS s1 FROM cand WINDOW w AS (PARTITION BY claim_id)),
-    sc AS (SELECT *, round(0.35 * CASE WHEN l1 = l0 THEN 0 ELSE (lex - l0) / (l1 - l0) END + 0.45 * CASE WHEN s1 = s0 THEN 0 ELSE (sem - s0) / (s1 - s0) END + 0.2 * ref, 6) AS score FROM mm),
+    sc AS (SELECT *, round(0.35 * CASE WHEN l1 = l0 THEN 0 ELSE (lex - l0) / (l1 - l0) END + 0.45 * CASE WHEN s1 = s0 THEN 0 ELSE (sem - s0) / (s1 - s0) END + 0.2 * ref + 0.05 * prior, 6) AS score FROM mm),
     n AS (SELECT *, row_number() OVER (PARTITION BY claim_id, kind ORDER BY explicit DESC, score DESC, evidence_id) AS of_kind FROM sc),
     k AS (SELECT *, row_number() OVER (PARTITION BY claim_id ORDER BY explicit DESC, score DESC, evidence_id) AS rank FROM n WHERE of_kind <= CASE kind WHEN 'text_chunk' THEN 3 WHEN 'table' THEN 2 ELSE 1 END)
     SELECT claim_id, evidence_id, kind, score::DOUBLE AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 5""")
 def hybrid_ranking(spark: SparkSession, d: str) -> DataFrame:
-    """The whole ranking of every claim's candidates.
+    """The whole ranking of every claim's candidates.
 
-    A claim's candidates are all evidence of its corpus, as asked for: the claims are the small side of that join.
+    A claim's candidates are all evidence of its corpus, as asked for. The claims are sent to the evidence, after a check of
+    their number; scores are scaled by joined minima and maxima, and each task keeps its own best rows before the last sort.
     """
     claims, evidence = _claims(spark, d)
     vectors = b.table(spark, d, "embeddings").select("vec_id", "embedding")
     asked = claims.join(vectors, F.col("claim_id") == F.col("vec_id"), "left").select("claim_id", "corpus", F.col("text").alias("query"), F.col("embedding").alias("x"))
-    given = evidence.join(vectors, F.col("evidence_id") == F.col("vec_id"), "left").select("evidence_id", "corpus", "kind", F.col("embedding").alias("y"))
-    pairs = asked.join(given, "corpus").join(ranking.bm25(claims, evidence), ["claim_id", "evidence_id"], "left")
-    same = F.col("evidence_id") % 97 == F.col("claim_id")
-    reference = F.when(same, 1.0).when(F.col("evidence_id") % 31 == 5, 0.7).otherwise(0.0)
-    scored = pairs.select("claim_id", "evidence_id", "kind", "query", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce(ranking.cosine(F.col("x"), F.col("y")), F.lit(0.0)).alias("semantic"), reference.alias("reference"), (same & (F.col("kind") != "text_chunk")).alias("explicit"))
+    number = (F.col("evidence_id") % 20).cast("string")
+    label = F.when(F.col("kind") != "text_chunk", F.concat(F.initcap("kind"), F.lit(" "), number))
+    given = evidence.join(vectors, F.col("evidence_id") == F.col("vec_id"), "left").select("evidence_id", "corpus", "kind", label.alias("label"), F.when(F.col("kind") == "text_chunk", number).alias("section_number"), F.col("embedding").alias("y"))
+    if claims.limit(ranking.BROADCAST // 100 + 1).count() <= ranking.BROADCAST // 100:  # a few kB each
+        asked = F.broadcast(asked)
+    pairs = given.join(asked, "corpus").join(ranking.bm25(claims, evidence), ["claim_id", "evidence_id"], "left")
+    reference = ev.reference_boost(F.col("query"), F.col("kind"), F.col("label"), F.col("section_number"), F.lit(None).cast("string"))
+    explicit = (F.col("kind").isin("table", "figure")) & (reference == 1.0)
+    scored = pairs.select("claim_id", "evidence_id", "kind", "query", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce(ranking.cosine(F.col("x"), F.col("y")), F.lit(0.0)).alias("semantic"), reference.alias("reference"), explicit.alias("explicit"))
     return ranking.ranked(scored, digits=6).select("claim_id", "evidence_id", "kind", "score", "rank")
 
 
@@ -288,17 +297,17 @@ def urls(spark: SparkSession, d: str) -> DataFrame:
     return b.table(spark, d, "pages").select("page_id", tx.query_parameter(u, "page").alias("page"), tx.query_parameter(u, "utm_source").alias("source"), tx.slug(u).alias("slug"))
 
 
-@query("x7_steps", """WITH t AS (SELECT conv_id, turn, role, length(text) AS n, count(*) OVER (PARTITION BY conv_id, turn) AS dup FROM conversations WHERE trim(text) <> '')
-    SELECT conv_id::VARCHAR AS agent, turn AS seq, CASE role WHEN 'assistant' THEN 'agent' ELSE 'system' END AS source, row_number() OVER (PARTITION BY conv_id ORDER BY turn)::INT AS step_id,
-        CAST(sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS BIGINT) AS total_prompt FROM t WHERE dup = 1""")
+@query("x7_steps", """WITH t AS (SELECT conv_id, turn, role, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text), sha256(text)) AS seq FROM conversations WHERE trim(text) <> '')
+    SELECT conv_id::VARCHAR AS agent, seq, CASE role WHEN 'assistant' THEN 'agent' ELSE 'system' END AS source, row_number() OVER (PARTITION BY conv_id ORDER BY seq)::INT AS step_id,
+        CAST(sum(CASE WHEN role = 'assistant' THEN n ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY seq) AS BIGINT) AS total_prompt FROM t""")
 def steps(spark: SparkSession, d: str) -> DataFrame:
     """JSON log lines (made of the conversations) as numbered steps with running totals."""
     c = b.table(spark, d, "conversations").where("trim(text) <> ''")
-    c = c.withColumn("dup", F.count(F.lit(1)).over(Window.partitionBy("conv_id", "turn"))).where("dup = 1")
+    c = c.withColumn("seq", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", F.length("text"), F.sha2("text", 256))).cast("long"))
     block = F.array(F.struct(F.lit("text").alias("type"), F.col("text")))
     message = F.struct(block.alias("content"), F.struct(F.length("text").alias("input_tokens")).alias("usage"))
     line = F.when(F.col("role") == "assistant", F.to_json(F.struct(F.lit("assistant").alias("type"), message.alias("message")))).otherwise(F.concat(F.lit("[harness] "), F.col("text")))
-    lines = c.select(F.col("conv_id").cast("string").alias("agent"), F.col("turn").alias("seq"), line.alias("line"))
+    lines = c.select(F.col("conv_id").cast("string").alias("agent"), "seq", line.alias("line"))
     return logs.numbered(logs.steps(lines)).select("agent", "seq", "source", "step_id", "total_prompt")
 
 

@@ -13,6 +13,15 @@ def test_similarity(spark):
     assert got == pytest.approx([0.7 * SequenceMatcher(None, "the red fox ran.", "the red fox runs").ratio() + 0.3 * words, 0, 0, 1.0])
 
 
+def test_bound_holds(spark):
+    texts = ["alpha beta gamma", "alpha", "beta gamma delta epsilon zeta", "x y z", "gamma beta alpha", "", "the same words, the same words"]
+    rows = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    a, b = F.col("a"), F.col("b")
+    got = rows.select(matching.bound(a, b).alias("most"), matching.similarity(a, b).alias("real"), matching.similarity(a, b, 0.5).alias("cut")).collect()
+    for r in got:
+        assert r["real"] <= r["most"] + 1e-12 and (r["cut"] == r["real"] or (r["most"] < 0.5 and r["cut"] < 0.5))
+
+
 def test_quote_spans(spark):
     rows = [("q", 1, 1, "alpha beta gamma delta", "zzz"), ("q", 1, 2, "alpha beta gamma delta", "alpha beta"), ("q", 1, 3, "alpha beta gamma delta", "gamma delta"), ("q", 2, 1, "alpha beta gamma delta", "0123456789")]
     got = matching.quote_spans(spark.createDataFrame(rows, "id string, page int, position int, quote string, text string"), ["id"], top=1)
