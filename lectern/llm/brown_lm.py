@@ -11,7 +11,7 @@ before (a batched exchange). The table of words and classes is joined to the tex
 take the class that most tokens of training words with their ending have. A round of words that doesn't raise the
 likelihood isn't taken, except the first.
 
-Counts of the most frequent words (at most `SENT`, 16 bytes each) are sent to all tasks; those of all others are joined.
+Counts of the most frequent words (at most `SENT`, 24 bytes each) are sent to all tasks; those of all others are joined.
 The classes don't depend on that limit, but for the words of their own in the first stage.
 
 Null texts are empty: one end token. Null ids count as the text '' when folds are dealt, repeated ids are rows of their
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from lectern.llm._common import LOWER, NOT_SPACE, Scratch, as_binary, mix, ordered, partitions, pieces, prints, signed, words
 from lectern.llm.quality import bucket
 
-OWN, SHAPES, CLASSES, ROUNDS, SENT = 8191, 4096, 48, 5, 1 << 17
+OWN, SHAPES, CLASSES, ROUNDS, SENT = 8191, 4096, 48, 5, 1 << 19
 WORD_ROUNDS = 2  # at most as many as rounds of types
 #: Added to counts within a class, as in the base score; weight of the class's own share in its bigrams.
 ADD, BACK_OFF = 0.5, 20.0
@@ -330,8 +330,8 @@ def _with_classes(encoded: DataFrame, moved: DataFrame, classes: np.ndarray, nam
     """The texts with the classes of their tokens, and what rare words add to sum and known; unless it is the last round, with all that it takes."""
     spark = encoded.sparkSession
     frequent = np.full(len(names), classes[END_TYPE], np.int64)
-    for w, k in moved.where("frequent").select("word", "class").collect():  # SENT rows at most
-        frequent[np.searchsorted(names, w)] = k
+    known = moved.where("frequent").select("word", "class").toArrow()  # SENT rows at most
+    frequent[np.searchsorted(names, np.asarray(known.column("word")))] = np.asarray(known.column("class"))
     # words that no training text has: as most tokens of those that end alike
     unseen = classes[OWN + 1 :].copy()
     by_shape = moved.groupBy(F.col("word").bitwiseAND(SHAPES - 1).alias("shape"), "class").agg(F.sum("n").alias("n")).groupBy("shape").agg(F.max_by("class", F.struct("n", "class")))
@@ -345,11 +345,12 @@ def _with_classes(encoded: DataFrame, moved: DataFrame, classes: np.ndarray, nam
         F.sum(F.col("n") * F.log10(F.col("c") + ADD)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
         F.collect_list(F.when(F.col("class").isNotNull(), F.col("pos") * CLASSES + F.col("class"))).alias("placed"),
     )
+    encoded = encoded if not last else encoded.drop("times")
     some = F.size("rare") > 0  # only texts with such words are shuffled
     none = {"rare_sum": F.lit(0.0), "rare_known": F.lit(0).cast("long"), "placed": F.array().cast("array<int>")}
-    joined = encoded.drop("times").where(some).join(rare, "ord").unionByName(encoded.drop("times").where(~some).withColumns(none))
+    joined = encoded.where(some).join(rare, "ord").unionByName(encoded.where(~some).withColumns(none))
     narrow = ("doc_id", "held_out", "n_tokens", "known", "sum", "rare_sum", "rare_known")
-    kept = narrow if last else (*narrow, "types", "others", "rare")
+    kept = narrow if last else (*narrow, "ord", "types", "others", "rare", "times")
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_type, of_frequent, of_unseen = maps.value
@@ -370,8 +371,8 @@ def _with_classes(encoded: DataFrame, moved: DataFrame, classes: np.ndarray, nam
                 column = pa.array([raw[a:b] for a, b in zip(ends, ends[1:], strict=False)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), column], names=[*kept, "classes"])
 
-    more = "" if last else "types binary, others binary, rare array<long>, "
-    return joined.select(*narrow, "types", "others", "rare", "placed").mapInArrow(classed, f"doc_id long, held_out boolean, n_tokens long, known long, sum double, rare_sum double, rare_known long, {more}classes binary")
+    more = "" if last else "ord long, types binary, others binary, rare array<long>, times array<int>, "
+    return joined.select(*dict.fromkeys((*kept, "types", "others", "rare", "placed"))).mapInArrow(classed, f"doc_id long, held_out boolean, n_tokens long, known long, sum double, rare_sum double, rare_known long, {more}classes binary")
 
 
 def lm_scores(docs: DataFrame, scratch: Scratch | None = None, folds: int = 5, held_out: int = 1, rounds: int = ROUNDS) -> DataFrame:
@@ -391,14 +392,15 @@ def lm_scores(docs: DataFrame, scratch: Scratch | None = None, folds: int = 5, h
         if held > SENT:
             break
         least = s
-    top = vocabulary.where(step >= least).collect() if least is not None else []
-    if END not in {w for w, _ in top}:
-        top += vocabulary.where(F.col("word") == END).collect()
-    top = sorted(((-n, w) for w, n in top))
-    own = {w: i for i, (_, w) in enumerate([x for x in top if x[1] != END][:OWN])}
-    names = np.array(sorted(w for _, w in top), np.int64)
-    count_of = {w: -n for n, w in top}
-    sent = spark.sparkContext.broadcast((names, np.array([count_of[w] for w in names.tolist()], float), np.array([own.get(w, -1) for w in names.tolist()], np.int64)))
+    top = vocabulary.where((step >= least if least is not None else F.lit(False)) | (F.col("word") == END)).toArrow()  # SENT rows, and one
+    names, count = (np.asarray(top.column(c)).astype(np.int64) for c in ("word", "n"))
+    by = np.argsort(names)
+    names, count = names[by], count[by]
+    own = np.full(len(names), -1, np.int64)
+    first = np.lexsort((names, -count))
+    first = first[names[first] != END][:OWN]
+    own[first] = np.arange(len(first))
+    sent = spark.sparkContext.broadcast((names, count.astype(float), own))
     encoded = scratch.table(rows.mapInArrow(lambda b: _encode(b, sent), _ENCODED), "encoded")
 
     # classes: the end, the most frequent types, and one for all others to start with
@@ -414,27 +416,26 @@ def lm_scores(docs: DataFrame, scratch: Scratch | None = None, folds: int = 5, h
     if n_all:
         np.add.at(pairs, classes, neighbours(encoded, classes)[:, 1])
     scratch.drop("vocabulary")
-    texts, n_rounds = None, max(1, min(rounds, WORD_ROUNDS))
+    texts, n_rounds = encoded, max(1, min(rounds, WORD_ROUNDS))
     for i in range(n_rounds):
         scratch.tidy()
-        moved = scratch.table(assigned(contexts(encoded if texts is None else texts, classes, sent), pairs, end, rounds > 0), f"assigned{i}")
+        moved = scratch.table(assigned(contexts(texts, classes, sent), pairs, end, rounds > 0), f"assigned{i}")
         scratch.tidy()
-        if texts is not None:
-            scratch.drop(f"classes{i - 1}")
-        then = scratch.table(_with_classes(encoded, moved, classes, names, i + 1 == n_rounds), f"classes{i}")
+        bare = texts.drop("classes", "rare_sum", "rare_known")
+        then = scratch.table(_with_classes(bare, moved, classes, names, i + 1 == n_rounds), f"classes{i}")
         now = class_pairs(then, end)
-        if texts is not None and likelihood(now) <= likelihood(pairs):
+        if i and likelihood(now) <= likelihood(pairs):
             scratch.drop(f"classes{i}")
-            texts = scratch.table(_with_classes(encoded, words_of, classes, names), "classes")
             break
+        scratch.drop(f"classes{i - 1}" if i else "encoded")  # the new table has all that the next round takes
         texts, words_of, pairs = then, moved, now
 
     # tokens and distinct words by class
     tokens, distinct = np.zeros(CLASSES), np.zeros(CLASSES)
-    for w, t in (own | {END: END_TYPE}).items():
-        if w in count_of:
-            tokens[classes[t]] += count_of[w]
-            distinct[classes[t]] += 1
+    kind = np.where(names == END, END_TYPE, own)
+    single = kind >= 0
+    np.add.at(tokens, classes[kind[single]], count[single])
+    np.add.at(distinct, classes[kind[single]], 1)
     for k, n, v in words_of.groupBy("class").agg(F.sum("n"), F.count(F.lit(1))).collect():
         tokens[k] += n
         distinct[k] += v
@@ -451,7 +452,7 @@ def lm_scores(docs: DataFrame, scratch: Scratch | None = None, folds: int = 5, h
                 value = np.add.reduceat(follow[_before(of, starts, end), of] - within[of], starts)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(value)], names=[*kept, "by_class"])
 
-    out = texts.drop("types", "others", "rare").mapInArrow(by_class, "doc_id long, held_out boolean, n_tokens long, known long, sum double, rare_sum double, rare_known long, by_class double")
+    out = texts.drop("ord", "types", "others", "rare", "times").mapInArrow(by_class, "doc_id long, held_out boolean, n_tokens long, known long, sum double, rare_sum double, rare_known long, by_class double")
     emitted = F.col("sum") + F.col("rare_sum")
     out = out.withColumns({
         "n_known": F.col("known") + F.col("rare_known"),
