@@ -3,7 +3,8 @@
 1. Confirm: `_repeats` gives the runs of 50-word windows that also occur in a smaller document, and where. These places, in
    the smaller documents, are the recurring passages.
 2. Compile: a passage's windows are phrases of an Aho-Corasick automaton. Its symbols are grams of ten words, read at every
-   tenth word, so that a phrase is five symbols long. Passages are dealt into shards by the document, and the part of it,
+   tenth word, so that a phrase is five symbols long; a symbol is two letters of an alphabet of sixteen, as `ahocorasick`
+   looks through the letters of a node one after the other. Passages are dealt into shards by the document, and the part of it,
    that they are first found in, which bounds an automaton's size and keeps the copies of a document together.
 3. Stream: documents are streamed through the automata of the passages that they have something of, cut into portions where
    many go to one shard. The automaton locates every occurrence; each is compared with the passage word by word.
@@ -19,6 +20,7 @@ that repeat an id count as later documents. An empty table gives an empty result
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -38,7 +40,8 @@ STRIDE = 10
 #: one building of an automaton serves.
 SHARD, PART, PORTION = 40_000, 4096, 2000
 _PLACE = (1 << PLACE_BITS) - 1
-_BETWEEN = (1 << 32) - 1
+#: A symbol that no gram has.
+_BETWEEN = 1 << 8
 
 
 def _union(first: np.ndarray, end: np.ndarray) -> list[tuple[int, int]]:
@@ -71,12 +74,18 @@ def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _symbols(spans: Spans) -> np.ndarray:
-    """The automaton's symbols: 32 bits of each gram's fingerprint, none of them _BETWEEN."""
-    return np.minimum(spans.grams(STRIDE) >> np.uint64(32), np.uint64(_BETWEEN - 1)).astype(np.int64)
+    """The automaton's symbols: eight bits of each gram's fingerprint."""
+    return (spans.grams(STRIDE) >> np.uint64(56)).astype(np.int64)
+
+
+def _letters(symbols: np.ndarray) -> str:
+    """Two letters for each symbol."""
+    return np.stack([symbols >> 4, symbols & 15], axis=-1).astype(np.uint8).tobytes().decode("latin-1")
 
 
 class Passages:
-    """The automaton of passages: of equal windows that of the smallest document is kept."""
+    """The automaton of passages: of equal windows that of the smallest document is kept. Different windows that are one
+    phrase by their symbols form a group; where it is located, each of them is compared."""
 
     def __init__(self, of: list[tuple[int, bytes]]):
         self.raw = b" ".join(text for _, text in of)
@@ -92,12 +101,16 @@ class Passages:
         by = np.lexsort((order, names))
         keep = by[np.append(True, names[by][1:] != names[by][:-1])]
         keep.sort()
-        self.window, self.order = window[keep], order[keep]
-        grams = _symbols(spans)
-        phrases = np.stack([grams[self.window + j] for j in range(0, WINDOW, STRIDE)], axis=1)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for i, phrase in enumerate(phrases.tolist()):
-            self.automaton.add_word(tuple(phrase), i)
+        window, order, grams = window[keep], order[keep], _symbols(spans)
+        phrases = np.stack([grams[window + j] for j in range(0, WINDOW, STRIDE)], axis=1)
+        by = np.lexsort(phrases.T)
+        self.window, self.order, phrases = window[by], order[by], phrases[by]
+        heads = np.flatnonzero(np.append(True, (np.diff(phrases, axis=0) != 0).any(axis=1)))
+        self.groups = np.append(heads, len(by))
+        letters, size = _letters(phrases[heads]), 2 * phrases.shape[1]
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for i in range(len(heads)):
+            self.automaton.add_word(letters[i * size : (i + 1) * size], i)
         self.automaton.make_automaton()
 
     def located(self, orders: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -118,11 +131,14 @@ class Passages:
         cut = np.flatnonzero(np.diff(sequence[by])) + 1
         place = np.insert((first[text] + k)[by], cut, 0)
         symbols = np.insert(grams[first[text] + k][by], cut, _BETWEEN)
-        hits = list(self.automaton.iter(tuple(symbols.tolist()))) if len(symbols) else []
-        if not hits:
+        last, group = np.fromiter(chain.from_iterable(self.automaton.iter(_letters(symbols))), np.int64).reshape(-1, 2).T
+        whole = last & 1 == 1  # ends with a symbol, not within one
+        last, group = last[whole] >> 1, group[whole]
+        if not len(last):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        last, number = np.array(hits).T
-        at, window = place[last] - (WINDOW - STRIDE), self.window[number]
+        n = self.groups[group + 1] - self.groups[group]
+        number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.groups[group], n)
+        at, window = np.repeat(place[last], n) - (WINDOW - STRIDE), self.window[number]
         of = np.searchsorted(first, at, "right") - 1
         ok = self.order[number] < orders[of]
         by = np.argsort(at[ok], kind="stable")
