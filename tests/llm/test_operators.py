@@ -124,6 +124,15 @@ def test_family_merges_levels_of_like_size():
     assert {(a, b): p for a, b, p, _, _ in zip(*family.all())} == first
 
 
+def test_different_windows_of_one_phrase_are_all_compared(monkeypatch):
+    monkeypatch.setattr(phrase_dedup, "_symbols", lambda spans: np.zeros(max(spans.n - phrase_dedup.STRIDE + 1, 0), np.int64))
+    a, b = [f"a{i}" for i in range(70)], [f"b{i}" for i in range(60)]
+    of_passages = phrase_dedup.Passages([(3, " ".join(a).encode()), (5, " ".join(b).encode())])
+    texts = [" ".join(w).encode() for w in (["x", *b], ["x", *b, *a[5:60]], ["short"])]
+    of, at = of_passages.located(np.array([4, 9, 10]), texts)  # the first comes before the passage's document
+    assert sorted(zip(of.tolist(), at.tolist(), strict=True)) == [(1, i) for i in (*range(1, 12), *range(61, 67))]
+
+
 def test_phrase_dedup(docs):
     first, want = {}, Counter()
     for k, (i, t) in enumerate(in_order(collected(docs))):
