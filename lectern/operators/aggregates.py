@@ -59,3 +59,9 @@ def joined_text(df: DataFrame, keys: Sequence[str], order: str, text: str, name:
 def interleaved(df: DataFrame, stream: str, order: Sequence[Column]) -> DataFrame:
     """Rows of many streams taken in turn, one of each: `turn` and, within it, the stream."""
     return df.withColumn("turn", F.row_number().over(Window.partitionBy(stream).orderBy(*order)))
+
+
+def poor_pages(spans: DataFrame, by: list[str], text: str, least: float = 8.0) -> DataFrame:
+    """Pages whose spans have fewer letters than that on average, null spans having none: what a recogniser should read again."""
+    quality = F.avg(F.length(F.trim(F.coalesce(F.col(text), F.lit("")))))
+    return spans.groupBy(*by).agg(quality.alias("quality")).where(F.col("quality") < least)

@@ -162,14 +162,14 @@ def escalation(spark: SparkSession, d: str) -> DataFrame:
 _LINES = "list_filter(list_transform(string_split(coalesce({0}, ''), chr(10)), lambda s: trim(s)), lambda s: s <> '')"
 _CLEAN = r"trim(regexp_replace(coalesce({0}, ''), '\s+', ' ', 'g'))"
 _OBJECTS = """objects AS (SELECT doc_id, text, CASE n_chars % 3 WHEN 0 THEN 'table' WHEN 1 THEN 'figure' ELSE 'text_chunk' END AS kind, CASE WHEN doc_id % 4 = 0 THEN source ELSE 'Tab. ' || (doc_id % 30) END AS label,
-        CASE WHEN doc_id % 5 = 0 THEN left(text, 20) ELSE 'table ' || (doc_id % 7) || ': ' || source END AS caption, CASE WHEN n_chars % 11 > 0 THEN n_chars % 11 / 20.0 END AS fraction FROM documents)"""
+        CASE WHEN doc_id % 5 = 0 THEN text ELSE 'table ' || (doc_id % 7) || ': ' || source END AS caption, CASE WHEN n_chars % 11 > 0 THEN n_chars % 11 / 20.0 END AS fraction FROM documents)"""
 
 
 def objects(spark: SparkSession, d: str) -> DataFrame:
     n, i = F.col("n_chars"), F.col("doc_id")
     return b.table(spark, d, "documents").select(
         "doc_id", "text", F.when(n % 3 == 0, "table").when(n % 3 == 1, "figure").otherwise("text_chunk").alias("kind"), F.when(i % 4 == 0, F.col("source")).otherwise(F.concat(F.lit("Tab. "), i % 30)).alias("label"),
-        F.when(i % 5 == 0, F.left("text", F.lit(20))).otherwise(F.concat(F.lit("table "), i % 7, F.lit(": "), F.col("source"))).alias("caption"), F.when(n % 11 > 0, n % 11 / F.lit(20.0)).alias("fraction"),
+        F.when(i % 5 == 0, F.col("text")).otherwise(F.concat(F.lit("table "), i % 7, F.lit(": "), F.col("source"))).alias("caption"), F.when(n % 11 > 0, n % 11 / F.lit(20.0)).alias("fraction"),
     )
 
 

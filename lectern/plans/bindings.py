@@ -25,8 +25,7 @@ def papers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def comments(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "lineitem").where("l_shipdate >= timestamp_ntz'1996-01-01' and l_shipdate < timestamp_ntz'1999-01-01'")
-    return rows.select(
+    return table(spark, d, "lineitem").select(
         F.col("l_partkey").alias("paper_id"), F.col("l_orderkey").alias("thread_id"), F.col("l_linenumber").alias("position"), F.col("l_suppkey").alias("author_id"),
         (F.col("l_returnflag") == "R").alias("is_ours"), (F.col("l_linestatus") == "O").alias("is_citable"), F.col("l_shipdate").alias("created_at"), F.col("l_extendedprice").alias("weight"),
     )
@@ -56,7 +55,7 @@ def chunks(spark: SparkSession, d: str) -> DataFrame:
 SQL = {
     "papers": f"papers AS (SELECT p_partkey AS paper_id, p_name AS title, p_brand AS venue, {NOW_SQL} - to_hours(CAST(p_partkey % 90 - 6 AS INT)) AS open_time, p_retailprice AS karma FROM part)",
     "comments": """comments AS (SELECT l_partkey AS paper_id, l_orderkey AS thread_id, l_linenumber AS position, l_suppkey AS author_id, l_returnflag = 'R' AS is_ours,
-        l_linestatus = 'O' AS is_citable, l_shipdate AS created_at, l_extendedprice AS weight FROM lineitem WHERE l_shipdate >= TIMESTAMP '1996-01-01' AND l_shipdate < TIMESTAMP '1999-01-01')""",
+        l_linestatus = 'O' AS is_citable, l_shipdate AS created_at, l_extendedprice AS weight FROM lineitem)""",
     "verifications": """verifications AS (SELECT l_partkey AS paper_id, l_orderkey AS claim_id, l_suppkey AS review_id, l_linenumber AS position,
         CASE l_returnflag WHEN 'N' THEN 'supported' WHEN 'R' THEN 'refuted' ELSE 'insufficient_evidence' END AS verdict, round(l_discount * 10, 2) AS confidence,
         CASE l_linestatus WHEN 'F' THEN 'success' ELSE 'error' END AS status, l_shipdate AS verified_at, l_extendedprice AS tie FROM lineitem)""",

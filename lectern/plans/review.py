@@ -83,7 +83,7 @@ def run_summary(spark: SparkSession, d: str) -> DataFrame:
     SELECT paper_id, o AS opportunity, o <> 'SKIP' AS actionable FROM (SELECT paper_id, CASE WHEN phase IN ('NEW', 'EXPIRED') THEN 'SKIP' WHEN micro = 'SEED_WINDOW' AND NOT p AND k >= 15 AND k >= 1 THEN 'SEED'
         WHEN micro IN ('BUILD_WINDOW', 'LOCK_IN_WINDOW') AND p AND k >= 0.1 THEN 'FOLLOWUP' WHEN micro IN ('ELIGIBILITY_WINDOW', 'SUBMISSION_WINDOW') AND p THEN 'VERDICT_READY' ELSE 'SKIP' END AS o FROM r)""", "papers", "comments", "verifications"))
 def opportunities(spark: SparkSession, d: str) -> DataFrame:
-    """What can be done about each paper within the budget."""
+    """What can be done about each paper within the budget."""
     o = rules.opportunity(F.col("h"), F.col("ours") > 0, F.col("karma") - 900)
     return summarised(spark, d).select("paper_id", o.alias("opportunity"), (o != "SKIP").alias("actionable"))
 
@@ -102,7 +102,7 @@ def eligibility(spark: SparkSession, d: str) -> DataFrame:
 @query("e14_verdict_scores", sql(f"""{_SUMMARISED} SELECT paper_id, CASE WHEN strongest >= 0.85 THEN 3.5 WHEN strongest >= 0.65 THEN 4.5 WHEN reacts = 0 AND unclear > 0 THEN 5.5 ELSE 6.5 END::DOUBLE AS score,
     round(coalesce(strongest, 0), 4) AS confidence FROM summarised""", "papers", "comments", "verifications"))
 def verdict_scores(spark: SparkSession, d: str) -> DataFrame:
-    """E13-E15."""
+    """E13, E14."""
     return summarised(spark, d).select("paper_id", rules.verdict_score(F.col("strongest"), F.col("reacts"), F.col("unclear")).cast("double").alias("score"), F.round(F.coalesce("strongest", F.lit(0.0)), 4).alias("confidence"))
 
 
@@ -185,7 +185,7 @@ def verdict_histogram(spark: SparkSession, d: str) -> DataFrame:
 @query("a3_reactive_stats", sql("""SELECT paper_id, count(DISTINCT review_id) AS comments, count(*) AS verified, count(*) FILTER (verdict = 'refuted') AS contradicted, count(*) FILTER (verdict = 'supported') AS supported,
     count(*) FILTER (verdict NOT IN ('refuted', 'supported')) AS insufficient FROM verifications GROUP BY 1""", "verifications"))
 def reactive_stats(spark: SparkSession, d: str) -> DataFrame:
-    """Verdicts folded into three buckets, in one pass."""
+    """A3: verdicts folded into three buckets, in one pass."""
     v = F.col("verdict")
     return b.verifications(spark, d).groupBy("paper_id").agg(F.countDistinct("review_id").alias("comments"), F.count(F.lit(1)).alias("verified"), F.count_if(rules.is_contradiction(v)).alias("contradicted"), F.count_if(v == "supported").alias("supported"), F.count_if(~v.isin("supported") & ~rules.is_contradiction(v)).alias("insufficient"))
 
@@ -212,7 +212,7 @@ def export_policy(spark: SparkSession, d: str) -> DataFrame:
 @query("a17_latency", sql("""v AS (SELECT action_type, cost, row_number() OVER (PARTITION BY action_type ORDER BY cost) - 1 AS i, count(*) OVER (PARTITION BY action_type) AS n FROM actions WHERE cost IS NOT NULL)
     SELECT action_type, max(n) AS n, round(avg(cost), 6) AS mean, max(cost) FILTER (i = n // 2) AS median, max(cost) FILTER (i = greatest(0, n * 95 // 100 - 1)) AS p95 FROM v GROUP BY 1""", "actions"))
 def latency(spark: SparkSession, d: str) -> DataFrame:
-    """Non-interpolated statistics."""
+    """Non-interpolated statistics."""
     return aggregates.ordered_statistics(b.actions(spark, d), ["action_type"], "cost").withColumn("mean", F.round("mean", 6))
 
 
@@ -237,7 +237,7 @@ def sections(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a40_thread_texts", "SELECT conv_id, count(*) AS turns, sha256(string_agg(text, ' ' ORDER BY turn, role)) AS text_sha256 FROM conversations GROUP BY 1")
 def thread_texts(spark: SparkSession, d: str) -> DataFrame:
-    """Texts of a thread in order."""
+    """Texts of a thread in order."""
     t = aggregates.joined_text(b.table(spark, d, "conversations").withColumn("order", F.struct("turn", "role")), ["conv_id"], "order", "text")
     n = b.table(spark, d, "conversations").groupBy("conv_id").agg(F.count(F.lit(1)).alias("turns"))
     return t.join(n, "conv_id").select("conv_id", "turns", F.sha2("text", 256).alias("text_sha256"))
@@ -245,7 +245,7 @@ def thread_texts(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a12_table_counts", " UNION ALL ".join(f"SELECT '{t}' AS name, count(*) AS n FROM {t}" for t in ("part", "lineitem", "events", "documents")) + " UNION ALL SELECT 'ok verifications', count(*) FROM lineitem WHERE l_linestatus = 'F'")
 def table_counts(spark: SparkSession, d: str) -> DataFrame:
-    """A9, A12-A14."""
+    """A9, A12, A14."""
     out = b.verifications(spark, d).where("status = 'success'").agg(F.count(F.lit(1)).alias("n")).select(F.lit("ok verifications").alias("name"), "n")
     for t in ("part", "lineitem", "events", "documents"):
         out = out.union(b.table(spark, d, t).agg(F.count(F.lit(1)).alias("n")).select(F.lit(t), "n"))
@@ -324,7 +324,7 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
 
 @query("u25_ids", sql("""SELECT claim_id, position, tie, sha256(concat_ws(':', claim_id, 'model')) AS verification_id, left(sha256('draft:' || review_id), 16) AS draft_id, sha256(concat_ws('|', review_id, verdict, position, 'v1')) AS claim_hash FROM verifications""", "verifications"))
 def ids(spark: SparkSession, d: str) -> DataFrame:
-    """Identifiers from what they stand for."""
+    """Identifiers from what they stand for."""
     s = lambda *c, by=":": F.sha2(F.concat_ws(by, *(x.cast("string") for x in c)), 256)
     c, r = F.col("claim_id"), F.col("review_id")
     return b.verifications(spark, d).select("claim_id", "position", "tie", s(c, F.lit("model")).alias("verification_id"), F.left(F.sha2(F.concat(F.lit("draft:"), r.cast("string")), 256), F.lit(16)).alias("draft_id"), s(r, F.col("verdict"), F.col("position"), F.lit("v1"), by="|").alias("claim_hash"))
@@ -333,7 +333,7 @@ def ids(spark: SparkSession, d: str) -> DataFrame:
 @query("u31_indexed", sql("""i AS (SELECT DISTINCT paper_id FROM comments), e AS (SELECT DISTINCT paper_id FROM actions WHERE action_type = 'signup'), f AS (SELECT * FROM e UNION SELECT paper_id FROM i WHERE (SELECT count(*) FROM e) = 0)
     SELECT paper_id, paper_id IN (SELECT paper_id FROM i) AS indexed, paper_id IN (SELECT paper_id FROM f) AS embedded FROM papers""", "papers", "comments", "actions"))
 def indexed(spark: SparkSession, d: str) -> DataFrame:
-    """Two memberships; the second has a substitute where it is empty altogether."""
+    """Two memberships; the second has a substitute where it is empty altogether."""
     flag = lambda df, name: df.select("paper_id").distinct().withColumn(name, F.lit(True))
     signed_up = b.actions(spark, d).where("action_type = 'signup'").select("paper_id").distinct()
     none = signed_up.agg((F.count(F.lit(1)) == 0).alias("none"))

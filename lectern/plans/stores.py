@@ -56,7 +56,7 @@ def lookup(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s28_aliases", "SELECT event_id, coalesce(nullif(CASE WHEN event_id % 3 = 0 THEN '' ELSE event_type END, ''), CAST(user_id AS VARCHAR)) AS name, CAST(value AS VARCHAR) IS NOT NULL AS has_value FROM events")
 def aliases(spark: SparkSession, d: str) -> DataFrame:
-    """The first alias that has a value."""
+    """The first alias that has a value."""
     rows = b.table(spark, d, "events").withColumn("label", F.when(F.col("event_id") % 3 == 0, "").otherwise(F.col("event_type")))
     out = tables.aliased(rows, {"event_id": ["event_id"], "name": ["missing", "label", "user_id"], "value": ["value"]})
     return out.select(F.col("event_id").cast("long").alias("event_id"), "name", F.col("value").isNotNull().alias("has_value"))
@@ -80,7 +80,7 @@ def paper_windows(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s38_shredded", "SELECT 'turns' AS name, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM conversations UNION ALL SELECT 'threads', count(DISTINCT conv_id), NULL FROM conversations")
 def shredded(spark: SparkSession, d: str) -> DataFrame:
-    """Nested documents built, then shredded into tables again."""
+    """Nested documents built, then shredded into tables again."""
     nested = b.table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("replies"))
     turns = nested.select("conv_id", F.explode("replies").alias("r")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("r.text")).alias("chars"))
     return turns.select(F.lit("turns").alias("name"), "n", "chars").union(nested.agg(F.count(F.lit(1)).alias("n")).select(F.lit("threads"), "n", F.lit(None).cast("long")))
@@ -107,14 +107,14 @@ def csv(spark: SparkSession, d: str) -> DataFrame:
 
 @query("s41_markdown", """SELECT c_custkey, '## ' || c_name || chr(10) || '- **c_mktsegment**: ' || coalesce(c_mktsegment, '—') || chr(10) || '- **c_nationkey**: ' || coalesce(CAST(c_nationkey AS VARCHAR), '—') AS markdown FROM customer""")
 def markdown(spark: SparkSession, d: str) -> DataFrame:
-    """A report's sections."""
+    """A report's sections."""
     return sinks.markdown_rows(b.table(spark, d, "customer"), F.col("c_name"), ["c_mktsegment", "c_nationkey"]).select("c_custkey", "markdown")
 
 
 @query("s49_audit_records", """WITH p AS (SELECT p_partkey, p_name, 'audit/' || p_partkey || '/verdict-' || left(sha256('verdict:' || p_partkey), 12) || '.md' AS path FROM part)
     SELECT left(sha256(path), 16) AS artifact_id, path, 'https://example.org/' || path AS url, p_name AS content FROM p""")
 def audit_records(spark: SparkSession, d: str) -> DataFrame:
-    """Audit files and their addresses."""
+    """Audit files and their addresses."""
     return sinks.audit_records(b.table(spark, d, "part"), "verdict", "https://example.org/", "p_partkey", "p_name")
 
 

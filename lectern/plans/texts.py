@@ -92,7 +92,7 @@ def union_boxes(spark: SparkSession, d: str) -> DataFrame:
 @query("g15_box_audit", f"""WITH {_BOXES}, a AS (SELECT *, greatest(x1 - x0, 0) * greatest(y1 - y0, 0) AS area FROM boxes)
     SELECT CASE WHEN area <= 0 THEN 'invalid_bbox' WHEN area < 300 THEN 'too_small' WHEN area / 480000 > 0.85 THEN 'covers_page' ELSE 'usable' END AS status, CASE WHEN part <= 2 THEN 'caption_only' WHEN part < 5 THEN 'inferred' ELSE 'high' END AS confidence, count(*) AS n FROM a GROUP BY 1, 2""")
 def box_audit(spark: SparkSession, d: str) -> DataFrame:
-    """Why detections are dropped."""
+    """Why detections are dropped."""
     box = F.col("box")
     status = F.coalesce(geo.reject_reason(box, F.lit(480000.0)), F.lit("usable"))
     return boxes(spark, d).groupBy(status.alias("status"), geo.confidence(F.col("part"), F.lit(2)).alias("confidence")).agg(F.count(F.lit(1)).alias("n"))
@@ -114,7 +114,7 @@ def nearest_box(spark: SparkSession, d: str) -> DataFrame:
 @query("j18_box_overlaps", f"""WITH {_BOXES}, a AS (SELECT * FROM boxes WHERE part <= 3), d AS (SELECT * FROM boxes WHERE part > 3)
     SELECT a.item, a.tie, count(*) AS n, min(d.tie) AS least FROM a JOIN d ON a.item = d.item AND a.page = d.page AND a.x0 - 20 <= d.x1 AND d.x0 <= a.x1 + 20 AND a.y0 - 20 <= d.y1 AND d.y0 <= a.y1 + 20 GROUP BY 1, 2""")
 def box_overlaps(spark: SparkSession, d: str) -> DataFrame:
-    """Boxes that overlap on the same page."""
+    """Boxes that overlap on the same page."""
     rows = boxes(spark, d)
     a = rows.where("part <= 3")
     o = rows.where("part > 3").select("item", "page", F.col("tie").alias("other"), F.col("box").alias("other_box"))
@@ -130,11 +130,11 @@ def clean_ocr(spark: SparkSession, d: str) -> DataFrame:
 
 @query("t1_text_functions", r"""WITH c AS (SELECT doc_id, text, trim(regexp_replace(text, '\s+', ' ', 'g')) AS c FROM documents)
     SELECT doc_id, sha256(lower(c)) AS normalized_sha256, CASE WHEN length(c) <= 80 THEN c ELSE rtrim(left(c, 77)) || '...' END AS truncated, CASE WHEN length(text) <= 30 THEN text ELSE left(text, 30) || '…' END AS shortened,
-        regexp_replace(left(text, 60), '[\\/:*?"<>|]+', '_', 'g') AS filename FROM c""")
+        sha256(regexp_replace(text, '[\\/:*?"<>|]+', '_', 'g')) AS filename_sha256 FROM c""")
 def text_functions(spark: SparkSession, d: str) -> DataFrame:
     """T1-T5, T20, T32."""
     t = F.col("text")
-    return b.table(spark, d, "documents").select("doc_id", F.sha2(tx.normalized(t), 256).alias("normalized_sha256"), tx.truncated(t, 80).alias("truncated"), tx.shortened(t, 30).alias("shortened"), tx.safe_filename(F.left(t, F.lit(60))).alias("filename"))
+    return b.table(spark, d, "documents").select("doc_id", F.sha2(tx.normalized(t), 256).alias("normalized_sha256"), tx.truncated(t, 80).alias("truncated"), tx.shortened(t, 30).alias("shortened"), F.sha2(tx.safe_filename(t), 256).alias("filename_sha256"))
 
 
 @query("p7_moderation", """WITH p AS (SELECT unnest(['idiot', 'clown', 'pathetic', 'fraud', 'worthless']) AS p, unnest([1, 2, 3, 4, 5]) AS i)
@@ -157,7 +157,7 @@ def field_policy(spark: SparkSession, d: str) -> DataFrame:
 @query("r20_seed_scores", """WITH t AS (SELECT conv_id, turn, trim(coalesce(text, '')) AS t FROM conversations)
     SELECT conv_id, turn, round(CASE WHEN t = '' OR contains(lower(t), 'idiot') THEN 0 ELSE 0.6 * least(length(t) / 400.0, 1) + 0.4 * CASE WHEN contains(t, '?') THEN 1 ELSE 0 END END, 6)::DOUBLE AS score FROM t""")
 def seed_scores(spark: SparkSession, d: str) -> DataFrame:
-    """How well a comment opens a discussion."""
+    """How well a comment opens a discussion."""
     t = F.col("text")
     return b.table(spark, d, "conversations").select("conv_id", "turn", F.round(rules.seed_score(t, tx.blocked_phrase(t, ("idiot",)).isNotNull()), 6).alias("score"))
 
@@ -177,7 +177,7 @@ def token_overlap(spark: SparkSession, d: str) -> DataFrame:
     b AS (SELECT conv_id, turn, arg_max(CASE WHEN hits > 0 THEN sentence ELSE '' END, (hits, -i)) AS sentence, max(hits) AS hits, max(n) AS n FROM h GROUP BY 1, 2)
     SELECT conv_id, turn, sentence, round(CASE WHEN n > 0 THEN hits / sqrt(n) ELSE 0 END, 6)::DOUBLE AS score FROM b""")
 def best_sentence(spark: SparkSession, d: str) -> DataFrame:
-    """The sentence of the reply that shares most with a turn."""
+    """The sentence of the reply that shares most with a turn."""
     c = b.table(spark, d, "conversations")
     nxt = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("raw"))
     out = c.join(nxt, ["conv_id", "turn"]).withColumn("best", tx.best_sentence(F.col("raw"), F.col("text"))).where(F.trim("raw") != "")
@@ -202,7 +202,7 @@ _REFS = """t AS (SELECT event_id, ['See Table ' || k || ' and fig. 2', 'Figure '
     SELECT event_id, array_to_string(list_concat(list_transform(list_distinct(ts), lambda n: 'Table ' || n), list_transform(list_distinct(fs), lambda n: 'Figure ' || n), list_transform(list_distinct(ss), lambda n: 'Section ' || n)), '|') AS refs,
         len(regexp_extract_all(text, '(?i)section')) AS n_sections FROM r""")
 def references(spark: SparkSession, d: str) -> DataFrame:
-    """Tables, figures and sections that texts name."""
+    """Tables, figures and sections that texts name."""
     k = F.get_json_object("props", "$.k")
     texts = F.array(F.concat(F.lit("See Table "), k, F.lit(" and fig. 2")), F.concat(F.lit("Figure "), k, F.lit(" shows it; Section 3."), k), F.lit("no reference"), F.lit("Compare table 3 with Table 3"))
     t = b.table(spark, d, "events").withColumn("t", F.element_at(texts, (F.col("event_id") % 4 + 1).cast("int")))
@@ -216,9 +216,11 @@ def cosine_top(spark: SparkSession, d: str) -> DataFrame:
     e = b.table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("x"))
     blocks = max(1, -(-q.count() // 1000))  # every row meets the query set block by block
-    q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)))
-    rows = e.select(F.col("vec_id").alias("other"), "label", "embedding", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
-    p = rows.join(q, "block").where("other <> vec_id")
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a block's rows are dealt to so many tasks, each with the block's queries
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).select("*", each(parts).alias("part"))
+    rows = e.select(F.col("vec_id").alias("other"), "label", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), each(blocks).alias("block"))
+    p = rows.join(q, ["block", "part"]).where("other <> vec_id")
     p = p.withColumn("score", F.round(ranking.cosine(F.col("x"), F.col("embedding")), 6))
     order = [F.col("score").desc(), "other"]
     out = p.withColumn("n", F.row_number().over(Window.partitionBy("vec_id", "label").orderBy(*order))).where("n <= 2")
