@@ -197,7 +197,7 @@ def test_whitening_of_the_table(spark):
 
 def test_whitening_of_awkward_rows(spark):
     r = np.random.default_rng(3)
-    one = r.standard_normal(5).tolist()
+    one = (r.standard_normal(5) + 1e6).tolist()
     rows = [(i, (r.standard_normal(5) * [9, 5, 3, 2, 1] + 1e6).tolist()) for i in range(200)] + [(300 + i, one) for i in range(150)]
     rows += [(500, None), (501, [1.0, None, 2.0, 3.0, 4.0]), (502, [float("nan")] * 5), (503, [1.0, float("inf"), 0.0, 0.0, 0.0]), (504, [1e18] * 5), (None, one), (7, [1e6 + 40] * 5), (505, [])]
     df = spark.createDataFrame([(i, v, 1, "a") for i, v in rows], "vec_id long, embedding array<double>, component int, n string")
