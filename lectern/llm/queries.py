@@ -116,7 +116,48 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_sharding": op13_sharding,
 }
 
+#: The CRC-32 of bytes, bit by bit for the table of 256, then byte by byte. `{h}`: their hexadecimal digits.
+_CRC_TABLE = "bits AS (SELECT list(CAST(list_reduce(list_prepend(b, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, x: xor(c >> 1, 3988292384 * (c & 1))) AS BIGINT) ORDER BY b) AS t FROM (SELECT CAST(unnest(range(256)) AS BIGINT) AS b))"
+_CRC = "xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(1, length({h}) // 2 + 1), lambda i: CAST('0x' || ({h})[2 * i - 1 : 2 * i] AS BIGINT))), lambda a, b: xor(a >> 8, t[xor(a & 255, b) + 1])))"
+_LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _leaf_sql(text: str) -> str:
+    fields = [f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(fields)})"
+
+
 ORACLE_SQL: dict[str, str] = {
+    # Levels from the leaves up, then each leaf folded along its own way; tree -1 stands above the langs.
+    "op12_merkle_manifest": f"""
+        WITH RECURSIVE {_CRC_TABLE},
+             ids AS (SELECT doc_id, lang, {_leaf_sql("text")} AS leaf, {_leaf_sql(_LOWER)} AS lowered, {_CRC.format(h="hex(encode(CAST(doc_id AS VARCHAR)))")} % 3 AS third FROM documents, bits),
+             leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM ids),
+             langs AS (SELECT lang, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS j, count(*) OVER () AS m FROM (SELECT DISTINCT lang FROM leaves)),
+             low AS (SELECT j AS g, 0 AS h, i, n, leaf AS d FROM leaves JOIN langs ON leaves.lang IS NOT DISTINCT FROM langs.lang
+                     UNION ALL SELECT g, h + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM low WHERE n > 1 GROUP BY g, h, i // 8),
+             tops AS (SELECT g, d AS subroot FROM low WHERE n = 1),
+             high AS (SELECT 0 AS h, g AS i, (SELECT max(m) FROM langs) AS n, subroot AS d FROM tops
+                      UNION ALL SELECT h + 1, i // 8, (any_value(n) + 7) // 8, sha256(string_agg(d, '' ORDER BY i)) FROM high WHERE n > 1 GROUP BY h, i // 8),
+             kids AS (SELECT g, h, i, d FROM low WHERE n > 1 UNION ALL SELECT -1, h, i, d FROM high WHERE n > 1),
+             sides AS (SELECT g, h, i, coalesce(string_agg(d, '' ORDER BY i) OVER (PARTITION BY g, h, i // 8 ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l,
+                              coalesce(string_agg(d, '' ORDER BY i) OVER (PARTITION BY g, h, i // 8 ORDER BY i ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r FROM kids),
+             folded AS (SELECT row_number() OVER () AS row, j AS g, j, 0 AS h, i, doc_id, leaf, CASE WHEN third = 0 THEN lowered ELSE leaf END AS f, '' AS p FROM leaves JOIN langs ON leaves.lang IS NOT DISTINCT FROM langs.lang
+                        UNION ALL SELECT row, CASE WHEN s.g IS NULL THEN -1 ELSE a.g END, j, CASE WHEN s.g IS NULL THEN 0 ELSE a.h + 1 END, CASE WHEN s.g IS NULL THEN a.g ELSE a.i // 8 END, doc_id, leaf,
+                                         CASE WHEN s.g IS NULL THEN f ELSE sha256(s.l || f || s.r) END, p || coalesce(s.l || s.r, '')
+                                  FROM folded a LEFT JOIN sides s ON s.g = a.g AND s.h = a.h AND s.i = a.i WHERE a.g >= 0 OR s.g IS NOT NULL),
+             ends AS (SELECT *, row_number() OVER (PARTITION BY row ORDER BY g, h DESC) AS last FROM folded)
+        SELECT doc_id, leaf, subroot, (SELECT d FROM high WHERE n = 1) AS root, sha256(p) AS proof_sha256, f AS folded_root, f = (SELECT d FROM high WHERE n = 1) AS verified
+        FROM ends JOIN tops ON tops.g = ends.j WHERE last = 1
+    """,
+    "op13_sharding": f"""
+        WITH {_CRC_TABLE},
+             d AS (SELECT doc_id, coalesce(strlen(text), 0) + 8 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+             c AS (SELECT doc_id, size, {_CRC.format(h="h")} AS text_crc32 FROM d, bits),
+             s AS (SELECT *, sum(size) OVER (ORDER BY doc_id NULLS LAST, size, text_crc32 ROWS UNBOUNDED PRECEDING) - size AS start, sum(size) OVER () AS total FROM c),
+             p AS (SELECT *, CAST(least((2 * start + size) * 24 // (2 * total), 23) AS INTEGER) AS shard FROM s)
+        SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY start) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM p
+    """,
     "op3_benchmark_decontamination": r"""
         WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
              b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
