@@ -78,3 +78,19 @@ def ranked_in_parts(df: DataFrame, keys: list[str], coarse: Sequence[Column], or
     counts = counts.select(*keys, *parts, (F.sum("_n").over(Window.partitionBy(*keys).orderBy(*parts)) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy(*keys, *parts).orderBy(*order))
     return rows.withColumn("_own", own).join(counts, [*keys, *parts]).withColumn(name, (F.col("_before") + F.col("_own")).cast("int")).drop("_own", "_before", *parts)
+
+
+def summed_in_parts(df: DataFrame, keys: list[str], coarse: Sequence[Column], order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
+    """df with running sums of values within its key, up to and with each row, without bringing a key's rows together.
+
+    coarse: as in ranked_in_parts. Parts are added up first; only a part's own rows are ordered.
+    """
+    parts = [f"_part{i}" for i in range(len(coarse))]
+    rows = df.withColumns({**dict(zip(parts, coarse, strict=True)), **{f"_v_{n}": v for n, v in values.items()}})
+    totals = rows.groupBy(*keys, *parts).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    earlier = Window.partitionBy(*keys).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*keys, *parts, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in values])
+    own = Window.partitionBy(*keys, *parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumns({f"_own_{n}": F.sum(f"_v_{n}").over(own) for n in values}).join(totals, [*keys, *parts])
+    rows = rows.withColumns({n: F.col(f"_before_{n}") + F.col(f"_own_{n}") for n in values})
+    return rows.drop(*parts, *[f"{k}{n}" for n in values for k in ("_v_", "_own_", "_before_")])

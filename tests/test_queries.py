@@ -2,12 +2,12 @@
 
 import pytest
 
-from lectern.plans import audits, reports, review, stores, texts
+from lectern.plans import audits, layout, reports, review, stores, texts
 
 from oracle import SF, answer, rows
 
-QUERIES = review.QUERIES | texts.QUERIES | stores.QUERIES | audits.QUERIES | reports.QUERIES
-ORACLE = review.ORACLE | texts.ORACLE | stores.ORACLE | audits.ORACLE | reports.ORACLE
+QUERIES = review.QUERIES | texts.QUERIES | stores.QUERIES | audits.QUERIES | reports.QUERIES | layout.QUERIES
+ORACLE = review.ORACLE | texts.ORACLE | stores.ORACLE | audits.ORACLE | reports.ORACLE | layout.ORACLE
 
 
 @pytest.mark.parametrize("name", ORACLE)
