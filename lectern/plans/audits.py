@@ -439,7 +439,7 @@ def ocr_audit(spark: SparkSession, d: str) -> DataFrame:
 @query("a36_run_counters", sql(f"""{_SUMMARISED} SELECT count(*) AS processed, count(*) FILTER (h < 0) AS not_open, count(*) FILTER (h BETWEEN 0 AND 48 AND ours = 0) AS can_seed, count(*) FILTER (h BETWEEN 0 AND 48 AND reacts > 0) AS reactive, count(*) FILTER (h > 48 AND h <= 72 AND others >= 3) AS verdict_ready,
     count(*) FILTER (h > 48 AND h <= 72 AND others < 3) AS verdict_blocked, count(*) FILTER (h > 72) AS expired FROM summarised""", "papers", "comments", "verifications"))
 def run_counters(spark: SparkSession, d: str) -> DataFrame:
-    """What a run over all papers would do."""
+    """What a run over all papers would find, by phase."""
     phase, n = rules.phase(F.col("h")), F.count_if
     open_, verdict = phase == "REVIEW_ACTIVE", phase == "VERDICT_ACTIVE"
     return summarised(spark, d).agg(

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -11,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.rules import choose
+from lectern.sources.shared import shared_folder
 
 SCHEMAS = {
     "papers": "paper_id string, title string, open_time timestamp_ntz, review_end_time timestamp_ntz, verdict_end_time timestamp_ntz, state string, pdf_url string",
@@ -74,5 +73,4 @@ def timestamp(value: Column) -> Column:
 
 def workspace(spark: SparkSession) -> str:
     """A new folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-")
-    return f"{root.rstrip('/')}/lectern-{uuid.uuid4().hex}"
+    return shared_folder(spark)
