@@ -515,7 +515,7 @@ def table_match(spark: SparkSession, d: str) -> DataFrame:
 
 @query("x9_final_metrics", """SELECT user_id AS agent, arg_max(value, (ts, event_id)) FILTER (event_id % 3 > 0) AS cost, arg_max(event_type, (ts, event_id)) AS last_type, arg_min(event_id, (ts, event_id)) AS session, count(*) AS steps FROM events GROUP BY 1""")
 def final_metrics(spark: SparkSession, d: str) -> DataFrame:
-    """An agent's totals, of each the last value that isn't null; its session is its first event's."""
+    """An agent's totals, of each the last value that isn't null; its session is its first event's."""
     at = F.struct("ts", "event_id")
     known = F.when(F.col("event_id") % 3 > 0, at)
     return b.table(spark, d, "events").groupBy(F.col("user_id").alias("agent")).agg(F.max_by("value", known).alias("cost"), F.max_by("event_type", at).alias("last_type"), F.min_by("event_id", at).alias("session"), F.count(F.lit(1)).alias("steps"))
@@ -524,7 +524,7 @@ def final_metrics(spark: SparkSession, d: str) -> DataFrame:
 @query("u12_batch_replace", """WITH o AS (SELECT l_orderkey, l_linenumber, l_extendedprice, 0 AS batch FROM lineitem WHERE l_linestatus = 'F' UNION ALL SELECT l_orderkey, l_linenumber, l_extendedprice, 1 FROM lineitem WHERE l_linestatus = 'O')
     SELECT l_orderkey AS object_id, l_linenumber AS model, max_by(l_extendedprice, (batch, l_extendedprice)) AS value, max(batch) = 1 AS replaced FROM o GROUP BY 1, 2""")
 def batch_replace(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of a batch take the place of those with the same key."""
+    """Rows of a batch take the place of those with the same key."""
     rows = b.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("object_id"), F.col("l_linenumber").alias("model"), F.col("l_extendedprice").alias("value"), (F.col("l_linestatus") == "O").alias("batch"))
     return rows.groupBy("object_id", "model").agg(F.max_by("value", F.struct("batch", "value")).alias("value"), F.bool_or("batch").alias("replaced"))
 

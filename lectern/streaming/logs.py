@@ -14,15 +14,17 @@ EVENT = """type string, subtype string, model string, session_id string, cost_us
     usage:struct<input_tokens:long, output_tokens:long, cache_read_input_tokens:long, cache_creation_input_tokens:long>>"""
 
 
-def steps(lines: DataFrame) -> DataFrame:
+def steps(lines: DataFrame, keep_all: bool = False) -> DataFrame:
     """agent, seq, line to agent, seq, source, message, reasoning, tool_calls, results, prompt_tokens, completion_tokens, cost.
 
     One line is one step at most; blank lines, lists, empty messages and allowed rate limits give none. What isn't JSON is
-    a system message. Tool results come as `results` of a row without message, for attach().
+    a system message. Tool results come as `results` of a row without message, for attach(). keep_all: lines that give none
+    are rows, too, without message, calls or results.
     """
     line = F.trim("line")
     e = F.from_json(line, EVENT, {"mode": "PERMISSIVE"})
-    rows = lines.withColumn("_line", line).where("_line <> ''").withColumn("e", e)
+    rows = lines.withColumn("_line", line).withColumn("e", e)
+    rows = rows if keep_all else rows.where("_line <> ''")
     is_json = F.try_parse_json("_line").isNotNull()
     blocks = F.coalesce(F.col("e.message.content"), F.from_json(F.lit("[]"), "array<struct<type:string,text:string,thinking:string,id:string,name:string,input:string,tool_use_id:string,content:string>>"))
     of = lambda kind, field: F.filter(F.transform(F.filter(blocks, lambda b: b["type"] == kind), lambda b: F.trim(b[field])), lambda t: t != "")
@@ -45,6 +47,8 @@ def steps(lines: DataFrame) -> DataFrame:
         calls.alias("tool_calls"), results.alias("results"), (F.coalesce(usage["input_tokens"], F.lit(0)) + F.coalesce(usage["cache_read_input_tokens"], F.lit(0)) + F.coalesce(usage["cache_creation_input_tokens"], F.lit(0))).alias("prompt_tokens"),
         F.coalesce(usage["output_tokens"], F.lit(0)).alias("completion_tokens"), F.col("e.cost_usd").alias("cost"),
     )
+    if keep_all:
+        return out.withColumn("message", F.nullif(F.col("message"), F.lit("")))
     return out.where("message is not null or reasoning is not null or size(tool_calls) > 0 or size(results) > 0")
 
 

@@ -2,12 +2,12 @@
 
 import pytest
 
-from lectern.plans import audits, layout, reports, review, runs, stores, texts
+from lectern.plans import audits, layout, reports, review, runs, stores, texts, writes
 
 from oracle import SF, answer, rows
 
-QUERIES = review.QUERIES | texts.QUERIES | stores.QUERIES | audits.QUERIES | reports.QUERIES | layout.QUERIES | runs.QUERIES
-ORACLE = review.ORACLE | texts.ORACLE | stores.ORACLE | audits.ORACLE | reports.ORACLE | layout.ORACLE | runs.ORACLE
+QUERIES = review.QUERIES | texts.QUERIES | stores.QUERIES | audits.QUERIES | reports.QUERIES | layout.QUERIES | runs.QUERIES | writes.QUERIES
+ORACLE = review.ORACLE | texts.ORACLE | stores.ORACLE | audits.ORACLE | reports.ORACLE | layout.ORACLE | runs.ORACLE | writes.ORACLE
 
 
 @pytest.mark.parametrize("name", ORACLE)
