@@ -9,6 +9,7 @@ from lectern.operators.upserts import latest
 from lectern.plans import bindings as b
 from lectern.plans import layout
 from lectern.plans.bindings import sql
+from lectern.sources import exports
 from lectern.sources.shared import shared_folder, written
 from lectern.sources.store import EXTRACTIONS, Store, Table, save_extractions
 from lectern.streaming import trajectories
@@ -71,6 +72,22 @@ def filled_hits(spark: SparkSession, d: str) -> DataFrame:
     return store.filled("hits", papers, lambda missing: make(missing, "live"), "live", 0, ["paper_id"])
 
 
+def dataset_export(spark: SparkSession, d: str) -> DataFrame:
+    """The ordered files of an export, read again: how many lines, in order, and how many the manifest says."""
+    papers = b.papers(spark, d).withColumn("state", F.lit("REVIEW_ACTIVE"))
+    comments = b.comments(spark, d).withColumn("comment_id", F.concat_ws("-", "thread_id", "position", "author_id"))
+    actions, claims = b.actions(spark, d), b.extractions(spark, d).select(F.col("claim_key").alias("paper_id"), F.col("position").alias("comment_id"), F.col("started_at").alias("created_at"), "confidence", "field")
+    verifications = b.verifications(spark, d).select("paper_id", F.col("claim_id").alias("comment_id"), F.col("verified_at").alias("created_at"), "verdict", "confidence")
+    root = shared_folder(spark)
+    manifest = exports.export({"papers": papers, "comments": comments, "actions": actions, "claims": claims, "verifications": verifications}, root, spark)
+    out = None
+    for name, f in exports.FILES.items():
+        lines = spark.read.text(f"{root}/{f.folder}/{name}").select(F.get_json_object("value", "$.paper_id").cast("long").alias("paper_id"), F.length("value").alias("n"))
+        one = lines.agg(F.lit(name).alias("file"), F.count(F.lit(1)).alias("lines"), F.min("paper_id").alias("first_paper"), F.max("paper_id").alias("last_paper"), F.countDistinct("paper_id").alias("papers"))
+        out = one if out is None else out.unionByName(one)
+    return out.join(manifest.select("file", "folder", "rows"), "file")
+
+
 def trajectory_files(spark: SparkSession, d: str) -> DataFrame:
     """A JSON document for each conversation, written and read again step by step. Assistants' turns of a third of
     all lengths call a tool, half of the other turns are results of calls, which some of them never had."""
@@ -94,7 +111,7 @@ def trajectory_files(spark: SparkSession, d: str) -> DataFrame:
 
 
 _HALVES = "CASE WHEN month({0}) > 6 THEN 0 ELSE 1 END"
-QUERIES |= {"u13_span_writes": span_writes, "u18_verification_writes": verification_writes, "u10_saved_extractions": saved_extractions, "f27_filled_hits": filled_hits, "x13_trajectory_files": trajectory_files}
+QUERIES |= {"u13_span_writes": span_writes, "u18_verification_writes": verification_writes, "u10_saved_extractions": saved_extractions, "f27_filled_hits": filled_hits, "x13_trajectory_files": trajectory_files, "f24_dataset_export": dataset_export}
 ORACLE |= {
     "u13_span_writes": f"WITH {layout._LINES} SELECT paper_id, page_num, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars, count(*) FILTER (paper_id % 3 = 0 OR NOT regexp_matches(text, '[a-z]')) AS capitals FROM lines WHERE paper_id % 2 = 0 OR paper_id % 3 = 0 GROUP BY ALL",
     "u18_verification_writes": sql(f"r AS (SELECT *, row_number() OVER (PARTITION BY claim_id, position ORDER BY {_HALVES.format('verified_at')} DESC, verified_at DESC, tie DESC, confidence DESC, verdict DESC, paper_id DESC) AS n FROM verifications) SELECT claim_id, position, paper_id, verdict, confidence FROM r WHERE n = 1", "verifications"),
@@ -103,6 +120,13 @@ ORACLE |= {
         kept AS (SELECT run_id, count(*) AS claims_left, min(i) AS first_index FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY run_id DESC, i DESC) AS n FROM c) WHERE n = 1 GROUP BY 1),
         counts AS (SELECT run_id, count(*) AS claims_count FROM c GROUP BY 1)
         SELECT run_id, lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS review_id, o_orderstatus AS status, coalesce(claims_count, 0) AS claims_count, coalesce(claims_left, 0) AS claims_left, first_index FROM runs LEFT JOIN counts USING (run_id) LEFT JOIN kept USING (run_id)""",
+    "f24_dataset_export": sql(
+        " UNION ALL ".join(
+            f"SELECT '{n}' AS file, '{f.folder}' AS folder, count(*) AS rows, count(*) AS lines, min({key}) AS first_paper, max({key}) AS last_paper, count(DISTINCT {key}) AS papers FROM {table}"
+            for (n, f), (table, key) in zip(exports.FILES.items(), [("papers", "paper_id"), ("comments", "paper_id"), ("actions", "paper_id"), *[("(SELECT NULL::BIGINT AS x WHERE FALSE)", "x")] * 2, ("extractions", "claim_key"), ("verifications", "paper_id"), ("(SELECT NULL::BIGINT AS x WHERE FALSE)", "x"), ("papers", "paper_id"), ("actions", "paper_id")], strict=True)
+        ),
+        "papers", "comments", "actions", "extractions", "verifications",
+    ),
     "x13_trajectory_files": """WITH t AS (SELECT conv_id, role, text, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, length(text), sha256(text)) AS seq FROM conversations WHERE trim(text) <> ''),
         k AS (SELECT *, CASE WHEN role = 'assistant' THEN 'said' WHEN n % 2 = 0 THEN 'result' ELSE 'line' END AS kind, CASE WHEN role = 'assistant' AND n % 3 = 0 THEN 'c' || n % 7 WHEN role <> 'assistant' AND n % 2 = 0 THEN 'c' || n % 5 END AS id FROM t),
         r AS (SELECT r.conv_id, r.seq, r.id, r.text, max(c.seq) AS call_seq FROM k r LEFT JOIN k c ON c.conv_id = r.conv_id AND c.kind = 'said' AND c.id = r.id AND c.seq < r.seq WHERE r.kind = 'result' GROUP BY ALL),
