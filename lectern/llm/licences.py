@@ -171,26 +171,35 @@ def _default() -> Notices:
     return Notices(NOTICES, PHRASES)
 
 
-def _chains(matches: list[tuple[int, int, int]], size: int) -> list[tuple[int, int, int, int, int]]:
-    """Chains matches (start in the document, start in the notice, words) that go forward in both with small gaps.
+def _chains(matches: list[tuple[int, int, int]], least: float = 0.0) -> list[tuple[int, int, int, int, int]]:
+    """The best chains of matches (start in the document, start in the notice, words), none of which overlap in the document.
+
+    A chain goes forward in both, with at most GAP words left out between two matches; where these overlap, only the words that
+    are new in both count. Of all chains that end with a match the one that covers most is known from those that end with the
+    matches before it, so that one taken early on doesn't stand in the way of a better one. Matches further back than GAP words
+    can't go on and are let go. least: words that a chain must cover.
 
     Per chain: first and last word in the document, first and last in the notice (ends excluded), words covered.
     """
-    out: list[list[int]] = []
+    ends: list[tuple[int, int, int, int, int]] = []  # of the best chain to each match: words covered, and where it lies
+    live: list[tuple[int, int, int, int, int, int, int]] = []  # the same, and the last match's own starts
     for d, t, n in sorted(matches):
-        best = None
-        for chain in reversed(out):
-            if d - chain[1] > GAP:
-                break
-            if chain[3] <= t + chain[1] - d + n and t >= chain[2] and t + n > chain[3] and d + n > chain[1] and t - chain[3] <= GAP:
-                best = chain
-                break
-        if best is None:
-            out.append([d, d + n, t, t + n, n])
-        else:
-            fresh = min(n, d + n - best[1], t + n - best[3])
-            best[1], best[3], best[4] = d + n, t + n, best[4] + fresh
-    return [tuple(c) for c in out]
+        live = [x for x in live if d - x[2] <= GAP]
+        best = (n, d, d + n, t, t + n)
+        for covered, d0, d1, t0, t1, from_d, from_t in live:
+            if t >= from_t and d >= from_d and t + n > t1 and d + n > d1 and t - t1 <= GAP:
+                more = covered + min(n, d + n - d1, t + n - t1)
+                if more > best[0]:
+                    best = (more, d0, d + n, t0, t + n)
+        ends.append(best)
+        live.append((*best, d, t))
+    out: list[tuple[int, int, int, int, int]] = []
+    for covered, d0, d1, t0, t1 in sorted(ends, key=lambda x: (-x[0], x[2] - x[1], x)):
+        if covered < least:
+            break
+        if all(d1 <= a or b <= d0 for a, b, *_ in out):
+            out.append((d0, d1, t0, t1, covered))
+    return sorted(out)
 
 
 def scan(codes: list[int], runs: list[tuple[int, int]], those: Notices) -> tuple[list[tuple[int, int]], list[dict]]:
@@ -217,8 +226,8 @@ def scan(codes: list[int], runs: list[tuple[int, int]], those: Notices) -> tuple
     found = []
     for notice, own in matches.items():
         size = len(those.sequences[notice])
-        for d0, d1, t0, t1, covered in _chains(own, size):
-            if covered >= COVER * size and notice >= those.base:
+        if notice >= those.base:
+            for d0, d1, t0, t1, covered in _chains(own, COVER * size):
                 found.append({"label": those.labels[notice], "notice": notice, "first_word": d0, "last_word": d1 - 1, "notice_from": t0, "notice_to": t1, "covered": min(1.0, covered / size)})
     for phrase, at in places:
         n = len(those.sequences[phrase])
