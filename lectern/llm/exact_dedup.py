@@ -7,7 +7,7 @@ from comparing the blocks and pairs themselves; a hash only sets the order in wh
 
 Each sort is by (hash, order of the document), so that a block that a third of all documents have is spread over
 as many tasks as it needs; names of a block that lies on both sides of a task's edge are joined afterwards, from the
-edges alone.
+edges alone: the driver gets the name and the SHA-256 of each block whose hash is a task's first or last.
 
 Null texts are empty; all empty texts are one group. Null ids come last in ties, repeated ids are separate rows.
 An empty table gives an empty result.
@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lectern.llm._common import Scratch, ordered, partitions
@@ -71,11 +71,11 @@ def _local_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if first_hash is None:
             first_hash = int(hashes[0])
         for i in np.flatnonzero(new & (hashes == first_hash)):
-            firsts.append((first_hash, int(names[i]), block[int(i)].as_py()))
+            firsts.append((first_hash, int(names[i]), hashlib.sha256(block[int(i)].as_py()).digest()))
         if edge_hash != int(hashes[-1]):
             edge_hash, edges = int(hashes[-1]), []
         for i in np.flatnonzero(new & (hashes == edge_hash)):
-            edges.append((edge_hash, int(names[i]), block[int(i)].as_py()))
+            edges.append((edge_hash, int(names[i]), hashlib.sha256(block[int(i)].as_py()).digest()))
         count, last = int(names[-1]) + 1, block[len(batch) - 1].as_py()
         keep = [c for c in batch.schema.names if c not in ("block", "hash")]
         n = len(batch)
@@ -86,28 +86,34 @@ def _local_names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(pa.nulls(len(rows), f.type) for f in keep), pa.array([part] * len(rows), pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], names=[*(f.name for f in keep), "part", "local", "edge_hash", "edge"])
 
 
+def block_hash() -> Column:
+    return F.xxhash64("block")
+
+
 def named(blocks: DataFrame, scratch: Scratch, table: str) -> DataFrame:
     """Replaces column block (binary) by name (long): equal for equal blocks only. Needs ord, never null."""
     spark = blocks.sparkSession
-    rows = blocks.withColumn("hash", F.xxhash64("block"))
+    rows = blocks.withColumn("hash", block_hash())
     keep = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blocks.schema if f.name != "block")
     rows = rows.repartitionByRange(partitions(spark), "hash", "ord").sortWithinPartitions("hash", "block", "ord")
     rows = scratch.table(rows.mapInArrow(_local_names, f"{keep}, part int, local long, edge_hash long, edge binary"), table)
-    # a few rows for each task: how many names it gave, and its blocks that may lie in the next task, too
-    base, at, before, alias = [], 0, {}, []
+    # a few rows for each task: how many names it gave, and its blocks that may lie in another task, too
+    base, at, alias = [], 0, []
+    running, known = None, {}  # the hash that the parts so far end with, and the names of all its blocks
     ends: dict[int, list] = {}
     for r in rows.where("ord is null").select("part", "local", "edge_hash", "edge").collect():
         ends.setdefault(r.part, []).append(r)
     for part in sorted(ends):
         base.append((part, at))
-        here: dict[tuple, int] = {}
-        for r in ends[part]:
-            if r.edge is not None:
-                key = (r.edge_hash, bytes(r.edge))
-                if key in before:
-                    alias.append((part, r.local, before[key]))
-                here[key] = before.get(key, at + r.local)
-        before = here
+        own = [(r.edge_hash, bytes(r.edge), r.local) for r in ends[part] if r.edge is not None]
+        same = {local: known[block] for h, block, local in own if h == running and block in known}
+        alias += [(part, local, name) for local, name in same.items()]
+        last = max(h for h, _, _ in own)
+        if last != running:
+            running, known = last, {}
+        for h, block, local in own:
+            if h == last:
+                known.setdefault(block, at + local)
         at += next(r.local for r in ends[part] if r.edge is None)
     bases = F.broadcast(spark.createDataFrame(base, "part int, base long"))
     aliases = F.broadcast(spark.createDataFrame(alias, "part int, local long, same long"))
