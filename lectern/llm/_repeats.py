@@ -33,6 +33,8 @@ from lectern.llm._common import CHUNK, FILTER_BITS, NOT_SPACE, PLACE_BITS, Scrat
 
 #: Bytes of sort keys that a task holds before it hands on what is left of its entries.
 HELD = 40 << 20
+#: Suffixes that get sort keys at once.
+ADDED = 1 << 15
 _ROWS = "anchor long, block long, pos long, more int, off int, first long, gone boolean"
 _NAMES = ["anchor", "block", "pos", "more", "off", "first", "gone"]
 _PLACE = (1 << PLACE_BITS) - 1
@@ -202,7 +204,7 @@ class Family:
 
 def _parts(n: int) -> list[tuple[int, int]]:
     """Runs of a long row of symbols that are worked on one after the other."""
-    return [(a, min(n, a + 4 * CHUNK)) for a in range(0, n, 4 * CHUNK)] or [(0, 0)]
+    return [(a, min(n, a + CHUNK)) for a in range(0, n, CHUNK)] or [(0, 0)]
 
 
 def block_entries(docs: DataFrame, kind: Kind) -> DataFrame:
@@ -221,10 +223,12 @@ def block_entries(docs: DataFrame, kind: Kind) -> DataFrame:
                 places = at if high - low == len(symbols) else np.array([0, len(own)])
                 b = Blocks(Spans(own), places, width, kind.k)
                 more, off = (b.last - b.first).astype(np.int32), (b.place - b.first).astype(np.int32)
-                keys = suffix_words(own, b.first, more + width, 2 * width - kind.k) if by_bytes else np.stack([b.anchor, b.block], axis=1)
-                family.add(keys, signed(b.anchor), signed(b.block), (order[b.doc] << PLACE_BITS) | (low + b.first - places[b.doc]), more, off)
-                if family.held() > HELD:
-                    yield from family.rows()
+                for i in range(0, len(more), ADDED):  # where symbols repeat at once, nearly each begins a block
+                    some = slice(i, i + ADDED)
+                    keys = suffix_words(own, b.first[some], more[some] + width, 2 * width - kind.k) if by_bytes else np.stack([b.anchor[some], b.block[some]], axis=1)
+                    family.add(keys, signed(b.anchor[some]), signed(b.block[some]), (order[b.doc[some]] << PLACE_BITS) | (low + b.first[some] - places[b.doc[some]]), more[some], off[some])
+                    if family.held() > HELD:
+                        yield from family.rows()
         yield from family.rows()
 
     return docs.select("ord", "text").mapInArrow(entries, _ROWS)
