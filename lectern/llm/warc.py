@@ -29,28 +29,68 @@ RECORD = "record_id string, type string, target_uri string, date string, refers_
 DATE = "2024-01-01T00:00:00Z"
 _SCHEMA = pa.schema([(c, pa.string()) for c in ("record_id", "type", "target_uri", "date", "refers_to", "content_type")] + [("headers", pa.map_(pa.string(), pa.string())), ("block", pa.binary())])
 _BREAKS = {"p", "br", "div", "li", "ul", "ol", "tr", "table", "h1", "h2", "h3", "h4", "h5", "h6", "article", "section", "header", "footer", "nav", "title", "blockquote", "pre", "hr"}
-# No pattern goes back over what it has passed, so that broken pages take no longer than others.
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b.*?(?:</\1\s*+>|\Z)|<!?/?([a-zA-Z][a-zA-Z0-9]*+)?+[^<>]*+>", re.S | re.I)
-_TITLE, _TITLE_END, _ANCHOR = re.compile(r"<title\b", re.I), re.compile(r"</title\b", re.I), re.compile(r"<a\s", re.I)
-_HREF = re.compile(r"""[^>]*?\shref\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++))""", re.I)
+_START = re.compile(r"<!--|</?([a-zA-Z][^\s/>]*+)|<[!?/]")
+_STOP = re.compile(r"[<>\"']")
+_ATTRIBUTE = re.compile(r"""([^\s=<>"'/]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s>]++)))?+""")
+_ENDS = {name: re.compile(rf"</{name}\b", re.I) for name in ("script", "style", "title")}
+
+
+def tags(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
+    """Comments, declarations, scripts and tags in turn: name (with a slash if it ends an element; "" if it has none), where it
+    begins, where its attributes begin, where it ends, and whether it is closed.
+
+    Quotes after an equals sign hold what they hold, `>` too. A tag that isn't closed ends before the next `<`. A script or style
+    goes on to its end tag. What has been passed is not looked at again, so a broken page takes no longer than another.
+    """
+    at, no_more = 0, {'"': len(page), "'": len(page)}  # from where on a quote has no second one
+    while found := _START.search(page, at):
+        begin, p = found.start(), found.end()
+        if found[0] == "<!--":
+            end = page.find("-->", p)
+            at = end + 3 if end >= 0 else len(page)
+            yield "", begin, p, at, True
+            continue
+        closed = False
+        while stop := _STOP.search(page, p):
+            p = stop.start()
+            if page[p] in "<>":
+                closed = page[p] == ">"
+                break
+            before = p - 1
+            while before > begin and page[before].isspace():
+                before -= 1
+            other = page.find(page[p], p + 1) if page[before] == "=" and p < no_more[page[p]] else -1
+            if other < 0 and page[before] == "=":
+                no_more[page[p]] = min(no_more[page[p]], p)
+            p = other + 1 if other >= 0 else p + 1
+        else:
+            p = len(page)
+        at = p + 1 if closed else p
+        name = ("/" if page[begin + 1] == "/" else "") + (found[1] or "").lower()
+        start = found.end()
+        if closed and name in ("script", "style"):
+            end = _ENDS[name].search(page, at)
+            at = end.start() if end else len(page)
+        yield name, begin, start, at, closed
 
 
 def title_of(page: str) -> str | None:
     """What stands between the first title tag and the next one that ends it."""
-    start = _TITLE.search(page)
-    after = page.find(">", start.end()) if start else -1
-    end = _TITLE_END.search(page, after + 1) if after >= 0 else None
-    return " ".join(html.unescape(page[after + 1 : end.start()]).split()) if end else None
+    for name, _, _, end, closed in tags(page):
+        if name == "title" and closed:
+            last = _ENDS["title"].search(page, end)
+            return " ".join(html.unescape(page[end : last.start()]).split()) if last else None
+    return None
 
 
 def links_of(page: str) -> list[str]:
-    """The targets of all anchors. An anchor that isn't closed ends where the next tag begins."""
+    """The targets of all anchors outside comments and scripts. An anchor that isn't closed ends where the next tag begins."""
     out = []
-    for anchor in _ANCHOR.finditer(page):
-        end = page.find("<", anchor.end())
-        found = _HREF.match(page, anchor.end() - 1, end if end >= 0 else len(page))
-        if found:
-            out.append(html.unescape(next(g for g in found.groups() if g is not None)))
+    for name, _, start, end, _ in tags(page):
+        if name == "a":
+            target = next((next((g for g in m.groups()[1:] if g is not None), None) for m in _ATTRIBUTE.finditer(page, start, end) if m[1].lower() == "href"), None)
+            if target is not None:
+                out.append(html.unescape(target))
     return out
 
 
@@ -64,8 +104,13 @@ def record_id(*of: str) -> str:
 
 def page_text(page: str) -> str:
     """What a reader sees: no scripts, styles, comments or tags; one line for each block of text."""
-    bare = _MARKUP.sub(lambda m: "\n" if (m[2] or "").lower() in _BREAKS else "", page)
-    lines = (" ".join(line.split()) for line in html.unescape(bare).split("\n"))
+    bare, at = [], 0
+    for name, begin, _, end, closed in tags(page):
+        if closed:  # what only looks like a tag stays
+            bare += [page[at:begin], "\n" if name.lstrip("/") in _BREAKS else ""]
+            at = end
+    bare.append(page[at:])
+    lines = (" ".join(line.split()) for line in html.unescape("".join(bare)).split("\n"))
     return "\n".join(line for line in lines if line)
 
 
