@@ -45,6 +45,10 @@ def tags(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
     at, no_more = 0, {'"': len(page), "'": len(page)}  # from where on a quote has no second one
     while found := _START.search(page, at):
         begin, p = found.start(), found.end()
+        if page[p : p + 1] == ">" and found[1] and (name := found[1].lower()) not in ("script", "style"):  # most tags
+            at = p + 1
+            yield ("/" + name if page[begin + 1] == "/" else name), begin, p, at, True
+            continue
         if found[0] == "<!--":
             end = page.find("-->", p)
             at = end + 3 if end >= 0 else len(page)
@@ -74,24 +78,42 @@ def tags(page: str) -> Iterator[tuple[str, int, int, int, bool]]:
         yield name, begin, start, at, closed
 
 
-def title_of(page: str) -> str | None:
-    """What stands between the first title tag and the next one that ends it."""
-    for name, _, _, end, closed in tags(page):
-        if name == "title" and closed:
-            last = _ENDS["title"].search(page, end)
-            return " ".join(html.unescape(page[end : last.start()]).split()) if last else None
-    return None
-
+def scanned(page: str) -> tuple[str | None, list[str], str]:
+    """A page's title, links and text, from one pass.
 
-def links_of(page: str) -> list[str]:
-    """The targets of all anchors outside comments and scripts. An anchor that isn't closed ends where the next tag begins."""
-    out = []
-    for name, _, start, end, _ in tags(page):
+    Title: what stands between the first title tag and the next one that ends it. Links: the targets of all anchors outside
+    comments and scripts; an anchor that isn't closed ends where the next tag begins. Text: what a reader sees, without scripts,
+    styles, comments or tags, one line for each block of text; what only looks like a tag stays.
+    """
+    title, links, bare, at, seen = None, [], [], 0, False
+    for name, begin, start, end, closed in tags(page):
         if name == "a":
             target = next((next((g for g in m.groups()[1:] if g is not None), None) for m in _ATTRIBUTE.finditer(page, start, end) if m[1].lower() == "href"), None)
             if target is not None:
-                out.append(html.unescape(target))
-    return out
+                links.append(html.unescape(target))
+        elif name == "title" and closed and not seen:
+            seen, last = True, _ENDS["title"].search(page, end)
+            title = " ".join(html.unescape(page[end : last.start()]).split()) if last else None
+        if closed:
+            bare.append(page[at:begin])
+            if name and (name[1:] if name[0] == "/" else name) in _BREAKS:
+                bare.append("\n")
+            at = end
+    bare.append(page[at:])
+    lines = (" ".join(line.split()) for line in html.unescape("".join(bare)).split("\n"))
+    return title, links, "\n".join(line for line in lines if line)
+
+
+def title_of(page: str) -> str | None:
+    return scanned(page)[0]
+
+
+def links_of(page: str) -> list[str]:
+    return scanned(page)[1]
+
+
+def page_text(page: str) -> str:
+    return scanned(page)[2]
 
 
 def digest(block: bytes) -> str:
@@ -102,18 +124,6 @@ def record_id(*of: str) -> str:
     return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, chr(10).join(of))}>"
 
 
-def page_text(page: str) -> str:
-    """What a reader sees: no scripts, styles, comments or tags; one line for each block of text."""
-    bare, at = [], 0
-    for name, begin, _, end, closed in tags(page):
-        if closed:  # what only looks like a tag stays
-            bare += [page[at:begin], "\n" if name.lstrip("/") in _BREAKS else ""]
-            at = end
-    bare.append(page[at:])
-    lines = (" ".join(line.split()) for line in html.unescape("".join(bare)).split("\n"))
-    return "\n".join(line for line in lines if line)
-
-
 def split_http(block: bytes) -> tuple[str, list[tuple[str, str]], bytes]:
     """Status line, headers and payload of an HTTP response; without a head, all is payload."""
     if not block.startswith(b"HTTP/"):
@@ -158,20 +168,19 @@ def derived(source_id: str, uri: str | None, date: str | None, headers: dict[str
         page = payload.decode(charset, "replace")
     except LookupError:
         page = payload.decode("utf-8", "replace")
-    title = title_of(page)
+    title, links, text = scanned(page)
     about = [("source-status", status)] if status else []
     about += [(f"source-http-{k.lower()}", v) for k, v in http]
     about += [(f"source-{k.lower()}", v) for k, v in headers.items() ]
     if title is not None:
         about.append(("title", title))
-    about += [("outlink", x) for x in links_of(page)]
+    about += [("outlink", x) for x in links]
     fields = "".join(f"{k}: {re.sub(r'[\r\n]+', ' ', v)}\r\n" for k, v in about).encode()
-    text = page_text(page).encode()
     same = {"WARC-Source-Payload-Digest": headers.get("WARC-Payload-Digest") or digest(payload)}
     meta = record_id("metadata", source_id)
     return [
         _record(meta, "metadata", uri, date, source_id, "application/warc-fields", {}, fields),
-        _record(record_id("conversion", source_id), "conversion", uri, date, source_id, "text/plain; charset=utf-8", same | {"WARC-Concurrent-To": meta}, text),
+        _record(record_id("conversion", source_id), "conversion", uri, date, source_id, "text/plain; charset=utf-8", same | {"WARC-Concurrent-To": meta}, text.encode()),
     ]
 
 
