@@ -261,7 +261,8 @@ def comment_failure(phase: Column, karma: Column, cost: Column, url: Column, blo
 
 
 def verdict_failure(url: Column, score: Column, cited: Column, eligible: Column) -> Column:
-    return choose((placeholder(url), "url"), (~score.between(0.0, 10.0), "score"), (cited < 3, "citations"), (~eligible, "eligibility"))
+    """The first check that keeps a verdict from being submitted; a score that isn't there is out of range, too."""
+    return choose((placeholder(url), "url"), (~F.coalesce(score.between(0.0, 10.0), F.lit(False)), "score"), (cited < 3, "citations"), (~eligible, "eligibility"))
 
 
 def crowding_note(band: Column) -> Column:

@@ -7,32 +7,37 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.sources.shared import written
 
-#: Parts of a key's range of values that are counted before any rows are ordered.
-BUCKETS = 4096
+#: Parts of a range of values that are counted before any rows are ordered, and the most rows of a part that are then.
+BUCKETS, ORDERED = 4096, 1 << 16
 
 
-def ordered_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
+def ordered_statistics(df: DataFrame, keys: Sequence[str], value: str, most: int = ORDERED) -> DataFrame:
     """n, mean, upper median v[n // 2] and p95 v[max(0, int(0.95 n) - 1)] of each key's sorted values; nulls don't count.
 
-    Values are counted by key and part of the key's range first; only the rows of the two parts that hold the asked places
-    are ordered, so no key is sorted or gathered whole.
+    Values are counted by part of the key's range, and the part that holds an asked place is cut again by its own range until it
+    has few rows or one value, so that neither an outlier nor a value that many rows have brings a key's rows into one task.
     """
     rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("_v"))
     whole = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("_v").alias("mean"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
-    share = (F.col("_v") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
-    part = F.coalesce(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)).cast("int")
-    rows = rows.join(whole, [*keys]).select(*keys, "_v", "n", part.alias("_part"))
-    counts = rows.groupBy(*keys, "n", "_part").agg(F.count(F.lit(1)).alias("_c"))
-    before = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_part")) - F.col("_c")
     p95 = F.greatest(F.lit(0), F.floor(F.col("n") * 95 / F.lit(100)).cast("int") - 1)
-    places = F.array(F.struct(F.lit("median").alias("_what"), F.floor(F.col("n") / 2).alias("_at")), F.struct(F.lit("p95").alias("_what"), p95.cast("long").alias("_at")))
-    asked = counts.withColumn("_before", before).select(*keys, "_part", "_c", "_before", F.inline(places)).where((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_c")))
-    asked = asked.select(*keys, "_part", "_what", (F.col("_at") - F.col("_before")).alias("_at"))
-    near = rows.join(asked, [*keys, "_part"])
-    found = near.withColumn("_i", F.row_number().over(Window.partitionBy(*keys, "_part", "_what").orderBy("_v")) - 1).where("_i = _at")
-    found = found.groupBy(*keys).agg(*(F.max(F.when(F.col("_what") == w, F.col("_v"))).alias(w) for w in ("median", "p95")))
-    return whole.drop("_low", "_high").join(found, [*keys])
+    places = F.array(F.struct(F.lit("median").alias("_what"), F.floor(F.col("n") / 2).cast("long").alias("_at")), F.struct(F.lit("p95").alias("_what"), p95.cast("long").alias("_at")))
+    asked = whole.select(*keys, "_low", "_high", F.col("n").alias("_c"), F.inline(places))
+    on = [*keys, "_what"]
+    while not (asked := written(asked)).where((F.col("_low") < F.col("_high")) & (F.col("_c") > most)).isEmpty():
+        share = (F.col("_v") - F.col("_low")) / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0))
+        part = F.coalesce(F.least(F.floor(share * BUCKETS), F.lit(BUCKETS - 1)), F.lit(0)).cast("int")
+        near = rows.join(asked, list(keys)).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+        counts = near.groupBy(*on, "_at", part.alias("_part")).agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+        before = F.sum("_c").over(Window.partitionBy(*on).orderBy("_part")) - F.col("_c")
+        counts = counts.withColumn("_before", before).where((F.col("_at") >= F.col("_before")) & (F.col("_at") < F.col("_before") + F.col("_c")))
+        asked = counts.select(*keys, "_low", "_high", "_c", "_what", (F.col("_at") - F.col("_before")).alias("_at"))
+    plain = asked.where("_low = _high").select(*on, F.col("_low").alias("_v"))
+    few = rows.join(asked.where("_low < _high"), list(keys)).where(F.col("_v").between(F.col("_low"), F.col("_high")))
+    few = few.withColumn("_i", F.row_number().over(Window.partitionBy(*on).orderBy("_v")) - 1).where("_i = _at").select(*on, "_v")
+    found = plain.unionByName(few).groupBy(*keys).agg(*(F.max(F.when(F.col("_what") == w, F.col("_v"))).alias(w) for w in ("median", "p95")))
+    return whole.drop("_low", "_high").join(found, list(keys))
 
 
 def majority(df: DataFrame, keys: Sequence[str], value: str, position: str) -> DataFrame:

@@ -69,3 +69,8 @@ def test_ranks_and_statistics_in_parts(spark):
     for r in aggregates.ordered_statistics(df, ["k"], "v").collect():
         v = sorted(x for k, x, _ in rows if k == r["k"])
         assert (r["n"], r["median"], r["p95"]) == (len(v), v[len(v) // 2], v[max(0, int(len(v) * 0.95) - 1)])
+
+
+def test_a_missing_score_fails(spark):
+    df = spark.createDataFrame([("https://x/y", None, 3, True), ("https://x/y", 10.0, 3, True), ("https://x/y", 10.5, 3, True), ("", None, 3, True)], "url string, score double, cited int, eligible boolean")
+    assert [r[0] for r in df.select(ev.verdict_failure(*map(F.col, df.columns))).collect()] == ["score", None, "score", "url"]

@@ -124,3 +124,17 @@ def test_sources(spark, tmp_path):
     assert one(spark, tables.timestamp(F.lit("2024-01-02T03:04:05Z"))) == dt.datetime(2024, 1, 2, 3, 4, 5)
     assert one(spark, tables.timestamp(F.lit("soon"))) is None
     assert one(spark, tables.unwrapped(F.lit('{"value": "v"}'))) == "v"
+
+
+@pytest.mark.parametrize("most", [3, 50, 10**6])
+def test_ordered_statistics_with_outliers(spark, most):
+    """One value far away, one that a third of the rows have, negative ones, and a key of a single value."""
+    import random
+
+    r = random.Random(7)
+    values = {"a": [r.random() * 100 for _ in range(600)] + [1e9], "b": [5.0] * 200 + [r.gauss(0, 1) for _ in range(300)], "c": [2.5], "d": [7.0] * 99, "e": [1e9 + x for x in range(100)] + [-1e300]}
+    df = spark.createDataFrame([(k, v) for k, vs in values.items() for v in [*vs, None]], "k string, v double")
+    got = {x["k"]: x for x in aggregates.ordered_statistics(df, ["k"], "v", most).collect()}
+    for k, vs in values.items():
+        vs = sorted(vs)
+        assert (got[k]["n"], got[k]["median"], got[k]["p95"]) == (len(vs), vs[len(vs) // 2], vs[max(0, int(0.95 * len(vs)) - 1)]), k
