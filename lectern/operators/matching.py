@@ -1,7 +1,8 @@
-"""Where a quote comes from, and captions: the two places that need a little Python, in batches or one page at a time."""
+"""Where a quote comes from, captions, and tables matched by label or caption; only the first two need a little Python, in batches or one page at a time."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -110,3 +111,70 @@ def best_captions(found: DataFrame) -> DataFrame:
     """Of several captions of one object the longest, the first on ties."""
     w = Window.partitionBy("paper_id", "kind", "label").orderBy(F.length("text").desc(), "page_num", "first_span")
     return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+
+
+#: How many words captions share at least, and what a match is called.
+SHARED_WORDS = 4
+MODES = ("exact_label_page", "label_page", "caption_page", "page_only")
+
+
+def _words(caption: Column) -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower(F.trim(F.coalesce(caption, F.lit("")))), F.lit(r"(?U)\w+"), F.lit(0)))
+
+
+def caption_overlaps(left: DataFrame, right: DataFrame, page: Sequence[str], one: str, other: str, least: int = SHARED_WORDS) -> DataFrame:
+    """one, other and shared: all pairs on a page whose captions share so many words or more.
+
+    An inverted index over prefixes: with words in one order, the rarest of a page first, captions that share `least` words share
+    one before the last least - 1 of each. Only such pairs meet, and their words are compared then.
+    """
+    words = lambda df, key: df.select(*page, key, F.explode(_words(F.col("caption"))).alias("word"))
+    theirs = words(right, other)
+    often = theirs.groupBy(*page, "word").agg(F.count(F.lit(1)).alias("often"))
+
+    def sets(rows: DataFrame, key: str) -> DataFrame:
+        """Each caption's words that the page's index has, in its order."""
+        known = rows.join(often, [*page, "word"]).groupBy(*page, key).agg(F.array_sort(F.collect_list(F.struct("often", "word"))).alias("words"))
+        return known.select(*page, key, F.col("words")["word"].alias("words")).where(F.size("words") >= least)
+
+    a, b = sets(words(left, one), one), sets(theirs, other)
+    prefix = lambda df, key: df.select(*page, key, F.explode(F.slice("words", F.lit(1), F.size("words") - (least - 1))).alias("word"))
+    pairs = prefix(a, one).join(prefix(b, other), [*page, "word"]).select(*page, one, other).distinct()
+    both = pairs.join(a.withColumnRenamed("words", "_a"), [*page, one]).join(b.withColumnRenamed("words", "_b"), [*page, other])
+    return both.select(one, other, F.size(F.array_intersect("_a", "_b")).alias("shared")).where(F.col("shared") >= least)
+
+
+def table_matches(wanted: DataFrame, tables: DataFrame, page: Sequence[str]) -> DataFrame:
+    """object_id, table_id and mode: for each wanted table the one recognised on its page, or nulls.
+
+    wanted: object_id, page, label and caption; tables: table_id, page, place (their order there), label and caption. By the whole
+    label, by the label without its end, by the caption that shares most words, or because it is the page's only one; of equals the
+    first. Null labels and captions match nothing.
+    """
+    bare = lambda c: F.lower(F.trim(F.coalesce(c, F.lit(""))))
+    norm = lambda c: F.regexp_replace(bare(c), r"[:\.\s]+$", "")
+    first = F.min_by("table_id", F.struct("place", "table_id"))
+    out = wanted
+    for i, by in enumerate((bare, norm)):
+        index = tables.withColumn(f"_k{i}", by(F.col("label"))).where(F.col(f"_k{i}") != "").groupBy(*page, f"_k{i}").agg(first.alias(f"_m{i}"))
+        out = out.withColumn(f"_k{i}", by(F.col("label"))).join(index, [*page, f"_k{i}"], "left")
+    near = caption_overlaps(out.where("_m0 is null and _m1 is null").select(*page, "object_id", "caption"), tables, page, "object_id", "table_id")
+    best = near.join(tables.select("table_id", "place"), "table_id").groupBy("object_id").agg(F.min_by("table_id", F.struct(-F.col("shared"), "place", "table_id")).alias("_m2"))
+    only = tables.groupBy(*page).agg(F.count(F.lit(1)).alias("_n"), first.alias("_m3")).where("_n = 1").drop("_n")
+    out = out.join(best, "object_id", "left").join(only, list(page), "left")
+    mode = F.coalesce(*[F.when(F.col(f"_m{i}").isNotNull(), m) for i, m in enumerate(MODES)])
+    return out.select("object_id", F.coalesce(*[F.col(f"_m{i}") for i in range(4)]).alias("table_id"), mode.alias("mode"))
+
+
+def topk_enrichment(retrieved: DataFrame, objects: DataFrame, tables: DataFrame, page: Sequence[str], k: int) -> DataFrame:
+    """object_id, outcome, table_id and mode of the tables that any claim has among its first k.
+
+    retrieved: claim_id, object_id and rank; objects: object_id, kind, page, label, caption and enriched. What is enriched already
+    is skipped, what finds no table has failed; only the rest changes, so that a second run over the result does nothing anew.
+    """
+    asked = retrieved.where((F.col("rank") <= k) & F.col("object_id").isNotNull()).select("object_id").distinct()
+    due = objects.where("kind = 'table'").join(asked, "object_id", "left_semi").withColumn("enriched", F.coalesce("enriched", F.lit(False)))
+    found = table_matches(due.where("not enriched"), tables, page)
+    new = found.withColumn("outcome", F.when(F.col("table_id").isNull(), "no_match").otherwise("enriched"))
+    done = due.where("enriched").select("object_id", F.lit(None).cast(tables.schema["table_id"].dataType).alias("table_id"), F.lit(None).cast("string").alias("mode"), F.lit("skipped_already").alias("outcome"))
+    return new.unionByName(done)

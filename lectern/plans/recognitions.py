@@ -1,14 +1,15 @@
-"""Queries on audits of recognised figures and of boxes, with the SQL that each must agree with.
+"""Queries on audits of recognised figures and of boxes, and on recognised tables, with the SQL that each must agree with.
 
 Figures are lines of orders whose state, tax, discount and quantity say what a recogniser did with them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.rules import choose
+from lectern.operators import matching
 from lectern.operators import recognition as rec
 from lectern.plans import bindings as b
 
@@ -99,3 +100,35 @@ def box_audit(spark: SparkSession, d: str) -> DataFrame:
         F.when((value >= 80) & (F.floor(value) != 100), F.round(value / 500, 3)).otherwise(0.0).alias("score"),
     )
     return rec.box_audit(rows, ["paper_id"]).select("paper_id", "dimension", "value", "place", "n", "refined", "mean_score")
+
+
+_TITLES = r"""words AS (SELECT doc_id, n_chars, list_filter(string_split_regex(coalesce(text, ''), '\s+'), lambda w: w <> '') AS w FROM documents),
+    objects AS (SELECT doc_id AS object_id, doc_id // 10 + CASE WHEN n_chars % 9 = 0 THEN 1000000 ELSE 0 END AS page, CASE WHEN n_chars % 7 > 0 THEN 'table' ELSE 'figure' END AS kind, CASE n_chars % 3 WHEN 0 THEN 'Table ' || n_chars % 10 WHEN 1 THEN 'TABLE ' || n_chars % 10 || '.' END AS label, array_to_string(w[1:12], ' ') AS caption, n_chars % 5 = 0 AS enriched FROM words),
+    tables AS (SELECT doc_id AS table_id, doc_id // 10 AS page, n_chars AS place, CASE WHEN n_chars % 4 > 0 THEN 'Table ' || n_chars % 10 || CASE WHEN n_chars % 2 = 1 THEN ': ' ELSE '' END END AS label, array_to_string(w[6:30], ' ') AS caption FROM words WHERE n_chars % 6 > 0)"""
+
+
+@query("j7_topk_enrichment", rf"""WITH {_TITLES}, r AS (SELECT l_partkey AS object_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_extendedprice) AS rank FROM lineitem),
+    due AS (SELECT * FROM objects WHERE kind = 'table' AND object_id IN (SELECT object_id FROM r WHERE rank <= 2)), n AS (SELECT page, count(*) AS n FROM tables GROUP BY 1),
+    p AS (SELECT object_id, table_id, place, n, lower(trim(o.label)) AS a, lower(trim(t.label)) AS b, len(list_intersect(list_distinct(regexp_extract_all(lower(o.caption), '[\p{{L}}\p{{N}}_]+')), list_distinct(regexp_extract_all(lower(t.caption), '[\p{{L}}\p{{N}}_]+')))) AS shared FROM due o JOIN tables t USING (page) JOIN n USING (page) WHERE NOT enriched),
+    m AS (SELECT *, CASE WHEN a = b THEN 0 WHEN regexp_replace(a, '[:\.\s]+$', '') = regexp_replace(b, '[:\.\s]+$', '') THEN 1 WHEN shared >= 4 THEN 2 WHEN n = 1 THEN 3 END AS mode FROM p),
+    best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY object_id ORDER BY mode, CASE WHEN mode = 2 THEN -shared END, place, table_id) AS k FROM m WHERE mode IS NOT NULL) WHERE k = 1)
+    SELECT object_id, CASE WHEN enriched THEN 'skipped_already' WHEN table_id IS NULL THEN 'no_match' ELSE 'enriched' END AS outcome, table_id, ['exact_label_page', 'label_page', 'caption_page', 'page_only'][mode + 1] AS mode FROM due LEFT JOIN best USING (object_id)""")
+def topk_enrichment(spark: SparkSession, d: str) -> DataFrame:
+    """The tables among claims' first two pieces of evidence that aren't enriched yet, and the recognised table of each.
+
+    Objects and tables are documents, ten to a page; their captions are parts of the texts.
+    """
+    n = F.col("n_chars")
+    words = F.regexp_extract_all(F.coalesce(F.col("text"), F.lit("")), F.lit(r"\S+"), F.lit(0))
+    rows = b.table(spark, d, "documents").select("doc_id", "n_chars", words.alias("w"))
+    page, number = F.floor(F.col("doc_id") / 10), (n % 10).cast("string")
+    part = lambda start, size: F.array_join(F.slice("w", start, size), " ")
+    objects = rows.select(
+        F.col("doc_id").alias("object_id"), (page + F.when(n % 9 == 0, 1_000_000).otherwise(0)).alias("page"), F.when(n % 7 > 0, "table").otherwise("figure").alias("kind"),
+        choose((n % 3 == 0, F.concat(F.lit("Table "), number)), (n % 3 == 1, F.concat(F.lit("TABLE "), number, F.lit(".")))).alias("label"), part(1, 12).alias("caption"), (n % 5 == 0).alias("enriched"),
+    )
+    label = F.when(n % 4 > 0, F.concat(F.lit("Table "), number, F.when(n % 2 == 1, ": ").otherwise("")))
+    tables = rows.where("n_chars % 6 > 0").select(F.col("doc_id").alias("table_id"), page.alias("page"), n.alias("place"), label.alias("label"), part(6, 25).alias("caption"))
+    rank = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice"))
+    retrieved = b.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("claim_id"), F.col("l_partkey").alias("object_id"), rank.alias("rank"))
+    return matching.topk_enrichment(retrieved, objects, tables, ["page"], 2).select("object_id", "outcome", "table_id", "mode")
