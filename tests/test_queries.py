@@ -2,12 +2,12 @@
 
 import pytest
 
-from lectern.plans import audits, documents, layout, recognitions, reports, review, runs, stores, texts, writes
+from lectern.plans import audits, crops, documents, layout, recognitions, reports, review, runs, stores, texts, writes
 
 from oracle import SF, answer, rows
 
-QUERIES = review.QUERIES | texts.QUERIES | stores.QUERIES | audits.QUERIES | reports.QUERIES | layout.QUERIES | runs.QUERIES | writes.QUERIES | documents.QUERIES | recognitions.QUERIES
-ORACLE = review.ORACLE | texts.ORACLE | stores.ORACLE | audits.ORACLE | reports.ORACLE | layout.ORACLE | runs.ORACLE | writes.ORACLE | documents.ORACLE | recognitions.ORACLE
+QUERIES = review.QUERIES | texts.QUERIES | stores.QUERIES | audits.QUERIES | reports.QUERIES | layout.QUERIES | runs.QUERIES | writes.QUERIES | documents.QUERIES | recognitions.QUERIES | crops.QUERIES
+ORACLE = review.ORACLE | texts.ORACLE | stores.ORACLE | audits.ORACLE | reports.ORACLE | layout.ORACLE | runs.ORACLE | writes.ORACLE | documents.ORACLE | recognitions.ORACLE | crops.ORACLE
 
 
 @pytest.mark.parametrize("name", ORACLE)
