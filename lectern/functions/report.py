@@ -114,3 +114,39 @@ def evidence_block(items: Column) -> Column:
 def joined_labels(numbers: Column) -> Column:
     """Claims' numbers as labels: C1,C3."""
     return F.array_join(F.transform(F.array_sort(numbers), lambda n: F.concat(F.lit("C"), n.cast("string"))), ",")
+
+
+#: The kinds of figures that an answer may name.
+FIGURE_TYPES = ("bar_chart", "line_chart", "scatter_plot", "heatmap", "qualitative_examples", "architecture_diagram", "workflow_diagram", "table_like_visual", "other")
+#: Values that an answer leaves empty, as JSON.
+_EMPTY = ("", "null", "false", "0", "0.0", "[]", "{}")
+
+
+def figure_answer(raw: Column) -> Column:
+    """What a model says of a figure: figure_type, figure_summary, key_observations, possible_verification_use, needs_precise_ocr.
+
+    The answer is a JSON object, maybe in a code fence or with words around it; without one, or where a field is missing or of
+    another kind, the field has its default ('other', '', no items, false). Texts are cut to 400 and 200 letters, lists to the
+    first three and two items; items that are empty are left out then.
+    """
+    fields = ("figure_type", "figure_summary", "key_observations", "possible_verification_use", "needs_precise_ocr")
+    schema = ", ".join(f"{f} string" for f in fields) + ", _broken string"
+    bare = stripped(F.regexp_replace(F.regexp_replace(stripped(F.coalesce(raw, F.lit(""))), r"^(?i:```(?:json)?)\s*", ""), r"\s*```$", ""))
+    parsed = lambda c: F.from_json(c, schema, {"columnNameOfCorruptRecord": "_broken"})
+    first = parsed(bare)
+    good = lambda x: x["_broken"].isNull() & x.isNotNull()
+    data = F.when(good(first) & bare.startswith("{"), first).otherwise(parsed(F.regexp_extract(bare, r"(?s)\{.*\}", 0)))
+    field = lambda f: F.when(good(data), data[f])
+    given = lambda f: F.when(~F.coalesce(field(f), F.lit("")).isin(*_EMPTY), field(f))
+    kind = F.lower(stripped(F.coalesce(given("figure_type"), F.lit("other"))))
+    cut = lambda c, n: F.left(stripped(c), F.lit(n))
+
+    def items(f: str, most: int) -> Column:
+        listed = F.when(field(f).startswith("["), F.from_json(field(f), "array<string>"))
+        kept = F.filter(F.slice(listed, 1, most), lambda x: ~F.coalesce(x, F.lit("")).isin(*_EMPTY))
+        return F.coalesce(F.transform(kept, lambda x: cut(x, 200)), F.array().cast("array<string>"))
+
+    return F.struct(
+        F.when(kind.isin(*FIGURE_TYPES), kind).otherwise("other").alias("figure_type"), cut(F.coalesce(given("figure_summary"), F.lit("")), 400).alias("figure_summary"), items("key_observations", 3).alias("key_observations"),
+        items("possible_verification_use", 2).alias("possible_verification_use"), F.coalesce(F.lower(stripped(field("needs_precise_ocr"))).isin("true", "yes", "1"), F.lit(False)).alias("needs_precise_ocr"),
+    )

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.functions import text as tx
+
 K1, B, EPSILON = 1.5, 0.75, 0.25
 WEIGHTS = {"lexical": 0.35, "semantic": 0.45, "reference": 0.20, "prior": 0.05}
 #: Rows of a table that is sent to all tasks, at most.
@@ -84,3 +87,17 @@ def ranked(scored: DataFrame, k: int = 5, caps: Mapping[str, int] = CAPS, digits
     score = w["lexical"] * F.col("bm25") + w["semantic"] * F.col("semantic") + w["reference"] * F.col("reference") + w["prior"] * type_prior(F.col("query"), F.col("kind"))
     out = scaled(scored, ["claim_id"], ["bm25", "semantic"]).withColumn("score", F.round(score, digits))
     return capped(out, ["claim_id"], "kind", caps, [F.col("explicit").desc(), F.col("score").desc(), "evidence_id"], k)
+
+
+def seed_candidates(papers: DataFrame, templates: Sequence[str], abstract: str, title: str, most: int = 150) -> DataFrame:
+    """papers with i (from 1) and body: each template filled with {title} and {excerpt}, the abstract's beginning, where it may be posted.
+
+    Papers without an abstract have none; a missing title reads 'this topic'. Whatever a text holds is taken as it is.
+    """
+    text = F.trim(F.coalesce(F.col(abstract), F.lit("")))
+    excerpt = F.concat(F.rtrim(F.left(text, F.lit(most))), F.when(F.length(text) > most, "...").otherwise(""))
+    values = {"{title}": F.coalesce(F.nullif(F.col(title), F.lit("")), F.lit("this topic")), "{excerpt}": F.col("_excerpt")}
+    filled = lambda t: F.concat(*[values.get(p, F.lit(p)) for p in re.split(r"(\{title\}|\{excerpt\})", t) if p])
+    bodies = F.array(*(F.struct(F.lit(i).alias("i"), filled(t).alias("body")) for i, t in enumerate(templates, 1)))
+    rows = papers.where(text != "").withColumn("_excerpt", excerpt).select(*papers.columns, F.inline(bodies))
+    return rows.where(tx.blocked_phrase(F.col("body")).isNull() & (F.trim("body") != ""))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lectern.functions import evidence as ev
 from lectern.functions import rules
 from lectern.functions import text as tx
-from lectern.operators import matching
+from lectern.operators import matching, ranking
 from lectern.plans import bindings as b
 from lectern.plans.bindings import sql
 from lectern.plans.review import _SUMMARISED, summarised
@@ -480,20 +480,21 @@ def evidence_keys(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("claim_id", F.array_join(F.array_distinct(F.flatten(F.transform("rows", lambda r: r["ids"]))), ",").alias("keys"))
 
 
-_SEEDS = ('The abstract states: "{0}"\n\nCould the authors say which evidence supports this most directly?', 'The abstract mentions: "{0}"\n\nWhat limits the scope?', 'Reading the abstract, how do the authors handle: "{0}"')
+#: The templates that the query binds; a user's come from a table or a parameter of their own.
+_TEMPLATES = ('Which figures of {title} bear out "{excerpt}"?', "{excerpt} On {title}: we have run this and agree.", '"{excerpt}" holds for which inputs?')
 
 
-@query("r19_best_seed", r"""WITH a AS (SELECT doc_id, trim(text) AS t FROM documents), x AS (SELECT doc_id, rtrim(left(t, 150)) || CASE WHEN length(t) > 150 THEN '...' ELSE '' END AS excerpt FROM a WHERE t <> ''),
-    c AS (SELECT doc_id, 1 AS i, 'The abstract states: "' || excerpt || '"' || chr(10) || chr(10) || 'Could the authors say which evidence supports this most directly?' AS body FROM x UNION ALL SELECT doc_id, 2, 'The abstract mentions: "' || excerpt || '"' || chr(10) || chr(10) || 'What limits the scope?' FROM x UNION ALL SELECT doc_id, 3, 'Reading the abstract, how do the authors handle: "' || excerpt || '"' FROM x),
-    s AS (SELECT doc_id, i, body, round(0.6 * least(length(body) / 400.0, 1) + 0.4 * CASE WHEN contains(body, '?') THEN 1 ELSE 0 END, 6)::DOUBLE AS score FROM c WHERE NOT regexp_matches(lower(body), '__BLOCKED__'))
-    SELECT doc_id, CAST(arg_min(i, (-score, i)) AS INT) AS best, max(score) AS score, count(*) AS candidates FROM s GROUP BY 1""".replace("__BLOCKED__", "|".join(tx.BLOCKED)))
+def _body_sql(template: str) -> str:
+    parts = template.replace("'", "''").replace("{title}", "' || coalesce(nullif(source, ''), 'this topic') || '").replace("{excerpt}", "' || excerpt || '")
+    return f"'{parts}'"
+
+
+@query("r19_best_seed", r"""WITH a AS (SELECT doc_id, source, trim(text) AS t FROM documents), x AS (SELECT doc_id, source, rtrim(left(t, 150)) || CASE WHEN length(t) > 150 THEN '...' ELSE '' END AS excerpt FROM a WHERE t <> ''),
+    c AS (__BODIES__), s AS (SELECT doc_id, i, body, round(0.6 * least(length(body) / 400.0, 1) + 0.4 * CASE WHEN contains(body, '?') THEN 1 ELSE 0 END, 6)::DOUBLE AS score FROM c WHERE NOT regexp_matches(lower(body), '__BLOCKED__'))
+    SELECT doc_id, CAST(arg_min(i, (-score, i)) AS INT) AS best, max(score) AS score, count(*) AS candidates FROM s GROUP BY 1""".replace("__BLOCKED__", "|".join(tx.BLOCKED)).replace("__BODIES__", " UNION ALL ".join(f"SELECT doc_id, {i} AS i, {_body_sql(t)} AS body FROM x" for i, t in enumerate(_TEMPLATES, 1))))
 def best_seed(spark: SparkSession, d: str) -> DataFrame:
-    """Comments made of an abstract's beginning, and the best of those that may be posted."""
-    t = F.trim("text")
-    excerpt = F.concat(F.rtrim(F.left(t, F.lit(150))), F.when(F.length(t) > 150, "...").otherwise(""))
-    bodies = F.array(*(F.struct(F.lit(i).alias("i"), F.concat(F.lit(s.split("{0}")[0]), F.col("excerpt"), F.lit(s.split("{0}")[1])).alias("body")) for i, s in enumerate(_SEEDS, 1)))
-    c = b.table(spark, d, "documents").where(t != "").select("doc_id", excerpt.alias("excerpt")).select("doc_id", F.inline(bodies))
-    c = c.where(tx.blocked_phrase(F.col("body")).isNull()).withColumn("score", F.round(rules.seed_score(F.col("body"), F.lit(False)), 6))
+    """Comments made of an abstract's beginning by templates, and the best of those that may be posted."""
+    c = ranking.seed_candidates(b.table(spark, d, "documents").withColumn("title", F.col("source")), _TEMPLATES, "text", "title").withColumn("score", F.round(rules.seed_score(F.col("body"), F.lit(False)), 6))
     return c.groupBy("doc_id").agg(F.min_by("i", F.struct(-F.col("score"), F.col("i"))).alias("best"), F.max("score").alias("score"), F.count(F.lit(1)).alias("candidates"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import report
+from lectern.functions.rules import choose
 from lectern.operators import aggregates
 from lectern.plans import bindings as b
 from lectern.plans.audits import _CLAIMS, _EVIDENCE, claims, evidence
@@ -100,3 +101,16 @@ def poor_pages(spark: SparkSession, d: str) -> DataFrame:
     spans = b.table(spark, d, "documents").select("doc_id", F.explode(F.split(F.trim("text"), r"\s+")).alias("span"))
     out = aggregates.poor_pages(spans, ["doc_id"], "span")
     return out.select("doc_id", F.round("quality", 6).alias("quality"))
+
+
+@query("t49_figure_answers", """WITH t AS (SELECT conv_id, turn, role, text, length(text) AS n, left(trim(text, E' \\t\\n\\r'), 400) AS said FROM conversations), ok AS (SELECT *, n % 4 < 3 AS good FROM t WHERE text IS NOT NULL)
+    SELECT conv_id, turn, n AS letters, CASE WHEN good AND n % 3 = 0 THEN 'bar_chart' ELSE 'other' END AS figure_type, CASE WHEN good THEN sha256(said) ELSE sha256('') END AS summary_sha256,
+        CASE WHEN good THEN len(list_filter(string_split(text, ' ')[1:3], lambda x: x <> '' AND x <> '0')) ELSE 0 END AS n_observations, good AND role = 'assistant' AS needs_precise_ocr FROM ok""")
+def figure_answers(spark: SparkSession, d: str) -> DataFrame:
+    """The fields of models' answers, made of turns: plain, fenced, with words around, or cut off."""
+    n, role = F.length("text"), F.col("role")
+    json = F.to_json(F.struct(F.when(n % 3 == 0, " Bar_chart").otherwise("pie").alias("figure_type"), F.col("text").alias("figure_summary"), F.split("text", " ").alias("key_observations"), F.when(role == "assistant", "yes").otherwise("no").alias("needs_precise_ocr")))
+    raw = choose((n % 4 == 0, json), (n % 4 == 1, F.concat(F.lit("```json\n"), json, F.lit("\n```"))), (n % 4 == 2, F.concat(F.lit("It shows: "), json, F.lit(" as asked"))), other=F.substr(json, F.lit(1), F.length(json) - 2))
+    a = F.col("a")
+    rows = b.table(spark, d, "conversations").where("text is not null").select("conv_id", "turn", n.alias("letters"), report.figure_answer(raw).alias("a"))
+    return rows.select("conv_id", "turn", "letters", a["figure_type"].alias("figure_type"), F.sha2(a["figure_summary"], 256).alias("summary_sha256"), F.size(a["key_observations"]).alias("n_observations"), a["needs_precise_ocr"].alias("needs_precise_ocr"))

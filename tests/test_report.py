@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from lectern.functions import report
-from lectern.operators import aggregates
+from lectern.operators import aggregates, ranking
 
 
 def _words(s):
@@ -66,3 +66,23 @@ def test_poor_pages(spark):
     spans = spark.createDataFrame([(1, " abc "), (1, None), (2, "long enough"), (3, "12345678"), (None, "x")], "page int, text string")
     got = {r["page"]: r["quality"] for r in aggregates.poor_pages(spans, ["page"], "text").collect()}
     assert got == {1: 1.5, None: 1.0} and aggregates.poor_pages(spans.limit(0), ["page"], "text").count() == 0
+
+
+def test_figure_answers(spark):
+    full = '{"figure_type": " Heatmap", "figure_summary": " s ", "key_observations": ["a", "", null, "d"], "possible_verification_use": [1, " u ", "z"], "needs_precise_ocr": true}'
+    none = ("other", "", [], [], False)
+    cases = [
+        (full, ("heatmap", "s", ["a"], ["1", "u"], True)), (f"```JSON\n{full}\n```", ("heatmap", "s", ["a"], ["1", "u"], True)), (f"Sure: {full} - done", ("heatmap", "s", ["a"], ["1", "u"], True)),
+        ('{"figure_type": "pie", "key_observations": "x", "needs_precise_ocr": "Yes "}', ("other", "", [], [], True)), ('{"figure_summary": "' + "y" * 500 + '", "needs_precise_ocr": "no"}', ("other", "y" * 400, [], [], False)),
+        ('{"figure_type": null, "needs_precise_ocr": 1}', ("other", "", [], [], True)), ("no answer", none), ("", none), (None, none), ('{"figure_type": "heatmap"', none), ("[1, 2]", none), ("{}", none),
+        ('{"key_observations": ["' + "k" * 300 + '"]}', ("other", "", ["k" * 200], [], False)),
+    ]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, raw string")
+    got = {r["i"]: tuple(r["a"]) for r in df.select("i", report.figure_answer(F.col("raw")).alias("a")).collect()}
+    assert got == {i: c[1] for i, c in enumerate(cases)}
+
+
+def test_seed_candidates(spark):
+    rows = spark.createDataFrame([(1, " " + "a" * 149 + " b ", "T"), (2, "{title}", None), (3, " ", "T"), (4, None, "T")], "id int, abstract string, name string")
+    got = {(r["id"], r["i"]): r["body"] for r in ranking.seed_candidates(rows, ["{title}: {excerpt}", "{excerpt}?"], "abstract", "name").collect()}
+    assert got == {(1, 1): "T: " + "a" * 149 + "...", (1, 2): "a" * 149 + "...?", (2, 1): "this topic: {title}", (2, 2): "{title}?"}
