@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import rules
+from lectern.functions.report import stripped
 from lectern.functions.rules import choose
 from lectern.operators import documents as doc
 from lectern.sources.shared import written
@@ -98,7 +99,7 @@ def _top(claims: DataFrame, by: Sequence[str], most: int) -> DataFrame:
 
 def quoted(text: Column) -> Column:
     """A Markdown quotation of a text's lines."""
-    return F.concat(F.lit("> "), F.replace(F.trim(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit("\n> ")))
+    return F.concat(F.lit("> "), F.replace(stripped(F.coalesce(text, F.lit(""))), F.lit("\n"), F.lit("\n> ")))
 
 
 def verification_report(papers: DataFrame, claims: DataFrame, evidence: DataFrame, generated_at: str, most: int = 1400) -> DataFrame:
@@ -122,7 +123,7 @@ def verification_report(papers: DataFrame, claims: DataFrame, evidence: DataFram
     here = [6, F.col("_review"), F.col("_field"), F.col("claim_index"), F.col("claim_id")]
     anchor = said("review-", F.col("_rid"), "-c", F.col("claim_index"))
 
-    shown = F.trim(F.coalesce("_text", F.lit("")))
+    shown = stripped(F.coalesce("_text", F.lit("")))
     shown = F.when(F.length(shown) > most, F.concat(F.left(shown, F.lit(most)), F.lit("…"))).otherwise(shown)
     cited = evidence.select("claim_id", "rank", "page", "section", F.col("text").alias("_text")).join(placed.select("paper_id", "claim_id", "claim_index", "_review", "_field"), "claim_id")
     items = doc.lines(cited, KEY, [*here, F.col("rank")], doc.texts(said("**Evidence #", F.col("rank"), "** — page ", F.coalesce(F.col("page").cast("string"), F.lit("None")), ", section=", F.coalesce("section", F.lit("None"))), "", quoted(shown), ""))
@@ -153,3 +154,77 @@ def verification_report(papers: DataFrame, claims: DataFrame, evidence: DataFram
     names = [doc.lines(papers, KEY, [i], doc.texts(*([""] if i > 1 else []), f"### {t}", "")) for i, t in ((1, "Verdicts"), (2, "Status"), (3, "Source fields"))]
     start = doc.lines(papers, KEY, [5], doc.texts("", "## Reviews", ""))
     return doc.document(head, *names, *counts, quick, bad, start, reviewed, linked, worst_lines, heads, cards, items)
+
+
+#: How many chunks, claims and pieces of evidence a retrieval report shows, and how long a bar or a preview is.
+CHUNKS_SHOWN, ROWS_SHOWN, CLAIMS_SHOWN, HITS_SHOWN, BAR, PREVIEW = 3, 5, 3, 5, 30, 80
+
+
+def _first(df: DataFrame, by: Sequence[str], order: Sequence, most: int, place: str = "_place") -> DataFrame:
+    return df.withColumn(place, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col(place) <= most)
+
+
+def _bars(counts: DataFrame, section: int) -> DataFrame:
+    """A line with a bar for each name (_name, _n, _place), in a block."""
+    bar = F.concat(F.rpad("_name", F.greatest(F.length("_name"), F.lit(20)), F.lit(" ")), F.lit(" "), F.repeat(F.lit("█"), F.least(F.col("_n"), F.lit(BAR)).cast("int")))
+    return doc.lines(counts, KEY, [section, F.col("_place")], doc.texts(bar))
+
+
+def retrieval_report(papers: DataFrame, chunks: DataFrame, embeddings: DataFrame, retrieved: DataFrame, generated_at: str) -> DataFrame:
+    """Papers' sections, chunks, embeddings and what was retrieved for their first claims, as documents.
+
+    papers: paper_id and title; chunks: paper_id, chunk_id, chunk_index, section, page and text; embeddings: chunk_id, model and
+    at; retrieved: paper_id, claim_id (a number), claim_text, rank, bm25, semantic, combined and chunk_id. Of chunks and claims
+    each task keeps the first few; sections are counted by tasks first.
+    """
+    name, text = F.coalesce("section", F.lit("unknown")), F.coalesce("text", F.lit(""))
+    none = F.array().cast("array<string>")
+    chunks = chunks.withColumns({"section": name, "text": text})
+    sections = written(chunks.groupBy("paper_id", F.col("section").alias("_name")).agg(F.count(F.lit(1)).alias("_n"), F.min("page").alias("_page"), F.min("chunk_index").alias("_at"), F.min_by(F.length("text"), "chunk_index").alias("_letters"), F.max("page").alias("_last")))
+    in_order = sections.withColumn("_place", F.row_number().over(Window.partitionBy("paper_id").orderBy("_at")))
+    by_count = sections.withColumn("_place", F.row_number().over(Window.partitionBy("paper_id").orderBy(F.col("_n").desc(), "_name")))
+    shown = written(_first(chunks, KEY, ["chunk_index"], ROWS_SHOWN))
+    models = embeddings.join(chunks.select("paper_id", "chunk_id"), "chunk_id").groupBy("paper_id", "model").agg(F.count(F.lit(1)).alias("embedded"), F.max("at").alias("_at"))
+    models = models.groupBy("paper_id").agg(F.max_by(F.struct("model", "embedded"), F.struct("_at", "model")).alias("m")).select("paper_id", "m.*")
+    sums = sections.groupBy("paper_id").agg(F.max("_last").alias("pages"), F.count(F.lit(1)).alias("sections"), F.sum("_n").alias("chunks"))
+    of = papers.join(sums, "paper_id", "left").join(models, "paper_id", "left").na.fill(0, ["pages", "sections", "chunks", "embedded"])
+    title, model = F.nullif(F.trim(F.coalesce("title", F.lit(""))), F.lit("")), F.coalesce("model", F.lit("(none)"))
+    indexed = [said("- Indexed chunks: **", F.col("chunks"), "**"), said("- Embedded chunks: **", F.col("embedded"), "**"), said("- Embedding model: **", model, "**"), ""]
+    head = doc.lines(of, KEY, [0], doc.texts(
+        said("# Retrieval Report — ", F.col("paper_id"), F.coalesce(F.concat(F.lit(" — "), title), F.lit(""))), "", f"- Generated at: {generated_at}", F.concat(F.lit("- Paper title: `"), title, F.lit("`")), "",
+        "## Pipeline Summary", "", said("- Pages parsed: **", F.col("pages"), "**"), said("- Sections detected: **", F.col("sections"), "**"), said("- Chunks generated: **", F.col("chunks"), "**"), *indexed, "## 1. Parsing", "",
+    ))
+    parsed = doc.lines(in_order, KEY, [1, F.col("_place")], doc.texts(said("| ", F.col("_place"), " | `", F.col("_name"), "` | ", F.coalesce(F.col("_page").cast("string"), F.lit("")), " | ", F.col("_letters"), " |")))
+    parsing = doc.headed(papers, parsed, KEY, [1], doc.texts("### Detected Sections", "", "| # | Section | Start Page | Length (chars) |", "|---:|---|---:|---:|"), doc.texts("> No parsed sections found."))
+    total = doc.lines(of, KEY, [2], doc.texts("", "## 2. Chunking", "", said("- Total chunks: **", F.col("chunks"), "**"), ""))
+    spread = doc.lines(by_count, KEY, [3, F.col("_place")], doc.texts(said("| `", F.col("_name"), "` | ", F.col("_n"), " |")))
+    spreading = doc.headed(papers, spread, KEY, [3], doc.texts("### Chunk Distribution by Section", "", "| Section | #Chunks |", "|---|---:|"), none)
+    bars = _bars(by_count, 4)
+    barring = doc.headed(papers, bars, KEY, [4], doc.texts("", "```"), none)
+    code = lambda c: said("`", F.coalesce(c.cast("string"), F.lit("None")), "`")
+    example = doc.lines(shown.where(F.col("_place") <= CHUNKS_SHOWN), KEY, [5, F.col("_place")], doc.texts(said("#### Chunk #", F.col("chunk_index")), "", said("- chunk_id: ", code(F.col("chunk_id"))), said("- section: ", code(F.col("section"))), said("- page: ", code(F.col("page"))), "", "```", stripped(F.col("text")), "```", ""))
+    examples = doc.headed(papers, example, KEY, [5], doc.texts("```", "", "### Example Chunks", ""), none)
+    index = doc.lines(of, KEY, [6], doc.texts("## 3. Index / Embedding", "", *indexed))
+    known = shown.join(embeddings.select("chunk_id").distinct().withColumn("_known", F.lit(True)), "chunk_id", "left")
+    flat = stripped(F.replace("text", F.lit("\n"), F.lit(" ")))
+    preview = F.when(F.length(flat) > PREVIEW, F.concat(F.left(flat, F.lit(PREVIEW)), F.lit("…"))).otherwise(flat)
+    row = doc.lines(known, KEY, [7, F.col("_place")], doc.texts(said("| ", code(F.col("chunk_id")), " | ", code(F.col("section")), " | ", F.coalesce(F.col("page").cast("string"), F.lit("None")), " | ", F.when(F.col("_known"), "yes").otherwise("no"), " | ", preview, " |")))
+    rows = doc.headed(papers, row, KEY, [7], doc.texts("### Indexed Chunk Examples", "", "| Chunk ID | Section | Page | Embedded | Preview |", "|---|---|---:|---|---|"), none)
+
+    asked = _first(retrieved.groupBy("paper_id", "claim_id").agg(F.first("claim_text").alias("claim_text")), KEY, ["claim_id"], CLAIMS_SHOWN, "_query")
+    hits = retrieved.drop("claim_text").join(asked.select("paper_id", "claim_id", "_query"), ["paper_id", "claim_id"]).join(chunks.select("chunk_id", "section", "page", "text"), "chunk_id")
+    hits = written(_first(hits, ["paper_id", "claim_id"], ["rank"], HITS_SHOWN))
+    score = lambda c: F.format_string("%.3f", F.coalesce(c, F.lit(0.0)).cast("double"))
+    at = [9, F.col("_query")]
+    table = doc.lines(hits, KEY, [*at, 1, F.col("_place")], doc.texts(said("| ", F.col("_place"), " | ", code(F.col("section")), " | ", F.coalesce(F.col("page").cast("string"), F.lit("None")), " | ", score(F.col("bm25")), " | ", score(F.col("semantic")), " | ", score(F.col("combined")), " |")))
+    snippet = doc.lines(hits, KEY, [*at, 2, F.col("_place")], doc.texts(said("##### Rank #", F.col("_place")), "", said("- chunk_id: ", code(F.col("chunk_id"))), said("- section: ", code(F.col("section"))), said("- page: ", code(F.col("page"))), "", "```", stripped(F.col("text")), "```", ""))
+    query = [said("### Query #", F.col("_query")), "", said("- claim_id: ", code(F.col("claim_id"))), "", "```", stripped(F.coalesce("claim_text", F.lit(""))), "```", ""]
+    queries = doc.headed(asked, table, KEY, at, doc.texts(*query, "| Rank | Section | Page | BM25 | Semantic | Score |", "|---:|---|---:|---:|---:|---:|"), doc.texts(*query, "_No retrieval results found._", ""))
+    snippets = doc.headed(asked, snippet, KEY, [*at, 2], doc.texts("", "#### Evidence Snippets", ""), none)
+    shown_claims = doc.headed(papers, queries, KEY, [9], none, doc.texts("> No retrieval preview rows found."))
+    begin = doc.lines(papers, KEY, [8], doc.texts("", "## 4. Retrieval Preview", ""))
+    found = hits.groupBy("paper_id", F.col("section").alias("_name")).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_query", "_place")).alias("_at"))
+    found = found.withColumn("_place", F.row_number().over(Window.partitionBy("paper_id").orderBy(F.col("_n").desc(), "_at")))
+    cover = doc.lines(found, KEY, [10, F.col("_place")], doc.texts(said("| `", F.col("_name"), "` | ", F.col("_n"), " |")))
+    covered = doc.headed(papers, cover, KEY, [10], doc.texts("## 5. Retrieval Coverage", "", "| Section | Retrieved Count |", "|---|---:|"), none)
+    return doc.document(head, parsing, parsed, total, spreading, spread, barring, bars, examples, example, index, rows, row, begin, shown_claims, queries, table, snippets, snippet, covered, cover)

@@ -128,3 +128,53 @@ def verification_reports(spark: SparkSession, d: str) -> DataFrame:
     claims = report_claims(spark, d).join(papers.select("paper_id"), "paper_id", "left_semi")
     report = reports.verification_report(papers, claims, report_evidence(spark, d), AT)
     return documents.digests(documents.numbered(report, ["paper_id"], depth=3), ["paper_id"])
+
+
+def _line(path: str, *texts: str) -> str:
+    return ", ".join(f"([{path}, {i}], {t})" for i, t in enumerate(texts))
+
+
+def _of(path: str, rows: str, *texts: str) -> str:
+    return f"SELECT paper_id, unnest([{_line(path + ', -1', *texts)}]) AS x FROM {rows}"
+
+
+_INDEXED = ["'- Indexed chunks: **' || chunks || '**'", "'- Embedded chunks: **' || coalesce(embedded, 0) || '**'", "'- Embedding model: **' || coalesce(model, '(none)') || '**'", "''"]
+_HIT = ["'- chunk_id: `' || chunk_id || '`'", "'- section: `' || section || '`'", "'- page: `' || page || '`'", "''", "'```'", "trim(text)", "'```'", "''"]
+
+
+@query("f32_retrieval_reports", f"""WITH c AS (SELECT lang AS paper_id, doc_id AS chunk_id, doc_id AS chunk_index, source AS section, n_chars % 50 + 1 AS page, text FROM documents),
+    e AS (SELECT vec_id AS chunk_id, 'm' || label % 3 AS model, label AS made FROM embeddings), p AS (SELECT paper_id, 'Texts in ' || paper_id AS title FROM (SELECT DISTINCT paper_id FROM c)),
+    r AS (SELECT paper_id, l_orderkey AS claim_id, row_number() OVER (PARTITION BY paper_id, l_orderkey ORDER BY l_linenumber, l_extendedprice) AS rank, l_discount * 10 AS bm25, l_tax AS semantic, l_quantity / 50 AS combined, chunk_id FROM lineitem JOIN c ON chunk_id = l_partkey),
+    s AS (SELECT paper_id, section, count(*) AS n, min(page) AS page, min(chunk_index) AS met, arg_min(length(text), chunk_index) AS letters, max(page) AS last FROM c GROUP BY 1, 2),
+    b AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY met) AS i, row_number() OVER (PARTITION BY paper_id ORDER BY n DESC, section) AS j FROM s),
+    m AS (SELECT paper_id, arg_max(model, (made, model)) AS model, arg_max(embedded, (made, model)) AS embedded FROM (SELECT paper_id, model, count(*) AS embedded, max(made) AS made FROM e JOIN c USING (chunk_id) GROUP BY 1, 2) GROUP BY 1),
+    t AS (SELECT * FROM p JOIN (SELECT paper_id, max(last) AS pages, count(*) AS sections, CAST(sum(n) AS BIGINT) AS chunks FROM s GROUP BY 1) USING (paper_id) LEFT JOIN m USING (paper_id)),
+    f AS (SELECT *, trim(replace(text, chr(10), ' ')) AS flat FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY chunk_index) AS k FROM c) WHERE k <= 5),
+    q AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY claim_id) AS q FROM (SELECT DISTINCT paper_id, claim_id FROM r)) WHERE q <= 3),
+    h AS (SELECT q.paper_id, q.q, q.claim_id, r.rank AS k, bm25, semantic, combined, r.chunk_id, section, page, text FROM q JOIN r ON r.paper_id = q.paper_id AND r.claim_id = q.claim_id JOIN c ON c.chunk_id = r.chunk_id WHERE r.rank <= 5),
+    g AS (SELECT *, row_number() OVER (PARTITION BY paper_id ORDER BY n DESC, first) AS j FROM (SELECT paper_id, section, count(*) AS n, min((q, k)) AS first FROM h GROUP BY 1, 2)),
+    l AS ({_of("0", "t", "'# Retrieval Report — ' || paper_id || ' — ' || title", "''", f"'- Generated at: {AT}'", "'- Paper title: `' || title || '`'", "''", "'## Pipeline Summary'", "''", "'- Pages parsed: **' || pages || '**'", "'- Sections detected: **' || sections || '**'", "'- Chunks generated: **' || chunks || '**'", *_INDEXED, "'## 1. Parsing'", "''")}
+        UNION ALL {_of("1", "p", "'### Detected Sections'", "''", "'| # | Section | Start Page | Length (chars) |'", "'|---:|---|---:|---:|'")} UNION ALL {_of("1, i", "b", "'| ' || i || ' | `' || section || '` | ' || page || ' | ' || letters || ' |'")}
+        UNION ALL {_of("2", "t", "''", "'## 2. Chunking'", "''", "'- Total chunks: **' || chunks || '**'", "''")} UNION ALL {_of("3", "p", "'### Chunk Distribution by Section'", "''", "'| Section | #Chunks |'", "'|---|---:|'")} UNION ALL {_of("3, j", "b", "'| `' || section || '` | ' || n || ' |'")}
+        UNION ALL {_of("4", "p", "''", "'```'")} UNION ALL {_of("4, j", "b", "rpad(section, CAST(greatest(length(section), 20) AS INT), ' ') || ' ' || repeat('█', least(n, 30))")} UNION ALL {_of("5", "p", "'```'", "''", "'### Example Chunks'", "''")}
+        UNION ALL {_of("5, k", "(FROM f WHERE k <= 3)", "'#### Chunk #' || chunk_index", "''", *_HIT)} UNION ALL {_of("6", "t", "'## 3. Index / Embedding'", "''", *_INDEXED)}
+        UNION ALL {_of("7", "p", "'### Indexed Chunk Examples'", "''", "'| Chunk ID | Section | Page | Embedded | Preview |'", "'|---|---|---:|---|---|'")}
+        UNION ALL {_of("7, k", "f", "'| `' || chunk_id || '` | `' || section || '` | ' || page || ' | ' || CASE WHEN chunk_id IN (SELECT chunk_id FROM e) THEN 'yes' ELSE 'no' END || ' | ' || left(flat, 80) || CASE WHEN length(flat) > 80 THEN '…' ELSE '' END || ' |'")}
+        UNION ALL {_of("8", "p", "''", "'## 4. Retrieval Preview'", "''")} UNION ALL {_of("8, 1", "(FROM p WHERE paper_id NOT IN (SELECT paper_id FROM q))", "'> No retrieval preview rows found.'")}
+        UNION ALL {_of("9, q", "q", "'### Query #' || q", "''", "'- claim_id: `' || claim_id || '`'", "''", "'```'", "'Order ' || claim_id", "'```'", "''", "'| Rank | Section | Page | BM25 | Semantic | Score |'", "'|---:|---|---:|---:|---:|---:|'")}
+        UNION ALL {_of("9, q, 1, k", "h", "'| ' || k || ' | `' || section || '` | ' || page || ' | ' || printf('%.3f', bm25) || ' | ' || printf('%.3f', semantic) || ' | ' || printf('%.3f', combined) || ' |'")}
+        UNION ALL {_of("9, q, 2", "q", "''", "'#### Evidence Snippets'", "''")} UNION ALL {_of("9, q, 2, k", "h", "'##### Rank #' || k", "''", *_HIT)}
+        UNION ALL {_of("10", "(SELECT DISTINCT paper_id FROM q)", "'## 5. Retrieval Coverage'", "''", "'| Section | Retrieved Count |'", "'|---|---:|'")} UNION ALL {_of("10, j", "g", "'| `' || section || '` | ' || n || ' |'")}),
+    n AS (SELECT paper_id, row_number() OVER (PARTITION BY paper_id ORDER BY x[1], x[2]) AS line, x[2] AS text FROM l)
+    SELECT paper_id, count(*) AS n_lines, CAST(sum(length(text)) AS BIGINT) AS n_letters, CAST(sum(CAST('0x' || left(md5(line || ':' || text), 8) AS BIGINT)) AS BIGINT) AS digest FROM n GROUP BY 1""")
+def retrieval_reports(spark: SparkSession, d: str) -> DataFrame:
+    """F32: reports on what was parsed, chunked, embedded and retrieved, as digests of all their lines; a language is a paper."""
+    chunks = b.table(spark, d, "documents").select(F.col("lang").alias("paper_id"), F.col("doc_id").alias("chunk_id"), F.col("doc_id").alias("chunk_index"), F.col("source").alias("section"), (F.col("n_chars") % 50 + 1).alias("page"), "text")
+    embeddings = b.table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), F.concat(F.lit("m"), F.col("label") % 3).alias("model"), F.col("label").alias("at"))
+    papers = chunks.select("paper_id").distinct().withColumn("title", F.concat(F.lit("Texts in "), F.col("paper_id")))
+    rank = F.row_number().over(Window.partitionBy("paper_id", "l_orderkey").orderBy("l_linenumber", "l_extendedprice"))
+    retrieved = b.table(spark, d, "lineitem").join(chunks.select("paper_id", "chunk_id"), F.col("chunk_id") == F.col("l_partkey")).select(
+        "paper_id", F.col("l_orderkey").alias("claim_id"), F.concat(F.lit("Order "), F.col("l_orderkey")).alias("claim_text"), rank.alias("rank"), (F.col("l_discount") * 10).alias("bm25"), F.col("l_tax").alias("semantic"), (F.col("l_quantity") / 50).alias("combined"), "chunk_id",
+    )
+    report = reports.retrieval_report(papers, chunks, embeddings, retrieved, AT)
+    return documents.digests(documents.numbered(report, ["paper_id"], depth=2), ["paper_id"])

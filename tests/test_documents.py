@@ -78,3 +78,21 @@ def test_no_claims(spark):
     evidence = spark.createDataFrame([], "claim_id long, rank int, page int, section string, text string")
     got = [r["text"] for r in documents.numbered(reports.verification_report(papers, claims, evidence, dt.date(2024, 1, 1).isoformat()), ["paper_id"]).orderBy("line").collect()]
     assert got[0] == "# Verification Report — 2" and "- Rows: 0" in got and got[-2] == "## Reviews" and "### Quick links (top contradicted)" not in got
+
+
+def test_retrieval_report(spark):
+    """A paper with everything, one whose claim finds no chunk of its own, and one without chunks."""
+    papers = spark.createDataFrame([(1, "T"), (2, None), (3, " ")], "paper_id long, title string")
+    chunks = spark.createDataFrame([(1, i, i, "A" if i < 3 else None, i, f" text\n{i} " + "z" * 90 * (i == 1)) for i in range(7)] + [(2, 50, 0, "B", None, None)], "paper_id long, chunk_id long, chunk_index long, section string, page long, text string")
+    embeddings = spark.createDataFrame([(0, "old", 1), (1, "old", 1), (0, "new", 2)], "chunk_id long, model string, at long")
+    retrieved = spark.createDataFrame([(1, c, f"claim {c}", r, 1.0, None, 0.25, r) for c in range(5) for r in range(1, 7)] + [(2, 9, None, 1, 1.0, 1.0, 1.0, 999)], "paper_id long, claim_id long, claim_text string, rank int, bm25 double, semantic double, combined double, chunk_id long")
+    rows = documents.numbered(reports.retrieval_report(papers, chunks, embeddings, retrieved, "now"), ["paper_id"], depth=2).collect()
+    text = {p: [r["text"] for r in sorted(rows, key=lambda r: r["line"]) if r["paper_id"] == p] for p in (1, 2, 3)}
+    assert text[1][0] == "# Retrieval Report — 1 — T" and text[2][0] == "# Retrieval Report — 2" and "- Paper title: `T`" in text[1] and not any("title" in x for x in text[3])
+    assert "- Embedding model: **new**" in text[1] and "- Embedded chunks: **1**" in text[1] and "- Embedding model: **(none)**" in text[2]
+    assert [x for x in text[1] if x.startswith("| 1 | `") or x.startswith("| 2 | `")][:2] == ["| 1 | `A` | 0 | 8 |", "| 2 | `unknown` | 3 | 8 |"]
+    assert text[1].index("| `unknown` | 4 |") < text[1].index("| `A` | 3 |") and "unknown" + " " * 14 + "████" in text[1]
+    assert [x for x in text[1] if x.startswith("### Query")] == ["### Query #1", "### Query #2", "### Query #3"] and sum(x.startswith("##### Rank") for x in text[1]) == 15
+    assert "| `1` | `A` | 1 | yes | text 1 " + "z" * 73 + "… |" in text[1] and "| `2` | `A` | 2 | no | text 2 |" in text[1] and "| 1 | `A` | 1 | 1.000 | 0.000 | 0.250 |" in text[1]
+    assert "_No retrieval results found._" in text[2] and "- page: `None`" in text[2] and "## 5. Retrieval Coverage" not in text[2]
+    assert "> No parsed sections found." in text[3] and text[3][-1] == "> No retrieval preview rows found." and not any("Chunk Distribution" in x for x in text[3])
