@@ -157,7 +157,8 @@ def report(scopes: DataFrame, figures: DataFrame, key: str, generated_at: str) -
 def box_audit(objects: DataFrame, scope: Sequence[str]) -> DataFrame:
     """Distributions of objects by type and by source of their boxes: n, refined and the mean score of those that are refined and have one.
 
-    objects: scope, position, object_type, source, refined and score.
+    objects: scope, position, object_type, source, refined and score. Scores are added up as decimals, so that a mean that lies
+    between two thousandths is rounded up in any order of rows.
     """
     score = F.when(F.col("refined") & (F.col("score") != 0), F.col("score"))
-    return distributions(objects, scope, {"type": F.col("object_type"), "source": F.col("source")}, [F.count_if("refined").alias("refined"), F.round(F.avg(score), 3).alias("mean_score")], F.col("position"))
+    return distributions(objects, scope, {"type": F.col("object_type"), "source": F.col("source")}, [F.count_if("refined").alias("refined"), F.round(F.avg(score.cast("decimal(18,6)")), 3).cast("double").alias("mean_score")], F.col("position"))

@@ -90,8 +90,8 @@ def recognition_notes(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f34_box_audit", """WITH o AS (SELECT user_id AS paper_id, event_id, event_type, coalesce(nullif(split_part(CAST(floor(value / 40) AS VARCHAR), '.', 1), '0'), 'unknown') AS source, value >= 80 AS refined, CASE WHEN value >= 80 AND floor(value) <> 100 THEN round(value / 500, 3) ELSE 0 END AS score FROM events),
     p AS (SELECT paper_id, event_id, refined, score, unnest(['all', 'type', 'source']) AS dimension, unnest([NULL, event_type, source]) AS value FROM o),
-    g AS (SELECT paper_id, dimension, value, count(*) AS n, count(*) FILTER (refined) AS refined, round(avg(CASE WHEN refined AND score <> 0 THEN score END), 3) AS mean_score, min(event_id) AS first FROM p GROUP BY 1, 2, 3)
-    SELECT paper_id, dimension, value, CAST(row_number() OVER (PARTITION BY paper_id, dimension ORDER BY n DESC, first) AS INT) AS place, n, refined, mean_score FROM g""")
+    g AS (SELECT paper_id, dimension, value, count(*) AS n, count(*) FILTER (refined) AS refined, count(*) FILTER (refined AND score <> 0) AS k, CAST(sum(round(score * 1000)) FILTER (refined AND score <> 0) AS BIGINT) AS s, min(event_id) AS first FROM p GROUP BY 1, 2, 3)
+    SELECT paper_id, dimension, value, CAST(row_number() OVER (PARTITION BY paper_id, dimension ORDER BY n DESC, first) AS INT) AS place, n, refined, CASE WHEN k > 0 THEN (2 * s + k) // (2 * k) / 1000.0 END AS mean_score FROM g""")
 def box_audit(spark: SparkSession, d: str) -> DataFrame:
     """A paper's objects by type and by the source of their boxes."""
     step, value = F.floor(F.col("value") / 40).cast("string"), F.col("value")
