@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from lectern.operators import crops
 from lectern.operators import layout as operators
 from lectern.plans import layout
+from lectern.sources.shared import written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -53,7 +54,7 @@ _CAPS = f"""{layout._LINES}, coded AS (SELECT * REPLACE (CASE WHEN length(text)
     SELECT paper_id, span_index, why AS reason, CASE WHEN why = 'ok' THEN c0 END AS x0, CASE WHEN why = 'ok' THEN c1 END AS y0, CASE WHEN why = 'ok' THEN c2 END AS x1, CASE WHEN why = 'ok' THEN c3 END AS y1 FROM s""".replace("JOIN coded l USING (paper_id, page_num) WHERE", "JOIN coded l ON l.paper_id = c.paper_id AND l.page_num = c.page_num WHERE").replace("n AS (SELECT paper_id, span_index, count(*)", "n AS (SELECT c.paper_id, c.span_index, count(*)").replace("GROUP BY paper_id, c.span_index)", "GROUP BY 1, 2)"))
 def crop_regions(spark: SparkSession, d: str) -> DataFrame:
     """The region above each caption that may be its figure, or why there is none."""
-    rows = lines(spark, d)
+    rows = written(lines(spark, d))
     page = F.col("page_num")
     pages = rows.select("paper_id", "page_num").distinct().select("paper_id", "page_num", F.when(page % 5 == 0, 0.0).otherwise(612.0).alias("width"), F.when(page % 7 == 0, 0.0).otherwise(700.0).alias("height"))
     found = crops.regions(captions(rows), rows, pages)

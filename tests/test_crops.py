@@ -5,6 +5,9 @@ import re
 
 import pytest
 from lectern.operators import crops
+from lectern.plans import crops as plans
+
+from oracle import SF
 
 CAPTIONS = "caption_id long, paper_id long, page_num int, kind string, label string, number int, section string, text string, box array<double>, first_span int, n_spans int"
 LINES = "paper_id long, page_num int, span_index int, text string, box array<double>"
@@ -81,3 +84,11 @@ def test_checks(spark, given):
 def test_nothing(spark):
     none = [spark.createDataFrame([], s) for s in (CAPTIONS, LINES, PAGES)]
     assert crops.regions(*none).isEmpty() and crops.caption_checks(*none[:2]).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["g10_crop_regions"])
+def test_lines_are_made_once(spark, name):
+    """A caption's pattern must not be pushed below the lines, where it would make each anew, and the query reads them written."""
+    rows = plans.captions(plans.lines(spark, SF))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert "regexp_extract_all" not in plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
