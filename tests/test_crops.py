@@ -86,7 +86,7 @@ def test_nothing(spark):
     assert crops.regions(*none).isEmpty() and crops.caption_checks(*none[:2]).isEmpty()
 
 
-@pytest.mark.parametrize("name", ["g10_crop_regions"])
+@pytest.mark.parametrize("name", ["g10_crop_regions", "p20_caption_checks"])
 def test_lines_are_made_once(spark, name):
     """A caption's pattern must not be pushed below the lines, where it would make each anew, and the query reads them written."""
     rows = plans.captions(plans.lines(spark, SF))
