@@ -1,4 +1,4 @@
-"""Where a quote comes from, captions, and tables matched by label or caption; only the first two need a little Python, in batches or one page at a time."""
+"""Where a quote comes from, captions, and tables matched by label or caption; only the first needs a little Python, in batches."""
 
 from __future__ import annotations
 
@@ -52,59 +52,44 @@ def quote_spans(rows: DataFrame, keys: list[str], top: int = 3, least: float = 0
     return best.withColumn("chosen", F.col("best") | F.coalesce(taken, F.lit(False))).drop("takes", "best")
 
 
-CAPTION = "paper_id string, page_num int, kind string, label string, number int, first_span int, n_spans int, text string, box array<double>"
-
-
-def _continues(lines: list, line) -> bool:
-    """May the line go on with the caption that lines have begun? Each reason to stop in turn."""
-    first, last = lines[0], lines[-1]
-    text = line.clean
-    if not text or line.kind is not None or line.is_heading or len(text) > LINE_CHARS:
-        return False
-    if len(lines) >= LINES or sum(len(x.clean) for x in lines) + len(text) > CHARS:
-        return False
-    if last.section and line.section and last.section != line.section:
-        return False
-    if line.span_index - last.span_index > JUMP or abs(line.box[0] - first.box[0]) > SHIFT:
-        return False
-    if max(0.0, line.box[1] - last.box[3]) > GAP * max(last.box[3] - last.box[1], 1.0):
-        return False
-    return not (line.opens and (len(lines) >= 3 or line.box[2] - last.box[2] > WIDER))
-
-
-def _captions(page: pd.DataFrame) -> pd.DataFrame:
-    out, open_lines = [], []
-
-    def close() -> None:
-        if open_lines:
-            head = open_lines[0]
-            boxes = [x.box for x in open_lines]
-            box = [min(b[0] for b in boxes), min(b[1] for b in boxes), max(b[2] for b in boxes), max(b[3] for b in boxes)]
-            out.append((head.paper_id, head.page_num, head.kind, head.label, int(head.number), head.span_index, len(open_lines), " ".join(x.clean for x in open_lines), box))
-            open_lines.clear()
-
-    for line in page.sort_values("span_index").itertuples(index=False):
-        if open_lines and _continues(open_lines, line):
-            open_lines.append(line)
-        else:
-            close()
-            if line.kind is not None:
-                open_lines.append(line)
-    close()
-    return pd.DataFrame(out, columns=[c.split()[0] for c in CAPTION.split(", ")])
+def _continues(at: Column, first: Column, line: Column) -> Column:
+    """May the line go on with a caption (its lines so far: n, chars, last) that began with the first? Each reason to stop in turn."""
+    last, text = at["last"], line["clean"]
+    fits = (text != "") & line["kind"].isNull() & ~line["is_heading"] & (F.length(text) <= LINE_CHARS) & (at["n"] < LINES) & (at["chars"] + F.length(text) <= CHARS)
+    section = lambda x: F.coalesce(x["section"], F.lit(""))
+    same = (section(last) == "") | (section(line) == "") | (section(last) == section(line))
+    near = (line["span_index"] - last["span_index"] <= JUMP) & (F.abs(line["box"][0] - first["box"][0]) <= SHIFT)
+    below = F.greatest(F.lit(0.0), line["box"][1] - last["box"][3]) <= GAP * F.greatest(last["box"][3] - last["box"][1], F.lit(1.0))
+    opens = line["opens"] & ((at["n"] >= 3) | (line["box"][2] - last["box"][2] > WIDER))
+    return F.coalesce(fits & same & near & below & ~opens, F.lit(False))
 
 
 def captions(spans: DataFrame) -> DataFrame:
-    """Captions of positioned lines (paper_id, page_num, span_index, section, text, box): greedy, so a page at a time.
+    """Captions of positioned lines (paper_id, page_num, span_index, section, text, box): paper_id, page_num, kind, label, number,
+    first_span, n_spans, text and box.
 
-    Prefixes, headings and cleaned texts are columns before; Python only decides where a caption ends. Pages without a
-    caption's beginning are not grouped at all.
+    Each line that begins as a caption opens one, whatever was before, and it takes a few lines at most: so it needs those that
+    follow on its page, and no page is collected.
     """
     clean = tx.clean(F.col("text"))
-    prefix = tx.caption_prefix(clean)
-    rows = spans.withColumns({"clean": clean, "kind": prefix["kind"], "label": prefix["label"], "number": prefix["number"], "is_heading": ev.caption_heading(clean), "opens": ev.paragraph_start(clean)})
-    pages = rows.where("kind is not null").select("paper_id", "page_num").distinct()
-    return rows.join(pages, ["paper_id", "page_num"], "left_semi").groupBy("paper_id", "page_num").applyInPandas(_captions, CAPTION)
+    rows = spans.select("paper_id", "page_num", "span_index", "section", "box", clean.alias("clean"))
+    rows = rows.withColumn("_prefix", tx.caption_prefix(F.col("clean"))).withColumns({"kind": F.col("_prefix")["kind"], "is_heading": ev.caption_heading(F.col("clean")), "opens": ev.paragraph_start(F.col("clean"))})
+    rows = rows.withColumn("_line", F.struct("span_index", "section", "clean", "box", "kind", "is_heading", "opens"))
+    page = Window.partitionBy("paper_id", "page_num").orderBy("span_index")
+    heads = rows.select("paper_id", "page_num", "_prefix", F.col("_line").alias("_first"), F.array(*(F.lead("_line", i).over(page) for i in range(1, LINES))).alias("_next")).where("_first.kind is not null")
+    first = F.col("_first")
+
+    def step(at: Column, line: Column) -> Column:
+        goes = ~at["stopped"] & _continues(at, first, line)
+        return F.struct((at["n"] + goes.cast("int")).alias("n"), (at["chars"] + F.when(goes, F.length(line["clean"])).otherwise(0)).alias("chars"), F.when(goes, line).otherwise(at["last"]).alias("last"), (~goes).alias("stopped"))
+
+    start = F.struct(F.lit(1).alias("n"), F.length(first["clean"]).alias("chars"), first.alias("last"), F.lit(False).alias("stopped"))
+    found = heads.withColumn("n_spans", F.aggregate("_next", start, step)["n"])
+    found = found.withColumn("_own", F.slice(F.concat(F.array("_first"), F.col("_next")), F.lit(1), F.col("n_spans")))
+    edge = lambda i, best: best(F.transform(F.col("_own")["box"], lambda b: b[i]))
+    box = F.array(edge(0, F.array_min), edge(1, F.array_min), edge(2, F.array_max), edge(3, F.array_max))
+    of = F.col("_prefix")
+    return found.select("paper_id", "page_num", of["kind"].alias("kind"), of["label"].alias("label"), of["number"].alias("number"), first["span_index"].alias("first_span"), "n_spans", F.array_join(F.col("_own")["clean"], " ").alias("text"), box.alias("box"))
 
 
 def best_captions(found: DataFrame) -> DataFrame:

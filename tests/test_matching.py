@@ -43,3 +43,16 @@ def test_captions(spark):
     assert got == {(1, "Table 1", 2, "Table 1: Results of all runs."), (1, "Figure 2", 1, "Figure 2. A map"), (1, "Table 3", 1, "Table 3: next"), (2, "Figure 2", 1, "Fig. 2: the same map, longer")}
     best = {(r["label"], r["page_num"]) for r in matching.best_captions(found).collect()}
     assert best == {("Table 1", 1), ("Figure 2", 2), ("Table 3", 1)}
+
+
+def test_captions_need_no_python(spark):
+    """A line may jump, move aside, be too long, name another section or begin as prose; pages are not grouped in Python."""
+    lines = [
+        line(0, "Table 1: a", 0.0), line(3, "too far down the list", 12.0), line(4, "Table 2: b", 30.0), line(5, "x" * 261, 42.0), line(6, "Table 3: c", 60.0, section="s"), line(7, "other section", 72.0, section="t"),
+        line(8, "Table 4: d", 90.0, section=None), line(9, "one", 102.0), line(10, "two", 114.0), line(11, "three", 126.0), line(12, "four", 138.0), line(13, "Table 5: " + "y" * 250, 150.0), line(14, "z" * 240, 162.0), line(15, "w" * 10, 174.0),
+    ]
+    spans = spark.createDataFrame(lines, "paper_id string, page_num int, span_index int, section string, text string, box array<double>")
+    found = matching.captions(spans)
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+    got = {r["label"]: (r["first_span"], r["n_spans"], r["box"]) for r in found.collect()}
+    assert got == {f"Table {i}": (s, n, [10.0, t, 110.0, t + 10 + 12 * (n - 1)]) for i, s, n, t in ((1, 0, 1, 0.0), (2, 4, 1, 30.0), (3, 6, 1, 60.0), (4, 8, 4, 90.0), (5, 13, 1, 150.0))} | {"Table 5": (13, 2, [10.0, 150.0, 110.0, 172.0])}
