@@ -90,7 +90,7 @@ def outcomes(papers: DataFrame, run: Run) -> DataFrame:
     participated, eligible, recent_verdict, citations (whether there are enough), score (null: none given) and own_score.
     """
     order = [-F.unix_micros(F.col("open_time").cast("timestamp")), F.col("paper_id")]
-    coarse = [F.floor(order[0] / 86_400_000_000), F.floor(F.col("paper_id") / 100_000)]
+    coarse = [F.floor(order[0] / 86_400_000_000), order[0], F.floor(F.col("paper_id") / 100_000)]  # ids only order papers of one time
     if run.max_papers is not None:
         first, _ = granted(papers, F.lit(1), run.max_papers, order, coarse)
         papers = papers.where(first)

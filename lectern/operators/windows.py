@@ -83,13 +83,20 @@ def ranked_in_parts(df: DataFrame, keys: list[str], coarse: Sequence[Column], or
 def summed_in_parts(df: DataFrame, keys: list[str], coarse: Sequence[Column], order: Sequence[Column], values: dict[str, Column]) -> DataFrame:
     """df with running sums of values within its key, up to and with each row, without bringing a key's rows together.
 
-    coarse: as in ranked_in_parts. Parts are added up first; only a part's own rows are ordered.
+    coarse: as in ranked_in_parts, so that no row of a part comes before one of an earlier part by `order`. Parts are added up first;
+    only a part's own rows are ordered. Without keys the first of several parts is added up by itself, the others within it.
     """
     parts = [f"_part{i}" for i in range(len(coarse))]
     rows = df.withColumns({**dict(zip(parts, coarse, strict=True)), **{f"_v_{n}": v for n, v in values.items()}})
     totals = rows.groupBy(*keys, *parts).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
-    earlier = Window.partitionBy(*keys).orderBy(*parts).rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*keys, *parts, *[F.coalesce(F.sum(f"_t_{n}").over(earlier), F.lit(0)).alias(f"_before_{n}") for n in values])
+    sums = lambda w: {n: F.coalesce(F.sum(f"_t_{n}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for n in values}
+    if keys or len(parts) == 1:
+        totals = totals.select(*keys, *parts, *[c.alias(f"_before_{n}") for n, c in sums(Window.partitionBy(*keys).orderBy(*parts)).items()])
+    else:
+        whole = totals.groupBy(parts[0]).agg(*[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in values])
+        whole = whole.select(parts[0], *[c.alias(f"_whole_{n}") for n, c in sums(Window.orderBy(parts[0])).items()])
+        within = totals.select(*parts, *[c.alias(f"_within_{n}") for n, c in sums(Window.partitionBy(parts[0]).orderBy(*parts[1:])).items()])
+        totals = within.join(whole, parts[0]).select(*parts, *[(F.col(f"_whole_{n}") + F.col(f"_within_{n}")).alias(f"_before_{n}") for n in values])
     own = Window.partitionBy(*keys, *parts).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({f"_own_{n}": F.sum(f"_v_{n}").over(own) for n in values}).join(totals, [*keys, *parts])
     rows = rows.withColumns({n: F.col(f"_before_{n}") + F.col(f"_own_{n}") for n in values})

@@ -116,3 +116,15 @@ def test_synced(spark):
     assert sorted((r["paper_id"], r["title"]) for r in p.collect()) == [(1, "new"), (2, "kept"), (3, "more")]
     assert sorted((r["comment_id"], r["is_ours"], r["at"].day) for r in c.collect()) == [("c1", True, 2), ("c2", True, 1), ("c3", False, 2)]
     assert n.first().asDict() == {"papers": 2, "comments": 2}
+
+
+def test_ids_order_only_papers_of_one_time(spark):
+    """Of two papers of a day the later opened comes first, also where its id is in a later part."""
+    rows = [(100_001, 5, 1), (1, 4, 1), (200_002, 4, 1), (7, 3, 1)]
+    df = spark.createDataFrame(rows, "id long, hour int, cost int").withColumn("cost", F.when(F.col("id") != 7, F.col("cost")))
+    papers = df.select(
+        F.col("id").alias("paper_id"), F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(30), F.col("hour"), F.lit(0), F.lit(0)).alias("open_time"), F.lit(1.0).alias("hours"), F.lit(True).alias("has_candidate"), F.lit(False).alias("recent_reactive"), F.lit("body").alias("body"),
+        F.lit(False).alias("participated"), F.lit(False).alias("eligible"), F.lit(False).alias("recent_verdict"), F.lit(False).alias("citations"), F.lit(5.0).alias("score"), F.lit(5.0).alias("own_score"),
+    )
+    run = loop.Run(test_mode=False, live_mode=True, live_reactive=True, allowlisted=True, reactive_budget=2)
+    assert {r["paper_id"] for r in loop.outcomes(papers, run).where("reactive_live_posted").collect()} == {100_001, 1}
