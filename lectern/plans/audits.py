@@ -39,7 +39,7 @@ def claims(spark: SparkSession, d: str) -> DataFrame:
     )
     verdict = F.when(F.col("o_orderstatus") == "F", "supported").when(F.col("o_orderstatus") == "O", "insufficient_evidence").otherwise("refuted")
     return b.table(spark, d, "orders").select(
-        F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("paper_id"), F.col("o_orderstatus").alias("field"), F.round(F.col("o_totalprice") / 500000, 4).alias("confidence"),
+        F.col("o_orderkey").alias("claim_id"), F.col("o_custkey").alias("paper_id"), F.col("o_orderstatus").alias("field"), b.rounded(F.col("o_totalprice") / 500000, 4).alias("confidence"),
         verdict.alias("verdict"), F.concat(F.lit("The "), F.lower("o_orderpriority"), F.lit(" comparison "), said, F.lit(".")).alias("text"),
     )
 

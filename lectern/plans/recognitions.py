@@ -97,7 +97,7 @@ def box_audit(spark: SparkSession, d: str) -> DataFrame:
     step, value = F.floor(F.col("value") / 40).cast("string"), F.col("value")
     rows = b.table(spark, d, "events").select(
         F.col("user_id").alias("paper_id"), F.col("event_id").alias("position"), F.col("event_type").alias("object_type"), F.coalesce(F.nullif(step, F.lit("0")), F.lit("unknown")).alias("source"), (value >= 80).alias("refined"),
-        F.when((value >= 80) & (F.floor(value) != 100), F.round(value / 500, 3)).otherwise(0.0).alias("score"),
+        F.when((value >= 80) & (F.floor(value) != 100), b.rounded(value / 500, 3)).otherwise(0.0).alias("score"),
     )
     return rec.box_audit(rows, ["paper_id"]).select("paper_id", "dimension", "value", "place", "n", "refined", "mean_score")
 

@@ -2,9 +2,11 @@
 
 import datetime as dt
 
+import duckdb
 from pyspark.sql import functions as F
 
 from lectern.operators import documents, reports
+from lectern.plans import bindings
 
 
 def test_numbers_and_files(spark, tmp_path):
@@ -96,3 +98,10 @@ def test_retrieval_report(spark):
     assert "| `1` | `A` | 1 | yes | text 1 " + "z" * 73 + "… |" in text[1] and "| `2` | `A` | 2 | no | text 2 |" in text[1] and "| 1 | `A` | 1 | 1.000 | 0.000 | 0.250 |" in text[1]
     assert "_No retrieval results found._" in text[2] and "- page: `None`" in text[2] and "## 5. Retrieval Coverage" not in text[2]
     assert "> No parsed sections found." in text[3] and text[3][-1] == "> No retrieval preview rows found." and not any("Chunk Distribution" in x for x in text[3])
+
+
+def test_shares_round_as_in_sql(spark):
+    """9725 / 500000 is a double below 0.01945."""
+    prices = [9725.0, 9775.0, 25.0, 75.0, 313_475.0, 100_025.0]
+    got = [r[0] for r in spark.createDataFrame([(p,) for p in prices], "p double").select(bindings.rounded(F.col("p") / 500000, 4)).collect()]
+    assert got == [duckdb.execute(f"SELECT round({p}::DOUBLE / 500000, 4)").fetchall()[0][0] for p in prices] and got[0] == 0.0194
