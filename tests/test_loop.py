@@ -128,3 +128,14 @@ def test_ids_order_only_papers_of_one_time(spark):
     )
     run = loop.Run(test_mode=False, live_mode=True, live_reactive=True, allowlisted=True, reactive_budget=2)
     assert {r["paper_id"] for r in loop.outcomes(papers, run).where("reactive_live_posted").collect()} == {100_001, 1}
+
+
+def test_verdicts_are_granted_by_time_before_id(spark):
+    """As above, with the budget of verdicts."""
+    rows = spark.createDataFrame([(100_001, 5), (1, 4), (300_000, 4), (2, 3)], "paper_id long, hour int")
+    papers = rows.select(
+        "paper_id", F.make_timestamp_ntz(F.lit(2024), F.lit(1), F.lit(30), F.col("hour"), F.lit(0), F.lit(0)).alias("open_time"), F.lit(1.0).alias("hours"), F.lit(False).alias("has_candidate"), F.lit(False).alias("recent_reactive"), F.lit("").alias("body"),
+        F.lit(False).alias("participated"), F.lit(True).alias("eligible"), F.lit(False).alias("recent_verdict"), F.lit(True).alias("citations"), F.lit(5.0).alias("score"), F.lit(5.0).alias("own_score"),
+    )
+    run = loop.Run(test_mode=False, live_mode=True, live_verdict=True, allowlisted=True, verdict_budget=2)
+    assert {r["paper_id"] for r in loop.outcomes(papers, run).where("verdict_live_submitted").collect()} == {100_001, 1}
