@@ -7,6 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.operators import layout
+from lectern.plans import layout as plans
+
+from oracle import SF
 
 LINES = "paper_id string, page_num int, span_index int, section string, text string, box array<double>"
 CAPTIONS = "paper_id string, caption_id int, page_num int, kind string, section string, spans array<int>, box array<double>"
@@ -193,3 +196,8 @@ def test_chunks_of_a_long_paper(spark):
     assert (low, high, distinct) == (0, n - 1, n) and n == 6000 * 8
     with pytest.raises(ValueError):
         layout.line_chunks(rows, size=3, overlap=3)
+
+
+@pytest.mark.parametrize("name", ["w8_line_chunks", "w17_object_regions", "w18_figure_regions"])
+def test_queries_read_lines_that_are_written_once(spark, name):
+    assert "regexp_extract_all" not in plans.QUERIES[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
