@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions.rules import choose
-from lectern.functions.text import clean, tokens, truncated
+from lectern.functions.text import clean, once, tokens, truncated
 
 #: A sentence with the white space that ends it; all pieces together are the text.
 PIECE = r"(?s).+?(?:(?<=[.!?])\s+|\n+|\z)"
@@ -102,7 +102,7 @@ def evidence_item(rank: Column, kind: Column, section: Column, page: Column, lab
         named("Page: ", F.coalesce(F.nullif(page, F.lit(0)).cast("string"), F.lit("?"))), named("Label: ", full(label)),
         F.when(matched, "Reference match: yes").when(boost > 0, named("Reference boost: ", F.format_string("%.2f", boost))), F.when(shown, named("Caption:\n", full(caption))),
         _figure(figure, semantics, ocr),
-        F.lit("Content:"), F.coalesce(F.nullif(body, F.lit("")), none),
+        F.lit("Content:"), once(body, lambda t: F.coalesce(F.nullif(t, F.lit("")), none)),
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,10 +52,14 @@ def normalized(c: Column) -> Column:
     return F.lower(clean(c))
 
 
+def once(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a column that is made once, however often f names it."""
+    return F.transform(F.array(c), f)[0]
+
+
 def truncated(c: Column, limit: int) -> Column:
     """Cleaned; what is longer ends in three dots within the limit."""
-    t = clean(c)
-    return F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(limit - 3))), F.lit("...")))
+    return once(clean(c), lambda t: F.when(F.length(t) <= limit, t).otherwise(F.concat(F.rtrim(F.left(t, F.lit(limit - 3))), F.lit("..."))))
 
 
 def shortened(c: Column, limit: int) -> Column:

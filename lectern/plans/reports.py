@@ -84,7 +84,7 @@ def evidence_block(spark: SparkSession, d: str) -> DataFrame:
     ))
     rank = F.row_number().over(Window.partitionBy("claim_id").orderBy("position", "tie"))
     given = F.when(has, F.repeat(F.concat(F.lit("Value "), number, F.lit(" ")), F.lit(230)))
-    e = e.withColumns({"rank": rank, "given": given, "semantics": semantics})
+    e = e.withColumn("rank", rank).withColumns({"given": given, "semantics": semantics})  # texts are made behind the window, which would sort them
     item = report.evidence_item(
         F.col("rank"), F.col("kind"), F.col("section"), F.col("page"), F.col("label"), F.col("position") % 3 == 0, F.col("score"), F.concat("label", F.lit(" of part "), number), F.col("given"),
         F.when(has, F.concat(F.lit("axis "), number)), F.col("semantics"),

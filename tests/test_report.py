@@ -5,6 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from lectern.functions import text
 from lectern.functions import report
 from lectern.operators import aggregates, ranking
 
@@ -86,3 +87,9 @@ def test_seed_candidates(spark):
     rows = spark.createDataFrame([(1, " " + "a" * 149 + " b ", "T"), (2, "{title}", None), (3, " ", "T"), (4, None, "T")], "id int, abstract string, name string")
     got = {(r["id"], r["i"]): r["body"] for r in ranking.seed_candidates(rows, ["{title}: {excerpt}", "{excerpt}?"], "abstract", "name").collect()}
     assert got == {(1, 1): "T: " + "a" * 149 + "...", (1, 2): "a" * 149 + "...?", (2, 1): "this topic: {title}", (2, 2): "{title}?"}
+
+
+def test_long_texts_are_cleaned_once(spark):
+    df = spark.createDataFrame([("a  b " * 9,), (None,), ("x",)], "t string").select(text.truncated(F.col("t"), 10).alias("t"))
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 1
+    assert [r["t"] for r in df.collect()] == ["a b a b...", "", "x"]
