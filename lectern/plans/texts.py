@@ -213,18 +213,12 @@ def references(spark: SparkSession, d: str) -> DataFrame:
     c AS (SELECT *, row_number() OVER (PARTITION BY vec_id, label ORDER BY score DESC, other) AS n FROM p) SELECT vec_id, other, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, other) AS rank FROM c WHERE n <= 2) WHERE rank <= 5""")
 def cosine_top(spark: SparkSession, d: str) -> DataFrame:
     """The nearest vectors of a stated query set, at most two of a label."""
-    e = b.table(spark, d, "embeddings")
-    q = e.where("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("x"))
-    blocks = max(1, -(-q.count() // 1000))  # every row meets the query set block by block
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))  # a block's rows are dealt to so many tasks, each with the block's queries
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = q.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int")).select("*", each(parts).alias("part"))
-    rows = e.select(F.col("vec_id").alias("other"), "label", "embedding", F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int").alias("part"), each(blocks).alias("block"))
-    p = rows.join(q, ["block", "part"]).where("other <> vec_id")
-    p = p.withColumn("score", F.round(ranking.cosine(F.col("x"), F.col("embedding")), 6))
-    order = [F.col("score").desc(), "other"]
-    out = p.withColumn("n", F.row_number().over(Window.partitionBy("vec_id", "label").orderBy(*order))).where("n <= 2")
-    return out.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(*order))).where("rank <= 5").select("vec_id", "other", "score", "rank")
+    e = b.table(spark, d, "embeddings").select("vec_id", "label", "embedding")
+    found = ranking.nearest(e.where("vec_id % 100 = 0").select("vec_id", F.col("embedding").alias("x")), e.withColumnRenamed("vec_id", "other"), caps=2, k=5)
+    order = [F.round("score", 6).desc(), "other"]
+    out = found.withColumn("n", F.row_number().over(Window.partitionBy("vec_id", "label").orderBy(*order))).where("n <= 2")
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(*order))).where("rank <= 5")
+    return out.select("vec_id", "other", F.round("score", 6).alias("score"), "rank")
 
 
 _BM25 = """ev AS (SELECT doc_id AS evidence_id, lang AS corpus, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]+') AS ts, CASE WHEN n_chars % 3 = 0 THEN 'table' WHEN n_chars % 3 = 1 THEN 'figure' ELSE 'text_chunk' END AS kind FROM documents),
