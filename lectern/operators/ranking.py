@@ -17,6 +17,8 @@ K1, B, EPSILON = 1.5, 0.75, 0.25
 WEIGHTS = {"lexical": 0.35, "semantic": 0.45, "reference": 0.20, "prior": 0.05}
 #: Rows of a table that is sent to all tasks, at most.
 BROADCAST = 200_000
+#: Texts whose words one task counts, about.
+TEXTS = 4096
 #: Rows and queries of the vectors that are multiplied in one task at once, and queries of these in one go.
 ROWS, QUERIES, PORTION = 8192, 4096, 256
 CAPS = {"text_chunk": 3, "table": 2, "figure": 1}
@@ -31,11 +33,16 @@ def bm25(claims: DataFrame, evidence: DataFrame) -> DataFrame:
 
     claims: claim_id, corpus, text; evidence: evidence_id, corpus, text. Statistics are those of the corpus. A word that more
     than half of a corpus has would weigh negatively and takes a quarter of the corpus's mean weight instead. Of all words only
-    the number of texts that have them is counted; how often a text has a word is counted for asked words alone.
+    the number of texts that have them is counted; how often a text has a word is counted for asked words alone. Texts are dealt
+    anew, by more tasks the more there are, so that what a task counts has a bound.
     """
-    doc = evidence.select("corpus", "evidence_id", tokens(F.col("text")).alias("ts"))
-    size = doc.groupBy("corpus").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("mean_size"))
-    df = doc.select("corpus", F.explode(F.array_distinct("ts")).alias("term")).groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"))
+    tasks = max(int(evidence.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-evidence.count() // TEXTS))
+    doc = evidence.select("corpus", "evidence_id", "text").repartition(tasks, "evidence_id").select("corpus", "evidence_id", tokens(F.col("text")).alias("ts"))
+    # Numbers of texts with a word and, at the empty word, of all texts and their words: one pass.
+    df = doc.select("corpus", F.size("ts").alias("dl"), F.explode(F.array_append(F.array_distinct("ts"), F.lit(""))).alias("term"))
+    df = df.groupBy("corpus", "term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("term") == "", F.col("dl"))).alias("words"))
+    size = df.where("term = ''").select("corpus", F.col("df").alias("n"), (F.col("words") / F.col("df")).alias("mean_size"))
+    df = df.where("term <> ''").select("corpus", "term", "df")
     df = df.join(size, "corpus").withColumn("raw", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     mean = df.groupBy("corpus").agg(F.avg("raw").alias("mean_idf"))
     idf = df.join(mean, "corpus").select("corpus", "term", "mean_size", F.when(F.col("raw") < 0, EPSILON * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
@@ -45,7 +52,10 @@ def bm25(claims: DataFrame, evidence: DataFrame) -> DataFrame:
         words = F.broadcast(words)
     terms = doc.select("corpus", "evidence_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(words, ["corpus", "term"], "left_semi")
     terms = terms.groupBy("corpus", "evidence_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    hits = asked.join(idf, ["corpus", "term"]).join(terms, ["corpus", "term"])
+    weights = asked.join(idf, ["corpus", "term"])
+    if asked.limit(BROADCAST + 1).count() <= BROADCAST:
+        weights = F.broadcast(weights)  # texts stay where their words were counted, and so do the pairs' sums
+    hits = terms.join(weights, ["corpus", "term"])
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("mean_size")))
     return hits.groupBy("claim_id", "evidence_id").agg(F.sum(part).alias("bm25"))
 

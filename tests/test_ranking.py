@@ -1,6 +1,7 @@
-"""Ranking of evidence: nearest vectors against brute force."""
+"""Ranking of evidence: nearest vectors and BM25 against brute force."""
 
 import math
+import re
 
 import numpy as np
 from pyspark.sql import Window
@@ -47,3 +48,25 @@ def test_nearest_meets_all_parts_and_blocks(spark, monkeypatch):
     out = found.withColumn("n", F.row_number().over(Window.partitionBy("vec_id", "label").orderBy(*order))).where("n <= 2")
     out = out.withColumn("rank", F.row_number().over(Window.partitionBy("vec_id").orderBy(*order))).where("rank <= 5")
     assert sorted(map(tuple, out.select("vec_id", "other", F.round("score", 6), "rank").collect())) == _nearest_by_hand(rows, queries, 2, 5)
+
+
+def test_bm25_counts_words_in_bounded_tasks(spark, monkeypatch):
+    """Many texts are dealt to more tasks, and sums by pair are made where the words were counted."""
+    monkeypatch.setattr(ranking, "TEXTS", 5)
+    texts = [(i, "de" if i % 3 else "en", f"w{i % 7} w{i % 5} all All" if i % 9 else None) for i in range(60)]
+    asked = [(0, "de", "w1 w1, all"), (1, "en", "W2 none w3")]
+    found = ranking.bm25(spark.createDataFrame(asked, "claim_id long, corpus string, text string"), spark.createDataFrame(texts, "evidence_id long, corpus string, text string"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"hashpartitioning\(evidence_id#\d+L?, 12\)", plan) and not re.search(r"hashpartitioning\(claim_id#\d+L?, evidence_id", plan)
+    words = lambda t: re.findall("[a-z0-9]+", (t or "").lower())
+    expected = {}
+    for claim, corpus, text in asked:
+        own = {i: words(t) for i, c, t in texts if c == corpus}
+        mean = sum(map(len, own.values())) / len(own)
+        raw = {w: math.log((len(own) - n + 0.5) / (n + 0.5)) for w in {w for ws in own.values() for w in ws} for n in [sum(w in ws for ws in own.values())]}
+        idf = {w: v if v >= 0 else 0.25 * sum(raw.values()) / len(raw) for w, v in raw.items()}
+        for i, ws in own.items():
+            if shared := [w for w in words(text) if w in ws]:
+                expected[claim, i] = sum(idf[w] * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for w in shared)
+    got = {(r.claim_id, r.evidence_id): r.bm25 for r in found.collect()}
+    assert got.keys() == expected.keys() and all(math.isclose(got[k], expected[k], rel_tol=1e-12) for k in got)
