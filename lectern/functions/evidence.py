@@ -103,18 +103,26 @@ def reference_label(kind: str, number: Column) -> Column:
     return F.concat(F.lit(kind.capitalize() + " "), number)
 
 
-def reference_boost(claim: Column, kind: Column, label: Column, section_number: Column, section: Column) -> Column:
-    """1.0 where a claim names an object by type and label, 0.9 by label only, 0.7 its section, 0.4 a section above; the most wins."""
+def reference_names(claim: Column) -> Column:
+    """What a claim names, as a struct: labels of tables and figures in lower case, sections, and the sections above these."""
     of = lambda p: F.regexp_extract_all(_text(claim), F.lit(rf"(?i)\b(?:{p})\s+(\d+(?:\.\d+)*)\b"), F.lit(1))
-    numbers = {"table": of(r"Table|Tab\."), "figure": of(r"Figure|Fig\.")}
-    low, own = F.lower(F.trim(_text(label))), F.lower(F.trim(_text(kind)))
-    sections, number = of(r"Section|Sec\."), F.trim(_text(section_number))
-    named = {k: F.array_contains(F.transform(n, _prefixed(k + " ")), low) for k, n in numbers.items()}
-    above = F.exists(sections, lambda s: F.array_contains(F.slice(section_ancestors(s), 2, 100), number))
-    titled = F.exists(sections, lambda s: F.contains(F.lower(_text(section)), F.concat(F.lit("section "), s)))
+    sections = of(r"Section|Sec\.")
+    above = F.flatten(F.transform(sections, lambda s: F.slice(section_ancestors(s), 2, 100)))
+    return F.struct(F.transform(of(r"Table|Tab\."), _prefixed("table ")).alias("table"), F.transform(of(r"Figure|Fig\."), _prefixed("figure ")).alias("figure"), sections.alias("sections"), above.alias("above"))
+
+
+def reference_boost(claim: Column, kind: Column, label: Column, section_number: Column, section: Column, names: Column | None = None) -> Column:
+    """1.0 where a claim names an object by type and label, 0.9 by label only, 0.7 its section, 0.4 a section above; the most wins.
+
+    names: the claim's `reference_names`, where they were made before the claim met its evidence.
+    """
+    names = reference_names(claim) if names is None else names
+    low, own, number = F.lower(F.trim(_text(label))), F.lower(F.trim(_text(kind))), F.trim(_text(section_number))
+    named = {k: F.array_contains(names[k], low) for k in ("table", "figure")}
+    titled = F.exists(names["sections"], lambda s: F.contains(F.lower(_text(section)), F.concat(F.lit("section "), s)))
     return choose(
         ((named["table"] & (own == "table")) | (named["figure"] & (own == "figure")), 1.0), (named["table"] | named["figure"], 0.9),
-        (((number != "") & F.array_contains(sections, number)) | titled, 0.7), ((number != "") & above, 0.4), other=0.0,
+        (((number != "") & F.array_contains(names["sections"], number)) | titled, 0.7), ((number != "") & F.array_contains(names["above"], number), 0.4), other=0.0,
     )
 
 

@@ -60,10 +60,17 @@ def bm25(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     return hits.groupBy("claim_id", "evidence_id").agg(F.sum(part).alias("bm25"))
 
 
-def cosine(x: Column, y: Column) -> Column:
-    """0 for a zero query; a zero row has norm 1e-10."""
-    dot = lambda a, c: F.aggregate(F.zip_with(a, c, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    nx, ny = F.sqrt(dot(x, x)), F.sqrt(dot(y, y))
+def dot(x: Column, y: Column) -> Column:
+    return F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+
+
+def norm(x: Column) -> Column:
+    return F.sqrt(dot(x, x))
+
+
+def cosine(x: Column, y: Column, nx: Column | None = None, ny: Column | None = None) -> Column:
+    """0 for a zero query; a zero row has norm 1e-10. nx, ny: the norms, where they were made before the vectors met."""
+    nx, ny = norm(x) if nx is None else nx, norm(y) if ny is None else ny
     return F.when(nx == 0, F.lit(0.0)).otherwise(dot(x, y) / (nx * F.when(ny == 0, F.lit(1e-10)).otherwise(ny)))
 
 
@@ -188,12 +195,17 @@ def scaled(df: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFra
     return out.withColumns(to).drop(*(f"_{n}_{v}" for v in values for n in ("low", "high")))
 
 
-def type_prior(query: Column, kind: Column) -> Column:
+def asked_for(query: Column) -> Column:
+    """Whether a query has words that ask for results, and for methods, as a struct."""
     q = F.lower(F.coalesce(query, F.lit("")))
     # fixed values: words that ask for results or for methods
     results = q.rlike(r"\b(table|tab\.|figure|fig\.|ablation|baseline|compare|comparison|result|results|performance|qualitative)\b")
     methods = q.rlike(r"\b(section|method|proof|assumption|definition|theorem)\b")
-    return F.when(kind.isin("table", "figure") & results, 1.0).when((kind == "text_chunk") & methods, 0.4).otherwise(0.0)
+    return F.struct(results.alias("results"), methods.alias("methods"))
+
+
+def type_prior(asks: Column, kind: Column) -> Column:
+    return F.when(kind.isin("table", "figure") & asks["results"], 1.0).when((kind == "text_chunk") & asks["methods"], 0.4).otherwise(0.0)
 
 
 def capped(df: DataFrame, keys: Sequence[str], kind: str, caps: Mapping[str, int], order: Sequence, k: int) -> DataFrame:
@@ -207,10 +219,10 @@ def capped(df: DataFrame, keys: Sequence[str], kind: str, caps: Mapping[str, int
 def ranked(scored: DataFrame, k: int = 5, caps: Mapping[str, int] = CAPS, digits: int = 9) -> DataFrame:
     """Evidence of each claim by combined score, explicitly named objects first.
 
-    scored: claim_id, evidence_id, kind, query, bm25, semantic, reference, explicit (of all candidates).
+    scored: claim_id, evidence_id, kind, asks (asked_for of the query, made before claims meet evidence), bm25, semantic, reference, explicit (of all candidates).
     """
     w = WEIGHTS
-    score = w["lexical"] * F.col("bm25") + w["semantic"] * F.col("semantic") + w["reference"] * F.col("reference") + w["prior"] * type_prior(F.col("query"), F.col("kind"))
+    score = w["lexical"] * F.col("bm25") + w["semantic"] * F.col("semantic") + w["reference"] * F.col("reference") + w["prior"] * type_prior(F.col("asks"), F.col("kind"))
     out = scaled(scored, ["claim_id"], ["bm25", "semantic"]).withColumn("score", F.round(score, digits))
     return capped(out, ["claim_id"], "kind", caps, [F.col("explicit").desc(), F.col("score").desc(), "evidence_id"], k)
 

@@ -80,8 +80,8 @@ def _found(claim: str, kind: str) -> str:
     SELECT claim_id, position, tie, boost, boost > 0 AS matched FROM s""")
 def reference_boosts(spark: SparkSession, d: str) -> DataFrame:
     """What a claim's references add to each of its evidence's score."""
-    rows = evidence(spark, d).join(claims(spark, d).select("claim_id", "text"), "claim_id")
-    out = rows.withColumn("boost", ev.reference_boost(F.col("text"), F.col("kind"), F.col("label"), F.col("section_number"), F.col("section")))
+    rows = evidence(spark, d).join(claims(spark, d).select("claim_id", ev.reference_names(F.col("text")).alias("names")), "claim_id")
+    out = rows.withColumn("boost", ev.reference_boost(F.lit(None), F.col("kind"), F.col("label"), F.col("section_number"), F.col("section"), F.col("names")))
     return out.select("claim_id", "position", "tie", "boost", (F.col("boost") > 0).alias("matched"))
 
 

@@ -261,21 +261,23 @@ def bm25(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_ranking(spark: SparkSession, d: str) -> DataFrame:
     """The whole ranking of every claim's candidates.
 
-    A claim's candidates are all evidence of its corpus, as asked for. The claims are sent to the evidence, after a check of
+    A claim's candidates are all evidence of its corpus, as asked for. What follows from a claim or a vector alone is made before
+    they meet. The claims are sent to the evidence, after a check of
     their number; scores are scaled by joined minima and maxima, and each task keeps its own best rows before the last sort.
     """
     claims, evidence = _claims(spark, d)
     vectors = b.table(spark, d, "embeddings").select("vec_id", "embedding")
-    asked = claims.join(vectors, F.col("claim_id") == F.col("vec_id"), "left").select("claim_id", "corpus", F.col("text").alias("query"), F.col("embedding").alias("x"))
+    asked = claims.join(vectors, F.col("claim_id") == F.col("vec_id"), "left")
+    asked = asked.select("claim_id", "corpus", ev.reference_names(F.col("text")).alias("names"), ranking.asked_for(F.col("text")).alias("asks"), F.col("embedding").alias("x"), ranking.norm(F.col("embedding")).alias("nx"))
     number = (F.col("evidence_id") % 20).cast("string")
     label = F.when(F.col("kind") != "text_chunk", F.concat(F.initcap("kind"), F.lit(" "), number))
-    given = evidence.join(vectors, F.col("evidence_id") == F.col("vec_id"), "left").select("evidence_id", "corpus", "kind", label.alias("label"), F.when(F.col("kind") == "text_chunk", number).alias("section_number"), F.col("embedding").alias("y"))
+    given = evidence.join(vectors, F.col("evidence_id") == F.col("vec_id"), "left").select("evidence_id", "corpus", "kind", label.alias("label"), F.when(F.col("kind") == "text_chunk", number).alias("section_number"), F.col("embedding").alias("y"), ranking.norm(F.col("embedding")).alias("ny"))
     if claims.limit(ranking.BROADCAST // 100 + 1).count() <= ranking.BROADCAST // 100:  # a few kB each
         asked = F.broadcast(asked)
     pairs = given.join(asked, "corpus").join(ranking.bm25(claims, evidence), ["claim_id", "evidence_id"], "left")
-    reference = ev.reference_boost(F.col("query"), F.col("kind"), F.col("label"), F.col("section_number"), F.lit(None).cast("string"))
+    reference = ev.reference_boost(F.lit(None), F.col("kind"), F.col("label"), F.col("section_number"), F.lit(None).cast("string"), F.col("names"))
     explicit = (F.col("kind").isin("table", "figure")) & (reference == 1.0)
-    scored = pairs.select("claim_id", "evidence_id", "kind", "query", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce(ranking.cosine(F.col("x"), F.col("y")), F.lit(0.0)).alias("semantic"), reference.alias("reference"), explicit.alias("explicit"))
+    scored = pairs.select("claim_id", "evidence_id", "kind", "asks", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce(ranking.cosine(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")), F.lit(0.0)).alias("semantic"), reference.alias("reference"), explicit.alias("explicit"))
     return ranking.ranked(scored, digits=6).select("claim_id", "evidence_id", "kind", "score", "rank")
 
 

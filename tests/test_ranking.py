@@ -7,7 +7,9 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from lectern.operators import ranking
+from oracle import SF
 
 
 def _nearest_by_hand(rows, queries, caps, k):
@@ -70,3 +72,10 @@ def test_bm25_counts_words_in_bounded_tasks(spark, monkeypatch):
                 expected[claim, i] = sum(idf[w] * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / mean)) for w in shared)
     got = {(r.claim_id, r.evidence_id): r.bm25 for r in found.collect()}
     assert got.keys() == expected.keys() and all(math.isclose(got[k], expected[k], rel_tol=1e-12) for k in got)
+
+
+def test_hybrid_ranking_reads_claims_before_they_meet_evidence(spark):
+    """No text of a claim goes through the join with evidence, so that no pattern is matched for each pair."""
+    plan = queries()["r1_hybrid_ranking"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    pairs = [line for line in plan.splitlines() if "Project" in line and "AS explicit" in line]
+    assert pairs and not any("regexp_extract_all" in line or "rlike" in line.lower() for line in pairs)
