@@ -11,6 +11,7 @@ from lectern.functions import evidence as ev
 from lectern.functions import text as tx
 from lectern.operators import aggregates, matching, ranking, windows
 from lectern.plans import bindings as b
+from lectern.sources.shared import dealt
 from lectern.streaming import logs
 
 QUERIES: dict = {}
@@ -77,7 +78,7 @@ def boxes(spark: SparkSession, d: str) -> DataFrame:
     SELECT item, cluster, rows, weight FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY rows DESC, weight DESC, cluster) AS n FROM g) WHERE n = 1""")
 def clusters(spark: SparkSession, d: str) -> DataFrame:
     """Columns of boxes, and each item's dominant one."""
-    rows = boxes(spark, d).withColumns({"x0": F.col("box")[0], "x1": F.col("box")[2], "area": geo.area(F.col("box"))})
+    rows = dealt(boxes(spark, d), "item").withColumns({"x0": F.col("box")[0], "x1": F.col("box")[2], "area": geo.area(F.col("box"))})
     out = windows.dominant(windows.clusters(rows, ["item"], "x0", "x1", 12.0), ["item"], "cluster", "area")
     return out.select("item", "cluster", "rows", F.round("weight", 4).alias("weight"))
 

@@ -26,6 +26,17 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that one task sorts or groups by a key, about.
+ROWS = 1_000_000
+
+
+def dealt(df: DataFrame, key: str, rows: int = 0) -> DataFrame:
+    """df by key, in as many parts as its rows (counted, if not given) ask for, so that a task's memory doesn't grow with the table; few
+    rows stay as they are. What is then grouped, ordered or joined by the key isn't shuffled again."""
+    parts = -(-(rows or df.count()) // ROWS)
+    return df.repartition(parts, key) if parts > 1 else df
+
+
 def delete(spark: SparkSession, path: str) -> None:
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
