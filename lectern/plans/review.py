@@ -9,6 +9,7 @@ from lectern.functions import rules
 from lectern.operators import aggregates, sets, upserts, windows
 from lectern.plans import bindings as b
 from lectern.plans.bindings import NOW_SQL, sql
+from lectern.sources.shared import dealt
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -308,7 +309,7 @@ def ranked_results(spark: SparkSession, d: str) -> DataFrame:
 @query("u22_pending_claims", sql("SELECT DISTINCT claim_id, paper_id FROM verifications v WHERE NOT EXISTS (SELECT 1 FROM verifications w WHERE w.claim_id = v.claim_id AND w.status = 'success' AND w.verdict = 'supported')", "verifications"))
 def pending_claims(spark: SparkSession, d: str) -> DataFrame:
     """What isn't done yet."""
-    v = b.verifications(spark, d)
+    v = dealt(b.verifications(spark, d), "claim_id")
     return upserts.without_keys(v, v.where("status = 'success' and verdict = 'supported'"), ["claim_id"]).select("claim_id", "paper_id").distinct()
 
 
