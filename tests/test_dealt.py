@@ -9,7 +9,7 @@ from lectern.sources import shared
 from oracle import SF, answer, rows
 
 
-@pytest.mark.parametrize(("name", "key", "exchanges"), [("w20_clusters", "item", 1), ("u22_pending_claims", "claim_id", 2)])
+@pytest.mark.parametrize(("name", "key", "exchanges"), [("w20_clusters", "item", 1), ("u22_pending_claims", "claim_id", 2), ("a7_experiment_overview", "position", 2)])
 def test_parts_grow_with_rows(spark, monkeypatch, name, key, exchanges):
     monkeypatch.setattr(shared, "ROWS", 500)
     found = queries()[name](spark, SF)
