@@ -64,10 +64,13 @@ def _written(df: DataFrame, f: File, path: str, name: str) -> dict:
     marks = {k: F.expr(v) for k, v in f.counts.items()}
     lines = F.to_json(F.struct(*[opened(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]), {"ignoreNullFields": "false"})
     order = [F.col(c).asc_nulls_first() for c in f.order if c in df.columns]
-    rows = df.select(*[c for c in f.order if c in df.columns], lines.alias("value"), *[v.alias(f"_{k}") for k, v in marks.items()])
-    rows = rows.repartitionByRange(*order, F.col("value")).sortWithinPartitions(*order, "value")
+    tie = F.xxhash64(F.lit(0), *[F.col(c) for c, t in df.dtypes if c not in f.order and "map<" not in t])  # so that equal keys can be split
+    # Ranges are sampled from the columns, and a line is made behind the exchange: once.
+    rows = df.withColumn("_tie", tie).repartitionByRange(*order, "_tie")
+    rows = rows.select(*[c for c in f.order if c in df.columns], "_tie", lines.alias("value"), *[v.alias(f"_{k}") for k, v in marks.items()])
+    rows = rows.sortWithinPartitions(*order, "_tie", "value")
     seen = Observation(name)
-    # Behind the exchange, where rows pass once; the checksum doesn't depend on their order.
+    # The checksum doesn't depend on the rows' order.
     rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(F.xxhash64("value")), F.lit(0).cast("long")).alias("checksum"), *[F.count_if(f"_{k}").alias(k) for k in marks])
     rows.select("value").write.mode("overwrite").text(path)
     return seen.get

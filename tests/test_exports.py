@@ -4,6 +4,8 @@ import datetime as dt
 import json
 from pathlib import Path
 
+from pyspark.sql import functions as F
+
 from lectern.sources import exports
 
 T = dt.datetime
@@ -50,3 +52,19 @@ def test_export(spark, tmp_path):
 def test_export_of_nothing(spark, tmp_path):
     assert all(r["rows"] == 0 for r in exports.export({}, str(tmp_path / "x"), spark).collect())
     assert all(read(tmp_path / "x", n) == "" for n in exports.FILES)
+
+
+def test_a_line_is_made_once(spark, tmp_path, monkeypatch):
+    """Sampling the ranges must not make the lines as well."""
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(s):
+        made.add(1)
+        return s
+
+    monkeypatch.setattr(exports, "opened", lambda c: counted(c))
+    papers = tables(spark)["papers"].select("paper_id").orderBy(F.col("paper_id").desc())
+    seen = exports._written(papers, exports.FILES["papers.jsonl"], str(tmp_path / "raw" / "papers.jsonl"), "once")
+    assert seen["rows"] == 40 and made.value == 40
+    assert [json.loads(x)["paper_id"] for x in read(tmp_path, "papers.jsonl").splitlines()] == [f"p{i:02d}" for i in range(40)]
