@@ -25,18 +25,19 @@ CONFIDENCES = ("high", "inferred", "caption_only", "unknown")
 FEW, MESSAGE_LETTERS, DOMINANT = 5, 150, 0.35
 
 
-def distributions(rows: DataFrame, scope: Sequence[str], dimensions: Mapping[str, Column], measures: Sequence[Column], seen: Column) -> DataFrame:
-    """scope, dimension, value, place, n and measures: each dimension's values, the most frequent first, then the one seen first.
+def distributions(rows: DataFrame, scope: Sequence[str], dimensions: Mapping[str, Column], sums: Mapping[str, Column], seen: Column) -> DataFrame:
+    """scope, dimension, value, place, n and sums: each dimension's values, the most frequent first, then the one seen first.
 
-    All dimensions are grouped in one pass (grouping sets); dimension 'all' holds the totals. A row whose dimension is null has no
-    value in it.
+    Rows are added up by all dimensions at once, and only these sums are grouped by each dimension (grouping sets), so that a row is
+    shuffled once at most, not once for each dimension; dimension 'all' holds the totals. A row whose dimension is null has no value in it.
     """
     names = [f"_d_{d}" for d in dimensions]
-    keyed = rows.withColumns({n: c.cast("string") for n, c in zip(names, dimensions.values(), strict=True)} | {"_seen": seen})
+    keyed = rows.withColumns({n: c.cast("string") for n, c in zip(names, dimensions.values(), strict=True)} | {f"_s_{k}": c for k, c in sums.items()} | {"_seen": seen})
+    added = keyed.groupBy(*scope, *names).agg(F.count(F.lit(1)).alias("n"), F.min("_seen").alias("_first"), *[F.sum(f"_s_{k}").alias(k) for k in sums])
     own = [F.col(c) for c in scope]
     sets = [[*own], *([*own, F.col(n)] for n in names)]
-    grouped = keyed.groupingSets(sets, *own, *[F.col(n) for n in names]).agg(
-        F.count(F.lit(1)).alias("n"), F.min("_seen").alias("_first"), *measures, choose(*((F.grouping(F.col(n)) == 0, d) for n, d in zip(names, dimensions, strict=True)), other="all").alias("dimension"),
+    grouped = added.groupingSets(sets, *own, *[F.col(n) for n in names]).agg(
+        F.sum("n").alias("n"), F.min("_first").alias("_first"), *[F.sum(k).alias(k) for k in sums], choose(*((F.grouping(F.col(n)) == 0, d) for n, d in zip(names, dimensions, strict=True)), other="all").alias("dimension"),
     )
     value = F.coalesce(*[F.col(n) for n in names])
     found = grouped.withColumn("value", value).where("(dimension = 'all' and n > 0) or value is not null").drop(*names)
@@ -44,6 +45,10 @@ def distributions(rows: DataFrame, scope: Sequence[str], dimensions: Mapping[str
     return found.withColumn("place", place).drop("_first")
 
 
+def _one(condition: Column) -> Column:
+    return F.coalesce(condition, F.lit(False)).cast("long")
+
+
 def with_status(figures: DataFrame) -> DataFrame:
     """figures (attempted, text) with status."""
     read = F.trim(F.coalesce("text", F.lit(""))) != ""
@@ -57,9 +62,8 @@ def counts(figures: DataFrame, scope: Sequence[str]) -> DataFrame:
     """
     named = lambda c, other: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(other))
     dimensions = {"reason": named("reason", "none"), "confidence": named("confidence", "unknown"), "error_type": F.when(F.col("reason") == FAILED, named("error_type", "unknown"))}
-    of = lambda s, name: F.count_if(F.col("status") == s).alias(name)
     rows = with_status(figures)
-    return distributions(rows, scope, dimensions, [of(ACCEPTED, "accepted"), of(REJECTED, "rejected"), of(NEVER, "never")], F.col("position"))
+    return distributions(rows, scope, dimensions, {name: _one(F.col("status") == s) for name, s in (("accepted", ACCEPTED), ("rejected", REJECTED), ("never", NEVER))}, F.col("position"))
 
 
 def samples(figures: DataFrame, scope: Sequence[str], few: int = FEW) -> DataFrame:
@@ -160,5 +164,8 @@ def box_audit(objects: DataFrame, scope: Sequence[str]) -> DataFrame:
     objects: scope, position, object_type, source, refined and score. Scores are added up as decimals, so that a mean that lies
     between two thousandths is rounded up in any order of rows.
     """
-    score = F.when(F.col("refined") & (F.col("score") != 0), F.col("score"))
-    return distributions(objects, scope, {"type": F.col("object_type"), "source": F.col("source")}, [F.count_if("refined").alias("refined"), F.round(F.avg(score.cast("decimal(18,6)")), 3).cast("double").alias("mean_score")], F.col("position"))
+    score = F.when(F.col("refined") & (F.col("score") != 0), F.col("score")).cast("decimal(18,6)")
+    sums = {"refined": _one(F.col("refined")), "_score": score, "_scored": _one(score.isNotNull())}
+    found = distributions(objects, scope, {"type": F.col("object_type"), "source": F.col("source")}, sums, F.col("position"))
+    mean = F.col("_score").cast("decimal(28,6)") / F.nullif(F.col("_scored"), F.lit(0).cast("long")).cast("decimal(20,0)")
+    return found.withColumn("mean_score", F.round(mean, 3).cast("double")).drop("_score", "_scored")
