@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators.upserts import latest
 from lectern.operators.windows import ranked_in_parts
+from lectern.sources.shared import written
 
 
 @dataclass(frozen=True)
@@ -82,6 +83,9 @@ class Store:
         schema = self.tables[name].schema
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{f}" for f in folders]) if folders else self.spark.createDataFrame([], schema)
 
+    def done(self, source: str, number: int) -> bool:
+        return self._state()[1]["writes"].get(source, -1) >= number
+
     def put(self, changes: Mapping[str, DataFrame], source: str, number: int) -> bool:
         """Writes rows into one or more tables as one write; False if this write was done before."""
         at, state = self._state()
@@ -101,6 +105,9 @@ class Store:
             new = latest(new, list(t.keys), [F.col(c).desc() for c in t.last])
         staged = f"data/{name}/{number:012d}"
         new = new.select(*columns, bucket)
+        if not have:  # nothing to replace: written once
+            new.hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{staged}")
+            return {n.split("=")[1]: f"{staged}/{n}" for n in self._names(staged) if n.startswith("bucket=")}
         new.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/{staged}-new")  # run once, whatever made it
         touched = [n.split("=")[1] for n in self._names(f"{staged}-new") if n.startswith("bucket=")]  # a bucket each at most
         fresh = self._read(name, [f"{staged}-new/bucket={b}" for b in touched]).select(*columns, bucket)
@@ -149,10 +156,14 @@ def save_extractions(store: Store, results: DataFrame, source: str, number: int)
     """Runs with the numbers that follow the largest stored one, in the order of started_at and review_id, and their claims, which
     replace those of the same id; as one write.
 
-    results: review_id, paper_id, model_id, status, started_at, claims (array of id, claim_index, claim_text, confidence).
+    results: review_id, paper_id, model_id, status, started_at, claims (array of id, claim_index, claim_text, confidence). Numbered rows
+    are written, as both tables are made of them.
     """
+    if store.done(source, number):
+        return False
     last = store.rows("runs").agg(F.coalesce(F.max("run_id"), F.lit(0).cast("long"))).first()[0]
     rows = ranked_in_parts(results, [], [F.to_date("started_at"), F.hour("started_at")], [F.col("started_at"), F.col("review_id")], "nth").withColumn("run_id", F.col("nth") + F.lit(last).cast("long"))
+    rows = written(rows.drop("nth"))
     runs = rows.select("run_id", "review_id", "paper_id", "model_id", "status", F.greatest(F.size("claims"), F.lit(0)).cast("long").alias("claims_count"), "started_at")
     claims = rows.select("run_id", "review_id", "paper_id", F.explode("claims").alias("c")).select("c.id", "review_id", "paper_id", "run_id", "c.claim_index", "c.claim_text", "c.confidence")
     return store.put({"runs": runs, "claims": claims}, source, number)
