@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,8 +46,14 @@ def _mapped(key: Column, table: dict[str, str]) -> Column:
     return F.coalesce(F.try_element_at(names, key), key)
 
 
+def spaced(c: Column) -> Column:
+    r"""c with a space for each run of what \s names; most texts have nothing else, which is told without a regular expression."""
+    other = [c.contains(x) for x in ("  ", "\n", "\t", "\r", "\x0b", "\f")]
+    return F.when(reduce(or_, other), F.regexp_replace(c, r"\s+", " ")).otherwise(c)
+
+
 def clean(c: Column) -> Column:
-    return F.trim(F.regexp_replace(_text(c), r"\s+", " "))
+    return F.trim(spaced(_text(c)))
 
 
 def normalized(c: Column) -> Column:
