@@ -41,10 +41,10 @@ class Scratch:
             spark.conf.set("spark.checkpoint.dir", root)
         self.folder = f"{root.rstrip('/')}/lectern-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
         """Write and reread: what follows no longer depends on how df was made."""
         path = f"{self.folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        df.write.mode("overwrite").option("compression", compression).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -326,8 +326,18 @@ def exchange(near: np.ndarray, classes: np.ndarray) -> np.ndarray:
     return classes
 
 
-def _with_classes(encoded: DataFrame, moved: DataFrame, classes: np.ndarray, names: np.ndarray, last: bool = True) -> DataFrame:
-    """The texts with the classes of their tokens, and what rare words add to sum and known; unless it is the last round, with all that it takes."""
+def _placed(encoded: DataFrame, moved: DataFrame) -> DataFrame:
+    """Of each text with rare words: what they add to sum and known, and the places and classes of those that have one."""
+    rare = encoded.select("ord", F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("n")).alias("words")).select("ord", F.posexplode("words").alias("pos", "col")).select("ord", "pos", F.col("col.word").alias("word"), F.col("col.n").alias("n"))
+    rare = rare.join(moved.where("not frequent").select("word", "class", F.col("n").alias("c")), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
+    return rare.groupBy("ord").agg(
+        F.sum(F.col("n") * F.log10(F.col("c") + ADD)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
+        F.collect_list(F.when(F.col("class").isNotNull(), F.col("pos") * CLASSES + F.col("class"))).alias("placed"),
+    )
+
+
+def _with_classes(encoded: DataFrame, moved: DataFrame, placed: DataFrame, classes: np.ndarray, names: np.ndarray, last: bool = True) -> DataFrame:
+    """The texts with the classes of their tokens, and what rare words (_placed) add to sum and known; unless it is the last round, with all that it takes."""
     spark = encoded.sparkSession
     frequent = np.full(len(names), classes[END_TYPE], np.int64)
     known = moved.where("frequent").select("word", "class").toArrow()  # SENT rows at most
@@ -339,16 +349,10 @@ def _with_classes(encoded: DataFrame, moved: DataFrame, classes: np.ndarray, nam
         unseen[shape] = k
     maps = spark.sparkContext.broadcast((classes, frequent, unseen))
 
-    rare = encoded.select("ord", F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("n")).alias("words")).select("ord", F.posexplode("words").alias("pos", "col")).select("ord", "pos", F.col("col.word").alias("word"), F.col("col.n").alias("n"))
-    rare = rare.join(moved.where("not frequent").select("word", "class", F.col("n").alias("c")), "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    rare = rare.groupBy("ord").agg(
-        F.sum(F.col("n") * F.log10(F.col("c") + ADD)).alias("rare_sum"), F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("rare_known"),
-        F.collect_list(F.when(F.col("class").isNotNull(), F.col("pos") * CLASSES + F.col("class"))).alias("placed"),
-    )
     encoded = encoded if not last else encoded.drop("times")
     some = F.size("rare") > 0  # only texts with such words are shuffled
     none = {"rare_sum": F.lit(0.0), "rare_known": F.lit(0).cast("long"), "placed": F.array().cast("array<int>")}
-    joined = encoded.where(some).join(rare, "ord").unionByName(encoded.where(~some).withColumns(none))
+    joined = encoded.where(some).join(placed, "ord").unionByName(encoded.where(~some).withColumns(none))
     narrow = ("doc_id", "held_out", "n_tokens", "known", "sum", "rare_sum", "rare_known")
     kept = narrow if last else (*narrow, "ord", "types", "others", "rare", "times")
 
@@ -401,7 +405,7 @@ def lm_scores(docs: DataFrame, scratch: Scratch | None = None, folds: int = 5, h
     first = first[names[first] != END][:OWN]
     own[first] = np.arange(len(first))
     sent = spark.sparkContext.broadcast((names, count.astype(float), own))
-    encoded = scratch.table(rows.mapInArrow(lambda b: _encode(b, sent), _ENCODED), "encoded")
+    encoded = scratch.table(rows.mapInArrow(lambda b: _encode(b, sent), _ENCODED), "encoded", "zstd")
 
     # classes: the end, the most frequent types, and one for all others to start with
     classes = np.full(TYPES, CLASSES - 1)
@@ -422,7 +426,10 @@ def lm_scores(docs: DataFrame, scratch: Scratch | None = None, folds: int = 5, h
         moved = scratch.table(assigned(contexts(texts, classes, sent), pairs, end, rounds > 0), f"assigned{i}")
         scratch.tidy()
         bare = texts.drop("classes", "rare_sum", "rare_known")
-        then = scratch.table(_with_classes(bare, moved, classes, names, i + 1 == n_rounds), f"classes{i}")
+        placed = scratch.table(_placed(bare, moved), f"placed{i}")
+        scratch.tidy()  # the shuffles of rare words go before texts are shuffled
+        then = scratch.table(_with_classes(bare, moved, placed, classes, names, i + 1 == n_rounds), f"classes{i}", "zstd")
+        scratch.drop(f"placed{i}")
         now = class_pairs(then, end)
         if i and likelihood(now) <= likelihood(pairs):
             scratch.drop(f"classes{i}")
