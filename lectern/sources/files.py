@@ -15,3 +15,12 @@ def write_files(lines: DataFrame, root: str, order: list[str], name: str = "file
     parts = parts or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = lines.repartition(parts, name).sortWithinPartitions(name, *order)
     rows.select(F.col(name).alias("file"), F.col(line).alias("value")).write.mode("overwrite").option("maxRecordsPerFile", 0).partitionBy("file").text(root)
+
+
+def write_many(lines: DataFrame, root: str, order: list[str], name: str = "file", line: str = "line") -> None:
+    """The same lines where names are many: a table of file, the columns of order, and line, with a name's lines in order in one file.
+
+    A file of the table holds many names, so that the number of files follows the lines and not the names.
+    """
+    rows = lines.repartition(name).sortWithinPartitions(name, *order)
+    rows.select(F.col(name).alias("file"), *order, F.col(line).alias("line")).write.mode("overwrite").parquet(root)

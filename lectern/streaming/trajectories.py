@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.query import StreamingQuery
 
-from lectern.sources.files import write_files
+from lectern.sources.files import write_files, write_many
 from lectern.sources.store import Store, Table
 from lectern.streaming import logs
 
@@ -179,3 +179,8 @@ def trajectory_lines(rows: DataFrame) -> DataFrame:
 def write_trajectories(rows: DataFrame, root: str) -> None:
     """A JSON document for each agent below root, at file=<agent>."""
     write_files(trajectory_lines(rows), root, ["place"])
+
+
+def write_documents(rows: DataFrame, root: str) -> None:
+    """The same documents where agents are many: all their lines in one table, with the agent as file, and place."""
+    write_many(trajectory_lines(rows), root, ["place"])
