@@ -33,6 +33,9 @@ REASONS = {
 BADGES = {"refuted": "🔴 refuted", "insufficient_evidence": "🟠 insufficient_evidence", "supported": "🟢 supported", "not_verifiable": "⚪ not_verifiable"}
 FIELDS = ("summary", "strengths", "weaknesses", "questions", "soundness", "presentation", "contribution", "unknown")
 
+#: How many neighbours of a claim's evidence are one row.
+RUN = 64
+
 
 def said(*parts: Column | str) -> Column:
     return F.concat(*[c.cast("string") if isinstance(c, Column) else F.lit(c) for c in parts])
@@ -125,14 +128,20 @@ def verification_report(papers: DataFrame, claims: DataFrame, evidence: DataFram
 
     shown = stripped(F.coalesce("_text", F.lit("")))
     shown = F.when(F.length(shown) > most, F.concat(F.left(shown, F.lit(most)), F.lit("…"))).otherwise(shown)
-    cited = evidence.select("claim_id", "rank", "page", "section", F.col("text").alias("_text")).join(placed.select("paper_id", "claim_id", "claim_index", "_review", "_field"), "claim_id")
-    items = doc.lines(cited, KEY, [*here, F.col("rank")], doc.texts(said("**Evidence #", F.col("rank"), "** — page ", F.coalesce(F.col("page").cast("string"), F.lit("None")), ", section=", F.coalesce("section", F.lit("None"))), "", quoted(shown), ""))
+    # A claim's evidence meets it by id, as runs of neighbours: a run's lines are one row, the first one's behind the claim's own.
+    own = doc.texts(said("**Evidence #", F.col("rank"), "** — page ", F.coalesce(F.col("page").cast("string"), F.lit("None")), ", section=", F.coalesce("section", F.lit("None"))), "", quoted(shown), "")
+    own = F.filter(F.transform(own, lambda t, i: F.struct(F.col("rank").alias("rank"), i.alias("i"), t.alias("t"))), lambda x: x["t"].isNotNull())
+    runs = evidence.withColumn("_text", F.col("text")).groupBy("claim_id", F.floor(F.coalesce("rank", F.lit(-1)) / RUN).alias("_run")).agg(F.flatten(F.collect_list(own)).alias("_lines"), F.max(F.col("rank").isNotNull()).alias("_some"))
+    of_claim = Window.partitionBy("claim_id")
+    runs = runs.withColumns({"_first": F.col("_run") == F.min("_run").over(of_claim), "_some": F.max("_some").over(of_claim)})
     card = [
         said('<a id="', anchor, '"></a>'), said("##### C", F.col("claim_index"), " — ", badge), "", said("- status: `", F.col("status"), "`"), said("- verification_confidence: `", F.coalesce(F.col("confidence").cast("string"), F.lit("None")), "`"), "",
         "**Claim**", "", quoted(F.col("text")), "", "**Evidence (paper chunks)**", "",
     ]
-    items = written(items)
-    cards = doc.headed(placed, items, KEY, here, doc.texts(*card), doc.texts(*card, "_No parseable evidence_chunk_ids._", ""))
+    none = F.array().cast("array<string>")
+    cited = F.coalesce(F.transform(F.array_sort("_lines"), lambda x: x["t"]), none)
+    heading = F.when(~F.coalesce("_first", F.lit(True)), none).when(F.col("_some"), doc.texts(*card)).otherwise(doc.texts(*card, "_No parseable evidence_chunk_ids._", ""))
+    cards = doc.lines(placed.join(runs, "claim_id", "left"), KEY, [*here, F.coalesce("_run", F.lit(0))], F.concat(heading, cited))
 
     # One row for each review and for each paper, counted from the claims.
     count = lambda v: F.count_if((F.col("status") == "success") & (F.col("_verdict") == v)).alias(v)
@@ -153,7 +162,7 @@ def verification_report(papers: DataFrame, claims: DataFrame, evidence: DataFram
     counts = [_counted(rows, F.col(c), i) for i, c in ((1, "_verdict"), (2, "status"), (3, "field"))]
     names = [doc.lines(papers, KEY, [i], doc.texts(*([""] if i > 1 else []), f"### {t}", "")) for i, t in ((1, "Verdicts"), (2, "Status"), (3, "Source fields"))]
     start = doc.lines(papers, KEY, [5], doc.texts("", "## Reviews", ""))
-    return doc.document(head, *names, *counts, quick, bad, start, reviewed, linked, worst_lines, heads, cards, items)
+    return doc.document(head, *names, *counts, quick, bad, start, reviewed, linked, worst_lines, heads, cards)
 
 
 #: How many chunks, claims and pieces of evidence a retrieval report shows, and how long a bar or a preview is.

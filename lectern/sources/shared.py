@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -26,6 +27,12 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffles of what has been written: they go once neither Python nor the JVM refers to their plans."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Rows that one task sorts or groups by a key, about.
 ROWS = 1_000_000
 

@@ -105,3 +105,22 @@ def test_shares_round_as_in_sql(spark):
     prices = [9725.0, 9775.0, 25.0, 75.0, 313_475.0, 100_025.0]
     got = [r[0] for r in spark.createDataFrame([(p,) for p in prices], "p double").select(bindings.rounded(F.col("p") / 500000, 4)).collect()]
     assert got == [duckdb.execute(f"SELECT round({p}::DOUBLE / 500000, 4)").fetchall()[0][0] for p in prices] and got[0] == 0.0194
+
+
+def test_lines_stay_together_until_they_are_numbered(spark, monkeypatch):
+    """A report has far fewer rows than lines, and short and long documents are numbered alike, also where rows have one path and lines are null."""
+    papers = spark.createDataFrame([(1, "T")], "paper_id long, title string")
+    claims = spark.range(50).select(F.lit(1).cast("long").alias("paper_id"), F.lit(1).alias("review_id"), F.lit("summary").alias("field"), "id", F.col("id").alias("claim_id"), F.lit("success").alias("status"), F.lit("supported").alias("verdict"), F.lit(0.5).alias("confidence"), F.lit("c").alias("text")).withColumnRenamed("id", "claim_index")
+    evidence = spark.range(5000).select((F.col("id") % 49).alias("claim_id"), F.floor(F.col("id") / 49 + 1).alias("rank"), F.lit(1).alias("page"), F.lit("S").alias("section"), F.lit("y").alias("text"))
+    report = reports.verification_report(papers, claims, evidence, "now")
+    lines = documents.numbered(report, ["paper_id"], depth=3).orderBy("line").collect()
+    assert len(lines) > 20_000 and report.count() < len(lines) / 50
+    assert [int(r["text"].split()[1][1:].rstrip("*")) for r in lines if r["text"].startswith("**Evidence #")] == [i for c in range(49) for i in range(1, 104 if c < 2 else 103)]
+
+    rows = spark.createDataFrame([(d, [d % 3, i // 40], ["b", f"{i}", None, 'q"\\\n'] if i % 2 else ["a", None, "z"]) for d in range(4) for i in range(30 * d + 1)], "d long, path array<long>, lines array<string>")
+    plain = {d: [t for *_, t in sorted(([*p, i], t) for r in rows.collect() if r["d"] == d for p in [r["path"]] for i, t in enumerate(r["lines"]) if t is not None)] for d in range(4)}
+    for long in (0, 31, 1000):
+        monkeypatch.setattr(documents, "LONG", long)
+        got = documents.numbered(rows, ["d"], depth=1, span=2).orderBy("d", "line").collect()
+        assert {d: [r["text"] for r in got if r["d"] == d] for d in range(4)} == plain
+        assert [r["line"] for r in got] == [i + 1 for d in range(4) for i in range(len(plain[d]))]
