@@ -50,7 +50,8 @@ def bm25(claims: DataFrame, evidence: DataFrame) -> DataFrame:
     words = asked.select("corpus", "term").distinct()
     if words.limit(BROADCAST + 1).count() <= BROADCAST:
         words = F.broadcast(words)
-    terms = doc.select("corpus", "evidence_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).join(words, ["corpus", "term"], "left_semi")
+    # The empty word is nobody's; a plain explode would have texts without words left out before they are dealt, and so dealt twice.
+    terms = doc.select("corpus", "evidence_id", F.size("ts").alias("dl"), F.explode(F.array_append("ts", F.lit(""))).alias("term")).join(words, ["corpus", "term"], "left_semi")
     terms = terms.groupBy("corpus", "evidence_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     weights = asked.join(idf, ["corpus", "term"])
     if asked.limit(BROADCAST + 1).count() <= BROADCAST:
@@ -212,7 +213,8 @@ def capped(df: DataFrame, keys: Sequence[str], kind: str, caps: Mapping[str, int
     """The first k rows of each key in order, at most caps[kind] of each kind; `rank` from 1."""
     most = F.coalesce(*(F.when(F.col(kind) == name, F.lit(n)) for name, n in caps.items()), F.lit(k))
     of_kind = F.row_number().over(Window.partitionBy(*keys, kind).orderBy(*order))
-    out = df.withColumn("_of_kind", of_kind).where(F.col("_of_kind") <= most)
+    # The plain number lets each task keep its own first rows.
+    out = df.withColumn("_of_kind", of_kind).where((F.col("_of_kind") <= most) & (F.col("_of_kind") <= max([k, *caps.values()])))
     return out.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("rank") <= k).drop("_of_kind")
 
 

@@ -11,7 +11,7 @@ from lectern.functions import evidence as ev
 from lectern.functions import text as tx
 from lectern.operators import aggregates, matching, ranking, windows
 from lectern.plans import bindings as b
-from lectern.sources.shared import dealt
+from lectern.sources.shared import dealt, tidy, written
 from lectern.streaming import logs
 
 QUERIES: dict = {}
@@ -262,9 +262,20 @@ def bm25(spark: SparkSession, d: str) -> DataFrame:
 def hybrid_ranking(spark: SparkSession, d: str) -> DataFrame:
     """The whole ranking of every claim's candidates.
 
-    A claim's candidates are all evidence of its corpus, as asked for. What follows from a claim or a vector alone is made before
-    they meet. The claims are sent to the evidence, after a check of
-    their number; scores are scaled by joined minima and maxima, and each task keeps its own best rows before the last sort.
+    A claim's candidates are all evidence of its corpus, as asked for. Their scores are written once, as they are scaled by minima and
+    maxima of all of a claim's; these are joined to them, and each task keeps its own best rows before the last sort.
+    """
+    scored = written(candidate_scores(spark, d))
+    explicit = (F.col("kind").isin("table", "figure")) & (F.col("reference") == 1.0)
+    return ranking.ranked(scored.withColumn("explicit", explicit), digits=6).select("claim_id", "evidence_id", "kind", "score", "rank")
+
+
+def candidate_scores(spark: SparkSession, d: str) -> DataFrame:
+    """claim_id, evidence_id, kind, asks, bm25, semantic and reference of every claim's candidates.
+
+    What follows from a claim or a vector alone is made before they meet. The claims are sent to the evidence, after a check of their
+    number, and BM25's scores are joined to the evidence before that, a map of claims to each, so that no pair is shuffled; if claims
+    are too many for that, pairs are, without their vectors.
     """
     claims, evidence = _claims(spark, d)
     vectors = b.table(spark, d, "embeddings").select("vec_id", "embedding")
@@ -273,13 +284,17 @@ def hybrid_ranking(spark: SparkSession, d: str) -> DataFrame:
     number = (F.col("evidence_id") % 20).cast("string")
     label = F.when(F.col("kind") != "text_chunk", F.concat(F.initcap("kind"), F.lit(" "), number))
     given = evidence.join(vectors, F.col("evidence_id") == F.col("vec_id"), "left").select("evidence_id", "corpus", "kind", label.alias("label"), F.when(F.col("kind") == "text_chunk", number).alias("section_number"), F.col("embedding").alias("y"), ranking.norm(F.col("embedding")).alias("ny"))
-    if claims.limit(ranking.BROADCAST // 100 + 1).count() <= ranking.BROADCAST // 100:  # a few kB each
-        asked = F.broadcast(asked)
-    pairs = given.join(asked, "corpus").join(ranking.bm25(claims, evidence), ["claim_id", "evidence_id"], "left")
     reference = ev.reference_boost(F.lit(None), F.col("kind"), F.col("label"), F.col("section_number"), F.lit(None).cast("string"), F.col("names"))
-    explicit = (F.col("kind").isin("table", "figure")) & (reference == 1.0)
-    scored = pairs.select("claim_id", "evidence_id", "kind", "asks", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), F.coalesce(ranking.cosine(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")), F.lit(0.0)).alias("semantic"), reference.alias("reference"), explicit.alias("explicit"))
-    return ranking.ranked(scored, digits=6).select("claim_id", "evidence_id", "kind", "score", "rank")
+    semantic = F.coalesce(ranking.cosine(F.col("x"), F.col("y"), F.col("nx"), F.col("ny")), F.lit(0.0)).alias("semantic")
+    lexical = ranking.bm25(claims, evidence)
+    if claims.limit(ranking.BROADCAST // 100 + 1).count() <= ranking.BROADCAST // 100:  # a few kB each
+        of = lexical.where("claim_id is not null").groupBy("evidence_id").agg(F.map_from_entries(F.collect_list(F.struct("claim_id", "bm25"))).alias("of"))
+        of = written(of)  # a join's condition would reach the texts otherwise, so that they were dealt twice
+        tidy(spark)
+        pairs = given.join(of, "evidence_id", "left").join(F.broadcast(asked), "corpus")
+        return pairs.select("claim_id", "evidence_id", "kind", "asks", F.coalesce(F.try_element_at("of", F.col("claim_id")), F.lit(0.0)).alias("bm25"), semantic, reference.alias("reference"))
+    pairs = given.join(asked, "corpus").select("claim_id", "evidence_id", "kind", "asks", semantic, reference.alias("reference"))
+    return pairs.join(lexical, ["claim_id", "evidence_id"], "left").select("claim_id", "evidence_id", "kind", "asks", F.coalesce("bm25", F.lit(0.0)).alias("bm25"), "semantic", "reference")
 
 
 @query("s29_json_props", "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, CASE WHEN CAST(json_extract_string(props, '$.k') AS INT) BETWEEN 1 AND 5 THEN round((2 * CAST(json_extract_string(props, '$.k') AS INT) - 1) / 10.0, 2)::DOUBLE END AS share FROM events")

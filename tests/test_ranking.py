@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from lectern.operators import ranking
+from lectern.plans import texts
 from oracle import SF
 
 
@@ -79,3 +80,19 @@ def test_hybrid_ranking_reads_claims_before_they_meet_evidence(spark):
     plan = queries()["r1_hybrid_ranking"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     pairs = [line for line in plan.splitlines() if "Project" in line and "AS explicit" in line]
     assert pairs and not any("regexp_extract_all" in line or "rlike" in line.lower() for line in pairs)
+
+
+def test_hybrid_ranking_shuffles_no_pairs(spark, monkeypatch):
+    """Claims meet evidence where it is, and each task keeps its own first rows; with too many claims to send, pairs go without vectors."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    query = queries()["r1_hybrid_ranking"]
+    assert not re.search(r"hashpartitioning\(claim_id#\d+L?, evidence_id", plan(query(spark, SF))) and re.search(r"WindowGroupLimit \[claim_id#\d+L?, kind", plan(query(spark, SF)))
+    few = texts.candidate_scores(spark, SF)
+    assert not re.search(r"hashpartitioning\(claim_id", plan(few))
+    want = sorted(map(tuple, query(spark, SF).collect()))
+    monkeypatch.setattr(ranking, "BROADCAST", 100)
+    many = texts.candidate_scores(spark, SF)
+    dealt = [line for line in plan(many).splitlines() if re.search(r"hashpartitioning\(claim_id#\d+L?, evidence_id", line)]
+    assert dealt and "embedding" not in "".join(plan(many).split("hashpartitioning(claim_id")[1].splitlines()[1:3])
+    assert few.count() == many.count() and sorted(map(tuple, query(spark, SF).collect())) == want
+    assert few.where("bm25 > 0").count() == many.where("bm25 > 0").count() > 0
