@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.sources.shared import tidy
+
 
 @dataclass(frozen=True)
 class File:
@@ -42,9 +44,8 @@ STATISTICS = {
 
 def opened(c: Column) -> Column:
     """A text that is a JSON object or list as that, any other as it is."""
-    quoted = F.to_json(F.struct(c.alias("v")))
-    plain = F.try_parse_json(F.substring(quoted, 6, F.length(quoted) - 6))
-    return F.coalesce(F.when(F.ltrim(c).rlike(r"^[\[{]"), F.try_parse_json(c)), plain)
+    begun = F.ltrim(c)
+    return F.coalesce(F.when(begun.startswith("{") | begun.startswith("["), F.try_parse_json(c)), c.cast("variant"))
 
 
 def summarised_runs(papers: DataFrame, verdict_state: DataFrame | None, actions: DataFrame) -> DataFrame:
@@ -57,29 +58,35 @@ def summarised_runs(papers: DataFrame, verdict_state: DataFrame | None, actions:
     return out.join(n, "paper_id", "left").withColumn("action_count", F.coalesce("action_count", F.lit(0)))
 
 
-def _written(df: DataFrame, f: File, path: str, name: str) -> dict:
+def _written(df: DataFrame, f: File, path: str, name: str, compression: str = "none") -> dict:
     """Writes one file's lines in order, as parts whose names follow it; what was counted while they were written."""
     if f.columns:
         df = df.select(*[F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in f.columns])
     marks = {k: F.expr(v) for k, v in f.counts.items()}
     lines = F.to_json(F.struct(*[opened(F.col(c)).alias(c) if t == "string" else F.col(c) for c, t in df.dtypes]), {"ignoreNullFields": "false"})
     order = [F.col(c).asc_nulls_first() for c in f.order if c in df.columns]
-    tie = F.xxhash64(F.lit(0), *[F.col(c) for c, t in df.dtypes if c not in f.order and "map<" not in t])  # so that equal keys can be split
-    # Ranges are sampled from the columns, and a line is made behind the exchange: once.
-    rows = df.withColumn("_tie", tie).repartitionByRange(*order, "_tie")
-    rows = rows.select(*[c for c in f.order if c in df.columns], "_tie", lines.alias("value"), *[v.alias(f"_{k}") for k, v in marks.items()])
-    rows = rows.sortWithinPartitions(*order, "_tie", "value")
+    rest = [c for c, t in df.dtypes if c not in f.order and "map<" not in t]
+    tie = F.xxhash64(F.lit(0), *rest)  # so that equal keys can be split
+    # Ranges are sampled from the columns, which alone are shuffled and sorted; a line is made behind them: once.
+    rows = df.repartitionByRange(*order, tie)
+    made = [lines.alias("value"), *[v.alias(f"_{k}") for k, v in marks.items()]]
+    if any("map<" in t for _, t in df.dtypes):  # these have no order but that of their lines
+        rows = rows.select(*[c for c in f.order if c in df.columns], tie.alias("_tie"), *made).sortWithinPartitions(*order, "_tie", "value")
+    else:
+        rows = rows.sortWithinPartitions(*order, tie, *rest).select(*made)
     seen = Observation(name)
     # The checksum doesn't depend on the rows' order.
     rows = rows.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.bit_xor(F.xxhash64("value")), F.lit(0).cast("long")).alias("checksum"), *[F.count_if(f"_{k}").alias(k) for k in marks])
-    rows.select("value").write.mode("overwrite").text(path)
+    rows.select("value").write.mode("overwrite").option("compression", compression).text(path)
+    tidy(df.sparkSession)
     return seen.get
 
 
-def export(tables: Mapping[str, DataFrame], root: str, spark: SparkSession, title: str = "Review trajectory", generated_at: str = "") -> DataFrame:
+def export(tables: Mapping[str, DataFrame], root: str, spark: SparkSession, title: str = "Review trajectory", generated_at: str = "", compression: str = "none") -> DataFrame:
     """Writes all FILES, reports and the manifest below root; returns the manifest: file, folder, rows, checksum.
 
     tables: by the names in FILES; what is missing makes an empty file. run_summary is made of papers, verdict_state and actions.
+    compression: of the files' parts, as Spark names it; they are plain text otherwise, which takes many times the tables' own size.
     """
     tables = dict(tables)
     if "run_summary" not in tables and {"papers", "actions"} <= tables.keys():
@@ -89,7 +96,7 @@ def export(tables: Mapping[str, DataFrame], root: str, spark: SparkSession, titl
     for name, f in FILES.items():
         path = f"{root.rstrip('/')}/{f.folder}/{name}"
         if f.table in tables:
-            seen = _written(tables[f.table], f, path, name)
+            seen = _written(tables[f.table], f, path, name, compression)
         else:
             spark.createDataFrame([], "value string").write.mode("overwrite").text(path)
             seen = {"rows": 0, "checksum": 0}

@@ -1,12 +1,15 @@
 """Exports: every file in its place and order, the same twice, with counts that were taken while it was written."""
 
 import datetime as dt
+import gzip
 import json
 from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from lectern.plans import writes
 from lectern.sources import exports
+from oracle import SF
 
 T = dt.datetime
 
@@ -68,3 +71,30 @@ def test_a_line_is_made_once(spark, tmp_path, monkeypatch):
     seen = exports._written(papers, exports.FILES["papers.jsonl"], str(tmp_path / "raw" / "papers.jsonl"), "once")
     assert seen["rows"] == 40 and made.value == 40
     assert [json.loads(x)["paper_id"] for x in read(tmp_path, "papers.jsonl").splitlines()] == [f"p{i:02d}" for i in range(40)]
+
+
+def test_parts_may_be_compressed(spark, tmp_path, monkeypatch):
+    """The same lines in the same order, and the query's own export leaves no plain text on disk."""
+    one, two = str(tmp_path / "one"), str(tmp_path / "two")
+    plain, packed = (sorted(map(tuple, exports.export(tables(spark), root, spark, compression=c).collect())) for root, c in ((one, "none"), (two, "gzip")))
+    assert plain == packed
+    for name, f in exports.FILES.items():
+        parts = sorted(p for p in (Path(two) / f.folder / name).iterdir() if p.name.startswith("part-"))
+        assert all(p.suffix == ".gz" for p in parts if f.table in {*tables(spark), "run_summary"})
+        assert "".join(gzip.decompress(p.read_bytes()).decode() if p.suffix == ".gz" else p.read_text() for p in parts) == read(one, name), name
+    monkeypatch.setattr(writes, "shared_folder", lambda spark: str(tmp_path / "query"))
+    assert writes.dataset_export(spark, SF).where("lines = rows").count() == len(exports.FILES)
+    large = [p for p in (tmp_path / "query").rglob("part-*") if p.stat().st_size > 5000]
+    assert large and all(p.suffix == ".gz" for p in large)
+
+
+def test_ties_and_maps_have_one_order(spark, tmp_path):
+    """Equal keys, and tables with columns that have no order, give the same bytes however rows are dealt."""
+    seen = []
+    listed = lambda df, name: exports._written(df, exports.FILES["actions.jsonl"], str(tmp_path / name / "raw" / "actions.jsonl"), name) and read(tmp_path / name, "actions.jsonl")
+    rows = spark.createDataFrame([(i % 3, T(2024, 1, 1), i % 2, {"a": i // 10}, f"t{i % 5}") for i in range(60)], "paper_id long, created_at timestamp_ntz, action_id long, m map<string, int>, t string")
+    for name, df in (("a", rows.drop("m")), ("b", rows.drop("m").repartition(7, "t")), ("c", rows), ("d", rows.repartition(5, "t"))):
+        seen.append(listed(df, name))
+    assert seen[0] == seen[1] and seen[2] == seen[3] and len(seen[0].splitlines()) == len(seen[2].splitlines()) == 60
+    keys = [(r["paper_id"], r["created_at"], r["action_id"]) for r in map(json.loads, seen[0].splitlines())]
+    assert keys == sorted(keys)
